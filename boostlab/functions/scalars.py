@@ -31,7 +31,7 @@ def ratio(over: Column, under: Column) -> Column:
 
 def speedup_text(speedup: Column, digits: int = 1) -> Column:
     """``2.5x``, or ``-`` where there is no speedup to show."""
-    return F.coalesce(F.format_string(f"%.{digits}fx", speedup), F.lit("-"))
+    return F.when(speedup.isNull(), "-").otherwise(F.format_string(f"%.{digits}fx", speedup))
 
 
 def faster_flag(speedup: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,35 +27,29 @@ def split_hash(df: DataFrame, row_id: str, test_share: float, seed: int = 42) ->
 def split_exact(df: DataFrame, row_id: str, test_share: float, seed: int = 42) -> DataFrame:
     """Add ``is_test`` for exactly ``ceil(share * n)`` rows in a seeded random order.
 
-    The order is (hash word, id). Counting words by their upper half finds the
-    one slice holding the cut; only that slice is sorted, for the exact cut row.
+    The order is (hash word, id). The cut row is found by counting: first by the
+    upper half of the word, then by the lower half inside one upper half. Each
+    count has at most 65,536 groups; only rows sharing the cut word are sorted.
     """
     word = rand.word(seed, "split", F.col(row_id))
     keyed = df.select(F.col(row_id).alias("_id"), word.alias("_word"))
-    sliced = keyed.withColumn("_slice", F.shiftright("_word", 16))
-    counts = sliced.groupBy("_slice").agg(F.count("*").alias("n"))
-    upto = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    # At most 65,536 slice counts reach this window.
-    cut_slice = (
-        counts.select("_slice", "n", F.sum("n").over(upto).alias("upto"),
-                      F.sum("n").over(everything).alias("all"))
-        .withColumn("wanted", F.ceil(F.col("all") * F.lit(test_share)))
-        .filter((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
-        .select("_slice", (F.col("wanted") - (F.col("upto") - F.col("n"))).alias("rank"))
-        .first()
-    )
-    if cut_slice is None:
+    wanted = math.ceil(round(keyed.count() * test_share, 6))
+    if wanted == 0:
         return df.withColumn("is_test", F.lit(False))
-    cut = (
-        sliced.filter(F.col("_slice") == cut_slice["_slice"])
-        .select("_word", "_id", F.row_number().over(Window.orderBy("_word", "_id")).alias("rank"))
-        .filter(F.col("rank") == cut_slice["rank"])
-        .first()
-    )
-    last_word, last_id = F.lit(cut["_word"]), F.lit(cut["_id"])
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    for shift in (16, 0):
+        counts = keyed.groupBy(F.shiftright("_word", shift).alias("part")).agg(
+            F.count("*").alias("n")
+        )
+        cut = (
+            counts.select("part", "n", F.sum("n").over(upto).alias("upto"))
+            .filter((F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted))
+            .first()
+        )
+        wanted -= cut["upto"] - cut["n"]
+        keyed = keyed.filter(F.shiftright("_word", shift) == cut["part"])
+    last = keyed.orderBy("_id").offset(wanted - 1).first()
+    last_word, last_id = F.lit(last["_word"]), F.lit(last["_id"])
     return df.withColumn(
         "is_test", (word < last_word) | ((word == last_word) & (F.col(row_id) <= last_id))
     )

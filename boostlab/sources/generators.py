@@ -147,7 +147,7 @@ def gen_matrix(
     """Uniform matrix cells with their block: ``i, j, block_i, block_j, x``."""
     cells = ids.select(
         F.col("row_id").alias("i"),
-        F.explode(F.sequence(F.lit(0), F.lit(width - 1))).cast("bigint").alias("j"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint"))).alias("j"),
     )
     return cells.select(
         "i",
