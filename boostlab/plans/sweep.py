@@ -12,6 +12,11 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boostlab.operators.boosting import BoostParams, boost
+from boostlab.operators.forest import fit_forest, fit_members, forest_data, score_members
+from boostlab.operators.metrics import evaluate
+from boostlab.operators.model import TreeModel, best_round, eval_history, score
+
 
 @dataclass(frozen=True)
 class Selection:
@@ -88,3 +93,139 @@ def run_metadata(
             F.lit(2**depth).alias("lightgbm_num_leaves"),
         ).alias("parameters"),
     )
+
+
+# Regularisation each library applies unless told otherwise, and the
+# depths its forest adds to be comparable.
+BOOSTERS = {
+    "xgboost": {"growth": "level", "l2": 1.0, "min_child": 1.0},
+    "catboost": {"growth": "symmetric", "l2": 3.0},
+    "lightgbm": {"growth": "leaf", "l2": 0.0, "min_child": 1e-3},
+}
+FORESTS = {"sklearn": ("bootstrap", 0), "xgboost": ("subsample", 1), "lightgbm": ("bagged", 5)}
+
+
+@dataclass(frozen=True)
+class Trial:
+    """What all configurations of a sweep share."""
+
+    train: DataFrame
+    test: DataFrame
+    features: list[str]
+    depth: int = 6
+    learning_rate: float = 0.03
+    max_bins: int = 64
+    seed: int = 42
+
+
+def fit_config(trial: Trial, config: str, iterations: int) -> TreeModel:
+    """Fit one configuration. The part after the library names a device in the
+    reference results; here every configuration runs on the session's cores."""
+    lib, _, rest = config.partition("_")
+    if lib == "rf":
+        kind, deeper = FORESTS[rest]
+        data = forest_data(trial.train, trial.features)
+        try:
+            return fit_forest(data, kind, iterations, trial.depth + deeper, trial.seed)
+        finally:
+            data.close()
+    if lib not in BOOSTERS:
+        raise ValueError(f"unknown configuration: {config}")
+    params = BoostParams(
+        rounds=iterations, max_depth=trial.depth, learning_rate=trial.learning_rate,
+        num_leaves=2**trial.depth, max_bins=trial.max_bins, seed=trial.seed, **BOOSTERS[lib],
+    )
+    model = boost(trial.train, trial.features, params)
+    if lib == "catboost":
+        # This library keeps the model of its best round on the evaluation rows.
+        best = best_round(eval_history(trial.test, model)).first()["round"]
+        model = model.first(best)
+    return model
+
+
+def timed_run(trial: Trial, config: str, iterations: int) -> dict:
+    """Fit with the clock on, then measure quality on the test rows."""
+    start = time.perf_counter()
+    model = fit_config(trial, config, iterations)
+    elapsed = time.perf_counter() - start
+    quality = evaluate(score(trial.test, model)).first()
+    return {
+        "time_seconds": round(elapsed, 2),
+        "accuracy": round(quality["accuracy"], 4),
+        "auc": None if quality["auc"] is None else round(quality["auc"], 4),
+        "trees": len(model.trees),
+    }
+
+
+def run_single(trial: Trial, name: str, iterations: list[int]) -> dict:
+    """One configuration by its short name, for the first round count only."""
+    if name not in SHORT_NAMES:
+        raise ValueError(f"unknown test: {name}")
+    return timed_run(trial, SHORT_NAMES[name], iterations[0])
+
+
+SWEEP = (
+    "iterations int, pos int, name string, time_seconds double, accuracy double, auc double, "
+    "trees int, status string"
+)
+
+
+def run_sweep(
+    trial: Trial, selection: Selection, iterations: list[int],
+    run: Callable[[Trial, str, int], dict] = timed_run,
+) -> DataFrame:
+    """Every configuration for every round count; one row each.
+
+    The rows to train on and to test on are cached before the first clock starts.
+    A configuration that fails is a row with its error, and the sweep goes on.
+    """
+    context = trial.train.sparkSession.sparkContext
+    held = [trial.train.persist(), trial.test.persist()]
+    for part in held:
+        part.count()
+    rows = []
+    try:
+        for rounds in iterations:
+            for pos, name in enumerate(selection.names()):
+                context.setJobGroup(f"{name}-{rounds}", f"{name}, {rounds} rounds")
+                try:
+                    found, status = run(trial, name, rounds), "ok"
+                except Exception as error:
+                    found, status = {}, f"{type(error).__name__}: {error}"
+                measured = [found.get(k) for k in ("time_seconds", "accuracy", "auc", "trees")]
+                rows.append((rounds, pos, name, *measured, status))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for part in held:
+            part.unpersist()
+    return trial.train.sparkSession.createDataFrame(rows, SWEEP)
+
+
+def compare_forests(
+    trial: Trial, n_trees: int, members: int, run_depth: int
+) -> tuple[DataFrame, DataFrame]:
+    """Each kind of forest as one fit and as sub-forests side by side: two result tables."""
+    spark = trial.train.sparkSession
+    data = forest_data(trial.train, trial.features)
+    # Settings the distributed comparison gives the third kind.
+    changes = {"lightgbm": {"row_share": 0.8, "tree_features": 0.8, "num_leaves": 2**run_depth}}
+    single, several = [], []
+    try:
+        for lib, (kind, _) in FORESTS.items():
+            more = changes.get(lib, {})
+            start = time.perf_counter()
+            one = fit_forest(data, kind, n_trees, run_depth, trial.seed, **more)
+            middle = time.perf_counter()
+            parts = fit_members(data, kind, n_trees, members, run_depth, trial.seed, **more)
+            end = time.perf_counter()
+            for rows, took, scored, trees in (
+                (single, middle - start, score(trial.test, one), len(one.trees)),
+                (several, end - middle, score_members(trial.test, parts),
+                 sum(len(p.trees) for p in parts)),
+            ):
+                quality = evaluate(scored).first()
+                rows.append((lib, round(took, 2), quality["accuracy"], quality["auc"], trees))
+    finally:
+        data.close()
+    schema = "lib string, time double, accuracy double, auc double, trees int"
+    return spark.createDataFrame(single, schema), spark.createDataFrame(several, schema)

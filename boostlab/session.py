@@ -23,6 +23,7 @@ def local_session(cores: int | str = "*", app: str = "boostlab", memory: str = "
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.scheduler.mode", "FAIR")
+        .config("spark.python.unix.domain.socket.enabled", "true")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
