@@ -24,7 +24,7 @@ def _probs(max_bins: int) -> list[float]:
 
 def edge_table(df: DataFrame, features: Sequence[str], max_bins: int) -> DataFrame:
     """Exact edges as rows ``(feature, edge)``: one row per distinct edge."""
-    ranged = add_ranges(df.select(*[F.col(f).cast("double").alias(f) for f in features]), features)
+    ranged, n_rows = add_ranges(df.select(*[F.col(f).cast("double").alias(f) for f in features]), features)
     parts = ", ".join(f"'{f}', {f}, {f}_range" for f in features)
     counted = (
         ranged.select(F.expr(f"stack({len(features)}, {parts}) as (feature, value, cut)"))
@@ -32,7 +32,7 @@ def edge_table(df: DataFrame, features: Sequence[str], max_bins: int) -> DataFra
         .agg(F.count("*").alias("n"))
     )
     ranked = running_sums(counted, "value", "cut", ["n"], ["feature"])
-    totals = df.select(F.count("*")).scalar()
+    totals = F.lit(n_rows).cast("bigint")
     # Quantile k sits on the value whose rank span covers ceil(k / bins * n).
     first = int_div(F.col("n_before") * max_bins, totals)
     last = F.least(

@@ -31,13 +31,14 @@ class BoostParams:
     seed: int = 42
 
 
-def written_blocks(df: DataFrame, row_id: str, label: str, edges: Edges, path: str) -> DataFrame:
-    """Blocks of the training rows, stored in the shared folder and cached.
+def stored_blocks(df: DataFrame, row_id: str, label: str, edges: Edges, path: str) -> DataFrame:
+    """Blocks of the training rows, read from their copy in the shared folder.
 
-    Every pass reads the stored copy or the cache, never the source again.
+    Passes over the blocks, and the work of a lost executor, start from that copy
+    and never from the source.
     """
     make_blocks(df, row_id, label, edges).write.parquet(path)
-    return cached(df.sparkSession.read.parquet(path))
+    return df.sparkSession.read.parquet(path)
 
 
 def edges_of(df: DataFrame, features: Sequence[str], max_bins: int, exact: bool) -> Edges:
@@ -56,7 +57,8 @@ def boost(
         policy=params.growth, max_depth=params.max_depth, num_leaves=params.num_leaves,
         l2=params.l2, min_child=params.min_child, shrink=params.learning_rate,
     )
-    blocks = written_blocks(df, row_id, label, edges, f"{home}/0")
+    # Boosting uses every row every round, so row ids are not carried along.
+    blocks = cached(stored_blocks(df, row_id, label, edges, f"{home}/0").drop("ids"))
     trees, stale = [], []
     try:
         for round_ in range(params.rounds):

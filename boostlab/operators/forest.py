@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from boostlab.functions.scalars import decide
 from boostlab.operators.binning import Edges
-from boostlab.operators.boosting import edges_of, written_blocks
+from boostlab.operators.boosting import edges_of, stored_blocks
 from boostlab.operators.ensemble import soft_vote
-from boostlab.operators.grow import Growth, grow_trees
+from boostlab.operators.grow import Growth, cached, grow_trees
 from boostlab.operators.model import TreeModel, score
 from boostlab.session import drop_dir, run_dir
 
@@ -46,8 +46,8 @@ def forest_data(
     spark = df.sparkSession
     home = run_dir(spark, "forest")
     edges = edges or edges_of(df, features, max_bins, exact=False)
-    blocks = written_blocks(df, row_id, label, edges, f"{home}/0")
-    positive = df.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    blocks = cached(stored_blocks(df, row_id, label, edges, f"{home}/0"))
+    positive = blocks.agg(F.sum("n_pos") / F.sum("n")).first()[0]
     return ForestData(blocks, edges, positive, home)
 
 

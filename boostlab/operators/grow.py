@@ -20,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boostlab.operators.binning import Edges
-from boostlab.operators.histogram import feature_splits, shared_splits
 from boostlab.operators.model import Tree, route, to_bins
 
-BLOCK = "n int, ids binary, label binary, bins binary, margin binary"
-CELLS = "tree int, node int, feature int, bin int, g double, h double"
+BLOCK = "n int, n_pos int, ids binary, label binary, bins binary, margin binary"
+SUMS = "tree int, node int, feature int, g binary, h binary"
+CUTS = (
+    "tree int, node int, feature int, bin int, gain double, gl double, hl double, "
+    "gt double, ht double"
+)
 # Histogram cells a task may hold at once; more open nodes take several jobs.
 MAX_CELLS = 4_000_000
 
@@ -70,6 +73,7 @@ def make_blocks(df: DataFrame, row_id: str, label: str, edges: Edges) -> DataFra
             bins = to_bins(values, cuts)
             yield pa.RecordBatch.from_pydict({
                 "n": pa.array([len(ids)], pa.int32()),
+                "n_pos": pa.array([int(label.sum())], pa.int32()),
                 "ids": [ids.astype(np.int64).tobytes()],
                 "label": [label.astype(np.int8).tobytes()],
                 "bins": [bins.tobytes()],
@@ -84,18 +88,20 @@ def make_blocks(df: DataFrame, row_id: str, label: str, edges: Edges) -> DataFra
 
 
 def _unpack(batch: pa.RecordBatch, n_features: int, wide: bool):
-    """The blocks of a batch as arrays: ids, label, bins, margin."""
+    """The blocks of a batch as arrays: ids (None where dropped), label, bins, margin."""
+    kinds = {"ids": np.int64, "label": np.int8, "bins": np.uint16 if wide else np.uint8,
+             "margin": np.float64}
+    present = [c for c in kinds if c in batch.schema.names]
     for i in range(batch.num_rows):
-        n = batch["n"][i].as_py()
-        buffers = [batch[c][i].as_buffer() for c in ("ids", "label", "bins", "margin")]
-        kinds = (np.int64, np.int8, np.uint16 if wide else np.uint8, np.float64)
-        ids, label, bins, margin = (np.frombuffer(b, k) for b, k in zip(buffers, kinds))
-        yield ids, label, bins.reshape(n_features, n), margin
+        block = {c: np.frombuffer(batch[c][i].as_buffer(), kinds[c]) for c in present}
+        yield (block.get("ids"), block["label"], block["bins"].reshape(n_features, -1),
+               block["margin"])
 
 
 def add_margin(blocks: DataFrame, tree: Tree, edges: Edges) -> DataFrame:
     """Blocks with the values of a tree added to their margins."""
     n_features, wide = len(edges), _is_wide(edges)
+    kept = [c for c in blocks.columns if c != "margin"]
 
     def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = np.asarray(tree.value)
@@ -105,11 +111,11 @@ def add_margin(blocks: DataFrame, tree: Tree, edges: Edges) -> DataFrame:
                 for _, _, bins, margin in _unpack(batch, n_features, wide)
             ]
             yield pa.RecordBatch.from_arrays(
-                [*(batch[c] for c in ("n", "ids", "label", "bins")), pa.array(margins, pa.binary())],
-                names=["n", "ids", "label", "bins", "margin"],
+                [*(batch[c] for c in kept), pa.array(margins, pa.binary())],
+                names=[*kept, "margin"],
             )
 
-    return blocks.mapInArrow(update, BLOCK)
+    return blocks.select(*kept, "margin").mapInArrow(update, blocks.select(*kept, "margin").schema)
 
 
 def _is_wide(edges: Edges) -> bool:
@@ -153,11 +159,11 @@ def offered_features(growth: Growth, seed: int, node: int, n_features: int) -> n
     return mask
 
 
-def level_cells(
+def level_sums(
     blocks: DataFrame, edges: Edges, growth: Growth, trees: dict[int, Tree],
-    seeds: dict[int, int], open_nodes: dict[int, list[int]], dense: bool,
+    seeds: dict[int, int], open_nodes: dict[int, list[int]],
 ) -> DataFrame:
-    """Histogram cells of the open nodes, one set per task."""
+    """Histograms of the open nodes, one set per task: sums per bin as arrays of doubles."""
     n_features, wide = len(edges), _is_wide(edges)
     n_bins = 1 + max((len(c) for c in edges.values()), default=0)
     masks = {
@@ -195,24 +201,82 @@ def level_cells(
                         cells[1, f] += np.bincount(key, weights=h, minlength=size)
         for t, nodes in open_nodes.items():
             grid = sums[t].reshape(2, n_features, len(nodes), n_bins)
-            keep = masks[t].T[:, :, None] & (np.ones(grid.shape[1:], bool) if dense else grid[1] > 0)
-            f, s, b = np.nonzero(keep)
+            f, k = np.nonzero(masks[t].T)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(f), t), pa.int32()),
-                    pa.array(np.asarray(nodes)[s], pa.int32()),
+                    pa.array(np.asarray(nodes)[k], pa.int32()),
                     pa.array(f, pa.int32()),
-                    pa.array(b, pa.int32()),
-                    pa.array(grid[0][keep]),
-                    pa.array(grid[1][keep]),
+                    *(pa.array([side[i, j].tobytes() for i, j in zip(f, k)], pa.binary())
+                      for side in grid),
                 ],
-                names=["tree", "node", "feature", "bin", "g", "h"],
+                names=["tree", "node", "feature", "g", "h"],
             )
 
     # A histogram is as large for a small task as for a big one, so tasks are kept
     # few: a fixed number per core, each over many cached partitions.
     tasks = 2 * blocks.sparkSession.sparkContext.defaultParallelism
-    return blocks.coalesce(tasks).mapInArrow(add_up, CELLS)
+    drawn = growth.bootstrap or growth.row_share < 1.0
+    needed = ["label", "bins", "margin", *(["ids"] if drawn else [])]
+    return blocks.select(*needed).coalesce(tasks).mapInArrow(add_up, SUMS)
+
+
+def best_cuts(partial: DataFrame, growth: Growth) -> DataFrame:
+    """The best cut of every (tree, node, feature): one shuffle of the tasks' histograms.
+
+    Symmetric growth adds the gains of all open nodes first, so there the cut is the
+    same for all nodes of a (tree, feature). Gains are whole multiples of 1e-9, and
+    the lowest of equal bins wins, whatever the order of tasks.
+    """
+    shared = growth.policy == "symmetric"
+    names = [c.split()[0] for c in CUTS.split(", ")]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int, int], np.ndarray] = {}
+        for batch in batches:
+            keys = zip(*(batch[c].to_pylist() for c in ("tree", "node", "feature")))
+            for key, g, h in zip(keys, batch["g"], batch["h"]):
+                both = np.stack([np.frombuffer(side.as_buffer()) for side in (g, h)])
+                sums[key] = sums[key] + both if key in sums else both
+        groups: dict[tuple[int, ...], list] = {}
+        for tree, node, feature in sorted(sums):
+            group = (tree, feature) if shared else (tree, feature, node)
+            groups.setdefault(group, []).append((node, sums[tree, node, feature]))
+        rows = []
+        for (tree, feature, *_), entries in groups.items():
+            nodes = [node for node, _ in entries]
+            gl, hl = np.cumsum(np.stack([cells for _, cells in entries], axis=1), axis=2)
+            rows += _cut_rows(tree, feature, nodes, gl, hl, growth, shared)
+        columns = zip(*rows) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int32() if i < 4 else pa.float64()) for i, c in enumerate(columns)],
+            names=names,
+        )
+
+    keys = ["tree", "feature"] if shared else ["tree", "node", "feature"]
+    return partial.repartition(*keys).mapInArrow(choose, CUTS)
+
+
+def _cut_rows(tree, feature, nodes, gl, hl, growth: Growth, shared: bool) -> list[tuple]:
+    """Best cut rows of nodes that are decided together; ``gl, hl[node, bin]`` run on."""
+    gt, ht = gl[:, -1:], hl[:, -1:]
+
+    def term(g, h):
+        full = h + growth.l2
+        return np.divide(g * g, full, out=np.zeros_like(g), where=full > 0)
+
+    gain = 0.5 * (term(gl, hl) + term(gt - gl, ht - hl) - term(gt, ht))
+    if shared:
+        gain = np.broadcast_to(gain.sum(axis=0), gain.shape)
+    else:
+        least = np.maximum(growth.min_child, ht * 1e-9)
+        gain = np.where((hl >= least) & (ht - hl >= least), gain, -1.0)
+    gain = np.rint(gain * 1e9) / 1e9
+    bins = gain.argmax(axis=1)
+    return [
+        (tree, n, feature, int(b), gain[i, b], gl[i, b], hl[i, b], gt[i, 0], ht[i, 0])
+        for i, (n, b) in enumerate(zip(nodes, bins))
+    ]
 
 
 def _in_jobs(open_nodes: dict[int, list[int]], per_node: int) -> Iterator[dict[int, list[int]]]:
@@ -244,44 +308,19 @@ def level_splits(blocks: DataFrame, edges: Edges, growth: Growth, seeds: dict[in
         portions = [open_nodes] if symmetric else _in_jobs(open_nodes, len(edges) * n_bins)
         found: dict[tuple[int, int], Split] = {}
         for portion in portions:
-            cells = level_cells(blocks, edges, growth, trees, seeds, portion, dense=symmetric)
-            if symmetric:
-                found.update(_shared(shared_splits(cells, growth.l2).collect()))
-            else:
-                # One row per open node and feature, fewer than MAX_CELLS / bins.
-                rows = feature_splits(cells, growth.l2, growth.min_child).collect()
-                found.update(_winners(rows))
+            partial = level_sums(blocks, edges, growth, trees, seeds, portion)
+            # One row per open node and feature, at most MAX_CELLS / bins.
+            rows = best_cuts(partial, growth).collect()
+            for r in sorted(rows, key=lambda r: r["feature"]):
+                key = (r["tree"], r["node"])
+                if key not in found or r["gain"] > found[key].gain:
+                    found[key] = Split(r["gain"], r["feature"], r["bin"], r["gl"], r["hl"],
+                                       r["gt"], r["ht"])
         return found
 
     return find
 
 
-def _winners(rows: list) -> dict[tuple[int, int], Split]:
-    """The best feature of every node; one without any allowed cut has gain -1."""
-    found: dict[tuple[int, int], Split] = {}
-    for r in sorted(rows, key=lambda r: r["feature"]):
-        key, cut = (r["tree"], r["node"]), r["cut"]
-        if cut is None:
-            found.setdefault(key, Split(-1.0, -1, 0, 0.0, 0.0, r["gt"], r["ht"]))
-        elif key not in found or cut["gain"] > found[key].gain:
-            found[key] = Split(cut["gain"], r["feature"], -cut["low"], cut["gl"], cut["hl"],
-                               r["gt"], r["ht"])
-    return found
-
-
-def _shared(rows: list) -> dict[tuple[int, int], Split]:
-    """The best shared cut of every tree, as a split of each of its open nodes."""
-    best: dict[int, object] = {}
-    for r in sorted(rows, key=lambda r: r["feature"]):
-        if r["tree"] not in best or r["cut"]["gain"] > best[r["tree"]]["cut"]["gain"]:
-            best[r["tree"]] = r
-    return {
-        (t, s["node"]): Split(r["cut"]["gain"], r["feature"], -r["cut"]["low"],
-                              s["gl"], s["hl"], s["gt"], s["ht"])
-        for t, r in best.items() for s in r["sides"]
-    }
-
-
 def _chosen(tree: Tree, splits: dict[int, Split], limit: int) -> list[int]:
     """Nodes to split, best gain first, until the tree has ``limit`` leaves."""
     heap = [(-splits[0].gain, 0)] if 0 in splits else []

@@ -24,14 +24,13 @@ def histogram(df: DataFrame) -> DataFrame:
     )
 
 
-def _gains_sql(l2: float, keys: str) -> str:
-    """Sums left of every cut and the loss the cut saves, by the second-order formula.
+def split_gains(cells: DataFrame, l2: float) -> DataFrame:
+    """Every cut of every (tree, node, feature): sums left of it, totals, and its gain.
 
-    Partial cells are shuffled once, by ``keys``; final sums, running sums and
-    winners all keep that partitioning. A (tree, node, feature) group has one row
-    per bin, so its window is small. Gains are whole multiples of 1e-9: sums of
-    doubles differ in their last digits with the order of tasks, and equal splits
-    must tie.
+    The gain is the loss the cut saves by the second-order formula, in whole
+    multiples of 1e-9: sums of doubles differ in their last digits with the order of
+    tasks, and equal splits must tie. A group has one row per bin, so its window is
+    small.
     """
 
     def term(g: str, h: str) -> str:
@@ -39,65 +38,26 @@ def _gains_sql(l2: float, keys: str) -> str:
         return f"coalesce(try_divide(({g}) * ({g}), {h} + {float(l2)!r}D), 0D)"
 
     gain = f"{term('gl', 'hl')} + {term('gt - gl', 'ht - hl')} - {term('gt', 'ht')}"
-    return f"""
-      with summed as (
-        select tree, node, feature, bin, sum(g) as g, sum(h) as h
-        from (select /*+ repartition({keys}) */ * from {{cells}})
-        group by tree, node, feature, bin),
-      sides as (
-        select tree, node, feature, bin, sum(g) over upto as gl, sum(h) over upto as hl,
-               sum(g) over every as gt, sum(h) over every as ht
-        from summed
-        window upto as (partition by tree, node, feature order by bin rows unbounded preceding),
-               every as (partition by tree, node, feature)),
-      gains as (select *, rint(0.5D * ({gain}) * 1e9D) / 1e9D as gain from sides)"""
-
-
-def split_gains(cells: DataFrame, l2: float) -> DataFrame:
-    """Every cut of every (tree, node, feature) with its side sums and gain."""
-    sql = _gains_sql(l2, "tree, node, feature") + " select * from gains"
-    return cells.sparkSession.sql(sql, cells=cells)
+    upto = "over (partition by tree, node, feature order by bin rows unbounded preceding)"
+    every = "over (partition by tree, node, feature)"
+    return cells.selectExpr(
+        "tree", "node", "feature", "bin", f"sum(g) {upto} as gl", f"sum(h) {upto} as hl",
+        f"sum(g) {every} as gt", f"sum(h) {every} as ht",
+    ).selectExpr("*", f"rint(0.5D * ({gain}) * 1e9D) / 1e9D as gain")
 
 
-def feature_splits(cells: DataFrame, l2: float, min_child: float) -> DataFrame:
-    """Per (tree, node, feature): the cut of most gain, then least bin.
+def best_splits(cells: DataFrame, l2: float, min_child: float) -> DataFrame:
+    """Per (tree, node): the split of most gain, then least feature, then least bin.
 
-    The cut's fields are null where none leaves both sides ``min_child`` hessian.
+    Its fields are null where no cut leaves both sides ``min_child`` hessian.
     """
     least = f"greatest({float(min_child)!r}D, ht * 1e-9D)"
-    sql = f"""{_gains_sql(l2, "tree, node, feature")}
-      select tree, node, feature, max(gt) as gt, max(ht) as ht,
-             max(if(hl >= {least} and ht - hl >= {least}, struct(gain, -bin as low, gl, hl), null))
-               as cut
-      from gains group by tree, node, feature"""
-    return cells.sparkSession.sql(sql, cells=cells)
-
-
-def best_splits(cells: DataFrame, l2: float, min_child: float) -> DataFrame:
-    """Per (tree, node): the split of most gain, then least feature, then least bin."""
-    splits = feature_splits(cells, l2, min_child)
-    order = F.expr("struct(cut.gain, -feature as feature, cut.low, cut.gl, cut.hl)")
-    return splits.groupBy("tree", "node").agg(
-        F.max(F.when(F.col("cut").isNotNull(), order)).alias("best"),
-        F.max("gt").alias("gt"), F.max("ht").alias("ht"),
-    ).selectExpr(
-        "tree", "node", "best.gain", "-best.feature as feature", "-best.low as bin",
-        "best.gl", "best.hl", "gt", "ht",
+    ranked = "struct(gain, -feature as feature, -bin as bin, gl, hl)"
+    best = f"max(if(hl >= {least} and ht - hl >= {least}, {ranked}, null)) as best"
+    return (
+        split_gains(cells, l2)
+        .groupBy("tree", "node")
+        .agg(F.expr(best), F.max("gt").alias("gt"), F.max("ht").alias("ht"))
+        .selectExpr("tree", "node", "best.gain", "-best.feature as feature",
+                    "-best.bin as bin", "best.gl", "best.hl", "gt", "ht")
     )
-
-
-def shared_splits(cells: DataFrame, l2: float) -> DataFrame:
-    """Per (tree, feature): the cut whose gains, added over all open nodes, are most.
-
-    ``cells`` must hold every bin of every open node. ``sides`` lists the side sums
-    of each open node, at most one entry per node of a level.
-    """
-    sql = f"""{_gains_sql(l2, "tree, feature")},
-      shared as (
-        select tree, feature, bin, rint(sum(gain) * 1e9D) / 1e9D as gain,
-               collect_list(struct(node, gl, hl, gt, ht)) as sides
-        from gains group by tree, feature, bin)
-      select tree, feature, max(struct(gain, -bin as low)) as cut,
-             max_by(sides, struct(gain, -bin as low)) as sides
-      from shared group by tree, feature"""
-    return cells.sparkSession.sql(sql, cells=cells)

@@ -22,29 +22,26 @@ def range_count(df: DataFrame) -> int:
     return max(16, min(4096, 4 * partitions))
 
 
-def range_bounds(df: DataFrame, columns: Sequence[str], ranges: int) -> list[list[float]]:
-    """Approximate cut points per column, from one pass with mergeable sketches.
+def add_ranges(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, int]:
+    """Add ``<column>_range``, the range number, for every given column; also count the rows.
 
-    A value holding a large share of the rows repeats among the quantiles and
-    is kept once.
+    Cut points come from one pass with mergeable quantile sketches. A value holding
+    a large share of the rows repeats among the quantiles and is kept once.
     """
+    ranges = range_count(df)
     probs = [i / ranges for i in range(1, ranges)]
     row = df.agg(
-        *[F.percentile_approx(F.col(c), probs, ACCURACY).alias(c) for c in columns]
+        F.count("*").alias("_rows"),
+        *[F.percentile_approx(F.col(c), probs, ACCURACY).alias(c) for c in columns],
     ).first()
-    return [sorted(set(row[c] or [])) for c in columns]
-
-
-def add_ranges(df: DataFrame, columns: Sequence[str], suffix: str = "_range") -> DataFrame:
-    """Add the range number of every given column."""
-    bounds = range_bounds(df, columns, range_count(df))
     infinite = float("inf")
-    splits = [[-infinite, *b, infinite] if b else [-infinite, 0.0, infinite] for b in bounds]
-    return Bucketizer(
+    bounds = [sorted(set(row[c] or [0.0]) - {infinite, -infinite}) for c in columns]
+    ranged = Bucketizer(
         inputCols=list(columns),
-        outputCols=[f"{c}{suffix}" for c in columns],
-        splitsArray=splits,
+        outputCols=[f"{c}_range" for c in columns],
+        splitsArray=[[-infinite, *(b or [0.0]), infinite] for b in bounds],
     ).transform(df)
+    return ranged, row["_rows"]
 
 
 def running_sums(

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -47,6 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once and kept in the shared folder.
+
+    What reads them again neither repeats the work before nor depends on an
+    executor that held them.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def run_dir(spark: SparkSession, purpose: str) -> str:
     """A folder under the shared one that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

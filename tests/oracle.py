@@ -29,7 +29,7 @@ def _plain(value):
     if value is None or value is pd.NaT:
         return None
     if isinstance(value, float):
-        return None if math.isnan(value) else repr(value + 0.0)
+        return None if math.isnan(value) else repr(value)
     return str(value)
 
 
