@@ -37,14 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may go without the setting; it then gets a temporary
     folder, since driver and executors are one process there.
     """
-    path = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    path = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="boostlab-")
-    spark.conf.set(CHECKPOINT_CONF, path)
-    return path
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="boostlab-"))
+    return context.getCheckpointDir()
 
 
 def settled(df: DataFrame) -> DataFrame:
