@@ -30,6 +30,7 @@ CUTS = (
 )
 # Histogram cells a task may hold at once; more open nodes take several jobs.
 MAX_CELLS = 4_000_000
+SUM_TASK_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -213,16 +214,25 @@ def level_sums(
                 names=["tree", "node", "feature", "g", "h"],
             )
 
-    # A histogram is as large for a small task as for a big one, so tasks are kept
-    # few: a fixed number per core, each over many cached partitions.
-    tasks = 2 * blocks.sparkSession.sparkContext.defaultParallelism
     drawn = growth.bootstrap or growth.row_share < 1.0
     needed = ["label", "bins", "margin", *(["ids"] if drawn else [])]
-    return blocks.select(*needed).coalesce(tasks).mapInArrow(add_up, SUMS)
+    return blocks.select(*needed).coalesce(_map_tasks(blocks)).mapInArrow(add_up, SUMS)
 
 
-def best_cuts(partial: DataFrame, growth: Growth) -> DataFrame:
-    """The best cut of every (tree, node, feature): one shuffle of the tasks' histograms.
+def _map_tasks(blocks: DataFrame) -> int:
+    """A histogram is as large for a small task as for a big one, so tasks are kept
+    few: a fixed number per core, each over many cached partitions."""
+    return 2 * blocks.sparkSession.sparkContext.defaultParallelism
+
+
+def _sum_tasks(blocks: DataFrame, n_groups: int, n_bins: int) -> int:
+    """Tasks to sum the histograms of all map tasks, some megabytes each."""
+    volume = 16 * n_bins * n_groups * _map_tasks(blocks)
+    return max(1, min(n_groups, volume // SUM_TASK_BYTES))
+
+
+def best_cuts(partial: DataFrame, growth: Growth, tasks: int) -> DataFrame:
+    """The best cut of every (tree, node, feature): one shuffle of the histograms to ``tasks``.
 
     Symmetric growth adds the gains of all open nodes first, so there the cut is the
     same for all nodes of a (tree, feature). Gains are whole multiples of 1e-9, and
@@ -254,7 +264,7 @@ def best_cuts(partial: DataFrame, growth: Growth) -> DataFrame:
         )
 
     keys = ["tree", "feature"] if shared else ["tree", "node", "feature"]
-    return partial.repartition(*keys).mapInArrow(choose, CUTS)
+    return partial.repartition(tasks, *keys).mapInArrow(choose, CUTS)
 
 
 def _cut_rows(tree, feature, nodes, gl, hl, growth: Growth, shared: bool) -> list[tuple]:
@@ -309,8 +319,10 @@ def level_splits(blocks: DataFrame, edges: Edges, growth: Growth, seeds: dict[in
         found: dict[tuple[int, int], Split] = {}
         for portion in portions:
             partial = level_sums(blocks, edges, growth, trees, seeds, portion)
+            groups = len(edges) * (1 if symmetric else sum(map(len, portion.values())))
+            tasks = _sum_tasks(blocks, groups, n_bins)
             # One row per open node and feature, at most MAX_CELLS / bins.
-            rows = best_cuts(partial, growth).collect()
+            rows = best_cuts(partial, growth, tasks).collect()
             for r in sorted(rows, key=lambda r: r["feature"]):
                 key = (r["tree"], r["node"])
                 if key not in found or r["gain"] > found[key].gain:

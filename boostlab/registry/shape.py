@@ -8,6 +8,7 @@ from boostlab.functions import scalars
 from boostlab.operators import binning, shaping
 from boostlab.registry.base import query
 from boostlab.registry.sqlparts import ORDER_FEATURES, SIZES, ordered_edges, uniform, word
+from boostlab.session import settled
 from boostlab.sources import relations
 
 FEATURES = relations.ORDER_FEATURES
@@ -81,12 +82,13 @@ def q_chunk_census(spark, sf_dir):
 
 @query("quantile_edges", f"WITH {ORDER_FEATURES}, edges AS ({EDGES_SQL}) SELECT * FROM edges")
 def q_quantile_edges(spark, sf_dir):
-    return binning.edge_table(relations.order_features(spark, sf_dir), FEATURES, BINS)
+    train = settled(relations.order_features(spark, sf_dir).select(*FEATURES))
+    return binning.edge_table(train, FEATURES, BINS)
 
 
 @query("bin_features", f"WITH {BINNED_SQL} SELECT row_id, feature, bin FROM binned")
 def q_bin_features(spark, sf_dir):
-    train = relations.order_features(spark, sf_dir)
+    train = settled(relations.order_features(spark, sf_dir))
     edges = binning.exact_edges(train, FEATURES, BINS)
     return binning.bin_rows(binning.bin_features(train, edges))
 
@@ -123,7 +125,7 @@ def q_partition_census(spark, sf_dir):
          lower(substr(o_orderpriority, 3)) || '_' || CASE o_orderstatus WHEN 'F' THEN 'cpu' ELSE '1gpu' END
            AS name FROM orders)
 SELECT o_orderkey, split_part(name, '_', 1) AS lib, contains(name, 'cpu') AS is_cpu,
-       round(o_totalprice / 7000, 2) AS r2, (2 ** depth)::INT AS leaves, depth + 1 AS xgb_depth,
+       round(o_totalprice / 7001, 2) AS r2, (2 ** depth)::INT AS leaves, depth + 1 AS xgb_depth,
        depth + 5 AS lgb_depth, o_orderkey // nullif(depth, 0) AS per_depth,
        greatest(o_orderkey // 8, 10000) AS chunk,
        CASE WHEN o_totalprice / 3000 > 80 THEN 'Excellent scaling'
@@ -150,7 +152,7 @@ def q_scalar_suite(spark, sf_dir):
         "o_orderkey",
         scalars.library(name).alias("lib"),
         scalars.is_cpu(name).alias("is_cpu"),
-        F.round(price / 7000, 2).alias("r2"),
+        F.round(price / 7001, 2).alias("r2"),
         scalars.leaves_of_depth(depth).alias("leaves"),
         (depth + 1).alias("xgb_depth"),
         (depth + 5).alias("lgb_depth"),

@@ -11,6 +11,7 @@ from boostlab.plans import reports, sweep
 from boostlab.registry.base import query
 from boostlab.registry.shape import BINNED_SQL, BINS, FEATURES
 from boostlab.registry.treesql import NODES, boost_sql
+from boostlab.session import settled
 from boostlab.sources import relations
 
 ETA = 0.3
@@ -20,9 +21,14 @@ def _params(**settings) -> BoostParams:
     return BoostParams(learning_rate=ETA, max_bins=BINS, exact_bins=True, **settings)
 
 
+def _rows(spark, sf_dir):
+    """The training rows, made once: edges, fits and scoring all read them again."""
+    return settled(relations.order_features(spark, sf_dir))
+
+
 def _fitted(spark, sf_dir, **settings):
-    """The training rows, read once, and a model of them."""
-    train = relations.order_features(spark, sf_dir)
+    """The training rows and a model of them."""
+    train = _rows(spark, sf_dir)
     return train, boost(train, FEATURES, _params(**settings))
 
 
@@ -41,7 +47,7 @@ cells AS (
 
 def _graded(spark, sf_dir):
     """Rows in four nodes, with gradients at a margin that varies by row."""
-    train = relations.order_features(spark, sf_dir)
+    train = _rows(spark, sf_dir)
     edges = binning.exact_edges(train, FEATURES, BINS)
     g, h = histogram.gradients(F.col("label"), (F.col("f1") - 90.0) / 50.0)
     return binning.bin_features(train, edges).select(
@@ -145,7 +151,7 @@ def q_best_round(spark, sf_dir):
 
 def _halves(spark, sf_dir):
     """Training and test rows of the order features, by hash."""
-    split = shaping.split_hash(relations.order_features(spark, sf_dir), "row_id", 0.2)
+    split = shaping.split_hash(_rows(spark, sf_dir), "row_id", 0.2)
     return (split.filter(~F.col("is_test")).drop("is_test"),
             split.filter("is_test").drop("is_test"))
 
@@ -251,13 +257,10 @@ def q_forest_compare(spark, sf_dir):
 @query("concurrent_fits")
 def q_concurrent_fits(spark, sf_dir):
     """Four equal fits at the same time: trees of each, which must agree."""
-    train = relations.order_features(spark, sf_dir).persist()
-    try:
-        fits = forest.side_by_side(
-            spark, [lambda: boost(train, FEATURES, _params(rounds=2, max_depth=2))] * 4
-        )
-    finally:
-        train.unpersist()
+    train = _rows(spark, sf_dir)
+    fits = forest.side_by_side(
+        spark, [lambda: boost(train, FEATURES, _params(rounds=2, max_depth=2))] * 4
+    )
     rows = [(i, len(m.trees), float(sum(map(sum, (t.value for t in m.trees)))))
             for i, m in enumerate(fits)]
     return spark.createDataFrame(rows, "fit int, trees int, leaf_sum double")

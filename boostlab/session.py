@@ -48,20 +48,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the shared folder.
+    """The rows of ``df``, computed once and kept as a table in the shared folder.
 
     What reads them again neither repeats the work before nor depends on an
     executor that held them.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    path = run_dir(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/boostlab-{spark.sparkContext.applicationId}"
 
 
 def run_dir(spark: SparkSession, purpose: str) -> str:
     """A folder under the shared one that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{_home(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
@@ -69,3 +72,8 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_run_dirs(spark: SparkSession) -> None:
+    """Delete every folder of this application; call it when its results are used up."""
+    drop_dir(spark, _home(spark))

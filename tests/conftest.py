@@ -6,14 +6,16 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
 
-from boostlab.session import local_session  # noqa: E402
+from boostlab.session import drop_run_dirs, local_session  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, "boostlab-tests", "8g")
+    made = local_session(8, "boostlab-tests", "8g")
+    yield made
+    drop_run_dirs(made)
 
 
 @pytest.fixture(scope="session")
