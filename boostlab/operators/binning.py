@@ -14,14 +14,11 @@ from pyspark.sql import functions as F
 
 from boostlab.functions.scalars import int_div
 from boostlab.operators.ordered import add_ranges, running_sums
+from boostlab.operators.quantiles import quantiles
 
 Edges = dict[str, list[float]]
 
 
-def _probs(max_bins: int) -> list[float]:
-    return [k / max_bins for k in range(1, max_bins)]
-
-
 def edge_table(df: DataFrame, features: Sequence[str], max_bins: int) -> DataFrame:
     """Exact edges as rows ``(feature, edge)``: one row per distinct edge."""
     ranged, n_rows = add_ranges(df.select(*[F.col(f).cast("double").alias(f) for f in features]), features)
@@ -49,12 +46,8 @@ def exact_edges(df: DataFrame, features: Sequence[str], max_bins: int) -> Edges:
 
 
 def approx_edges(df: DataFrame, features: Sequence[str], max_bins: int) -> Edges:
-    """Edges from one pass of mergeable quantile sketches, for very large tables."""
-    row = df.agg(
-        *[F.percentile_approx(F.col(f).cast("double"), _probs(max_bins), 10000).alias(f)
-          for f in features]
-    ).first()
-    return {f: sorted(set(row[f] or [])) for f in features}
+    """Edges from one pass of quantile summaries, for very large tables."""
+    return quantiles(df, features, [k / max_bins for k in range(1, max_bins)])[0]
 
 
 def bin_of(value: Column, cuts: Sequence[float]) -> Column:

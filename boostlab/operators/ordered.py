@@ -13,8 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10000
-
+from boostlab.operators.quantiles import quantiles
 
 def range_count(df: DataFrame) -> int:
     """Ranges to cut a table into: several per shuffle partition, but bounded."""
@@ -25,23 +24,19 @@ def range_count(df: DataFrame) -> int:
 def add_ranges(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, int]:
     """Add ``<column>_range``, the range number, for every given column; also count the rows.
 
-    Cut points come from one pass with mergeable quantile sketches. A value holding
-    a large share of the rows repeats among the quantiles and is kept once.
+    Cut points are approximate quantiles. A value holding a large share of the rows
+    repeats among them and is kept once.
     """
     ranges = range_count(df)
-    probs = [i / ranges for i in range(1, ranges)]
-    row = df.agg(
-        F.count("*").alias("_rows"),
-        *[F.percentile_approx(F.col(c), probs, ACCURACY).alias(c) for c in columns],
-    ).first()
+    bounds, n_rows = quantiles(df, columns, [i / ranges for i in range(1, ranges)])
     infinite = float("inf")
-    bounds = [sorted(set(row[c] or [0.0]) - {infinite, -infinite}) for c in columns]
+    inner = [[b for b in bounds[c] if -infinite < b < infinite] for c in columns]
     ranged = Bucketizer(
         inputCols=list(columns),
         outputCols=[f"{c}_range" for c in columns],
-        splitsArray=[[-infinite, *(b or [0.0]), infinite] for b in bounds],
+        splitsArray=[[-infinite, *(b or [0.0]), infinite] for b in inner],
     ).transform(df)
-    return ranged, row["_rows"]
+    return ranged, n_rows
 
 
 def running_sums(

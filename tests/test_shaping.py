@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boostlab.operators import shaping
+from boostlab.operators.quantiles import quantiles
 from boostlab.sources import generators
 
 
@@ -62,3 +63,24 @@ def test_generated_classes_are_balanced_and_flipped(spark):
 def test_generator_rejects_too_many_clusters(spark):
     with pytest.raises(ValueError):
         generators.gen_classification(generators.row_ids(spark, 5), 2, 1, 0)
+
+
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_quantiles_are_near_their_ranks(spark, partitions):
+    n = 200_000
+    hot = F.when(F.col("id") % 3 == 0, 7.0)  # a third of the rows on one value
+    skewed = hot.otherwise(F.exp(F.hash("id") / F.lit(2.0**28)))
+    df = spark.range(0, n, 1, partitions).select(skewed.alias("x"), F.lit(None).cast("double").alias("y"))
+    probs = [k / 64 for k in range(1, 64)]
+    found, count = quantiles(df, ["x", "y"], probs)
+    assert count == n and found["y"] == []
+    for value in found["x"]:
+        below = df.filter(F.col("x") < value).count() / n
+        upto = df.filter(F.col("x") <= value).count() / n
+        assert any(below - 0.004 <= p <= upto + 0.004 for p in probs)
+        assert below - 0.004 <= 63 / 64
+
+
+def test_quantiles_of_few_rows_are_exact(spark):
+    df = spark.createDataFrame([(float(i % 10),) for i in range(100)], "x double")
+    assert quantiles(df, ["x"], [0.1, 0.5, 0.55])[0]["x"] == [0.0, 4.0, 5.0]
