@@ -23,8 +23,14 @@ POINTS = 2048
 LANES = 32
 
 
-def compress(points: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def compress(points: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """At most ``POINTS`` evenly ranked points, sharing the weight of all."""
+    if weights is None:  # plain values, one each
+        points = np.sort(points)
+        if len(points) <= POINTS:
+            return points, np.ones(len(points))
+        ranks = ((np.arange(POINTS) + 0.5) / POINTS * len(points)).astype(np.int64)
+        return points[ranks], np.full(POINTS, len(points) / POINTS)
     order = np.argsort(points, kind="stable")
     points, weights = points[order], weights[order]
     if len(points) <= POINTS:
@@ -35,25 +41,37 @@ def compress(points: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class _Summary:
-    """Points and weights so far; compressed whenever enough have gathered."""
+    """Plain values and weighted points so far; compressed whenever enough have gathered."""
 
     def __init__(self) -> None:
+        self.values: list[np.ndarray] = []
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
+
+    def add_values(self, values: np.ndarray) -> None:
+        self.values.append(values)
+        if sum(map(len, self.values)) >= SORTED_AT_ONCE:
+            self._settle()
 
     def add(self, points: np.ndarray, weights: np.ndarray) -> None:
         self.parts.append((points, weights))
-        self.size += len(points)
-        if self.size >= SORTED_AT_ONCE:
-            self.parts = [self.total()]
-            self.size = len(self.parts[0][0])
+        if sum(len(p) for p, _ in self.parts) >= SORTED_AT_ONCE:
+            self.parts = [self._joined()]
 
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
+    def _settle(self) -> None:
+        if self.values:
+            values, self.values = np.concatenate(self.values), []
+            self.add(*compress(values, None))
+
+    def _joined(self) -> tuple[np.ndarray, np.ndarray]:
         return compress(*(np.concatenate(side) for side in zip(*self.parts)))
 
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        self._settle()
+        return self._joined()
+
 
 def _rows(summaries: dict[tuple[int, int], _Summary]) -> pa.RecordBatch:
-    keys = [k for k, s in summaries.items() if s.parts]
+    keys = list(summaries)
     totals = [summaries[k].total() for k in keys]
     return pa.RecordBatch.from_arrays(
         [
@@ -74,8 +92,7 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = column.to_numpy(zero_copy_only=False)
             values = values[~np.isnan(values)]
             if len(values):
-                summary = summaries.setdefault((f, lane), _Summary())
-                summary.add(values, np.ones(len(values)))
+                summaries.setdefault((f, lane), _Summary()).add_values(values)
     yield _rows(summaries)
 
 
