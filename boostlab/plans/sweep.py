@@ -119,8 +119,8 @@ class Trial:
 
 
 def fit_config(trial: Trial, config: str, iterations: int) -> TreeModel:
-    """Fit one configuration. The part after the library names a device in the
-    reference results; here every configuration runs on the session's cores."""
+    """Fit one configuration. The part after the library names a device in result
+    files; here every configuration runs on the session's cores."""
     lib, _, rest = config.partition("_")
     if lib == "rf":
         kind, deeper = FORESTS[rest]

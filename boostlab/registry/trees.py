@@ -168,8 +168,13 @@ def q_held_out_quality(spark, sf_dir):
     return held_out_quality(spark, sf_dir)
 
 
-def _quality(test_scored):
-    return metrics.evaluate(test_scored)
+@query("boost_wide")
+def q_boost_wide(spark, sf_dir):
+    """Leaf-wise boosting of all embedding elements, judged on the same rows."""
+    rows = settled(relations.wide_embeddings(spark, sf_dir))
+    features = [c for c in rows.columns if c.startswith("f")]
+    params = BoostParams(rounds=3, growth="leaf", num_leaves=8, max_depth=4, learning_rate=ETA)
+    return metrics.evaluate(model.score(rows, boost(rows, features, params)))
 
 
 @query("gbt_mllib")
@@ -194,7 +199,7 @@ def _mllib_forest(spark, sf_dir, **settings):
         fitted = mllib.forest(20, 5, **settings).fit(ready)
     finally:
         ready.unpersist()
-    return _quality(mllib.scored(mllib.assembled(test, FEATURES), fitted))
+    return metrics.evaluate(mllib.scored(mllib.assembled(test, FEATURES), fitted))
 
 
 @query("rf_mllib")
@@ -209,7 +214,7 @@ def _forest_quality(spark, sf_dir, kind, n_trees, depth):
         fitted = forest.fit_forest(data, kind, n_trees, depth)
     finally:
         data.close()
-    return _quality(model.score(test, fitted))
+    return metrics.evaluate(model.score(test, fitted))
 
 
 @query("rf_bootstrap")
@@ -236,7 +241,7 @@ def q_forest_model_parallel(spark, sf_dir):
         members = mllib.fit_members(ready, n_trees=22, members=4, max_depth=5)
     finally:
         ready.unpersist()
-    quality = _quality(mllib.score_members(mllib.assembled(test, FEATURES), members))
+    quality = metrics.evaluate(mllib.score_members(mllib.assembled(test, FEATURES), members))
     total = sum(m.getNumTrees for m in members)
     return quality.withColumn("total_trees", F.lit(total))
 
