@@ -152,20 +152,18 @@ def _window_rows(n: int, sizes: list[int], item: bool):
         import xxhash
 
         for frame in frames:
-            for own, body in zip(frame.iloc[:, 0], frame["text"]):
-                words = ALNUM_WORD.findall(lowered_bytes(body))
-                for size in ([min(n, len(words))] if item else sizes):
-                    if not size or size > len(words):
-                        continue
-                    found = [b" ".join(words[at:at + size])
-                             for at in range(len(words) - size + 1)]
-                    made = pd.DataFrame({
-                        "place": range(len(found)), "size": size,
-                        "hash": [xxhash.xxh3_64_intdigest(w) - 2**63 for w in found],
-                        "words": [w.decode("utf-8", "replace") for w in found],
-                    })
-                    made.insert(0, "own", own)
-                    yield made
+            for at in range(0, len(frame), 64):
+                part, rows = frame.iloc[at:at + 64], []
+                for own, body in zip(part.iloc[:, 0], part["text"]):
+                    words = ALNUM_WORD.findall(lowered_bytes(body))
+                    for size in ([min(n, len(words))] if item else sizes):
+                        if not size or size > len(words):
+                            continue
+                        for place in range(len(words) - size + 1):
+                            gram = b" ".join(words[place:place + size])
+                            rows.append((own, place, size, xxhash.xxh3_64_intdigest(gram) - 2**63,
+                                         gram.decode("utf-8", "replace")))
+                yield pd.DataFrame(rows, columns=["own", "place", "size", "hash", "words"])
 
     return cut
 

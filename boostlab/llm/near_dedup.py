@@ -230,8 +230,12 @@ def _first_pairs(classes: DataFrame) -> DataFrame:
 
 def _shingle_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for own, text in zip(frame["id"], frame["text"]):
-            yield pd.DataFrame({"rep": own, "shingle": shingles(text).astype(np.int64)})
+        for at in range(0, len(frame), 256):
+            part = frame.iloc[at:at + 256]
+            found = [shingles(text) for text in part["text"]]
+            yield pd.DataFrame({
+                "rep": np.repeat(part["id"].to_numpy(), [len(f) for f in found]),
+                "shingle": np.concatenate(found).view(np.int64)})
 
 
 def _rest_pairs(classes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame | None:

@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,8 @@ HOT = 2_000
 SHARD_BYTES = 1_000_000
 #: Longest stretch of one document worked on at a time.
 STRETCH = 4_000_000
+#: Segments handed over at a time.
+FLUSH_ROWS = 100_000
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -105,36 +108,54 @@ def segments_of(raw: bytes, length: int, gram: int) -> Iterator[tuple]:
         starts = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1))
         ends = np.append(starts[1:], len(anchor))
         chosen = anchor[starts]
-        yield hashes[chosen].astype(np.int64), starts + at, ends - starts, chosen - starts
+        yield hashes[chosen].view(np.int64), starts + at, ends - starts, chosen - starts
 
 
 def _segment_rows(length: int, gram: int):
     """Rows of segments per document. A string that comes again in the same document is one
     row with all its starts."""
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def document(raw: bytes, digest) -> tuple:
+        view = memoryview(raw)
+        parts = list(segments_of(raw, length, gram))
+        anchors, starts, windows, pivots = (np.concatenate(c) for c in zip(*parts))
+        ends = starts + windows + (length - 1)
+        strings = np.array([digest(view[s:e]) for s, e in zip(starts.tolist(), ends.tolist())],
+                           dtype=np.uint64).view(np.int64)
+        _, first, group, held = np.unique(
+            strings, return_index=True, return_inverse=True, return_counts=True)
+        return (anchors[first], strings[first], held, starts[np.argsort(group, kind="stable")],
+                windows[first], pivots[first])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
-        for frame in frames:
-            for own, raw in zip(frame["row"], frame["raw"]):
+        def flush() -> pa.RecordBatch:
+            anchors, strings, held, starts, windows, pivots = (
+                np.concatenate(c) for c in zip(*made))
+            bounds = np.concatenate(([0], np.cumsum(held)))
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(rows, sizes), pa.int64()), pa.array(anchors),
+                pa.array(strings),
+                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(starts)),
+                pa.array(windows, pa.int32()), pa.array(pivots, pa.int32())],
+                names=["row", "anchor", "string", "starts", "windows", "pivot"])
+
+        made, rows, sizes, size = [], [], [], 0
+        for batch in batches:
+            for own, raw in zip(batch["row"].to_pylist(), batch["raw"]):
+                raw = raw.as_py()
                 if len(raw) < length:
                     continue
-                view = memoryview(raw)
-                found: dict[tuple[int, int], list[int]] = {}
-                sizes: dict[tuple[int, int], tuple[int, int]] = {}
-                for anchors, starts, windows, pivots in segments_of(raw, length, gram):
-                    for a, s, w, p in zip(anchors.tolist(), starts.tolist(),
-                                          windows.tolist(), pivots.tolist()):
-                        key = (a, digest(view[s:s + w + length - 1]) - 2**63)
-                        found.setdefault(key, []).append(s)
-                        sizes[key] = (w, p)
-                yield pd.DataFrame({
-                    "row": own, "anchor": [k[0] for k in found],
-                    "string": [k[1] for k in found], "starts": list(found.values()),
-                    "windows": [sizes[k][0] for k in found],
-                    "pivot": [sizes[k][1] for k in found],
-                })
+                made.append(document(raw, xxhash.xxh3_64_intdigest))
+                rows.append(own)
+                sizes.append(len(made[-1][0]))
+                size += sizes[-1]
+                if size >= FLUSH_ROWS:
+                    yield flush()
+                    made, rows, sizes, size = [], [], [], 0
+        if made:
+            yield flush()
 
     return cut
 
@@ -147,11 +168,12 @@ def _fetch(length: int):
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for raw, wanted in zip(frame["raw"], frame["wanted"]):
+            for at in range(0, len(frame), 64):
+                part = frame.iloc[at:at + 64]
                 yield pd.DataFrame([
                     (w["anchor"], w["string"], 0, w["pivot"],
                      raw[w["start"]:w["start"] + w["windows"] + length - 1])
-                    for w in wanted
+                    for raw, wanted in zip(part["raw"], part["wanted"]) for w in wanted
                 ], columns=["anchor", "string", "shift", "pivot", "raw"])
 
     return cut
@@ -350,7 +372,7 @@ def remove_repeats(
     rows = _numbered(docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         empty_if_null(F.col(text)).cast("binary").alias("raw")))
-    segments = settled(rows.select("row", "raw").mapInPandas(
+    segments = settled(rows.select("row", "raw").mapInArrow(
         _segment_rows(length, gram), _SEGMENTS))
     strings = settled(
         segments.groupBy("anchor", "string").agg(
