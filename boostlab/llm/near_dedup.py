@@ -9,11 +9,12 @@
    classes gives m - 1 pairs. Pairs whose signatures cannot belong to a link (64 of 128
    minima differ: 6 standard deviations) are left out, all others are confirmed on the full
    sets, and components are found over the links.
-4. Buckets that hold classes of several components are finished exactly: the classes in them
-   are joined on their rarest shingles (a link needs a common one among the first
-   size - ceil(0.75 * size) + 1 in any fixed order), pairs within a component are left out,
-   the rest goes through the same confirmation. So no link between components is lost and no
-   bucket emits all its pairs.
+4. Buckets that hold classes of several components are finished exactly. A link needs a
+   common shingle among the first size - ceil(0.75 * size) + 1 of either set, in any fixed
+   order; the rarest come first. Classes connected through such shingles are a family, dealt
+   in blocks of bounded size. A task compares the components of two blocks in memory and
+   hands over links alone, at most one per merged component. So no link between components
+   is lost, and no bucket or family emits its pairs.
 5. Components: large-star and small-star alternate until the links no longer change.
 
 Links within a component that follow from others are not confirmed, as they change nothing.
@@ -42,6 +43,8 @@ ROWS = HASHES // BANDS
 LEAST_EQUAL = 64
 #: Members of one class compared in one task before the class is dealt to more tasks.
 STAR_ROWS = 256
+#: Shingles of one family held in one block; a task compares two blocks at most.
+BLOCK_SHINGLES = 500_000
 #: Ids that may be broadcast to pick out the texts of a few documents.
 BROADCAST_IDS = 200_000
 REMEMBERED = 500_000
@@ -228,18 +231,68 @@ def _first_pairs(classes: DataFrame) -> DataFrame:
         "a", F.col("rep").alias("b")).distinct()
 
 
-def _shingle_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _set_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for at in range(0, len(frame), 256):
             part = frame.iloc[at:at + 256]
-            found = [shingles(text) for text in part["text"]]
             yield pd.DataFrame({
-                "rep": np.repeat(part["id"].to_numpy(), [len(f) for f in found]),
-                "shingle": np.concatenate(found).view(np.int64)})
+                "rep": part["id"],
+                "held": [shingles(text).view(np.int64).tolist() for text in part["text"]]})
 
 
-def _rest_pairs(classes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Pairs of different components that share a bucket and a rare shingle."""
+def _compare_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between components within a family; rows come sorted by (family, i, j).
+
+    Found links merge their components at once, so pairs they connect are skipped.
+    """
+    names = ["family", "i", "j"]
+    held, key = [], None
+    for frame in frames:
+        for own, part in frame.groupby(names, sort=False):
+            if own != key and held:
+                yield _block_links(pd.concat(held), key)
+                held = []
+            held.append(part)
+            key = own
+    if held:
+        yield _block_links(pd.concat(held), key)
+
+
+def _block_links(rows: pd.DataFrame, key: tuple) -> pd.DataFrame:
+    across = key[1] != key[2]
+    reps, sizes = rows["rep"].to_numpy(), rows["n"].to_numpy()
+    label, block = rows["component"].to_numpy().copy(), rows["block"].to_numpy()
+    sets = [np.asarray(s, dtype=np.int64) for s in rows["held"]]
+    minima = np.frombuffer(b"".join(rows["minima"]), dtype="<u4").reshape(-1, HASHES)
+    a, b = [], []
+    for x in range(len(reps) - 1):
+        after = np.arange(x + 1, len(reps))
+        after = after[(label[after] != label[x])
+                      & (100 * np.minimum(sizes[after], sizes[x])
+                         >= PERCENT * np.maximum(sizes[after], sizes[x]))]
+        if across:
+            after = after[block[after] != block[x]]
+        if not len(after):
+            continue
+        after = after[(minima[after] == minima[x]).sum(axis=1) >= LEAST_EQUAL]
+        own = np.sort(sets[x])
+        for at in range(0, len(after), 256):
+            some = after[at:at + 256]
+            joined = np.concatenate([sets[y] for y in some])
+            place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+            bounds = np.concatenate(([0], np.cumsum([len(sets[y]) for y in some])[:-1]))
+            common = np.add.reduceat((own[place] == joined).astype(np.int64), bounds)
+            linked = some[100 * common >= PERCENT * (len(own) + sizes[some] - common)]
+            for y in linked.tolist():
+                if label[y] != label[x]:
+                    a.append(reps[x])
+                    b.append(reps[y])
+                    label[label == label[y]] = label[x]
+    return pd.DataFrame({"a": pd.array(a, "int64"), "b": pd.array(b, "int64")})
+
+
+def _rest_links(classes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Links between components that share a bucket, found through rare shingles."""
     placed = settled(classes.join(found, "rep", "left").select(
         "rep", "n", "minima", F.coalesce("component", "rep").alias("component")))
     rows = _banded(placed).join(placed.select("rep", "component"), "rep")
@@ -250,25 +303,39 @@ def _rest_pairs(classes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFr
     if open_ids.isEmpty():
         return None
     held = settled(_texts_of(open_ids, docs).mapInPandas(
-        _shingle_rows, "rep long, shingle long"))
-    often = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    ranked = held.join(often, "shingle").join(
-        placed.select("rep", "n", "component"), "rep")
+        _set_rows, "rep long, held array<long>"))
+    each = held.select("rep", F.explode("held").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     # The rarest shingles come first; those of one class alone join nothing and come before.
-    shared = ranked.groupBy("rep", "n", "component").agg(
-        F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("common"))
-    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (
-        F.col("n") - F.size("common"))
-    keys = shared.select("rep", "n", "component", F.explode(F.slice(
-        F.col("common")["shingle"], F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")))
-        .alias("shingle"))
-    left = keys.select("shingle", F.col("rep").alias("a"), F.col("n").alias("n_a"),
-                       F.col("component").alias("c_a"))
-    right = keys.select("shingle", F.col("rep").alias("b"), F.col("n").alias("n_b"),
-                        F.col("component").alias("c_b"))
-    return left.join(right, "shingle").filter(
-        "a < b and c_a <> c_b and 100 * least(n_a, n_b) >= "
-        f"{PERCENT} * greatest(n_a, n_b)").select("a", "b").distinct()
+    common = each.join(often, "shingle").groupBy("rep").agg(
+        F.sort_array(F.collect_list(F.struct("times", "shingle")))["shingle"].alias("common"))
+    prefix = F.size("common") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    keys = settled(
+        common.join(placed.select("rep", "n", "component"), "rep").select(
+            "rep", "component", F.explode(F.slice(
+                "common", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("shingle")))
+    stars = keys.groupBy("shingle").agg(
+        F.min("rep").alias("a"), F.min("component").alias("low"),
+        F.max("component").alias("high")).filter("low < high").select("shingle", "a")
+    joint = settled(keys.join(stars, "shingle").select(
+        "a", F.col("rep").alias("b")).distinct())
+    if joint.isEmpty():
+        return None
+    families = components(joint).withColumnRenamed("component", "family")
+    members = placed.join(families, "rep").join(held, "rep")
+    blocks = members.groupBy("family").agg(
+        F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    numbered = members.join(blocks, "family").withColumn(
+        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = numbered.withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    ).select("family", F.least("block", "other").alias("i"),
+             F.greatest("block", "other").alias("j"),
+             "block", "rep", "n", "component", "minima", "held")
+    parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.repartition(4 * parallel, "family", "i", "j").sortWithinPartitions(
+        "family", "i", "j")
+    return settled(dealt.mapInPandas(_compare_blocks, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -283,11 +350,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     single = rows.dropDuplicates(["doc_id"]) if _repeats(sets) else rows
     edges = _links(_plausible(_first_pairs(classes), classes), single)
     found = components(edges)
-    rest = _rest_pairs(classes, settled(found), single)
-    if rest is not None:
-        more = _links(_plausible(rest, classes), single)
-        if not more.isEmpty():
-            found = components(edges.union(more))
+    more = _rest_links(classes, settled(found), single)
+    if more is not None and not more.isEmpty():
+        found = components(edges.union(more))
     placed = classes.join(found, "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id"))
     return sets.join(placed, "set_key", "left").select(

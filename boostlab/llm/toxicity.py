@@ -33,9 +33,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boostlab.llm.common import empty_if_null, lowered, lowered_bytes
+from boostlab.llm.common import empty_if_null, lowered, lowered_bytes, settled
 
 FOLDS = 5
+#: Most labels (an id and a class, some 16 bytes) that are broadcast.
+BROADCAST_LABELS = 500_000
 #: Most toxic training rows whose texts the field is fitted to; twice as many clean ones.
 SAMPLE = 1_000
 #: Most words of the model, and the least share of toxic rows that hold each.
@@ -43,7 +45,7 @@ LEXICON_WORDS, LEAST_SHARE, LEAST_DOCS = 20_000, 0.005, 4
 #: Log-odds at which the grades 1, 2, ... begin; a strong token labels a toxic span.
 GRADE_EDGES = (1.0, 2.0, 3.0, 4.0, 5.0)
 GRADES, STRONG = len(GRADE_EDGES) + 1, 4
-LONGEST = 128
+LONGEST = 64
 _TOKEN = re.compile(rb"[^\x00-\x60\x7b-\x7f]+|[.!?\n]")
 _ENDS = (b".", b"!", b"?", b"\n")
 
@@ -111,7 +113,7 @@ def _padded(sentences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, sizes
 
 
-def _fit_field(counts: dict[tuple[bytes, bytes], float], steps: int = 150) -> tuple:
+def _fit_field(counts: dict[tuple[bytes, bytes], float], steps: int = 80) -> tuple:
     """Gradient ascent (with moments) on the penalised likelihood of weighted sentences,
     each given as its grades and its labels."""
     keys = sorted(counts)
@@ -199,6 +201,14 @@ def lexicon(texts: DataFrame, n_toxic: int, n_clean: int,
             for r in chosen}
 
 
+def _labelled(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """The labelled rows; texts are shuffled, and then written once, only if the labels are
+    too many to be sent to all tasks."""
+    if marked.count() <= BROADCAST_LABELS:
+        return rows.join(F.broadcast(marked), "doc_id")
+    return settled(rows.join(marked, "doc_id"))
+
+
 def train(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text",
     doc_id: str = "doc_id", label: str = "toxic", least_share: float = LEAST_SHARE,
@@ -207,7 +217,7 @@ def train(
     marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(
         F.col("doc_id").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), empty_if_null(F.col(text)).alias("text"))
-    training = marked.filter(fold(F.col("doc_id")) != 0).join(rows, "doc_id")
+    training = _labelled(rows, marked.filter(fold(F.col("doc_id")) != 0))
     sizes = dict(training.groupBy("toxic").count().collect())
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
