@@ -231,12 +231,12 @@ def train(
                 "toxic": frame["toxic"], "n_words": [n for _, n in made],
                 "sentences": [s for s, _ in made]})
 
+    ids = training.select("doc_id", "toxic").distinct()
     chosen = [
-        training.filter(F.col("toxic") == kind)
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample * (2 - kind))
-        for kind in (0, 1)
+        ids.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(sample * (2 - kind)) for kind in (0, 1)
     ]
-    drawn = chosen[0].unionByName(chosen[1]).mapInPandas(
+    drawn = rows.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").mapInPandas(
         shrink, "toxic int, n_words long, sentences array<binary>").collect()
     counts: dict[tuple[bytes, bytes], float] = {}
     for row in drawn:
