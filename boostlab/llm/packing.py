@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,9 @@ from boostlab.llm.common import empty_if_null, settled
 
 CAPACITY, END_ID = 2048, 0
 GROUP_PIECES = 50_000
-#: Most words remembered by a worker, then it starts anew.
-REMEMBERED = 400_000
+#: Words after which a worker forgets those it has not met for as many.
+REMEMBERED = 250_000
+RUN_WORDS = 20_000
 #: Characters for which lower-casing, composition and the classes of the splitting pattern
 #: are the same letter by letter in Python and in the tokenizer.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ɏ]+")
@@ -44,8 +46,36 @@ _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _made: dict = {}
 
 
+class _Recent:
+    """A bounded memory: what was used since the last but one clearing."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys not held; those found are held anew."""
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        fresh, new = [], self.new
+        for key in [k for k in keys if k not in new]:
+            found = self.old.get(key)
+            if found is None:
+                fresh.append(key)
+            else:
+                new[key] = found
+        return fresh
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes
+    for themselves, the others for code points from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class _Ids:
-    """Little-endian 32-bit ids of texts, with the words seen so far remembered."""
+    """Little-endian 32-bit ids of texts, with the words seen lately remembered."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -54,62 +84,52 @@ class _Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
+        self.letters = _byte_letters()
+        self.words, self.chunks = _Recent(REMEMBERED), _Recent(REMEMBERED)
 
     def _encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def _learn_words(self, words: list[str]) -> None:
-        """One call per some hundred words; the tokenizer names the word of each id."""
-        for at in range(0, len(words), 512):
-            block = words[at:at + 512]
-            made = self.tokenizer.encode(" ".join(block), add_special_tokens=False)
-            ids = np.asarray(made.ids, dtype="<u4")
-            ends = np.flatnonzero(np.diff(np.asarray(made.word_ids))) + 1
-            parts = np.split(ids, ends)
-            if len(parts) != len(block):  # some word is no word of the tokenizer's pattern
-                parts = [np.frombuffer(self._encode(w), dtype="<u4") for w in block]
-            for word, part in zip(block, parts):
-                self.words[word] = part.tobytes()
-
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self.chunks) > REMEMBERED:
-            self.chunks = {}
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        split: dict[bytes, list[str]] = {}
+    def _word(self, word: str) -> bytes:
+        """One word of the splitting pattern, by the tokenizer's merges alone."""
+        if not word.isascii():
+            word = "".join([self.letters[b] for b in word.encode("utf-8")])
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        split: dict[bytes, Sequence[str]] = {}
         for chunk in chunks:
             text = chunk.decode("utf-8")
-            if _PLAIN.fullmatch(text) and not any(s in text for s in self.specials):
+            if text.isalpha() and text.isascii():
+                split[chunk] = (text.lower(),)
+            elif _PLAIN.fullmatch(text) and not self.special.search(text):
                 split[chunk] = _WORDS.findall(text.lower())
             else:
-                self.chunks[chunk] = self._encode(text)
-        unknown = {w for words in split.values() for w in words if w not in self.words}
-        self._learn_words(sorted(unknown))
+                self.chunks.new[chunk] = self._encode(text)
+        for word in self.words.missing({w for words in split.values() for w in words}):
+            self.words.new[word] = self._word(word)
+        known = self.words.new
         for chunk, words in split.items():
-            self.chunks[chunk] = b"".join([self.words[w] for w in words])
+            self.chunks.new[chunk] = b"".join([known[w] for w in words])
 
     def of(self, texts: list[str]) -> list[bytes]:
-        cut = [text.encode("utf-8").split() for text in texts]
-        at, out = 0, []
-        while at < len(cut):  # some thousand words at a time, so the memory stays bounded
-            upto, size = at, 0
-            while upto < len(cut) and size < REMEMBERED // 4:
-                size += len(cut[upto])
-                upto += 1
-            known = self.chunks
-            fresh = {c for words in cut[at:upto] for c in words if c not in known}
-            if fresh:
-                if len(known) > REMEMBERED:
-                    fresh = {c for words in cut[at:upto] for c in words}
-                self.learn(fresh)
-            known = self.chunks
-            out += [b"".join([known[c] for c in words]) for words in cut[at:upto]]
-            at = upto
-        return out
+        out, run, size = [], [], 0
+        for text in texts:  # some thousand words at a time, so the memory stays bounded
+            run.append(text.encode("utf-8").split())
+            size += len(run[-1])
+            if size >= RUN_WORDS:
+                out += self._run(run)
+                run, size = [], 0
+        return out + self._run(run)
+
+    def _run(self, run: list[list[bytes]]) -> list[bytes]:
+        self._learn(self.chunks.missing(set().union(*run)))
+        known = self.chunks.new
+        return [b"".join([known[c] for c in words]) for words in run]
 
 
 def _ids(path: str) -> _Ids:
