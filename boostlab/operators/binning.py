@@ -2,7 +2,8 @@
 
 An edge is a value of the table: the smallest one with at least a share
 ``k / bins`` of the rows at or below it. A value's bin is the number of edges
-below it, so ``bin > b`` says the same as ``value > edges[b]``.
+below it, so ``bin > b`` says the same as ``value > edges[b]``. A missing value (NULL,
+NaN) is above all edges, in training, binning and scoring alike.
 """
 
 from __future__ import annotations
@@ -51,9 +52,10 @@ def approx_edges(df: DataFrame, features: Sequence[str], max_bins: int) -> Edges
 
 
 def bin_of(value: Column, cuts: Sequence[float]) -> Column:
-    """The number of edges strictly below a value."""
+    """The number of edges strictly below a value; all of them for a missing one."""
     edges = F.array(*[F.lit(float(e)) for e in cuts]).cast("array<double>")
-    return F.size(F.filter(edges, lambda edge: edge < value))
+    return F.when(value.isNull(), F.lit(len(cuts))).otherwise(
+        F.size(F.filter(edges, lambda edge: edge < value)))
 
 
 def bin_features(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:

@@ -10,6 +10,7 @@ driver. Trees grown together share the job.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -139,7 +140,7 @@ def row_weights(growth: Growth, seed: int, ids: np.ndarray) -> np.ndarray | None
     """How often a tree uses each row; None when every row counts once."""
     if growth.bootstrap:
         # Draws of a row in a large bootstrap sample follow Poisson(1).
-        ceilings = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
+        ceilings = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(19)])
         return np.searchsorted(ceilings, hashed(seed, ids), side="right").astype(float)
     if growth.row_share < 1.0:
         return (hashed(seed, ids) < growth.row_share).astype(float)

@@ -18,6 +18,7 @@ from boostlab.operators.forest import side_by_side
 from boostlab.operators.shaping import lay_out
 
 VECTOR = "features"
+PARTITION_ROWS = 20_000
 
 
 def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -25,8 +26,13 @@ def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(df)
 
 
-def fit_ready(df: DataFrame, features: Sequence[str], row_id: str, partitions: int) -> DataFrame:
-    """Assembled rows in a fixed layout, cached: MLlib samples by partition and order."""
+def fit_ready(df: DataFrame, features: Sequence[str], row_id: str,
+              rows_per_partition: int = PARTITION_ROWS) -> DataFrame:
+    """Assembled rows in a fixed layout, cached: MLlib samples by partition and order.
+
+    The partitions follow the rows, so the layout is the same on any cluster.
+    """
+    partitions = max(1, -(-df.count() // rows_per_partition))
     return assembled(lay_out(df, row_id, partitions), features).persist()
 
 

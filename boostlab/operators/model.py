@@ -148,14 +148,15 @@ def _tree_expression(model: TreeModel, tree: Tree, node: int = 0) -> Column:
     f = tree.feature[node]
     if f < 0:
         return F.lit(float(tree.value[node]))
-    above = F.col(model.features[f]) > F.lit(model.threshold(f, tree.cut[node]))
-    return F.when(above, _tree_expression(model, tree, tree.right[node])).otherwise(
-        _tree_expression(model, tree, tree.left[node])
+    below = F.col(model.features[f]) <= F.lit(model.threshold(f, tree.cut[node]))
+    return F.when(below, _tree_expression(model, tree, tree.left[node])).otherwise(
+        _tree_expression(model, tree, tree.right[node])  # NULL and NaN too
     )
 
 
 # A model of up to so many nodes becomes one SQL expression; the JVM compiles that
-# well, while larger ones outgrow its method size and go to vectorised batches.
+# well, while larger ones outgrow its method size and go to vectorised batches. Both
+# add the trees in the same order and send missing values (NULL, NaN) to the right.
 EXPRESSION_NODES = 255
 
 
@@ -169,15 +170,15 @@ def margin_column(model: TreeModel) -> Column:
         return total * F.lit(weight) + F.lit(model.base)
 
     @F.pandas_udf("double")
-    def margins(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for batch in columns:
-            bins = model._matrix(list(batch))
+    def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for batch in batches:
+            bins = model._matrix([batch[f] for f in model.features])
             total = np.zeros(bins.shape[1])
             for tree in model.trees:
                 total += np.asarray(tree.value)[route(tree, bins)]
             yield pd.Series(total * weight + model.base)
 
-    return margins(*[F.col(f).cast("double") for f in model.features])
+    return margins(F.struct(*[F.col(f).cast("double").alias(f) for f in model.features]))
 
 
 def score(df: DataFrame, model: TreeModel, proba: str = "proba") -> DataFrame:
@@ -190,7 +191,7 @@ def score(df: DataFrame, model: TreeModel, proba: str = "proba") -> DataFrame:
 def eval_history(df: DataFrame, model: TreeModel, label: str = "label") -> DataFrame:
     """Mean log loss after every round, from one pass: ``round, logloss``.
 
-    Each task sends one partial sum per round, whatever its rows.
+    A model that averages its trees averages those so far. Each task sends one partial sum per round, whatever its rows.
     """
     rounds = len(model.trees)
 
@@ -199,9 +200,10 @@ def eval_history(df: DataFrame, model: TreeModel, label: str = "label") -> DataF
         for batch in batches:
             bins = model._matrix([batch[f] for f in model.features])
             y = batch["_label"].to_numpy(dtype=float)
-            margin = np.full(len(y), model.base)
+            summed = np.zeros(len(y))
             for t, tree in enumerate(model.trees):
-                margin += np.asarray(tree.value)[route(tree, bins)]
+                summed += np.asarray(tree.value)[route(tree, bins)]
+                margin = model.base + (summed / (t + 1) if model.mean else summed)
                 p = np.clip(model._proba(margin), CLIP, 1.0 - CLIP)
                 total[t] -= np.sum(y * np.log(p) + (1 - y) * np.log(1 - p))
             seen += len(y)

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from boostlab.operators.quantiles import quantiles
 
 def range_count(df: DataFrame) -> int:
-    """Ranges to cut a table into: several per shuffle partition, but bounded."""
+    """Ranges to cut a table into: several per shuffle partition."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(4096, 4 * partitions))
+    return max(16, 4 * partitions)
 
 
 def add_ranges(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, int]:

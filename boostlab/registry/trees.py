@@ -10,6 +10,7 @@ from boostlab.operators.boosting import BoostParams, boost
 from boostlab.plans import reports, sweep
 from boostlab.registry.base import query
 from boostlab.registry.shape import BINNED_SQL, BINS, FEATURES
+from boostlab.registry.sqlparts import ORDER_FEATURES
 from boostlab.registry.treesql import NODES, boost_sql
 from boostlab.session import settled
 from boostlab.sources import relations
@@ -130,6 +131,41 @@ def q_score_table(spark, sf_dir):
     return scored.select("row_id", F.round("proba", 6).alias("proba"), "prediction")
 
 
+_STUMPS = (("f0", 2.0, -0.3, 0.2), ("f1", 90.0, -0.1, 0.4), ("f3", 0.05, 0.25, -0.15))
+
+
+def _stumps(times: int) -> model.TreeModel:
+    """The stumps above, each taken ``times`` times at a share of its leaves."""
+    edges: binning.Edges = {f: [] for f in FEATURES} | {f: [cut] for f, cut, _, _ in _STUMPS}
+    trees = []
+    for _ in range(times):
+        for feature, _, low, high in _STUMPS:
+            tree = model.Tree(depth=1)
+            left, right = tree.split(0, FEATURES.index(feature), 0)
+            tree.value[left], tree.value[right] = low / times, high / times
+            trees.append(tree)
+    return model.TreeModel(FEATURES, edges, trees, base=-0.1)
+
+
+@query("score_missing", f"""WITH {ORDER_FEATURES}, sparse AS (
+  SELECT row_id, nullif(f0, 0) AS f0, CASE WHEN f0 > 0 THEN f1 END AS f1,
+         CASE WHEN f0 > 0 THEN f3 END AS f3 FROM train),
+scored AS (SELECT row_id, round(1 / (1 + exp(-(-0.1 {" ".join(
+    f"+ CASE WHEN {f} <= {cut} THEN {low} ELSE {high} END" for f, cut, low, high in _STUMPS
+)})::DOUBLE)), 6) AS proba FROM sparse)
+SELECT row_id, kind, proba FROM scored, (VALUES ('large'), ('small')) AS kinds(kind)""")
+def q_score_missing(spark, sf_dir):
+    """Orders without lines have no features: missing values go to the right in the
+    expression of a small model and in the batches of a large one alike."""
+    rows = relations.order_features(spark, sf_dir)
+    some = rows.select("row_id", *[
+        F.when(F.col("f0") > 0, F.col(f)).alias(f) for f in FEATURES])
+    return model.score(some, _stumps(1)).select(
+        "row_id", F.lit("small").alias("kind"), F.round("proba", 6).alias("proba")
+    ).unionByName(model.score(some, _stumps(30)).select(
+        "row_id", F.lit("large").alias("kind"), F.round("proba", 6).alias("proba")))
+
+
 @query("eval_history", boost_sql(" UNION ALL ".join(
     f"SELECT {r} AS round, round(avg(-(label * ln(p) + (1 - label) * ln(1 - p))), 6) AS logloss "
     f"FROM (SELECT label, 1 / (1 + exp(-margin)) AS p FROM m{r})" for r in (1, 2, 3)),
@@ -181,7 +217,7 @@ def q_boost_wide(spark, sf_dir):
 def q_gbt_mllib(spark, sf_dir):
     """MLlib boosting: log loss of the test rows after every round."""
     train, test = _halves(spark, sf_dir)
-    ready = mllib.fit_ready(train, FEATURES, "row_id", 4)
+    ready = mllib.fit_ready(train, FEATURES, "row_id")
     try:
         fitted = mllib.gbt(max_iter=5, max_depth=4, step=0.3).fit(ready)
     finally:
@@ -194,7 +230,7 @@ def q_gbt_mllib(spark, sf_dir):
 
 def _mllib_forest(spark, sf_dir, **settings):
     train, test = _halves(spark, sf_dir)
-    ready = mllib.fit_ready(train, FEATURES, "row_id", 4)
+    ready = mllib.fit_ready(train, FEATURES, "row_id")
     try:
         fitted = mllib.forest(20, 5, **settings).fit(ready)
     finally:
@@ -236,7 +272,7 @@ def q_rf_bagged(spark, sf_dir):
 def q_forest_model_parallel(spark, sf_dir):
     """MLlib sub-forests on the same rows, fitted side by side and averaged."""
     train, test = _halves(spark, sf_dir)
-    ready = mllib.fit_ready(train, FEATURES, "row_id", 4)
+    ready = mllib.fit_ready(train, FEATURES, "row_id")
     try:
         members = mllib.fit_members(ready, n_trees=22, members=4, max_depth=5)
     finally:

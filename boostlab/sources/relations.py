@@ -148,11 +148,15 @@ def bench_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def wide_embeddings(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
-    """One column per embedding element, with a binary label."""
+def wide_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One column per embedding element, with a binary label; all have the same length."""
     vector = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select(
+    rows = table(spark, sf_dir, "embeddings")
+    width, longest = rows.select(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if width != longest:
+        raise ValueError(f"embeddings of {width} to {longest} elements")
+    return rows.select(
         F.col("vec_id").alias("row_id"),
-        *[vector.getItem(i).cast("double").alias(f"f{i}") for i in range(width)],
+        *[vector.getItem(i).cast("double").alias(f"f{i}") for i in range(width or 0)],
         (F.col("label") < 5).cast("int").alias("label"),
     )

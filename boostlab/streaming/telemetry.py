@@ -50,6 +50,8 @@ def drain(spark: SparkSession, stream: DataFrame, width: str = "1 hour",
         changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     rolled = windowed(stream, width, late)
+    # A stream without files runs no batch; then there are no windows.
+    spark.createDataFrame([], rolled.schema).write.parquet(f"{out}/batch=-1")
     running = (
         rolled.writeStream.outputMode("update")
         .option("checkpointLocation", f"{home}/state")

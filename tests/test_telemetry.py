@@ -30,3 +30,10 @@ def test_stream_over_several_batches_equals_the_table(spark, tmp_path):
     streamed = telemetry.drain(spark, stream, "1 hour", "2 days")
     batch = telemetry.windowed(spark.createDataFrame(rows(200), SCHEMA), "1 hour", "2 days")
     assert sorted(streamed.collect()) == sorted(batch.collect())
+
+
+def test_stream_without_files_has_no_windows(spark, tmp_path):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    stream = spark.readStream.schema(SCHEMA).parquet(str(folder))
+    assert telemetry.drain(spark, stream).count() == 0

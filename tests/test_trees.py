@@ -205,3 +205,24 @@ def test_hashed_uniforms_are_flat():
     assert abs(u.mean() - 0.5) < 0.01 and abs(np.mean(u < 0.8) - 0.8) < 0.01
     weights = grow.row_weights(grow.Growth(bootstrap=True), 7, np.arange(20000))
     assert abs(weights.mean() - 1.0) < 0.03 and abs(np.mean(weights == 0) - math.exp(-1)) < 0.02
+
+
+def test_missing_values_go_right_everywhere(spark):
+    rows = spark.createDataFrame([(0.5,), (2.0,), (None,), (float("nan"),)], "f0 double")
+    tree = model.Tree(depth=1)
+    left, right = tree.split(0, 0, 0)
+    tree.value[left], tree.value[right] = -1.0, 1.0
+    for times in (1, 200):  # one feature: an expression, then batches
+        fitted = model.TreeModel(["f0"], {"f0": [1.0]}, [tree] * times, mean=True)
+        margins = [r[0] for r in rows.select(model.margin_column(fitted)).collect()]
+        assert np.allclose(margins, [-1.0, 1.0, 1.0, 1.0])
+    bins = [r["bins"] for r in binning.bin_features(rows, {"f0": [1.0, 1.5]}).collect()]
+    assert bins == [[0], [2], [2], [2]]
+
+
+def test_history_of_an_averaged_model(spark):
+    rows = spark.createDataFrame([(0.5, 1), (2.0, 1)], "f0 double, label int")
+    leaf = model.Tree(value=[0.75])
+    fitted = model.TreeModel(["f0"], {"f0": []}, [leaf] * 3, mean=True, link="identity")
+    losses = [r["logloss"] for r in model.eval_history(rows, fitted).collect()]
+    assert np.allclose(losses, -np.log(0.75))
