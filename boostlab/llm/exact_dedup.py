@@ -6,10 +6,12 @@ of the aggregation, so equal hashes alone never merge two texts; texts that shar
 are chained under it). The directory starts with one bucket for all hashes. It doubles
 while some bucket holds more links than it may: an overfull bucket splits by the next
 bit of the hash, the others keep their depth and are pointed to by several slots. Each
-bucket is one folder of Parquet files and covers one range of hashes.
+bucket is one folder of Parquet files. Ranges of hashes are owned by tasks, so a task
+writes the few buckets its range meets.
 
 DataFrame operations only. Copies are counted on the map side before the shuffle, so a
-text with a third of all rows arrives as one row per task.
+text with a third of all rows arrives as one row per task. Documents then look up their
+link; links of many rows are dealt to several tasks.
 
 Defined results: a null text is the empty text; a null ``doc_id`` never stays unless all
 ids of its group are null; a repeated row repeats its result; an empty table gives no
@@ -29,6 +31,9 @@ from boostlab.session import run_dir
 BUCKET_LINKS = 100_000
 #: Deepest directory: 2**20 slots, a table of some MB.
 MAX_DEPTH = 20
+#: A link of more than one in so many rows is looked up in several tasks. Fewer than this
+#: many links can be so large, which bounds the table of them.
+HOT_LINKS = 1000
 
 
 def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -69,6 +74,12 @@ def directory(found: DataFrame, depth: int, capacity: int) -> DataFrame:
     )
 
 
+def _overfull(found: DataFrame, depth: int, capacity: int) -> bool:
+    """Whether a slot of this depth holds more links than a bucket may."""
+    held = found.groupBy(F.shiftrightunsigned("hash", 64 - depth)).count()
+    return not held.filter(F.col("count") > capacity).isEmpty()
+
+
 def build_index(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = BUCKET_LINKS
 ) -> DataFrame:
@@ -82,7 +93,9 @@ def build_index(
     links(docs, text, doc_id).write.parquet(path)
     found = spark.read.parquet(path)
     size = found.count()
-    depth = min(MAX_DEPTH, max(1, math.ceil(math.log2(max(1, size / capacity))) + 3))
+    depth = min(MAX_DEPTH, max(1, math.ceil(math.log2(max(1, size / capacity)))))
+    while depth < MAX_DEPTH and _overfull(found, depth, capacity):
+        depth += 1
     pointed = found.withColumn("slot", F.shiftrightunsigned("hash", 64 - depth)).join(
         directory(found, depth, capacity), "slot"
     )
@@ -91,7 +104,7 @@ def build_index(
     )
     index = run_dir(spark, "index")
     (
-        pointed.withColumn("chain", chains - 1)
+        pointed.repartitionByRange("hash").withColumn("chain", chains - 1)
         .select("hash", "text_sha256", "keep_id", "group_size", "chain", "depth", "bucket")
         .write.partitionBy("bucket").parquet(index)
     )
@@ -103,15 +116,26 @@ def build_index(
 def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
            capacity: int = BUCKET_LINKS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    key = ["hash", "text_sha256"]
     index = build_index(docs, text, doc_id, capacity)
+    rows = index.agg(F.sum("group_size")).first()[0] or 0
+    share = max(1, rows // HOT_LINKS)
+    found = index.select(
+        *key, "keep_id", "group_size",
+        F.ceil(F.col("group_size") / share).cast("int").alias("lots"))
+    # Fewer than HOT_LINKS rows, as each stands for more than a share of all rows.
+    hot = F.broadcast(found.filter("lots > 1").select(*key, "lots"))
     norm = lowered(F.col(text))
     probes = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(norm).alias("hash"),
-        F.sha2(norm, 256).alias("text_sha256"),
+        F.sha2(norm, 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row"),
     )
-    return probes.join(
-        index.select("hash", "text_sha256", "keep_id", "group_size"), ["hash", "text_sha256"]
-    ).select(
+    dealt = probes.join(hot, key, "left").select(
+        "doc_id", *key,
+        F.coalesce(F.pmod("row", "lots"), F.lit(0)).cast("int").alias("lot"))
+    answers = found.withColumn(
+        "lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+    return dealt.join(answers, [*key, "lot"]).select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256",
     )

@@ -35,6 +35,16 @@ def test_exact_copies(docs_of):
     assert exact_dedup.dedupe(docs_of([])).count() == 0
 
 
+def test_exact_copies_with_a_hot_text(docs_of):
+    rows = [(i, "Hot" if i % 3 == 0 else f"t{i}") for i in range(3000)]
+    got = exact_dedup.dedupe(docs_of(rows)).collect()
+    assert len(got) == 3000 and len({r["doc_id"] for r in got}) == 3000
+    for r in got:
+        hot = r["doc_id"] % 3 == 0
+        assert (r["keep_id"], r["group_size"]) == ((2997, 1000) if hot else (r["doc_id"], 1))
+        assert r["kept"] == (r["doc_id"] == r["keep_id"])
+
+
 def test_index_splits_overfull_buckets(docs_of):
     index = exact_dedup.build_index(docs_of([(i, f"text {i}") for i in range(500)]), capacity=20)
     sizes = [r["count"] for r in index.groupBy("bucket").count().collect()]
