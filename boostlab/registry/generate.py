@@ -8,7 +8,9 @@ from boostlab.registry.base import query
 from boostlab.registry.sqlparts import normal, uniform
 from boostlab.sources import generators, relations
 
-N_FEATURES, N_INFORMATIVE, N_REDUNDANT, N_CLUSTERS = 8, 4, 2, 4
+N_CLUSTERS = 4
+SMALL = (8, 4, 2)  # features, informative ones, redundant ones
+PUBLISHED = (28, 14, 7)
 
 
 def _event_ids(spark, sf_dir):
@@ -26,32 +28,32 @@ def _coefficient(tag: str, index: int) -> str:
     return f"(2.0::DOUBLE * {uniform(42, tag, str(index))} - 1.0::DOUBLE)"
 
 
-def _classification_sql() -> str:
+def _classification_sql(n_features: int, n_informative: int, n_redundant: int) -> str:
     """The construction spelled out: corners, mixes, redundant mixes, noise, flips."""
-    corners = generators.cluster_signs(N_CLUSTERS, N_INFORMATIVE, 42)
-    z = ", ".join(f"{normal(42, f'z{i}', 'row_id')} AS z{i}" for i in range(N_INFORMATIVE))
+    corners = generators.cluster_signs(N_CLUSTERS, n_informative, 42)
+    z = ", ".join(f"{normal(42, f'z{i}', 'row_id')} AS z{i}" for i in range(n_informative))
     mix = ", ".join(
-        f"{_coefficient(f'mix{c}', i * N_INFORMATIVE + j)} AS a{c}_{i}_{j}"
-        for c in range(N_CLUSTERS) for i in range(N_INFORMATIVE) for j in range(N_INFORMATIVE)
+        f"{_coefficient(f'mix{c}', i * n_informative + j)} AS a{c}_{i}_{j}"
+        for c in range(N_CLUSTERS) for i in range(n_informative) for j in range(n_informative)
     )
     blend = ", ".join(
-        f"{_coefficient('blend', i * N_REDUNDANT + k)} AS b{i}_{k}"
-        for i in range(N_INFORMATIVE) for k in range(N_REDUNDANT)
+        f"{_coefficient('blend', i * n_redundant + k)} AS b{i}_{k}"
+        for i in range(n_informative) for k in range(n_redundant)
     )
     placed = ", ".join(
         "CASE cluster " + " ".join(
-            f"WHEN {c} THEN " + " + ".join(f"z{i} * a{c}_{i}_{j}" for i in range(N_INFORMATIVE))
+            f"WHEN {c} THEN " + " + ".join(f"z{i} * a{c}_{i}_{j}" for i in range(n_informative))
             + f" + {corners[c][j]}" for c in range(N_CLUSTERS)
-        ) + f" END AS f{j}" for j in range(N_INFORMATIVE)
+        ) + f" END AS f{j}" for j in range(n_informative)
     )
     mixed = ", ".join(
-        "round(" + " + ".join(f"f{i} * b{i}_{k}" for i in range(N_INFORMATIVE))
-        + f", 6) AS f{N_INFORMATIVE + k}" for k in range(N_REDUNDANT)
+        "round(" + " + ".join(f"f{i} * b{i}_{k}" for i in range(n_informative))
+        + f", 6) AS f{n_informative + k}" for k in range(n_redundant)
     )
-    known = ", ".join(f"round(f{j}, 6) AS f{j}" for j in range(N_INFORMATIVE))
+    known = ", ".join(f"round(f{j}, 6) AS f{j}" for j in range(n_informative))
     noise = ", ".join(
         f"round({normal(42, f'noise{j}', 'row_id')}, 6) AS f{j}"
-        for j in range(N_INFORMATIVE + N_REDUNDANT, N_FEATURES)
+        for j in range(n_informative + n_redundant, n_features)
     )
     return f"""WITH coefficients AS (SELECT {mix}, {blend}),
 drawn AS (
@@ -65,12 +67,19 @@ SELECT row_id, {known}, {mixed}, {noise},
 FROM shaped"""
 
 
-@query("gen_classification", _classification_sql())
+def _classification(spark, sf_dir, shape):
+    made = generators.gen_classification(_event_ids(spark, sf_dir), *shape)
+    return _rounded(made, shape[0])
+
+
+@query("gen_classification", _classification_sql(*SMALL))
 def q_gen_classification(spark, sf_dir):
-    made = generators.gen_classification(
-        _event_ids(spark, sf_dir), N_FEATURES, N_INFORMATIVE, N_REDUNDANT
-    )
-    return _rounded(made, N_FEATURES)
+    return _classification(spark, sf_dir, SMALL)
+
+
+@query("gen_classification_28", _classification_sql(*PUBLISHED))
+def q_gen_classification_28(spark, sf_dir):
+    return _classification(spark, sf_dir, PUBLISHED)
 
 
 @query(
@@ -109,8 +118,4 @@ FROM blocks GROUP BY ROLLUP (block_i, block_j) HAVING grouping(block_i) = groupi
 def q_matrix_sum(spark, sf_dir):
     ids = relations.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"))
     blocks = generators.block_sums(generators.gen_matrix(ids, 16, 1000, 8))
-    missing = F.lit(None).cast("bigint")
-    whole = blocks.agg(F.sum("n_cells").alias("n_cells"), F.sum("total").alias("total")).select(
-        missing.alias("block_i"), missing.alias("block_j"), "n_cells", "total"
-    )
-    return blocks.unionByName(whole).withColumn("total", F.round("total", 6))
+    return generators.with_whole(blocks).withColumn("total", F.round("total", 6))

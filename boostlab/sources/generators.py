@@ -6,9 +6,6 @@ computed where its row lives, from (seed, column, id) alone.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +47,21 @@ def mixing(seed: int, tag: str, rows: int, columns: int) -> list[list[float]]:
     ]
 
 
-def _weighted(terms: list[Column], weights: list[float]) -> Column:
-    return reduce(add, [t * F.lit(w) for t, w in zip(terms, weights)])
+def _matrix(rows: list[list[float]]) -> str:
+    """A matrix as the SQL text of nested arrays."""
+    return "array(" + ", ".join(
+        "array(" + ", ".join(f"{float(v)!r}D" for v in row) + ")" for row in rows) + ")"
+
+
+def _products(vector: Column, rows: Column) -> Column:
+    """The products of a vector with every row of a matrix. The vector is bound to a
+    variable, so it is worked out once and not once per row."""
+    def dot(x: Column, row: Column) -> Column:
+        terms = F.zip_with(x, row, lambda a, b: a * b)
+        return F.aggregate(terms, F.lit(0.0), lambda total, term: total + term)
+
+    return F.transform(
+        F.array(vector), lambda x: F.transform(rows, lambda row: dot(x, row)))[0]
 
 
 def gen_classification(
@@ -80,33 +90,23 @@ def gen_classification(
     mixes = [mixing(seed, f"mix{c}", informative, informative) for c in range(clusters)]
     blend = mixing(seed, "blend", informative, redundant)
 
-    drawn = ids.select(
-        row,
-        F.floor(uniform(seed, "cluster", row, mode) * clusters).cast("int").alias("cluster"),
-        *[normal(seed, f"z{i}", row, mode).alias(f"z{i}") for i in range(informative)],
-    )
-    z = [F.col(f"z{i}") for i in range(informative)]
-
-    def placed(j: int) -> Column:
-        """Informative feature j, by the cluster of the row."""
-        value = None
-        for c in range(clusters):
-            here = _weighted(z, [mixes[c][i][j] for i in range(informative)]) + F.lit(
-                float(corners[c][j])
-            )
-            value = F.when(F.col("cluster") == c, here) if value is None else value.when(
-                F.col("cluster") == c, here
-            )
-        return value
-
-    shaped = drawn.select(
-        "row_id", "cluster", *[placed(j).alias(f"f{j}") for j in range(informative)]
-    )
-    known = [F.col(f"f{j}") for j in range(informative)]
-    mixed = [
-        _weighted(known, [blend[i][k] for i in range(informative)]).alias(f"f{informative + k}")
-        for k in range(redundant)
-    ]
+    # Expressions stay the same size whatever the number of features: one vector of
+    # normals, a constant 1 for the corner, and the matrix of the row's cluster.
+    z = F.array(
+        *[normal(seed, f"z{i}", row, mode) for i in range(informative)], F.lit(1.0))
+    shapes = "array(" + ", ".join(
+        _matrix([
+            [*(mixes[c][i][j] for i in range(informative)), corners[c][j]]
+            for j in range(informative)
+        ]) for c in range(clusters)) + ")"
+    cluster = F.floor(uniform(seed, "cluster", row, mode) * clusters).cast("int")
+    shaped = ids.select(row, cluster.alias("cluster")).select(
+        "row_id", "cluster", _products(z, F.get(F.expr(shapes), F.col("cluster"))).alias("known"))
+    mixed_rows = _matrix([[blend[i][k] for i in range(informative)] for k in range(redundant)])
+    if redundant:
+        shaped = shaped.withColumn("mixed", _products(F.col("known"), F.expr(mixed_rows)))
+    known = [F.col("known")[j].alias(f"f{j}") for j in range(informative)]
+    mixed = [F.col("mixed")[k].alias(f"f{informative + k}") for k in range(redundant)]
     noise = [
         normal(seed, f"noise{j}", row, mode).alias(f"f{j}")
         for j in range(informative + redundant, n_features)
@@ -163,3 +163,15 @@ def block_sums(cells: DataFrame) -> DataFrame:
     return cells.groupBy("block_i", "block_j").agg(
         F.count("*").alias("n_cells"), F.sum("x").alias("total")
     )
+
+
+def with_whole(blocks: DataFrame) -> DataFrame:
+    """The blocks and, with null coordinates, the whole matrix, from the block rows alone."""
+    place = F.col("place")
+    return (
+        blocks.withColumn("place", F.explode(F.array(
+            F.struct("block_i", "block_j"),
+            F.struct(*[F.lit(None).cast("bigint").alias(c) for c in ("block_i", "block_j")]))))
+        .groupBy(place["block_i"].alias("block_i"), place["block_j"].alias("block_j"))
+        .agg(F.sum("n_cells").alias("n_cells"), F.sum("total").alias("total"))
+    )

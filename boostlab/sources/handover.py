@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from boostlab.session import run_dir
@@ -11,16 +11,17 @@ from boostlab.session import run_dir
 def hand_over(df: DataFrame, row_id: str = "row_id", path: str | None = None) -> DataFrame:
     """Write a dataset as Parquet and return what a reader finds there.
 
-    Row count and id checksum must survive; a partial copy is an error. The check
-    reads nothing but the ids of the source.
+    Row count and id checksum must survive; a partial copy is an error. The
+    source is sealed while it is written, so it is computed once.
     """
     spark = df.sparkSession
     path = path or run_dir(spark, "dataset")
     # xor of hashes: independent of order, and free of overflow.
     seal = [F.count("*").alias("n"), F.bit_xor(F.xxhash64(row_id)).alias("ids")]
-    df.write.mode("errorifexists").parquet(path)
+    sealed = Observation()
+    df.observe(sealed, *seal).write.mode("errorifexists").parquet(path)
     copy = spark.read.schema(df.schema).parquet(path)
-    sent, found = df.agg(*seal).first(), copy.agg(*seal).first()
+    sent, found = sealed.get, copy.agg(*seal).first().asDict()
     if sent != found:
         raise ValueError(f"hand-over lost rows: sent {sent}, found {found}")
     return copy

@@ -22,8 +22,9 @@ def parse_samples(polls: DataFrame, ts: str = "ts", text: str = "text") -> DataF
     wide = F.filter(F.transform(lines, trimmed_fields), lambda f: F.size(f) >= 4)
     numbers = F.transform(
         wide,
-        lambda f: F.struct(
-            *[F.get(f, i).try_cast("int").alias(n) for i, n in enumerate(SAMPLE_FIELDS)]
+        lambda f, i: F.struct(
+            F.get(f, 0).try_cast("int").alias("device_id"), i.alias("line"),
+            *[F.get(f, k + 1).try_cast("int").alias(n) for k, n in enumerate(SAMPLE_FIELDS[1:])],
         ),
     )
     spoiled = F.exists(
@@ -31,18 +32,17 @@ def parse_samples(polls: DataFrame, ts: str = "ts", text: str = "text") -> DataF
         lambda s: s["device_id"].isNull() | s["util"].isNull()
         | s["mem_used"].isNull() | s["mem_total"].isNull(),
     )
+    # Sorted by device and line, the last line of a device is followed by another device.
     last_ones = F.filter(
         "samples",
-        lambda s, i: ~F.exists(
-            F.slice("samples", i + 2, F.size("samples")),
-            lambda later: later["device_id"] == s["device_id"],
-        ),
+        lambda s, i: ~F.coalesce(
+            F.get("samples", i + 1)["device_id"] == s["device_id"], F.lit(False)),
     )
     return (
-        polls.select(ts, numbers.alias("samples"))
+        polls.select(ts, F.array_sort(numbers).alias("samples"))
         .filter(~spoiled)
         .select(ts, F.explode(last_ones).alias("s"))
-        .select(ts, "s.*")
+        .select(ts, *[F.col(f"s.{n}").alias(n) for n in SAMPLE_FIELDS])
     )
 
 
