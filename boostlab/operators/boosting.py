@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from boostlab.operators.binning import Edges, approx_edges, exact_edges
 from boostlab.operators.grow import Growth, add_margin, cached, grow_trees, make_blocks
@@ -24,9 +26,11 @@ class BoostParams:
     max_depth: int = 6
     learning_rate: float = 0.1
     num_leaves: int | None = None
-    max_bins: int = 64
+    max_bins: int = 256
     l2: float = 1.0
     min_child: float = 1.0
+    min_rows: int = 0  # least rows per leaf, for level-wise and leaf-wise trees
+    from_share: bool = False  # start at the share of class 1, not at one half
     exact_bins: bool = False
     seed: int = 42
 
@@ -45,40 +49,81 @@ def edges_of(df: DataFrame, features: Sequence[str], max_bins: int, exact: bool)
     return (exact_edges if exact else approx_edges)(df, list(features), max_bins)
 
 
+@dataclass
+class Binned:
+    """Binned training rows, ready for any number of fits."""
+
+    blocks: DataFrame
+    edges: Edges
+    positive: float
+    home: str
+
+    def close(self) -> None:
+        self.blocks.unpersist()
+        drop_dir(self.blocks.sparkSession, self.home)
+
+    def logit(self) -> float:
+        """The margin of the share of class 1, 0 where there is one class alone."""
+        share = self.positive or 0.0
+        return math.log(share / (1.0 - share)) if 0.0 < share < 1.0 else 0.0
+
+
+def binned_rows(
+    df: DataFrame, features: Sequence[str], label: str = "label", row_id: str = "row_id",
+    max_bins: int = 256, exact: bool = False, edges: Edges | None = None,
+) -> Binned:
+    """Find edges, bin the rows and keep them in the shared folder until closed."""
+    home = run_dir(df.sparkSession, "binned")
+    edges = edges or edges_of(df, features, max_bins, exact)
+    blocks = cached(stored_blocks(df, row_id, label, edges, f"{home}/0"))
+    positive = blocks.agg(F.sum("n_pos") / F.sum("n")).first()[0]
+    return Binned(blocks, edges, positive, home)
+
+
 def boost(
     df: DataFrame, features: Sequence[str], params: BoostParams, label: str = "label",
     row_id: str = "row_id", edges: Edges | None = None,
 ) -> TreeModel:
     """Fit a boosted model of binary labels. Rows stay distributed; trees reach the driver."""
-    spark = df.sparkSession
+    data = binned_rows(df, features, label, row_id, params.max_bins, params.exact_bins, edges)
+    try:
+        return boost_binned(data, params)
+    finally:
+        data.close()
+
+
+def boost_binned(data: Binned, params: BoostParams) -> TreeModel:
+    """Fit on rows binned before; their bins rule, not those of ``params``."""
+    spark = data.blocks.sparkSession
     home = run_dir(spark, "boost")
-    edges = edges or edges_of(df, features, params.max_bins, params.exact_bins)
     growth = Growth(
         policy=params.growth, max_depth=params.max_depth, num_leaves=params.num_leaves,
-        l2=params.l2, min_child=params.min_child, shrink=params.learning_rate,
+        l2=params.l2, min_child=params.min_child, min_rows=params.min_rows,
+        shrink=params.learning_rate, base=data.logit() if params.from_share else 0.0,
     )
     # Boosting uses every row every round, so row ids are not carried along.
-    blocks = cached(stored_blocks(df, row_id, label, edges, f"{home}/0").drop("ids"))
+    blocks = data.blocks.drop("ids")
     trees, stale = [], []
     try:
         for round_ in range(params.rounds):
-            tree = grow_trees(blocks, edges, growth, {0: params.seed + round_})[0]
+            tree = grow_trees(blocks, data.edges, growth, {0: params.seed + round_})[0]
             trees.append(tree)
             # The first level of this round has filled the new cache.
             while stale:
                 stale.pop().unpersist()
             if round_ + 1 == params.rounds:
                 break
-            stale.append(blocks)
-            blocks = add_margin(blocks, tree, edges)
+            if round_:  # the first blocks belong to the caller
+                stale.append(blocks)
+            blocks = add_margin(blocks, tree, data.edges)
             if (round_ + 1) % WRITE_EVERY == 0:
                 copy = f"{home}/{round_ + 1}"
                 blocks.write.parquet(copy)
                 blocks = spark.read.parquet(copy)
-                drop_dir(spark, f"{home}/{max(0, round_ + 1 - WRITE_EVERY)}")
+                drop_dir(spark, f"{home}/{round_ + 1 - WRITE_EVERY}")
             blocks = cached(blocks)
     finally:
-        for old in [*stale, blocks]:
+        for old in [*stale, *([blocks] if len(trees) > 1 else [])]:
             old.unpersist()
         drop_dir(spark, home)
-    return TreeModel(list(features), edges, trees)
+    return TreeModel(list(data.edges), data.edges, trees, base=growth.base)

@@ -10,45 +10,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from dataclasses import replace
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boostlab.functions.scalars import decide
-from boostlab.operators.binning import Edges
-from boostlab.operators.boosting import edges_of, stored_blocks
+from boostlab.operators.boosting import Binned
+from boostlab.operators.boosting import binned_rows as forest_data
 from boostlab.operators.ensemble import soft_vote
-from boostlab.operators.grow import Growth, cached, grow_trees
+from boostlab.operators.grow import Growth, grow_trees
 from boostlab.operators.model import TreeModel, score
-from boostlab.session import drop_dir, run_dir
-
-
-@dataclass
-class ForestData:
-    """Binned training rows, ready for any number of fits."""
-
-    blocks: DataFrame
-    edges: Edges
-    positive: float
-    home: str
-
-    def close(self) -> None:
-        self.blocks.unpersist()
-        drop_dir(self.blocks.sparkSession, self.home)
-
-
-def forest_data(
-    df: DataFrame, features: Sequence[str], label: str = "label", row_id: str = "row_id",
-    max_bins: int = 32, edges: Edges | None = None,
-) -> ForestData:
-    spark = df.sparkSession
-    home = run_dir(spark, "forest")
-    edges = edges or edges_of(df, features, max_bins, exact=False)
-    blocks = cached(stored_blocks(df, row_id, label, edges, f"{home}/0"))
-    positive = blocks.agg(F.sum("n_pos") / F.sum("n")).first()[0]
-    return ForestData(blocks, edges, positive, home)
 
 
 def forest_growth(kind: str, n_features: int, max_depth: int, positive: float,
@@ -75,7 +48,7 @@ def forest_growth(kind: str, n_features: int, max_depth: int, positive: float,
     return replace(kinds[kind], max_depth=max_depth, shrink=1.0, **changes)
 
 
-def fit_forest(data: ForestData, kind: str, n_trees: int, max_depth: int, seed: int = 42,
+def fit_forest(data: Binned, kind: str, n_trees: int, max_depth: int, seed: int = 42,
                **changes) -> TreeModel:
     """Fit ``n_trees`` trees; their mean, behind the link, is the probability."""
     growth = forest_growth(kind, len(data.edges), max_depth, data.positive, **changes)
@@ -100,7 +73,7 @@ def side_by_side(spark: SparkSession, jobs: Sequence[Callable], pool: str = "mem
         return [r.result() for r in running]
 
 
-def fit_members(data: ForestData, kind: str, n_trees: int, members: int, max_depth: int,
+def fit_members(data: Binned, kind: str, n_trees: int, members: int, max_depth: int,
                 seed: int = 42, **changes) -> list[TreeModel]:
     """``members`` independent sub-forests of ``n_trees // members`` trees on all rows.
 

@@ -32,6 +32,9 @@ CUTS = (
 # Histogram cells a task may hold at once; more open nodes take several jobs.
 MAX_CELLS = 4_000_000
 SUM_TASK_BYTES = 8 << 20
+# Rows of a block, fewer for wide tables: numpy calls cost the same for any block.
+BLOCK_ROWS = 65_536
+BLOCK_CELLS = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -43,6 +46,7 @@ class Growth:
     num_leaves: int | None = None  # for the leaf policy
     l2: float = 1.0
     min_child: float = 1.0
+    min_rows: int = 0  # least rows on either side of a cut; 0 keeps no counts
     shrink: float = 0.1
     objective: str = "logistic"  # or mean: leaves hold label means
     base: float = 0.0
@@ -64,23 +68,32 @@ class Split:
 
 
 def make_blocks(df: DataFrame, row_id: str, label: str, edges: Edges) -> DataFrame:
-    """Bin training rows into blocks; an Arrow batch of rows becomes one block."""
+    """Bin training rows into blocks, each of some Arrow batches of rows."""
     cuts = [np.asarray(c, dtype=float) for c in edges.values()]
+    room = max(1, min(BLOCK_ROWS, BLOCK_CELLS // max(1, len(cuts))))
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, label, *values = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        bins = to_bins(values, cuts)
+        return pa.RecordBatch.from_pydict({
+            "n": pa.array([len(ids)], pa.int32()),
+            "n_pos": pa.array([int(label.sum())], pa.int32()),
+            "ids": [ids.astype(np.int64).tobytes()],
+            "label": [label.astype(np.int8).tobytes()],
+            "bins": [bins.tobytes()],
+            "margin": [np.zeros(len(ids)).tobytes()],
+        })
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, label, *values = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            bins = to_bins(values, cuts)
-            yield pa.RecordBatch.from_pydict({
-                "n": pa.array([len(ids)], pa.int32()),
-                "n_pos": pa.array([int(label.sum())], pa.int32()),
-                "ids": [ids.astype(np.int64).tobytes()],
-                "label": [label.astype(np.int8).tobytes()],
-                "bins": [bins.tobytes()],
-                "margin": [np.zeros(len(ids)).tobytes()],
-            })
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= room:
+                yield block(held)
+                held = []
+        if held:
+            yield block(held)
 
     needed = df.select(
         F.col(row_id).cast("long").alias("ids"), F.col(label).cast("int").alias("label"),
@@ -165,16 +178,18 @@ def level_sums(
     blocks: DataFrame, edges: Edges, growth: Growth, trees: dict[int, Tree],
     seeds: dict[int, int], open_nodes: dict[int, list[int]],
 ) -> DataFrame:
-    """Histograms of the open nodes, one set per task: sums per bin as arrays of doubles."""
+    """Histograms of the open nodes, one set per task: sums per bin as arrays of doubles,
+    with row counts where cuts need a least number of rows."""
     n_features, wide = len(edges), _is_wide(edges)
     n_bins = 1 + max((len(c) for c in edges.values()), default=0)
+    sides = ["g", "h", *(["n"] if growth.min_rows else [])]
     masks = {
         t: np.array([offered_features(growth, seeds[t], n, n_features) for n in nodes])
         for t, nodes in open_nodes.items()
     }
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {t: np.zeros((2, n_features, len(nodes) * n_bins)) for t, nodes in open_nodes.items()}
+        sums = {t: np.zeros((len(sides), n_features, len(nodes) * n_bins)) for t, nodes in open_nodes.items()}
         slots = {}
         for t, nodes in open_nodes.items():
             slots[t] = np.full(len(trees[t].feature), -1, dtype=np.int64)
@@ -201,8 +216,10 @@ def level_sums(
                         key = at + (bins[f][here] if some else bins[f])
                         cells[0, f] += np.bincount(key, weights=g, minlength=size)
                         cells[1, f] += np.bincount(key, weights=h, minlength=size)
+                        if growth.min_rows:
+                            cells[2, f] += np.bincount(key, minlength=size)
         for t, nodes in open_nodes.items():
-            grid = sums[t].reshape(2, n_features, len(nodes), n_bins)
+            grid = sums[t].reshape(len(sides), n_features, len(nodes), n_bins)
             f, k = np.nonzero(masks[t].T)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -212,12 +229,13 @@ def level_sums(
                     *(pa.array([side[i, j].tobytes() for i, j in zip(f, k)], pa.binary())
                       for side in grid),
                 ],
-                names=["tree", "node", "feature", "g", "h"],
+                names=["tree", "node", "feature", *sides],
             )
 
     drawn = growth.bootstrap or growth.row_share < 1.0
     needed = ["label", "bins", "margin", *(["ids"] if drawn else [])]
-    return blocks.select(*needed).coalesce(_map_tasks(blocks)).mapInArrow(add_up, SUMS)
+    return blocks.select(*needed).coalesce(_map_tasks(blocks)).mapInArrow(
+        add_up, SUMS + (", n binary" if growth.min_rows else ""))
 
 
 def _map_tasks(blocks: DataFrame) -> int:
@@ -246,9 +264,9 @@ def best_cuts(partial: DataFrame, growth: Growth, tasks: int) -> DataFrame:
         sums: dict[tuple[int, int, int], np.ndarray] = {}
         for batch in batches:
             keys = zip(*(batch[c].to_pylist() for c in ("tree", "node", "feature")))
-            for key, g, h in zip(keys, batch["g"], batch["h"]):
-                both = np.stack([np.frombuffer(side.as_buffer()) for side in (g, h)])
-                sums[key] = sums[key] + both if key in sums else both
+            for key, *sides in zip(keys, *batch.columns[3:]):
+                cells = np.stack([np.frombuffer(side.as_buffer()) for side in sides])
+                sums[key] = sums[key] + cells if key in sums else cells
         groups: dict[tuple[int, ...], list] = {}
         for tree, node, feature in sorted(sums):
             group = (tree, feature) if shared else (tree, feature, node)
@@ -256,8 +274,8 @@ def best_cuts(partial: DataFrame, growth: Growth, tasks: int) -> DataFrame:
         rows = []
         for (tree, feature, *_), entries in groups.items():
             nodes = [node for node, _ in entries]
-            gl, hl = np.cumsum(np.stack([cells for _, cells in entries], axis=1), axis=2)
-            rows += _cut_rows(tree, feature, nodes, gl, hl, growth, shared)
+            below = np.cumsum(np.stack([cells for _, cells in entries], axis=1), axis=2)
+            rows += _cut_rows(tree, feature, nodes, below, growth, shared)
         columns = zip(*rows) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int32() if i < 4 else pa.float64()) for i, c in enumerate(columns)],
@@ -268,8 +286,9 @@ def best_cuts(partial: DataFrame, growth: Growth, tasks: int) -> DataFrame:
     return partial.repartition(tasks, *keys).mapInArrow(choose, CUTS)
 
 
-def _cut_rows(tree, feature, nodes, gl, hl, growth: Growth, shared: bool) -> list[tuple]:
-    """Best cut rows of nodes that are decided together; ``gl, hl[node, bin]`` run on."""
+def _cut_rows(tree, feature, nodes, below, growth: Growth, shared: bool) -> list[tuple]:
+    """Best cut rows of nodes that are decided together; ``below[side, node, bin]`` runs on."""
+    gl, hl = below[:2]
     gt, ht = gl[:, -1:], hl[:, -1:]
 
     def term(g, h):
@@ -282,6 +301,10 @@ def _cut_rows(tree, feature, nodes, gl, hl, growth: Growth, shared: bool) -> lis
     else:
         least = np.maximum(growth.min_child, ht * 1e-9)
         gain = np.where((hl >= least) & (ht - hl >= least), gain, -1.0)
+        if growth.min_rows:
+            nl, nt = below[2], below[2][:, -1:]
+            gain = np.where(
+                (nl >= growth.min_rows) & (nt - nl >= growth.min_rows), gain, -1.0)
     gain = np.rint(gain * 1e9) / 1e9
     bins = gain.argmax(axis=1)
     return [

@@ -5,17 +5,19 @@ from __future__ import annotations
 import platform
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 import pyspark
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boostlab.operators.boosting import BoostParams, boost
-from boostlab.operators.forest import fit_forest, fit_members, forest_data, score_members
+from boostlab.functions.scalars import file_stamp
+from boostlab.operators.boosting import Binned, BoostParams, binned_rows, boost_binned
+from boostlab.operators.forest import fit_forest, fit_members, score_members
 from boostlab.operators.metrics import evaluate
 from boostlab.operators.model import TreeModel, best_round, eval_history, score
+from boostlab.sources.results import nest_results, write_document
 
 
 @dataclass(frozen=True)
@@ -75,6 +77,15 @@ def run_metadata(
     learning_rate: float,
 ) -> DataFrame:
     """One row: the ``hardware`` and ``parameters`` of a result document."""
+    return spark.range(1).select(
+        *_metadata(spark, samples, features, iterations, depth, learning_rate))
+
+
+def _metadata(
+    spark: SparkSession, samples: int, features: int, iterations: list[int], depth: int,
+    learning_rate: float,
+) -> list[Column]:
+    # The field names of a result document.
     hardware = {
         "timestamp": datetime.now().isoformat(),
         "platform": platform.platform(),
@@ -82,7 +93,7 @@ def run_metadata(
         "cpu_count": spark.sparkContext.defaultParallelism,
     }
     known = [F.lit(v).alias(k) for k, v in hardware.items()]
-    return spark.range(1).select(
+    return [
         F.struct(*known, F.lit(pyspark.__version__).alias("spark_version")).alias("hardware"),
         F.struct(
             F.lit(samples).cast("bigint").alias("samples"),
@@ -92,15 +103,16 @@ def run_metadata(
             F.lit(learning_rate).alias("learning_rate"),
             F.lit(2**depth).alias("lightgbm_num_leaves"),
         ).alias("parameters"),
-    )
+    ]
 
 
-# Regularisation each library applies unless told otherwise, and the
-# depths its forest adds to be comparable.
+# Regularisation, leaf sizes and starting margin each library applies unless
+# told otherwise, and the depths its forest adds to be comparable.
 BOOSTERS = {
-    "xgboost": {"growth": "level", "l2": 1.0, "min_child": 1.0},
+    "xgboost": {"growth": "level", "l2": 1.0, "min_child": 1.0, "from_share": True},
     "catboost": {"growth": "symmetric", "l2": 3.0},
-    "lightgbm": {"growth": "leaf", "l2": 0.0, "min_child": 1e-3},
+    "lightgbm": {"growth": "leaf", "l2": 0.0, "min_child": 1e-3, "min_rows": 20,
+                 "from_share": True},
 }
 FORESTS = {"sklearn": ("bootstrap", 0), "xgboost": ("subsample", 1), "lightgbm": ("bagged", 5)}
 
@@ -114,28 +126,36 @@ class Trial:
     features: list[str]
     depth: int = 6
     learning_rate: float = 0.03
-    max_bins: int = 64
+    max_bins: int = 256
     seed: int = 42
+    binned: Binned | None = None  # training rows binned before, for all configurations
+
+    def prepared(self) -> Trial:
+        """The trial with its training rows binned; who asks for it closes them."""
+        return replace(self, binned=binned_rows(
+            self.train, self.features, max_bins=self.max_bins))
 
 
 def fit_config(trial: Trial, config: str, iterations: int) -> TreeModel:
     """Fit one configuration. The part after the library names a device in result
     files; here every configuration runs on the session's cores."""
     lib, _, rest = config.partition("_")
-    if lib == "rf":
-        kind, deeper = FORESTS[rest]
-        data = forest_data(trial.train, trial.features)
+    if lib != "rf" and lib not in BOOSTERS:
+        raise ValueError(f"unknown configuration: {config}")
+    if trial.binned is None:
+        ready = trial.prepared()
         try:
-            return fit_forest(data, kind, iterations, trial.depth + deeper, trial.seed)
+            return fit_config(ready, config, iterations)
         finally:
-            data.close()
-    if lib not in BOOSTERS:
-        raise ValueError(f"unknown configuration: {config}")
+            ready.binned.close()
+    if lib == "rf":
+        kind, deeper = FORESTS[rest]
+        return fit_forest(trial.binned, kind, iterations, trial.depth + deeper, trial.seed)
     params = BoostParams(
         rounds=iterations, max_depth=trial.depth, learning_rate=trial.learning_rate,
         num_leaves=2**trial.depth, max_bins=trial.max_bins, seed=trial.seed, **BOOSTERS[lib],
     )
-    model = boost(trial.train, trial.features, params)
+    model = boost_binned(trial.binned, params)
     if lib == "catboost":
         # This library keeps the model of its best round on the evaluation rows.
         best = best_round(eval_history(trial.test, model)).first()["round"]
@@ -144,7 +164,16 @@ def fit_config(trial: Trial, config: str, iterations: int) -> TreeModel:
 
 
 def timed_run(trial: Trial, config: str, iterations: int) -> dict:
-    """Fit with the clock on, then measure quality on the test rows."""
+    """Fit with the clock on, then measure quality on the test rows. Binning has a clock of
+    its own, and takes no time where the trial comes with its rows binned."""
+    if trial.binned is None:
+        start = time.perf_counter()
+        ready = trial.prepared()
+        prepared = time.perf_counter() - start
+        try:
+            return timed_run(ready, config, iterations) | {"prepare_seconds": round(prepared, 2)}
+        finally:
+            ready.binned.close()
     start = time.perf_counter()
     model = fit_config(trial, config, iterations)
     elapsed = time.perf_counter() - start
@@ -154,6 +183,7 @@ def timed_run(trial: Trial, config: str, iterations: int) -> dict:
         "accuracy": round(quality["accuracy"], 4),
         "auc": None if quality["auc"] is None else round(quality["auc"], 4),
         "trees": len(model.trees),
+        "prepare_seconds": 0.0,
     }
 
 
@@ -176,37 +206,59 @@ def run_sweep(
 ) -> DataFrame:
     """Every configuration for every round count; one row each.
 
-    The rows to train on and to test on are cached before the first clock starts.
+    The rows to test on are cached and those to train on binned, once for all
+    configurations, before the first clock starts.
     A configuration that fails is a row with its error, and the sweep goes on.
     """
     context = trial.train.sparkSession.sparkContext
-    held = [trial.train.persist(), trial.test.persist()]
-    for part in held:
-        part.count()
+    trial.test.persist().count()
+    ready = trial.prepared()
     rows = []
     try:
         for rounds in iterations:
             for pos, name in enumerate(selection.names()):
                 context.setJobGroup(f"{name}-{rounds}", f"{name}, {rounds} rounds")
                 try:
-                    found, status = run(trial, name, rounds), "ok"
+                    found, status = run(ready, name, rounds), "ok"
                 except Exception as error:
                     found, status = {}, f"{type(error).__name__}: {error}"
                 measured = [found.get(k) for k in ("time_seconds", "accuracy", "auc", "trees")]
                 rows.append((rounds, pos, name, *measured, status))
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
-        for part in held:
-            part.unpersist()
+        trial.test.unpersist()
+        ready.binned.close()
     return trial.train.sparkSession.createDataFrame(rows, SWEEP)
 
 
+def sweep_document(
+    trial: Trial, selection: Selection, iterations: list[int], folder: str,
+    run: Callable[[Trial, str, int], dict] = timed_run,
+) -> str:
+    """Run a sweep and write its result document under a stamped name; the path of it.
+
+    Failed configurations have no result and are left out.
+    """
+    spark = trial.train.sparkSession
+    samples = trial.train.count() + trial.test.count()
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    rows = run_sweep(trial, selection, iterations, run).filter("status = 'ok'")
+    benches = nest_results(rows.withColumn("gpu_stats", none))
+    about = _metadata(
+        spark, samples, len(trial.features), iterations, trial.depth, trial.learning_rate)
+    stamp = spark.range(1).select(file_stamp(F.current_timestamp())).first()[0]
+    # Fixed value: the name of a result document.
+    path = f"{folder}/benchmark_results_{stamp}.json"
+    write_document(benches.select(*about, "benchmarks"), path)
+    return path
+
+
 def compare_forests(
     trial: Trial, n_trees: int, members: int, run_depth: int
 ) -> tuple[DataFrame, DataFrame]:
     """Each kind of forest as one fit and as sub-forests side by side: two result tables."""
     spark = trial.train.sparkSession
-    data = forest_data(trial.train, trial.features)
+    data = binned_rows(trial.train, trial.features, max_bins=trial.max_bins)
     # Settings the distributed comparison gives the third kind.
     changes = {"lightgbm": {"row_share": 0.8, "tree_features": 0.8, "num_leaves": 2**run_depth}}
     single, several = [], []

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from boostlab.functions.scalars import decide
 from boostlab.operators import binning, forest, histogram, metrics, mllib, model, shaping
-from boostlab.operators.boosting import BoostParams, boost
+from boostlab.operators.boosting import BoostParams, binned_rows, boost, boost_binned
 from boostlab.plans import reports, sweep
 from boostlab.registry.base import query
 from boostlab.registry.shape import BINNED_SQL, BINS, FEATURES
 from boostlab.registry.sqlparts import ORDER_FEATURES
 from boostlab.registry.treesql import NODES, boost_sql
-from boostlab.session import settled
-from boostlab.sources import relations
+from boostlab.session import run_dir, settled
+from boostlab.sources import relations, results
 
 ETA = 0.3
 
@@ -111,6 +111,22 @@ def q_boost_leaf(spark, sf_dir):
     return _nodes(spark, sf_dir, rounds=3, max_depth=2, growth="leaf", num_leaves=3)
 
 
+@query("boost_leaf_min_rows", boost_sql(
+    NODES, rounds=2, depth=2, policy="leaf", num_leaves=3, min_rows=1500))
+def q_boost_leaf_min_rows(spark, sf_dir):
+    """Leaf-wise trees whose leaves hold a least number of rows, here a large one."""
+    return _nodes(spark, sf_dir, rounds=2, max_depth=2, growth="leaf", num_leaves=3,
+                  min_rows=1500)
+
+
+@query("boost_base", boost_sql(
+    "SELECT tree, path, feature, threshold, round(leaf, 6) AS leaf FROM nodes", rounds=2, depth=2,
+    start="(SELECT ln(avg(label) / (1 - avg(label))) FROM train)"))
+def q_boost_base(spark, sf_dir):
+    """Boosting that starts at the share of class 1."""
+    return _nodes(spark, sf_dir, rounds=2, max_depth=2, from_share=True)
+
+
 @query("score_stump", boost_sql(
     "SELECT row_id, round(1 / (1 + exp(-margin)), 6) AS proba, "
     "(1 / (1 + exp(-margin)) > 0.5)::INT AS prediction FROM m1", rounds=1, depth=1))
@@ -295,15 +311,20 @@ def q_forest_compare(spark, sf_dir):
     return reports.scaling_efficiency(compared, 2)
 
 
-@query("concurrent_fits")
+@query("concurrent_fits", boost_sql(
+    "SELECT fit::INT AS fit, 2 AS trees, round(sum(leaf), 6) AS leaf_sum "
+    "FROM nodes, range(0, 4) t(fit) GROUP BY fit", rounds=2, depth=2))
 def q_concurrent_fits(spark, sf_dir):
-    """Four equal fits at the same time: trees of each, which must agree."""
-    train = _rows(spark, sf_dir)
-    fits = forest.side_by_side(
-        spark, [lambda: boost(train, FEATURES, _params(rounds=2, max_depth=2))] * 4
-    )
-    rows = [(i, len(m.trees), float(sum(map(sum, (t.value for t in m.trees)))))
-            for i, m in enumerate(fits)]
+    """Four equal fits at the same time on one set of blocks, which must agree."""
+    data = binned_rows(_rows(spark, sf_dir), FEATURES, max_bins=BINS, exact=True)
+    try:
+        fits = forest.side_by_side(
+            spark, [lambda: boost_binned(data, _params(rounds=2, max_depth=2))] * 4
+        )
+    finally:
+        data.close()
+    rows = [(i, len(m.trees), round(sum(v for t in m.trees for v, f in zip(t.value, t.feature)
+                                        if f < 0), 6)) for i, m in enumerate(fits)]
     return spark.createDataFrame(rows, "fit int, trees int, leaf_sum double")
 
 
@@ -318,5 +339,24 @@ def q_sweep_small(spark, sf_dir):
 def q_single_run(spark, sf_dir):
     """One configuration by its short name."""
     found = sweep.run_single(_trial(spark, sf_dir, 3), "lgb-cpu", [2, 3])
-    schema = "time_seconds double, accuracy double, auc double, trees int"
+    schema = "time_seconds double, accuracy double, auc double, trees int, prepare_seconds double"
     return spark.createDataFrame([tuple(found.values())], schema)
+
+
+@query("sweep_document", """SELECT iterations, name, (SELECT count(*) FROM orders) AS samples,
+  4 AS features, 3 AS depth, 0.3::DOUBLE AS learning_rate, 8 AS lightgbm_num_leaves,
+  true AS has_quality
+FROM (VALUES (1), (2)) i(iterations),
+     (VALUES ('xgboost_cpu'), ('catboost_cpu'), ('lightgbm_cpu')) c(name)""")
+def q_sweep_document(spark, sf_dir):
+    """A sweep's result document, written under its stamped name and read back."""
+    chosen = sweep.Selection(skip_1gpu=True, skip_multi_gpu=True, skip_rf=True)
+    path = sweep.sweep_document(
+        _trial(spark, sf_dir, 3), chosen, [1, 2], run_dir(spark, "documents"))
+    found = results.read_documents(spark, path)
+    about = found.select("parameters.*", F.explode("benchmarks").alias("b"))
+    return about.select(
+        "b.iterations", F.explode("b.results").alias("name", "r"), "samples", "features",
+        "depth", "learning_rate", "lightgbm_num_leaves",
+    ).withColumn("has_quality", F.col("r.accuracy").between(0, 1) & F.col("r.auc").between(0, 1)
+                 & (F.col("r.time_seconds") >= 0)).drop("r")

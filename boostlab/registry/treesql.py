@@ -15,24 +15,26 @@ def _gain(l2: float) -> str:
     return f"round(0.5::DOUBLE * ({gain}) * 1e9) / 1e9"
 
 
-def _level(state: str, out: str, policy: str, num_leaves: int, l2: float) -> list[str]:
+def _level(state: str, out: str, policy: str, num_leaves: int, l2: float,
+           min_rows: int) -> list[str]:
     """CTEs from rows at paths (``state``) to the splits of a level and rows one level on."""
     grid = (
         f"(SELECT path, feature, bin FROM (SELECT DISTINCT path FROM {state}) p, "
         f"(SELECT DISTINCT feature FROM binned) f, range(0, {BINS}) b(bin))"
     )
     sums = (
-        f"SELECT path, feature, bin, sum(g) AS g, sum(h) AS h FROM {state} JOIN binned "
+        f"SELECT path, feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {state} JOIN binned "
         f"USING (row_id) WHERE len(path) = {out.count('x')} GROUP BY ALL"
     )
     if policy == "symmetric":
         sums = (
-            f"SELECT path, feature, bin, coalesce(g, 0) AS g, coalesce(h, 0) AS h "
+            f"SELECT path, feature, bin, coalesce(g, 0) AS g, coalesce(h, 0) AS h, coalesce(n, 0) AS n "
             f"FROM {grid} cells LEFT JOIN ({sums}) s USING (path, feature, bin)"
         )
     sides = (
         f"SELECT path, feature, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, "
-        f"sum(g) OVER v AS gt, sum(h) OVER v AS ht FROM ({sums}) "
+        f"sum(g) OVER v AS gt, sum(h) OVER v AS ht, sum(n) OVER w AS nl, sum(n) OVER v AS nt "
+        f"FROM ({sums}) "
         f"WINDOW w AS (PARTITION BY path, feature ORDER BY bin ROWS UNBOUNDED PRECEDING), "
         f"v AS (PARTITION BY path, feature)"
     )
@@ -47,6 +49,7 @@ def _level(state: str, out: str, policy: str, num_leaves: int, l2: float) -> lis
         best = (
             f"SELECT path, feature, bin, gain FROM ({gains}) "
             f"WHERE hl >= 1 AND ht - hl >= 1 AND gain > 0 "
+            f"AND nl >= {min_rows} AND nt - nl >= {min_rows} "
             f"QUALIFY row_number() OVER (PARTITION BY path ORDER BY gain DESC, feature, bin) = 1"
         )
         if policy == "leaf" and out.count("x") == 1:
@@ -61,7 +64,8 @@ def _level(state: str, out: str, policy: str, num_leaves: int, l2: float) -> lis
 
 
 def boost_sql(final: str, rounds: int, depth: int, policy: str = "level", num_leaves: int = 0,
-              eta: float = 0.3, l2: float = 1.0) -> str:
+              eta: float = 0.3, l2: float = 1.0, min_rows: int = 0,
+              start: str = "0.0::DOUBLE") -> str:
     """A fit over the order features, then ``final`` over what it made.
 
     ``final`` may read ``nodes`` (tree, path, feature, threshold, leaf), ``binned``
@@ -69,7 +73,7 @@ def boost_sql(final: str, rounds: int, depth: int, policy: str = "level", num_le
     """
     parts = [
         f"{BINNED_SQL.replace('binned AS (', 'binned AS MATERIALIZED (')}",
-        "m0 AS MATERIALIZED (SELECT row_id, label, 0.0::DOUBLE AS margin FROM train)",
+        f"m0 AS MATERIALIZED (SELECT row_id, label, {start} AS margin FROM train)",
     ]
     nodes = []
     for r in range(rounds):
@@ -80,7 +84,7 @@ def boost_sql(final: str, rounds: int, depth: int, policy: str = "level", num_le
         )
         for level in range(depth):
             out = f"r{r}_" + "x" * level + "y"
-            parts += _level(state, out, policy, num_leaves, l2)
+            parts += _level(state, out, policy, num_leaves, l2, min_rows)
             nodes.append(
                 f"SELECT {r} AS tree, path, feature AS f, bin, NULL AS leaf FROM {out}_best"
             )

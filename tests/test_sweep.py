@@ -1,7 +1,11 @@
+import re
+
 import pytest
 
+from boostlab.operators import boosting
 from boostlab.plans import reports, sweep
 from boostlab.registry.trees import _trial
+from boostlab.sources import results
 
 
 def test_selection_follows_its_flags():
@@ -50,3 +54,16 @@ def test_no_crossover(spark):
     sizes = spark.createDataFrame([("s", 1, 1.0, 2.0), ("m", 2, 1.0, 1.0)],
                                   "name string, n_samples long, t_single double, t_dist double")
     assert reports.crossover(sizes).first()["message"] == "single is faster for all sizes"
+
+
+def test_a_sweep_bins_once_and_its_document_agrees_with_itself(spark, sf_dir, tmp_path, monkeypatch):
+    made = []
+    real = boosting.make_blocks
+    monkeypatch.setattr(boosting, "make_blocks", lambda *a: made.append(1) or real(*a))
+    chosen = sweep.Selection(skip_1gpu=True, skip_multi_gpu=True)
+    path = sweep.sweep_document(_trial(spark, sf_dir, 2), chosen, [1], str(tmp_path))
+    assert len(made) == 1
+    assert re.fullmatch(r"benchmark_results_[0-9]{8}_[0-9]{6}[.]json", path.split("/")[-1])
+    flat = results.flatten_results(results.read_documents(spark, path))
+    compared = reports.compare_runs(flat, flat, 0.0).collect()
+    assert len(compared) == 6 and {r["status"] for r in compared} == {"same"}
