@@ -13,42 +13,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boostlab.functions.scalars import int_div
-from boostlab.operators.ordered import add_ranges, running_sums
 from boostlab.operators.quantiles import quantiles
 
 Edges = dict[str, list[float]]
 
 
-def edge_table(df: DataFrame, features: Sequence[str], max_bins: int) -> DataFrame:
-    """Exact edges as rows ``(feature, edge)``: one row per distinct edge."""
-    ranged, n_rows = add_ranges(df.select(*[F.col(f).cast("double").alias(f) for f in features]), features)
-    parts = ", ".join(f"'{f}', {f}, {f}_range" for f in features)
-    counted = (
-        ranged.select(F.expr(f"stack({len(features)}, {parts}) as (feature, value, cut)"))
-        .groupBy("feature", "cut", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    ranked = running_sums(counted, "value", "cut", ["n"], ["feature"])
-    totals = F.lit(n_rows).cast("bigint")
-    # Quantile k sits on the value whose rank span covers ceil(k / bins * n).
-    first = int_div(F.col("n_before") * max_bins, totals)
-    last = F.least(
-        int_div((F.col("n_before") + F.col("n")) * max_bins, totals),
-        F.lit(max_bins - 1).cast("long"),
-    )
-    return ranked.filter(last > first).select("feature", F.col("value").alias("edge"))
-
-
 def exact_edges(df: DataFrame, features: Sequence[str], max_bins: int) -> Edges:
-    """Exact edges, on the driver: at most ``max_bins - 1`` per feature."""
-    rows = edge_table(df, features, max_bins).collect()
-    return {f: sorted(r["edge"] for r in rows if r["feature"] == f) for f in features}
+    """Edges on the driver: at most ``max_bins - 1`` per feature, whatever the partitions."""
+    return quantiles(df, features, max_bins)
 
 
-def approx_edges(df: DataFrame, features: Sequence[str], max_bins: int) -> Edges:
-    """Edges from one pass of quantile summaries, for very large tables."""
-    return quantiles(df, features, [k / max_bins for k in range(1, max_bins)])[0]
+def edge_table(df: DataFrame, features: Sequence[str], max_bins: int) -> DataFrame:
+    """Edges as rows ``(feature, edge)``."""
+    rows = [(f, e) for f, cuts in exact_edges(df, features, max_bins).items() for e in cuts]
+    return df.sparkSession.createDataFrame(rows, "feature string, edge double")
 
 
 def bin_of(value: Column, cuts: Sequence[float]) -> Column:

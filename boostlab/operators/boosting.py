@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boostlab.operators.binning import Edges, approx_edges, exact_edges
+from boostlab.operators.binning import Edges, exact_edges
 from boostlab.operators.grow import Growth, add_margin, cached, grow_trees, make_blocks
 from boostlab.operators.model import TreeModel
 from boostlab.session import drop_dir, run_dir
@@ -31,7 +31,6 @@ class BoostParams:
     min_child: float = 1.0
     min_rows: int = 0  # least rows per leaf, for level-wise and leaf-wise trees
     from_share: bool = False  # start at the share of class 1, not at one half
-    exact_bins: bool = False
     seed: int = 42
 
 
@@ -45,10 +44,6 @@ def stored_blocks(df: DataFrame, row_id: str, label: str, edges: Edges, path: st
     return df.sparkSession.read.parquet(path)
 
 
-def edges_of(df: DataFrame, features: Sequence[str], max_bins: int, exact: bool) -> Edges:
-    return (exact_edges if exact else approx_edges)(df, list(features), max_bins)
-
-
 @dataclass
 class Binned:
     """Binned training rows, ready for any number of fits."""
@@ -56,6 +51,7 @@ class Binned:
     blocks: DataFrame
     edges: Edges
     positive: float
+    n_rows: int
     home: str
 
     def close(self) -> None:
@@ -70,14 +66,14 @@ class Binned:
 
 def binned_rows(
     df: DataFrame, features: Sequence[str], label: str = "label", row_id: str = "row_id",
-    max_bins: int = 256, exact: bool = False, edges: Edges | None = None,
+    max_bins: int = 256, edges: Edges | None = None,
 ) -> Binned:
     """Find edges, bin the rows and keep them in the shared folder until closed."""
     home = run_dir(df.sparkSession, "binned")
-    edges = edges or edges_of(df, features, max_bins, exact)
+    edges = edges or exact_edges(df, list(features), max_bins)
     blocks = cached(stored_blocks(df, row_id, label, edges, f"{home}/0"))
-    positive = blocks.agg(F.sum("n_pos") / F.sum("n")).first()[0]
-    return Binned(blocks, edges, positive, home)
+    positive, n_rows = blocks.agg(F.sum("n_pos") / F.sum("n"), F.sum("n")).first()
+    return Binned(blocks, edges, positive, n_rows or 0, home)
 
 
 def boost(
@@ -85,7 +81,7 @@ def boost(
     row_id: str = "row_id", edges: Edges | None = None,
 ) -> TreeModel:
     """Fit a boosted model of binary labels. Rows stay distributed; trees reach the driver."""
-    data = binned_rows(df, features, label, row_id, params.max_bins, params.exact_bins, edges)
+    data = binned_rows(df, features, label, row_id, params.max_bins, edges)
     try:
         return boost_binned(data, params)
     finally:
@@ -106,7 +102,8 @@ def boost_binned(data: Binned, params: BoostParams) -> TreeModel:
     trees, stale = [], []
     try:
         for round_ in range(params.rounds):
-            tree = grow_trees(blocks, data.edges, growth, {0: params.seed + round_})[0]
+            tree = grow_trees(
+                blocks, data.edges, growth, {0: params.seed + round_}, data.n_rows)[0]
             trees.append(tree)
             # The first level of this round has filled the new cache.
             while stale:

@@ -53,7 +53,7 @@ def fit_forest(data: Binned, kind: str, n_trees: int, max_depth: int, seed: int
     """Fit ``n_trees`` trees; their mean, behind the link, is the probability."""
     growth = forest_growth(kind, len(data.edges), max_depth, data.positive, **changes)
     seeds = {t: seed * 1_000_003 + t for t in range(n_trees)}
-    trees = grow_trees(data.blocks, data.edges, growth, seeds)
+    trees = grow_trees(data.blocks, data.edges, growth, seeds, data.n_rows)
     link = "identity" if growth.objective == "mean" else "logistic"
     return TreeModel(list(data.edges), data.edges, [trees[t] for t in seeds],
                      base=growth.base, mean=True, link=link)

@@ -29,9 +29,15 @@ CUTS = (
     "tree int, node int, feature int, bin int, gain double, gl double, hl double, "
     "gt double, ht double"
 )
-# Histogram cells a task may hold at once; more open nodes take several jobs.
+# Histogram cells a task may hold at once; more open nodes, or for shared cuts more
+# features, take several jobs.
 MAX_CELLS = 4_000_000
 SUM_TASK_BYTES = 8 << 20
+# Row-feature pairs that a task adds up, about a second's work. The data set the number of
+# tasks beyond a few per core, so none grows with the table.
+TASK_PAIRS = 256_000_000
+# Histograms of more tasks than these are summed in two steps, first in lanes.
+ONE_STEP = 128
 # Rows of a block, fewer for wide tables: numpy calls cost the same for any block.
 BLOCK_ROWS = 65_536
 BLOCK_CELLS = 16_000_000
@@ -176,20 +182,24 @@ def offered_features(growth: Growth, seed: int, node: int, n_features: int) -> n
 
 def level_sums(
     blocks: DataFrame, edges: Edges, growth: Growth, trees: dict[int, Tree],
-    seeds: dict[int, int], open_nodes: dict[int, list[int]],
+    seeds: dict[int, int], open_nodes: dict[int, list[int]], features: range | None = None,
+    tasks: int = 0,
 ) -> DataFrame:
     """Histograms of the open nodes, one set per task: sums per bin as arrays of doubles,
     with row counts where cuts need a least number of rows."""
     n_features, wide = len(edges), _is_wide(edges)
-    n_bins = 1 + max((len(c) for c in edges.values()), default=0)
+    n_bins = _n_bins(edges)
+    features = features or range(n_features)
     sides = ["g", "h", *(["n"] if growth.min_rows else [])]
     masks = {
-        t: np.array([offered_features(growth, seeds[t], n, n_features) for n in nodes])
+        t: np.array([offered_features(growth, seeds[t], n, n_features) for n in nodes])[
+            :, features.start:features.stop]
         for t, nodes in open_nodes.items()
     }
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {t: np.zeros((len(sides), n_features, len(nodes) * n_bins)) for t, nodes in open_nodes.items()}
+        sums = {t: np.zeros((len(sides), len(features), len(nodes) * n_bins))
+                for t, nodes in open_nodes.items()}
         slots = {}
         for t, nodes in open_nodes.items():
             slots[t] = np.full(len(trees[t].feature), -1, dtype=np.int64)
@@ -212,20 +222,21 @@ def level_sums(
                     g, h = (grad, hess) if weight is None else (grad * weight, hess * weight)
                     g, h = (g[here], h[here]) if some else (g, h)
                     size = cells.shape[2]
-                    for f in np.flatnonzero(masks[t].any(axis=0)):
-                        key = at + (bins[f][here] if some else bins[f])
-                        cells[0, f] += np.bincount(key, weights=g, minlength=size)
-                        cells[1, f] += np.bincount(key, weights=h, minlength=size)
+                    for i in np.flatnonzero(masks[t].any(axis=0)):
+                        own = bins[features[i]]
+                        key = at + (own[here] if some else own)
+                        cells[0, i] += np.bincount(key, weights=g, minlength=size)
+                        cells[1, i] += np.bincount(key, weights=h, minlength=size)
                         if growth.min_rows:
-                            cells[2, f] += np.bincount(key, minlength=size)
+                            cells[2, i] += np.bincount(key, minlength=size)
         for t, nodes in open_nodes.items():
-            grid = sums[t].reshape(len(sides), n_features, len(nodes), n_bins)
+            grid = sums[t].reshape(len(sides), len(features), len(nodes), n_bins)
             f, k = np.nonzero(masks[t].T)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(f), t), pa.int32()),
                     pa.array(np.asarray(nodes)[k], pa.int32()),
-                    pa.array(f, pa.int32()),
+                    pa.array(f + features.start, pa.int32()),
                     *(pa.array([side[i, j].tobytes() for i, j in zip(f, k)], pa.binary())
                       for side in grid),
                 ],
@@ -234,49 +245,98 @@ def level_sums(
 
     drawn = growth.bootstrap or growth.row_share < 1.0
     needed = ["label", "bins", "margin", *(["ids"] if drawn else [])]
-    return blocks.select(*needed).coalesce(_map_tasks(blocks)).mapInArrow(
-        add_up, SUMS + (", n binary" if growth.min_rows else ""))
+    return blocks.select(*needed).coalesce(tasks or _map_tasks(blocks, 0, 0)).mapInArrow(
+        add_up, _sums_schema(growth))
 
 
-def _map_tasks(blocks: DataFrame) -> int:
-    """A histogram is as large for a small task as for a big one, so tasks are kept
-    few: a fixed number per core, each over many cached partitions."""
-    return 2 * blocks.sparkSession.sparkContext.defaultParallelism
+def _n_bins(edges: Edges) -> int:
+    return 1 + max((len(c) for c in edges.values()), default=0)
 
 
-def _sum_tasks(blocks: DataFrame, n_groups: int, n_bins: int) -> int:
+def _sums_schema(growth: Growth) -> str:
+    return SUMS + (", n binary" if growth.min_rows else "")
+
+
+def _map_tasks(blocks: DataFrame, n_rows: int, n_features: int) -> int:
+    """A histogram is as large for a small task as for a big one, so a small table has a
+    few tasks per core; for a large one the data decide. (``coalesce`` never makes more
+    tasks than there are partitions.)"""
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    return max(2 * cores, -(-n_rows * n_features // TASK_PAIRS))
+
+
+def _sum_tasks(n_groups: int, n_bins: int, map_tasks: int) -> int:
     """Tasks to sum the histograms of all map tasks, some megabytes each."""
-    volume = 16 * n_bins * n_groups * _map_tasks(blocks)
+    volume = 16 * n_bins * n_groups * map_tasks
     return max(1, min(n_groups, volume // SUM_TASK_BYTES))
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> dict[tuple[int, int, int], np.ndarray]:
+    """Sums per (tree, node, feature) of all histograms read."""
+    sums: dict[tuple[int, int, int], np.ndarray] = {}
+    for batch in batches:
+        keys = zip(*(batch[c].to_pylist() for c in ("tree", "node", "feature")))
+        for key, *sides in zip(keys, *batch.columns[3:]):
+            cells = np.stack([np.frombuffer(side.as_buffer()) for side in sides])
+            if key in sums:
+                sums[key] += cells
+            else:
+                sums[key] = cells
+    return sums
+
+
+def in_lanes(partial: DataFrame, growth: Growth, groups: int, n_bins: int,
+             map_tasks: int) -> DataFrame:
+    """Histograms summed over lanes of map tasks, where these are many: a key then gets one
+    histogram per lane instead of one per task."""
+    if map_tasks <= ONE_STEP:
+        return partial
+    lanes = math.isqrt(map_tasks)
+    sides = ["g", "h", *(["n"] if growth.min_rows else [])]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _added(batches)
+        keys = list(zip(*sums)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(k, pa.int32()) for k in keys),
+             *(pa.array([cells[i].tobytes() for cells in sums.values()], pa.binary())
+               for i in range(len(sides)))],
+            names=["tree", "node", "feature", *sides],
+        )
+
+    tasks = max(lanes, _sum_tasks(groups * lanes, n_bins, -(-map_tasks // lanes)))
+    return (
+        partial.withColumn("lane", F.spark_partition_id() % lanes)
+        .repartition(tasks, "tree", "node", "feature", "lane").drop("lane")
+        .mapInArrow(add, _sums_schema(growth))
+    )
+
+
 def best_cuts(partial: DataFrame, growth: Growth, tasks: int) -> DataFrame:
-    """The best cut of every (tree, node, feature): one shuffle of the histograms to ``tasks``.
+    """The best cut of every (tree, node) among the features a task has: one shuffle of the
+    histograms to ``tasks``, so at most one row per node and task.
 
     Symmetric growth adds the gains of all open nodes first, so there the cut is the
-    same for all nodes of a (tree, feature). Gains are whole multiples of 1e-9, and
-    the lowest of equal bins wins, whatever the order of tasks.
+    same for all nodes of a tree. Gains are whole multiples of 1e-9, and the lowest of
+    equal features and bins wins, whatever the order of tasks.
     """
     shared = growth.policy == "symmetric"
     names = [c.split()[0] for c in CUTS.split(", ")]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int, int], np.ndarray] = {}
-        for batch in batches:
-            keys = zip(*(batch[c].to_pylist() for c in ("tree", "node", "feature")))
-            for key, *sides in zip(keys, *batch.columns[3:]):
-                cells = np.stack([np.frombuffer(side.as_buffer()) for side in sides])
-                sums[key] = sums[key] + cells if key in sums else cells
+        sums = _added(batches)
         groups: dict[tuple[int, ...], list] = {}
         for tree, node, feature in sorted(sums):
             group = (tree, feature) if shared else (tree, feature, node)
             groups.setdefault(group, []).append((node, sums[tree, node, feature]))
-        rows = []
-        for (tree, feature, *_), entries in groups.items():
+        best: dict[tuple[int, int], tuple] = {}
+        for (tree, feature, *_), entries in sorted(groups.items(), key=lambda g: g[0]):
             nodes = [node for node, _ in entries]
             below = np.cumsum(np.stack([cells for _, cells in entries], axis=1), axis=2)
-            rows += _cut_rows(tree, feature, nodes, below, growth, shared)
-        columns = zip(*rows) if rows else [[]] * len(names)
+            for row in _cut_rows(tree, feature, nodes, below, growth, shared):
+                if row[:2] not in best or row[4] > best[row[:2]][4]:
+                    best[row[:2]] = row
+        columns = zip(*best.values()) if best else [[]] * len(names)
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int32() if i < 4 else pa.float64()) for i, c in enumerate(columns)],
             names=names,
@@ -286,6 +346,25 @@ def best_cuts(partial: DataFrame, growth: Growth, tasks: int) -> DataFrame:
     return partial.repartition(tasks, *keys).mapInArrow(choose, CUTS)
 
 
+def cell_rows(partial: DataFrame, growth: Growth) -> DataFrame:
+    """Histograms as rows: sums per (tree, node, feature, bin) over all tasks."""
+    sides = ["g", "h", *(["n"] if growth.min_rows else [])]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (tree, node, feature), cells in _added(batches).items():
+            size = cells.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(np.full(size, v), pa.int32()) for v in (tree, node, feature)),
+                 pa.array(np.arange(size), pa.int32()), *map(pa.array, cells)],
+                names=["tree", "node", "feature", "bin", *sides],
+            )
+
+    schema = "tree int, node int, feature int, bin int, " + ", ".join(
+        f"{s} double" for s in sides)
+    return partial.mapInArrow(spread, schema).groupBy("tree", "node", "feature", "bin").agg(
+        *[F.sum(s).alias(s) for s in sides])
+
+
 def _cut_rows(tree, feature, nodes, below, growth: Growth, shared: bool) -> list[tuple]:
     """Best cut rows of nodes that are decided together; ``below[side, node, bin]`` runs on."""
     gl, hl = below[:2]
@@ -313,39 +392,56 @@ def _cut_rows(tree, feature, nodes, below, growth: Growth, shared: bool) -> list
     ]
 
 
-def _in_jobs(open_nodes: dict[int, list[int]], per_node: int) -> Iterator[dict[int, list[int]]]:
-    """Open nodes in portions whose histograms stay within ``MAX_CELLS``."""
-    room = max(1, MAX_CELLS // per_node)
+Portion = tuple[dict[int, list[int]], range]
+
+
+def _in_jobs(open_nodes: dict[int, list[int]], n_features: int, n_bins: int) -> Iterator[Portion]:
+    """Open nodes in portions whose histograms of all features stay within ``MAX_CELLS``."""
+    room = max(1, MAX_CELLS // (n_features * n_bins))
     portion: dict[int, list[int]] = {}
     used = 0
     for t, nodes in open_nodes.items():
         for n in nodes:
             if used == room:
-                yield portion
+                yield portion, range(n_features)
                 portion, used = {}, 0
             portion.setdefault(t, []).append(n)
             used += 1
     if portion:
-        yield portion
+        yield portion, range(n_features)
+
+
+def _in_jobs_by_feature(
+    open_nodes: dict[int, list[int]], n_features: int, n_bins: int
+) -> Iterator[Portion]:
+    """Features in portions, for cuts shared by all open nodes of a tree."""
+    each = max(1, MAX_CELLS // (n_bins * max(1, sum(map(len, open_nodes.values())))))
+    for first in range(0, n_features, each):
+        yield open_nodes, range(first, min(first + each, n_features))
 
 
 Level = Callable[[dict[int, Tree], dict[int, list[int]]], dict[tuple[int, int], Split]]
 
 
-def level_splits(blocks: DataFrame, edges: Edges, growth: Growth, seeds: dict[int, int]) -> Level:
+def level_splits(
+    blocks: DataFrame, edges: Edges, growth: Growth, seeds: dict[int, int], n_rows: int = 0
+) -> Level:
     """A function giving the best split of open nodes, one job per portion of them."""
-    symmetric = growth.policy == "symmetric"
-    n_bins = 1 + max((len(c) for c in edges.values()), default=0)
+    shared = growth.policy == "symmetric"
+    n_features, n_bins = len(edges), _n_bins(edges)
+    map_tasks = _map_tasks(blocks, n_rows, n_features)
 
     def find(trees, open_nodes):
-        # A shared cut needs all nodes of its tree in one job.
-        portions = [open_nodes] if symmetric else _in_jobs(open_nodes, len(edges) * n_bins)
         found: dict[tuple[int, int], Split] = {}
-        for portion in portions:
-            partial = level_sums(blocks, edges, growth, trees, seeds, portion)
-            groups = len(edges) * (1 if symmetric else sum(map(len, portion.values())))
-            tasks = _sum_tasks(blocks, groups, n_bins)
-            # One row per open node and feature, at most MAX_CELLS / bins.
+        for portion, features in (_in_jobs_by_feature if shared else _in_jobs)(
+                open_nodes, n_features, n_bins):
+            partial = level_sums(
+                blocks, edges, growth, trees, seeds, portion, features, map_tasks)
+            groups = len(features) * sum(map(len, portion.values()))
+            partial = in_lanes(partial, growth, groups, n_bins, map_tasks)
+            each = math.isqrt(map_tasks) if map_tasks > ONE_STEP else map_tasks
+            tasks = _sum_tasks(groups, n_bins, each)
+            # One row per open node and task.
             rows = best_cuts(partial, growth, tasks).collect()
             for r in sorted(rows, key=lambda r: r["feature"]):
                 key = (r["tree"], r["node"])
@@ -371,7 +467,7 @@ def _chosen(tree: Tree, splits: dict[int, Split], limit: int) -> list[int]:
 
 
 def grow_trees(
-    blocks: DataFrame, edges: Edges, growth: Growth, seeds: dict[int, int]
+    blocks: DataFrame, edges: Edges, growth: Growth, seeds: dict[int, int], n_rows: int = 0
 ) -> dict[int, Tree]:
     """Grow one tree per seed, all of them level by level in the same jobs.
 
@@ -379,7 +475,7 @@ def grow_trees(
     reach with the splits known so far cannot be reached later, so only children
     of reachable nodes stay open, and the final order is taken once all are known.
     """
-    find = level_splits(blocks, edges, growth, seeds)
+    find = level_splits(blocks, edges, growth, seeds, n_rows)
     trees = {t: Tree() for t in seeds}
     sums: dict[tuple[int, int], tuple[float, float]] = {}
     known: dict[int, dict[int, Split]] = {t: {} for t in seeds}

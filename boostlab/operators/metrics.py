@@ -45,7 +45,7 @@ def score_counts(
             F.sum(1 - F.col(label)).cast("long").alias("neg"),
         )
     )
-    ranged, _ = add_ranges(counted, [score])
+    ranged = add_ranges(counted, [score])
     return running_sums(ranged, score, f"{score}_range", ["neg"], by)
 
 

@@ -21,22 +21,20 @@ def range_count(df: DataFrame) -> int:
     return max(16, 4 * partitions)
 
 
-def add_ranges(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, int]:
-    """Add ``<column>_range``, the range number, for every given column; also count the rows.
+def add_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Add ``<column>_range``, the range number, for every given column.
 
-    Cut points are approximate quantiles. A value holding a large share of the rows
-    repeats among them and is kept once.
+    A value holding a large share of the rows has a range of its own or shares one with
+    less frequent neighbours.
     """
-    ranges = range_count(df)
-    bounds, n_rows = quantiles(df, columns, [i / ranges for i in range(1, ranges)])
+    bounds = quantiles(df, columns, range_count(df), balance=True)
     infinite = float("inf")
     inner = [[b for b in bounds[c] if -infinite < b < infinite] for c in columns]
-    ranged = Bucketizer(
+    return Bucketizer(
         inputCols=list(columns),
         outputCols=[f"{c}_range" for c in columns],
         splitsArray=[[-infinite, *(b or [0.0]), infinite] for b in inner],
     ).transform(df)
-    return ranged, n_rows
 
 
 def running_sums(

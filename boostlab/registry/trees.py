@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boostlab.functions.scalars import decide
-from boostlab.operators import binning, forest, histogram, metrics, mllib, model, shaping
+from boostlab.operators import binning, forest, grow, metrics, mllib, model, shaping
 from boostlab.operators.boosting import BoostParams, binned_rows, boost, boost_binned
 from boostlab.plans import reports, sweep
 from boostlab.registry.base import query
@@ -19,7 +19,7 @@ ETA = 0.3
 
 
 def _params(**settings) -> BoostParams:
-    return BoostParams(learning_rate=ETA, max_bins=BINS, exact_bins=True, **settings)
+    return BoostParams(learning_rate=ETA, max_bins=BINS, **settings)
 
 
 def _rows(spark, sf_dir):
@@ -38,29 +38,51 @@ def _nodes(spark, sf_dir, **settings):
     return fitted.to_paths(spark).withColumn("leaf", F.round("leaf", 6))
 
 
-_GRADIENT_SQL = f"""WITH {BINNED_SQL}, graded AS (
-  SELECT row_id, (row_id % 4)::INT AS node, p - label AS g, p * (1 - p) AS h
-  FROM (SELECT row_id, label, 1 / (1 + exp(-(f1 - 90) / 50)) AS p FROM train)),
+# Four nodes by bins of two features, and the margins of their rows.
+_CUTS, _MARGINS = ((0, 3), (3, 2)), (-0.3, 0.2, 0.5, -0.1)
+_GRADIENT_SQL = f"""WITH {BINNED_SQL}, placed AS (
+  SELECT row_id, (max(bin) FILTER (feature = 0) > 3)::INT * 2
+                 + (max(bin) FILTER (feature = 3) > 2)::INT AS place
+  FROM binned GROUP BY row_id),
+graded AS (
+  SELECT row_id, place + 3 AS node, p - label AS g, p * (1 - p) AS h
+  FROM (SELECT row_id, label, place,
+               1 / (1 + exp(-([{", ".join(map(str, _MARGINS))}]::DOUBLE[])[place + 1])) AS p
+        FROM train JOIN placed USING (row_id))),
 cells AS (
   SELECT node, feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n
   FROM graded JOIN binned USING (row_id) GROUP BY ALL)"""
 
 
-def _graded(spark, sf_dir):
-    """Rows in four nodes, with gradients at a margin that varies by row."""
-    train = _rows(spark, sf_dir)
-    edges = binning.exact_edges(train, FEATURES, BINS)
-    g, h = histogram.gradients(F.col("label"), (F.col("f1") - 90.0) / 50.0)
-    return binning.bin_features(train, edges).select(
-        (F.col("row_id") % 4).cast("int").alias("node"), g.alias("g"), h.alias("h"), "bins"
-    )
+def _on_four_nodes(spark, sf_dir, work):
+    """What ``work`` makes of binned rows, a tree with four open nodes and their numbers.
+    It is settled, so the bins can be dropped."""
+    data = binned_rows(_rows(spark, sf_dir), FEATURES, max_bins=BINS)
+    try:
+        tree = model.Tree(depth=2)
+        (first, first_cut), (second, second_cut) = _CUTS
+        for node in tree.split(0, first, first_cut):
+            tree.split(node, second, second_cut)
+        tree.value[3:] = _MARGINS
+        blocks = grow.add_margin(data.blocks.drop("ids"), tree, data.edges)
+        return settled(work(blocks, data.edges, {0: tree}, {0: [3, 4, 5, 6]}))
+    finally:
+        data.close()
 
 
 @query("grad_histogram", f"""{_GRADIENT_SQL}
 SELECT node, feature, bin, round(g, 6) AS g, round(h, 6) AS h, n FROM cells""")
 def q_grad_histogram(spark, sf_dir):
-    cells = histogram.histogram(_graded(spark, sf_dir))
-    return cells.withColumns({"g": F.round("g", 6), "h": F.round("h", 6)})
+    """The trainer's histograms of a level."""
+    growth = grow.Growth(min_rows=1)  # keeps counts
+
+    def work(blocks, edges, trees, open_nodes):
+        return grow.cell_rows(
+            grow.level_sums(blocks, edges, growth, trees, {0: 0}, open_nodes), growth)
+
+    cells = _on_four_nodes(spark, sf_dir, work).filter("n > 0")
+    return cells.select("node", "feature", "bin", F.round("g", 6).alias("g"),
+                        F.round("h", 6).alias("h"), F.col("n").cast("long").alias("n"))
 
 
 @query("best_split", f"""{_GRADIENT_SQL}, sides AS (
@@ -74,9 +96,14 @@ SELECT node, feature, bin, round(gain, 6) AS gain, round(gl, 6) AS gl, round(hl,
 FROM gains WHERE hl >= 1 AND ht - hl >= 1
 QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, feature, bin) = 1""")
 def q_best_split(spark, sf_dir):
-    cells = histogram.histogram(_graded(spark, sf_dir)).withColumn("tree", F.lit(0))
-    best = histogram.best_splits(cells, l2=1.0, min_child=1.0)
-    return best.select(
+    """The splits the trainer picks for a level."""
+    def work(blocks, edges, trees, open_nodes):
+        found = grow.level_splits(blocks, edges, grow.Growth(), {0: 0})(trees, open_nodes)
+        rows = [(node, s.feature, s.bin, s.gain, s.gl, s.hl) for (_, node), s in found.items()]
+        return spark.createDataFrame(
+            rows, "node int, feature int, bin int, gain double, gl double, hl double")
+
+    return _on_four_nodes(spark, sf_dir, work).select(
         "node", "feature", "bin", *[F.round(c, 6).alias(c) for c in ("gain", "gl", "hl")]
     )
 
@@ -316,7 +343,7 @@ def q_forest_compare(spark, sf_dir):
     "FROM nodes, range(0, 4) t(fit) GROUP BY fit", rounds=2, depth=2))
 def q_concurrent_fits(spark, sf_dir):
     """Four equal fits at the same time on one set of blocks, which must agree."""
-    data = binned_rows(_rows(spark, sf_dir), FEATURES, max_bins=BINS, exact=True)
+    data = binned_rows(_rows(spark, sf_dir), FEATURES, max_bins=BINS)
     try:
         fits = forest.side_by_side(
             spark, [lambda: boost_binned(data, _params(rounds=2, max_depth=2))] * 4

@@ -65,22 +65,35 @@ def test_generator_rejects_too_many_clusters(spark):
         generators.gen_classification(generators.row_ids(spark, 5), 2, 1, 0)
 
 
-@pytest.mark.parametrize("partitions", [1, 6])
-def test_quantiles_are_near_their_ranks(spark, partitions):
-    n = 200_000
+@pytest.mark.parametrize("partitions", [3, 11])
+def test_quantiles_are_exact_on_any_partitions(spark, partitions):
+    n = 20_000
     hot = F.when(F.col("id") % 3 == 0, 7.0)  # a third of the rows on one value
-    skewed = hot.otherwise(F.exp(F.hash("id") / F.lit(2.0**28)))
-    df = spark.range(0, n, 1, partitions).select(skewed.alias("x"), F.lit(None).cast("double").alias("y"))
-    probs = [k / 64 for k in range(1, 64)]
-    found, count = quantiles(df, ["x", "y"], probs)
-    assert count == n and found["y"] == []
-    for value in found["x"]:
-        below = df.filter(F.col("x") < value).count() / n
-        upto = df.filter(F.col("x") <= value).count() / n
-        assert any(below - 0.004 <= p <= upto + 0.004 for p in probs)
-        assert below - 0.004 <= 63 / 64
-
-
-def test_quantiles_of_few_rows_are_exact(spark):
-    df = spark.createDataFrame([(float(i % 10),) for i in range(100)], "x double")
-    assert quantiles(df, ["x"], [0.1, 0.5, 0.55])[0]["x"] == [0.0, 4.0, 5.0]
+    signed = F.exp(F.hash("id") / F.lit(2.0**28)) * F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0)
+    df = spark.range(0, n, 1, partitions).select(
+        hot.otherwise(signed).alias("x"), F.lit(None).cast("double").alias("y"),
+        F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias("z"))
+    found = quantiles(df, ["x", "y", "z"], 64)
+    assert found["y"] == []
+    for name in ("x", "z"):
+        ranked = sorted(r[0] for r in df.select(name).dropna().collect())
+        expected = {ranked[-(-k * len(ranked) // 64) - 1] for k in range(1, 64)}
+        assert found[name] == sorted(expected)
+
+
+def test_quantiles_of_odd_values(spark):
+    rows = [(float(i % 10),) for i in range(100)] + [(float("nan"),), (None,)]
+    df = spark.createDataFrame(rows, "x double")
+    assert quantiles(df, ["x"], 5)["x"] == [1.0, 3.0, 5.0, 7.0]
+    infinite = float("inf")
+    ends = spark.createDataFrame([(-infinite,), (-0.0,), (0.0,), (infinite,)], "x double")
+    assert quantiles(ends, ["x"], 4)["x"] == [-infinite, 0.0]
+    assert quantiles(df.limit(0), ["x"], 4)["x"] == [] and quantiles(df, [], 4) == {}
+
+
+def test_cuts_for_balance_leave_no_range_too_large(spark):
+    df = spark.range(50_000).select((F.col("id") / 1e9 + 1.0).alias("x"))  # a narrow band
+    cuts = quantiles(df, ["x"], 16, balance=True)["x"]
+    assert cuts == sorted(cuts)
+    places = [0, *(df.filter(F.col("x") < c).count() for c in cuts), 50_000]
+    assert max(b - a for a, b in zip(places, places[1:])) <= 3 * 50_000 / 16

@@ -82,7 +82,7 @@ def naive_margins(x, y, edges, params):
 @pytest.mark.parametrize("growth,leaves,depth", [("level", None, 3), ("leaf", 5, 4), ("leaf", 6, 3)])
 def test_booster_equals_plain_loops(train, arrays, growth, leaves, depth):
     params = boosting.BoostParams(rounds=3, growth=growth, num_leaves=leaves, max_depth=depth,
-                                  max_bins=8, exact_bins=True, learning_rate=0.5)
+                                  max_bins=8, learning_rate=0.5)
     fitted = boosting.boost(train, FEATURES, params)
     scored = model.score(train, fitted).orderBy("row_id").toPandas()
     margin = naive_margins(*arrays, fitted.edges, params)
@@ -119,7 +119,7 @@ def test_loss_falls_every_round_and_plan_stays_short(train):
 def test_model_does_not_depend_on_partitions(train, kind):
     def fit(rows):
         if kind == "boost":
-            params = boosting.BoostParams(rounds=2, max_depth=3, max_bins=8, exact_bins=True)
+            params = boosting.BoostParams(rounds=2, max_depth=3, max_bins=8)
             return boosting.boost(rows, FEATURES, params)
         edges = binning.exact_edges(train, FEATURES, 8)
         data = forest.forest_data(rows, FEATURES, edges=edges)
@@ -146,6 +146,24 @@ def test_growing_in_several_jobs_gives_the_same_trees(train, monkeypatch):
     assert [t.feature for t in whole.trees] == [t.feature for t in parts.trees]
 
 
+@pytest.mark.parametrize("growth", ["level", "symmetric"])
+def test_lanes_and_portions_change_no_tree(train, growth, monkeypatch):
+    params = boosting.BoostParams(rounds=2, growth=growth, max_depth=3, max_bins=8, min_rows=5)
+    whole = boosting.boost(train, FEATURES, params)
+    monkeypatch.setattr(grow, "ONE_STEP", 1)
+    monkeypatch.setattr(grow, "SUM_TASK_BYTES", 256)
+    monkeypatch.setattr(grow, "MAX_CELLS", 8 * 4 * 2)
+    monkeypatch.setattr(grow, "TASK_PAIRS", 100)
+    parts = boosting.boost(train.repartition(11), FEATURES, params)
+    assert [t.feature for t in whole.trees] == [t.feature for t in parts.trees]
+    assert [t.cut for t in whole.trees] == [t.cut for t in parts.trees]
+    assert len(whole.trees[0].feature) > 3
+
+
+def test_data_set_the_number_of_tasks(train):
+    assert grow._map_tasks(train, 10**12, 28) == -(-28 * 10**12 // grow.TASK_PAIRS)
+
+
 def test_forest_kinds_learn_and_keep_their_limits(train):
     data = forest.forest_data(train, FEATURES)
     try:
