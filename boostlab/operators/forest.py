@@ -48,11 +48,16 @@ def forest_growth(kind: str, n_features: int, max_depth: int, positive: float,
     return replace(kinds[kind], max_depth=max_depth, shrink=1.0, **changes)
 
 
+def tree_seeds(n_trees: int, seed: int) -> dict[int, int]:
+    """The seed of every tree of a fit."""
+    return {t: seed * 1_000_003 + t for t in range(n_trees)}
+
+
 def fit_forest(data: Binned, kind: str, n_trees: int, max_depth: int, seed: int = 42,
                **changes) -> TreeModel:
     """Fit ``n_trees`` trees; their mean, behind the link, is the probability."""
     growth = forest_growth(kind, len(data.edges), max_depth, data.positive, **changes)
-    seeds = {t: seed * 1_000_003 + t for t in range(n_trees)}
+    seeds = tree_seeds(n_trees, seed)
     trees = grow_trees(data.blocks, data.edges, growth, seeds, data.n_rows)
     link = "identity" if growth.objective == "mean" else "logistic"
     return TreeModel(list(data.edges), data.edges, [trees[t] for t in seeds],

@@ -20,6 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boostlab.functions.rand import literal_uniform
 from boostlab.operators.binning import Edges
 from boostlab.operators.model import Tree, route, to_bins
 
@@ -60,6 +61,7 @@ class Growth:
     bootstrap: bool = False  # rows per tree drawn with replacement
     node_features: float = 1.0  # share of features offered to a node
     tree_features: float = 1.0  # share of features offered to a tree
+    draws: str = "fast"  # of rows; md5 ones can be drawn again by any SQL engine
 
 
 @dataclass(frozen=True)
@@ -155,15 +157,23 @@ def hashed(seed: int, *keys) -> np.ndarray:
     return (mixed >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
+def poisson_ceilings() -> np.ndarray:
+    """Draws of a row in a large bootstrap sample follow Poisson(1): the chances of at most
+    0, 1, ... of them, up to where doubles end."""
+    return np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(19)])
+
+
 def row_weights(growth: Growth, seed: int, ids: np.ndarray) -> np.ndarray | None:
     """How often a tree uses each row; None when every row counts once."""
+    if not growth.bootstrap and growth.row_share >= 1.0:
+        return None
+    if growth.draws == "md5":
+        drawn = np.array([literal_uniform(seed, "rows", i) for i in ids.tolist()])
+    else:
+        drawn = hashed(seed, ids)
     if growth.bootstrap:
-        # Draws of a row in a large bootstrap sample follow Poisson(1).
-        ceilings = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(19)])
-        return np.searchsorted(ceilings, hashed(seed, ids), side="right").astype(float)
-    if growth.row_share < 1.0:
-        return (hashed(seed, ids) < growth.row_share).astype(float)
-    return None
+        return np.searchsorted(poisson_ceilings(), drawn, side="right").astype(float)
+    return (drawn < growth.row_share).astype(float)
 
 
 def offered_features(growth: Growth, seed: int, node: int, n_features: int) -> np.ndarray:

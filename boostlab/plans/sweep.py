@@ -17,6 +17,7 @@ from boostlab.operators.boosting import Binned, BoostParams, binned_rows, boost_
 from boostlab.operators.forest import fit_forest, fit_members, score_members
 from boostlab.operators.metrics import evaluate
 from boostlab.operators.model import TreeModel, best_round, eval_history, score
+from boostlab.session import scratch
 from boostlab.sources.results import nest_results, write_document
 
 
@@ -177,7 +178,8 @@ def timed_run(trial: Trial, config: str, iterations: int) -> dict:
     start = time.perf_counter()
     model = fit_config(trial, config, iterations)
     elapsed = time.perf_counter() - start
-    quality = evaluate(score(trial.test, model)).first()
+    with scratch(trial.test.sparkSession):
+        quality = evaluate(score(trial.test, model)).first()
     return {
         "time_seconds": round(elapsed, 2),
         "accuracy": round(quality["accuracy"], 4),
@@ -275,7 +277,8 @@ def compare_forests(
                 (several, end - middle, score_members(trial.test, parts),
                  sum(len(p.trees) for p in parts)),
             ):
-                quality = evaluate(scored).first()
+                with scratch(spark):
+                    quality = evaluate(scored).first()
                 rows.append((lib, round(took, 2), quality["accuracy"], quality["auc"], trees))
     finally:
         data.close()

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boostlab.functions.scalars import decide
 from boostlab.operators import binning, forest, grow, metrics, mllib, model, shaping
 from boostlab.operators.boosting import BoostParams, binned_rows, boost, boost_binned
 from boostlab.plans import reports, sweep
-from boostlab.registry.base import query
+from boostlab.registry.base import query, report
 from boostlab.registry.shape import BINNED_SQL, BINS, FEATURES
 from boostlab.registry.sqlparts import ORDER_FEATURES
-from boostlab.registry.treesql import NODES, boost_sql
+from boostlab.registry.treesql import NODES, boost_sql, forest_sql
 from boostlab.session import run_dir, settled
 from boostlab.sources import relations, results
 
@@ -72,6 +74,7 @@ def _on_four_nodes(spark, sf_dir, work):
 
 @query("grad_histogram", f"""{_GRADIENT_SQL}
 SELECT node, feature, bin, round(g, 6) AS g, round(h, 6) AS h, n FROM cells""")
+@report
 def q_grad_histogram(spark, sf_dir):
     """The trainer's histograms of a level."""
     growth = grow.Growth(min_rows=1)  # keeps counts
@@ -95,6 +98,7 @@ gains AS (SELECT *, 0.5::DOUBLE * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) /
 SELECT node, feature, bin, round(gain, 6) AS gain, round(gl, 6) AS gl, round(hl, 6) AS hl
 FROM gains WHERE hl >= 1 AND ht - hl >= 1
 QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, feature, bin) = 1""")
+@report
 def q_best_split(spark, sf_dir):
     """The splits the trainer picks for a level."""
     def work(blocks, edges, trees, open_nodes):
@@ -109,37 +113,44 @@ def q_best_split(spark, sf_dir):
 
 
 @query("boost_stump", boost_sql(NODES, rounds=1, depth=1))
+@report
 def q_boost_stump(spark, sf_dir):
     return _nodes(spark, sf_dir, rounds=1, max_depth=1)
 
 
 @query("boost_level_d2", boost_sql(NODES, rounds=1, depth=2))
+@report
 def q_boost_level_d2(spark, sf_dir):
     return _nodes(spark, sf_dir, rounds=1, max_depth=2)
 
 
 @query("boost_symmetric_d2", boost_sql(NODES, rounds=1, depth=2, policy="symmetric"))
+@report
 def q_boost_symmetric_d2(spark, sf_dir):
     return _nodes(spark, sf_dir, rounds=1, max_depth=2, growth="symmetric")
 
 
 @query("boost_level", boost_sql(NODES, rounds=3, depth=3))
+@report
 def q_boost_level(spark, sf_dir):
     return _nodes(spark, sf_dir, rounds=3, max_depth=3)
 
 
 @query("boost_symmetric", boost_sql(NODES, rounds=3, depth=2, policy="symmetric"))
+@report
 def q_boost_symmetric(spark, sf_dir):
     return _nodes(spark, sf_dir, rounds=3, max_depth=2, growth="symmetric")
 
 
 @query("boost_leaf", boost_sql(NODES, rounds=3, depth=2, policy="leaf", num_leaves=3))
+@report
 def q_boost_leaf(spark, sf_dir):
     return _nodes(spark, sf_dir, rounds=3, max_depth=2, growth="leaf", num_leaves=3)
 
 
 @query("boost_leaf_min_rows", boost_sql(
     NODES, rounds=2, depth=2, policy="leaf", num_leaves=3, min_rows=1500))
+@report
 def q_boost_leaf_min_rows(spark, sf_dir):
     """Leaf-wise trees whose leaves hold a least number of rows, here a large one."""
     return _nodes(spark, sf_dir, rounds=2, max_depth=2, growth="leaf", num_leaves=3,
@@ -149,6 +160,7 @@ def q_boost_leaf_min_rows(spark, sf_dir):
 @query("boost_base", boost_sql(
     "SELECT tree, path, feature, threshold, round(leaf, 6) AS leaf FROM nodes", rounds=2, depth=2,
     start="(SELECT ln(avg(label) / (1 - avg(label))) FROM train)"))
+@report
 def q_boost_base(spark, sf_dir):
     """Boosting that starts at the share of class 1."""
     return _nodes(spark, sf_dir, rounds=2, max_depth=2, from_share=True)
@@ -213,6 +225,7 @@ def q_score_missing(spark, sf_dir):
     f"SELECT {r} AS round, round(avg(-(label * ln(p) + (1 - label) * ln(1 - p))), 6) AS logloss "
     f"FROM (SELECT label, 1 / (1 + exp(-margin)) AS p FROM m{r})" for r in (1, 2, 3)),
     rounds=3, depth=2))
+@report
 def q_eval_history(spark, sf_dir):
     train, fitted = _fitted(spark, sf_dir, rounds=3, max_depth=2)
     return model.eval_history(train, fitted).withColumn("logloss", F.round("logloss", 6))
@@ -235,6 +248,7 @@ def _halves(spark, sf_dir):
             split.filter("is_test").drop("is_test"))
 
 
+@report
 def held_out_quality(spark, sf_dir):
     """How well does a boosted model rank rows it has not seen?"""
     train, test = _halves(spark, sf_dir)
@@ -248,6 +262,7 @@ def q_held_out_quality(spark, sf_dir):
 
 
 @query("boost_wide")
+@report
 def q_boost_wide(spark, sf_dir):
     """Leaf-wise boosting of all embedding elements, judged on the same rows."""
     rows = settled(relations.wide_embeddings(spark, sf_dir))
@@ -257,6 +272,7 @@ def q_boost_wide(spark, sf_dir):
 
 
 @query("gbt_mllib")
+@report
 def q_gbt_mllib(spark, sf_dir):
     """MLlib boosting: log loss of the test rows after every round."""
     train, test = _halves(spark, sf_dir)
@@ -282,6 +298,7 @@ def _mllib_forest(spark, sf_dir, **settings):
 
 
 @query("rf_mllib")
+@report
 def q_rf_mllib(spark, sf_dir):
     return _mllib_forest(spark, sf_dir)
 
@@ -297,21 +314,72 @@ def _forest_quality(spark, sf_dir, kind, n_trees, depth):
 
 
 @query("rf_bootstrap")
+@report
 def q_rf_bootstrap(spark, sf_dir):
     return _forest_quality(spark, sf_dir, "bootstrap", 20, 5)
 
 
 @query("rf_subsample")
+@report
 def q_rf_subsample(spark, sf_dir):
     return _forest_quality(spark, sf_dir, "subsample", 20, 6)
 
 
 @query("rf_bagged")
+@report
 def q_rf_bagged(spark, sf_dir):
     return _forest_quality(spark, sf_dir, "bagged", 20, 8)
 
 
+# Kinds of forest, checked node by node: draws by md5, two trees of two levels.
+CHECKED = {"bootstrap": {}, "subsample": {}, "bagged": {"num_leaves": 3}}
+
+
+def _checked_growth(kind: str, positive: float = 0.5) -> grow.Growth:
+    return forest.forest_growth(kind, len(FEATURES), 2, positive, draws="md5", **CHECKED[kind])
+
+
+def _paths(spark, models):
+    """The nodes of members by their ways from the root."""
+    parts = [m.to_paths(spark).select(F.lit(i).alias("member"), "*") for i, m in enumerate(models)]
+    return reduce(DataFrame.unionByName, parts).withColumn("leaf", F.round("leaf", 6))
+
+
+def _checked_forest(kind):
+    @report
+    def run(spark, sf_dir):
+        data = binned_rows(_rows(spark, sf_dir), FEATURES, max_bins=BINS)
+        try:
+            fitted = forest.fit_forest(data, kind, 2, 2, draws="md5", **CHECKED[kind])
+        finally:
+            data.close()
+        return _paths(spark, [fitted])
+
+    return run
+
+
+for _kind in CHECKED:
+    query(f"forest_{_kind}_nodes", forest_sql(
+        _checked_growth(_kind), {(0, t): s for t, s in forest.tree_seeds(2, 42).items()}, 2,
+    ))(_checked_forest(_kind))
+
+
+@query("forest_members_nodes", forest_sql(
+    _checked_growth("subsample"),
+    {(m, t): s for m in range(2) for t, s in forest.tree_seeds(2, 42 + m).items()}, 2))
+@report
+def q_forest_members_nodes(spark, sf_dir):
+    """Sub-forests fitted side by side: five trees for two members, one is dropped."""
+    data = binned_rows(_rows(spark, sf_dir), FEATURES, max_bins=BINS)
+    try:
+        members = forest.fit_members(data, "subsample", 5, 2, 2, draws="md5")
+    finally:
+        data.close()
+    return _paths(spark, members)
+
+
 @query("forest_model_parallel")
+@report
 def q_forest_model_parallel(spark, sf_dir):
     """MLlib sub-forests on the same rows, fitted side by side and averaged."""
     train, test = _halves(spark, sf_dir)
@@ -331,6 +399,7 @@ def _trial(spark, sf_dir, depth):
 
 
 @query("forest_compare")
+@report
 def q_forest_compare(spark, sf_dir):
     """Three kinds of forest, as one fit and as sub-forests, with efficiency."""
     single, several = sweep.compare_forests(_trial(spark, sf_dir, 4), 8, 2, 4)
@@ -341,6 +410,7 @@ def q_forest_compare(spark, sf_dir):
 @query("concurrent_fits", boost_sql(
     "SELECT fit::INT AS fit, 2 AS trees, round(sum(leaf), 6) AS leaf_sum "
     "FROM nodes, range(0, 4) t(fit) GROUP BY fit", rounds=2, depth=2))
+@report
 def q_concurrent_fits(spark, sf_dir):
     """Four equal fits at the same time on one set of blocks, which must agree."""
     data = binned_rows(_rows(spark, sf_dir), FEATURES, max_bins=BINS)
@@ -356,6 +426,7 @@ def q_concurrent_fits(spark, sf_dir):
 
 
 @query("sweep_small")
+@report
 def q_sweep_small(spark, sf_dir):
     """One round count over the CPU configurations, result rows with status."""
     chosen = sweep.Selection(skip_1gpu=True, skip_multi_gpu=True)
@@ -363,6 +434,7 @@ def q_sweep_small(spark, sf_dir):
 
 
 @query("single_run")
+@report
 def q_single_run(spark, sf_dir):
     """One configuration by its short name."""
     found = sweep.run_single(_trial(spark, sf_dir, 3), "lgb-cpu", [2, 3])

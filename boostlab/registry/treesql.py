@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+
+from boostlab.operators.grow import Growth, offered_features, poisson_ceilings
 from boostlab.registry.shape import BINNED_SQL, BINS, FEATURES
+from boostlab.registry.sqlparts import uniform
 
 
 def _gain(l2: float) -> str:
     def term(g: str, h: str) -> str:
-        return f"({g}) * ({g}) / ({h} + {l2}::DOUBLE)"
+        return f"coalesce(({g}) * ({g}) / nullif({h} + {l2}::DOUBLE, 0), 0)"
 
     gain = f"{term('gl', 'hl')} + {term('gt - gl', 'ht - hl')} - {term('gt', 'ht')}"
     return f"round(0.5::DOUBLE * ({gain}) * 1e9) / 1e9"
 
 
 def _level(state: str, out: str, policy: str, num_leaves: int, l2: float,
-           min_rows: int) -> list[str]:
+           min_rows: int, least: str = "1", offered: str = "true") -> list[str]:
     """CTEs from rows at paths (``state``) to the splits of a level and rows one level on."""
     grid = (
         f"(SELECT path, feature, bin FROM (SELECT DISTINCT path FROM {state}) p, "
@@ -24,7 +28,7 @@ def _level(state: str, out: str, policy: str, num_leaves: int, l2: float,
     )
     sums = (
         f"SELECT path, feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {state} JOIN binned "
-        f"USING (row_id) WHERE len(path) = {out.count('x')} GROUP BY ALL"
+        f"USING (row_id) WHERE len(path) = {out.count('x')} AND ({offered}) GROUP BY ALL"
     )
     if policy == "symmetric":
         sums = (
@@ -48,7 +52,7 @@ def _level(state: str, out: str, policy: str, num_leaves: int, l2: float,
     else:
         best = (
             f"SELECT path, feature, bin, gain FROM ({gains}) "
-            f"WHERE hl >= 1 AND ht - hl >= 1 AND gain > 0 "
+            f"WHERE hl >= {least} AND ht - hl >= {least} AND gain > 0 "
             f"AND nl >= {min_rows} AND nt - nl >= {min_rows} "
             f"QUALIFY row_number() OVER (PARTITION BY path ORDER BY gain DESC, feature, bin) = 1"
         )
@@ -102,15 +106,58 @@ def boost_sql(final: str, rounds: int, depth: int, policy: str = "level", num_le
             f"m{r + 1} AS MATERIALIZED (SELECT row_id, label, margin + value AS margin "
             f"FROM m{r} JOIN {state} USING (row_id) JOIN v{r} USING (path))"
         )
+    return "WITH " + ",\n".join([*parts, *_named(nodes, "tree")]) + "\n" + final
+
+
+def _named(nodes: list[str], ids: str) -> list[str]:
+    """CTEs from node rows to ``nodes``, with names of features and thresholds."""
     names = "CASE f " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(FEATURES)) + " END"
-    parts.append(
-        f"named AS (SELECT *, {names} AS feature FROM ({' UNION ALL '.join(nodes)}))"
-    )
-    parts.append(
-        "nodes AS (SELECT tree, path, n.feature, list_sort(cuts)[bin + 1] AS threshold, leaf "
-        "FROM named n LEFT JOIN cuts c ON c.name = n.feature)"
-    )
-    return "WITH " + ",\n".join(parts) + "\n" + final
+    return [
+        f"named AS (SELECT *, {names} AS feature FROM ({' UNION ALL '.join(nodes)}))",
+        f"nodes AS (SELECT {ids}, path, n.feature, list_sort(cuts)[bin + 1] AS threshold, leaf "
+        "FROM named n LEFT JOIN cuts c ON c.name = n.feature)",
+    ]
+
+
+def forest_sql(growth: Growth, seeds: dict[tuple[int, int], int], depth: int) -> str:
+    """Trees of (member, tree) over the order features, grown apart from each other.
+
+    ``depth`` is 2 at most, so nodes are numbered 0 (the root), 1 and 2.
+    """
+    share, numbers = "(SELECT avg(label) FROM train)", {"": 0, "L": 1, "R": 2}
+    slope = "1.0::DOUBLE" if growth.objective == "mean" else f"({share} * (1 - {share}))"
+    # The third kind asks for the weight of so many rows, at the share of class 1.
+    least = str(growth.min_child) if growth.min_child == 1.0 else f"(20 * {share} * (1 - {share}))"
+    parts = [BINNED_SQL.replace("binned AS (", "binned AS MATERIALIZED (")]
+    nodes = []
+    for (member, tree), seed in seeds.items():
+        drawn, name = uniform(seed, "rows", "row_id"), f"f{member}_{tree}_"
+        if growth.bootstrap:
+            ceilings = ", ".join(f"'{float(c)!r}'" for c in poisson_ceilings())
+            drawn = f"len(list_filter([{ceilings}]::DOUBLE[], lambda c: c <= {drawn}))"
+        else:
+            drawn = f"({drawn} < {growth.row_share}::DOUBLE)::INT"
+        parts.append(
+            f"{name} AS MATERIALIZED (SELECT row_id, '' AS path, w * ({share} - label) AS g, "
+            f"w * {slope} AS h FROM (SELECT row_id, label, {drawn} AS w FROM train) WHERE w > 0)"
+        )
+        state = name
+        for level in range(depth):
+            out = name + "x" * level + "y"
+            offered = " OR ".join(
+                f"(path = '{path}' AND feature IN "
+                f"({', '.join(map(str, np.flatnonzero(offered_features(growth, seed, node, len(FEATURES)))))}))"
+                for path, node in numbers.items() if len(path) == level)
+            parts += _level(state, out, growth.policy, growth.num_leaves or 0, growth.l2, 0, least,
+                            offered)
+            nodes.append(f"SELECT {member} AS member, {tree} AS tree, path, feature AS f, bin, "
+                         f"NULL AS leaf FROM {out}_best")
+            state = out
+        nodes.append(
+            f"SELECT {member}, {tree}, path, NULL, NULL, -sum(g) / (sum(h) + {growth.l2}::DOUBLE) + 0 "
+            f"FROM {state} GROUP BY path")
+    final = ("SELECT member, tree, path, feature, threshold, round(leaf, 6) AS leaf FROM nodes")
+    return "WITH " + ",\n".join([*parts, *_named(nodes, "member, tree")]) + "\n" + final
 
 
 NODES = "SELECT tree, path, feature, threshold, round(leaf, 6) AS leaf FROM nodes"

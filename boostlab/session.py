@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_open = threading.local()
 
 
 def local_session(cores: int | str = "*", app: str = "boostlab", memory: str = "12g") -> SparkSession:
@@ -64,7 +68,33 @@ def _home(spark: SparkSession) -> str:
 
 def run_dir(spark: SparkSession, purpose: str) -> str:
     """A folder under the shared one that no other run uses."""
-    return f"{_home(spark)}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{_home(spark)}/{purpose}-{uuid.uuid4().hex}"
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that this thread asks for inside the block are deleted at its end. Rows that
+    are read from them must have been used by then."""
+    outer, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _open.paths = _open.paths, outer
+        for path in paths:
+            drop_dir(spark, path)
+
+
+def settled_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """The rows ``make`` gives, settled, and their folder; every other folder made for them
+    is deleted."""
+    path = run_dir(spark, "settled")
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
