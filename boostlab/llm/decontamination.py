@@ -9,8 +9,8 @@ instead, with the same verification, and gives the same rows.
 
 Defined results: a null text has no words; an item without words has no window; a null
 ``item_id`` counts as the empty id; repeated items count once; a repeated document row
-repeats its result (the joined way asks for distinct ids and raises otherwise); empty
-documents give no rows, an empty benchmark no hits; other columns are not looked at.
+repeats its result, and a document with a null id has one; empty documents give no rows, an
+empty benchmark no hits; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boostlab.llm.common import ALNUM_WORD, empty_if_null, lowered_bytes
+from boostlab.llm.common import (
+    ALNUM_WORD,
+    empty_if_null,
+    lowered_bytes,
+    numbered,
+    settled,
+)
 
 WINDOW = 10
 #: Largest benchmark that is broadcast; some hundred bytes of memory per word.
@@ -170,15 +176,16 @@ def _window_rows(n: int, sizes: list[int], item: bool):
 
 def _find_joined(docs: DataFrame, benchmark: DataFrame, n: int, text: str,
                  doc_id: str) -> DataFrame:
-    """The same for a benchmark too large to broadcast: one row per window."""
-    rows = _rows(docs, text, doc_id)
-    if rows.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        raise ValueError("a benchmark beyond the broadcast bound needs distinct doc_id")
+    """The same for a benchmark too large to broadcast: one row per window, of the sizes that
+    the benchmark has."""
+    rows = numbered(_rows(docs, text, doc_id))
     wanted = _items(benchmark).mapInPandas(
         _window_rows(n, [], True), "own string, place long, size int, hash long, words string"
     ).groupBy("size", "hash", "words").agg(F.collect_set("own").alias("items"))
-    found = rows.mapInPandas(
-        _window_rows(n, list(range(1, n + 1)), False),
+    wanted = settled(wanted)
+    sizes = [r["size"] for r in wanted.select("size").distinct().collect()]  # n at most
+    found = rows.select("row", "text").mapInPandas(
+        _window_rows(n, sizes, False),
         "own long, place long, size int, hash long, words string")
     hits = found.join(wanted, ["size", "hash", "words"])
     covered = hits.select(
@@ -186,11 +193,11 @@ def _find_joined(docs: DataFrame, benchmark: DataFrame, n: int, text: str,
         .alias("word")).distinct().groupBy("own").agg(F.count(F.lit(1)).alias("n_hit"))
     items = hits.select("own", F.explode("items").alias("item")).distinct().groupBy("own").agg(
         F.sort_array(F.collect_list("item")).alias("items"))
-    counted = rows.mapInPandas(_count_words, "doc_id long, n_words long")
+    counted = rows.mapInPandas(_count_words, "row long, doc_id long, n_words long")
     none = F.array().cast("array<string>")
     return (
-        counted.join(covered, counted["doc_id"] == covered["own"], "left").drop("own")
-        .join(items, F.col("doc_id") == items["own"], "left")
+        counted.join(covered, counted["row"] == covered["own"], "left").drop("own")
+        .join(items, F.col("row") == items["own"], "left")
         .select(
             "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
             F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
@@ -203,7 +210,7 @@ def _find_joined(docs: DataFrame, benchmark: DataFrame, n: int, text: str,
 def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         yield pd.DataFrame({
-            "doc_id": frame["doc_id"].astype("Int64"),
+            "row": frame["row"], "doc_id": frame["doc_id"].astype("Int64"),
             "n_words": [len(ALNUM_WORD.findall(lowered_bytes(t))) for t in frame["text"]],
         })
 

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boostlab.llm.common import empty_if_null, settled
+from boostlab.llm.common import empty_if_null, numbered, settled
 
 LENGTH, GRAM = 400, 64
 #: Different strings of one anchor beyond which its windows are split.
@@ -354,22 +354,13 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield made.astype({"doc_id": "Int64"})
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """A number per row, the same in every job: the id, or, where ids are null or come more
-    than once, a number written down with the row."""
-    twice = rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
-    if twice.isEmpty():
-        return rows.withColumn("row", F.col("doc_id"))
-    return settled(rows.withColumn("row", F.monotonically_increasing_id()))
-
-
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT,
     text: str = "text", doc_id: str = "doc_id",
 ) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed ranges
     of bytes)."""
-    rows = _numbered(docs.select(
+    rows = numbered(docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         empty_if_null(F.col(text)).cast("binary").alias("raw")))
     segments = settled(rows.select("row", "raw").mapInArrow(

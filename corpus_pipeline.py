@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boostlab.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
-from boostlab.llm.common import settled, table
+from boostlab.llm.common import table
+from boostlab.session import drop_dir, settled_alone
 
 #: SQL has no conditional random field and no packing; tests compare the stages with brute
 #: force and check the held-out accuracy of the first.
@@ -55,7 +56,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Rows of a stage, and what it wrote on its way, are deleted when
+    the next one has read them; the last stage's are left, as its rows are read from them."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir))
+        docs, path = settled_alone(spark, lambda d=docs, s=stage: s(spark, d, sf_dir))
+        if last:
+            drop_dir(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -125,7 +125,8 @@ def test_decontamination(spark, docs_of, chars):
              (10, "short one"), (3, None), (4, "..."), (None, "null id item"), (5, "a a a")]
     docs = [(1, "x ONE two three four five six seven eight nine ten; y eleven"), (2, None),
             (3, ""), (4, "short, one short-one"), (5, "a a a a b"), (6, "null id item " * 2000),
-            (7, "two three four five six seven eight nine ten"), (8, "Été one")]
+            (7, "two three four five six seven eight nine ten"), (8, "Été one"),
+            (4, "short, one short-one"), (7, "short one again"), (None, "a short one")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.find(docs_of(docs), benchmark, broadcast_chars=chars)
     assert sorted(map(tuple, got.collect()), key=str) == brute_hits(docs, items, 10)
