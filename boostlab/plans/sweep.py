@@ -137,7 +137,9 @@ class Trial:
             self.train, self.features, max_bins=self.max_bins))
 
 
-def fit_config(trial: Trial, config: str, iterations: int) -> TreeModel:
+def fit_config(
+    trial: Trial, config: str, iterations: int, best_only: bool = True
+) -> TreeModel:
     """Fit one configuration. The part after the library names a device in result
     files; here every configuration runs on the session's cores."""
     lib, _, rest = config.partition("_")
@@ -146,7 +148,7 @@ def fit_config(trial: Trial, config: str, iterations: int) -> TreeModel:
     if trial.binned is None:
         ready = trial.prepared()
         try:
-            return fit_config(ready, config, iterations)
+            return fit_config(ready, config, iterations, best_only)
         finally:
             ready.binned.close()
     if lib == "rf":
@@ -157,13 +159,20 @@ def fit_config(trial: Trial, config: str, iterations: int) -> TreeModel:
         num_leaves=2**trial.depth, max_bins=trial.max_bins, seed=trial.seed, **BOOSTERS[lib],
     )
     model = boost_binned(trial.binned, params)
-    if lib == "catboost":
+    if lib == "catboost" and best_only:
         # This library keeps the model of its best round on the evaluation rows.
         best = best_round(eval_history(trial.test, model)).first()["round"]
         model = model.first(best)
     return model
 
 
+def round_history(trial: Trial, config: str, iterations: int) -> DataFrame:
+    """Log loss of the test rows after every round of one configuration, none of them left
+    out: ``name, round, logloss``."""
+    model = fit_config(trial, config, iterations, best_only=False)
+    return eval_history(trial.test, model).select(F.lit(config).alias("name"), "round", "logloss")
+
+
 def timed_run(trial: Trial, config: str, iterations: int) -> dict:
     """Fit with the clock on, then measure quality on the test rows. Binning has a clock of
     its own, and takes no time where the trial comes with its rows binned."""

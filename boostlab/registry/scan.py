@@ -152,6 +152,21 @@ def q_telemetry_stream(spark, sf_dir):
     return _naive(telemetry.drain(spark, relations.telemetry_columns(files)))
 
 
+@query("telemetry_closed", f"""SELECT * FROM ({_WINDOWS_SQL}) WHERE window_start + INTERVAL 1 HOUR
+  <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def q_telemetry_closed(spark, sf_dir):
+    """The windows an append-mode stream over the events file has closed."""
+    schema = relations.table(spark, sf_dir, "events").schema
+    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    return _naive(telemetry.drain_closed(spark, relations.telemetry_columns(files)))
+
+
+@query("host_rows", "SELECT count(*) AS n_rows FROM events")
+def q_host_rows(spark, sf_dir):
+    """The rows that all hosts of the census saw together."""
+    return q_host_census(spark, sf_dir).agg(F.sum("n_rows").alias("n_rows"))
+
+
 @query("host_census")
 def q_host_census(spark, sf_dir):
     """Hosts that ran tasks over the events, and rows they saw."""

@@ -425,6 +425,35 @@ def q_concurrent_fits(spark, sf_dir):
     return spark.createDataFrame(rows, "fit int, trees int, leaf_sum double")
 
 
+_LOGIT = "(SELECT ln(avg(label) / (1 - avg(label))) FROM train)"
+
+
+def _history_sql(name: str, **settings) -> str:
+    rounds = " UNION ALL ".join(
+        f"SELECT '{name}' AS name, {r} AS round, "
+        f"round(avg(-(label * ln(p) + (1 - label) * ln(1 - p))), 6) AS logloss "
+        f"FROM (SELECT label, 1 / (1 + exp(-margin)) AS p FROM m{r})" for r in (1, 2))
+    return f"SELECT * FROM ({boost_sql(rounds, rounds=2, depth=2, **settings)})"
+
+
+@query("sweep_history", " UNION ALL ".join([
+    _history_sql("xgboost_cpu", start=_LOGIT),
+    _history_sql("catboost_cpu", policy="symmetric", l2=3.0),
+    _history_sql("lightgbm_cpu", policy="leaf", num_leaves=4, l2=0.0, least="0.001",
+                 min_rows=20, start=_LOGIT)]))
+@report
+def q_sweep_history(spark, sf_dir):
+    """Log loss after every round for all three libraries, on rows binned once."""
+    rows = _rows(spark, sf_dir)
+    trial = sweep.Trial(rows, rows, FEATURES, depth=2, learning_rate=ETA, max_bins=BINS).prepared()
+    try:
+        parts = [sweep.round_history(trial, name, 2)
+                 for name in ("xgboost_cpu", "catboost_cpu", "lightgbm_cpu")]
+    finally:
+        trial.binned.close()
+    return reduce(DataFrame.unionByName, parts).withColumn("logloss", F.round("logloss", 6))
+
+
 @query("sweep_small")
 @report
 def q_sweep_small(spark, sf_dir):

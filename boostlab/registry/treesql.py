@@ -69,7 +69,7 @@ def _level(state: str, out: str, policy: str, num_leaves: int, l2: float,
 
 def boost_sql(final: str, rounds: int, depth: int, policy: str = "level", num_leaves: int = 0,
               eta: float = 0.3, l2: float = 1.0, min_rows: int = 0,
-              start: str = "0.0::DOUBLE") -> str:
+              start: str = "0.0::DOUBLE", least: str = "1") -> str:
     """A fit over the order features, then ``final`` over what it made.
 
     ``final`` may read ``nodes`` (tree, path, feature, threshold, leaf), ``binned``
@@ -88,7 +88,7 @@ def boost_sql(final: str, rounds: int, depth: int, policy: str = "level", num_le
         )
         for level in range(depth):
             out = f"r{r}_" + "x" * level + "y"
-            parts += _level(state, out, policy, num_leaves, l2, min_rows)
+            parts += _level(state, out, policy, num_leaves, l2, min_rows, least)
             nodes.append(
                 f"SELECT {r} AS tree, path, feature AS f, bin, NULL AS leaf FROM {out}_best"
             )

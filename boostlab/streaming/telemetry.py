@@ -67,3 +67,22 @@ def drain(spark: SparkSession, stream: DataFrame, width: str = "1 hour",
         .agg(F.max_by(F.struct(*values), "batch").alias("last"))
         .select("window_start", "device_id", "last.*")
     )
+
+
+def drain_closed(spark: SparkSession, stream: DataFrame, width: str = "1 hour",
+                 late: str = "1 hour") -> DataFrame:
+    """Run a sample stream until its input is used up; each window and device once, as soon
+    as the watermark has closed it. Windows still open at the end are not part of the result."""
+    home = run_dir(spark, "telemetry")
+    rolled = windowed(stream, width, late)
+    # What a reader finds if no window was ever closed.
+    spark.createDataFrame([], rolled.schema).write.parquet(f"{home}/closed")
+    running = (
+        rolled.writeStream.outputMode("append").format("parquet")
+        .option("path", f"{home}/closed")
+        .option("checkpointLocation", f"{home}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return spark.read.schema(rolled.schema).parquet(f"{home}/closed")
