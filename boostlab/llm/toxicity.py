@@ -4,7 +4,7 @@
    the clean documents that hold it. Words whose log-odds are clearly above zero form the
    lexicon, each with a grade from 1 (weak) to ``GRADES - 1``; any other word has grade 0.
 2. Labelled tokens. A token of a toxic document is labelled toxic if its grade is strong,
-   all other tokens are labelled clean. The field is fitted by gradient ascent to the
+   all other tokens are labelled clean. The field is fitted, until the likelihood settles, to the
    sentences of a bounded sample: at most ``sample`` toxic and twice as many clean rows,
    those with the smallest hashes of their ids.
 3. Scoring. Forward-backward gives every token of a whole text its marginal probability. A
@@ -12,7 +12,8 @@
    marginal, its expected number of toxic tokens and its words. Tokens with a marginal of
    one half or more make up the offending spans.
 
-Sentences end at ``. ! ?`` or a line break; longer ones are cut every ``LONGEST`` words.
+Sentences end at ``. ! ?`` or a line break and may have any length: longer ones are worked
+through in pieces of ``PIECE`` words that hand on their sums, with the results of the whole.
 A sentence without lexicon words has the same small marginals everywhere and adds nothing.
 
 Defined results: a null text is empty and scored like any other; ids and labels serve
@@ -45,7 +46,10 @@ LEXICON_WORDS, LEAST_SHARE, LEAST_DOCS = 20_000, 0.005, 4
 #: Log-odds at which the grades 1, 2, ... begin; a strong token labels a toxic span.
 GRADE_EDGES = (1.0, 2.0, 3.0, 4.0, 5.0)
 GRADES, STRONG = len(GRADE_EDGES) + 1, 4
-LONGEST = 64
+#: Words of a sentence that are worked through in one row, and rows at a time.
+PIECE, BLOCK = 64, 512
+#: Weight of the squared weights, and the largest slope at which the field counts as fitted.
+PENALTY, SETTLED = 1e-4, 1e-6
 _TOKEN = re.compile(rb"[^\x00-\x60\x7b-\x7f]+|[.!?\n]")
 _ENDS = (b".", b"!", b"?", b"\n")
 
@@ -66,86 +70,188 @@ class Field:
     start: float
     score: np.ndarray
 
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        before = np.pad(x, ((0, 0), (1, 0)))[:, :-1]
-        after = np.pad(x, ((0, 0), (0, 1)))[:, 1:]
-        return self.emit[0][x] + self.emit[1][before] + self.emit[2][after]
+    def emissions(self, own: Pieces) -> np.ndarray:
+        return self.emit[0][own.x] + self.emit[1][own.before] + self.emit[2][own.after]
 
 
-def forward_backward(emit: np.ndarray, move: np.ndarray, start: float, sizes: np.ndarray):
-    """Of padded sentences: log partition, marginals of the label toxic, and the expected
-    transitions per sentence (2 x 2)."""
+def forward_backward(emit: np.ndarray, move: np.ndarray, start: float, sizes: np.ndarray,
+                     first: np.ndarray | None = None):
+    """Of padded rows: log partition of the sentence, marginals of the label toxic, and the
+    expected transitions into the row's words (2 x 2).
+
+    A row is a sentence or, with ``first`` given, a piece of one: a sentence begins where
+    ``first`` is set and its pieces follow. Pieces hand their sums over both labels to the
+    pieces before and after them, so the results are those of whole sentences.
+    """
     n, longest = emit.shape
-    fore = np.zeros((2, n, longest))
-    back = np.zeros((2, n, longest))
-    fore[1, :, 0] = start + emit[:, 0]
+    order = np.argsort(-sizes, kind="stable")
+    live = [int((sizes > t).sum()) for t in range(longest)] + [0]
+    emit = np.ascontiguousarray(emit[order].T)
+    entry, leave, came = np.zeros((2, n)), np.zeros((2, n)), np.zeros((2, n))
+    entry[1] = start
+    joined = np.zeros(n, dtype=bool)
+    if first is not None and not first.all():
+        entry, leave, came = _handed(emit, move, start, sizes, first, order, live)
+        joined = ~first[order]
+    entry, leave, came = entry[:, order], leave[:, order], came[:, order]
+    fore = np.zeros((2, longest, n))
+    back = np.zeros((2, longest, n))
+    for y in (0, 1):
+        fore[y, 0] = entry[y] + (emit[0] if y else 0.0)
     for t in range(1, longest):
+        k = live[t]
         for y in (0, 1):
-            fore[y, :, t] = np.logaddexp(
-                fore[0, :, t - 1] + move[0, y], fore[1, :, t - 1] + move[1, y]
-            ) + (emit[:, t] if y else 0.0)
-    for t in range(longest - 2, -1, -1):
-        inside = (t + 1 < sizes)
-        for y in (0, 1):
-            came = np.logaddexp(move[y, 0] + back[0, :, t + 1],
-                            move[y, 1] + emit[:, t + 1] + back[1, :, t + 1])
-            back[y, :, t] = np.where(inside, came, 0.0)
-    last = sizes - 1
-    rows = np.arange(n)
-    total = np.logaddexp(fore[0, rows, last], fore[1, rows, last])
-    within = np.arange(longest) < sizes[:, None]
-    toxic = np.where(within, np.exp(np.minimum(fore[1] + back[1] - total[:, None], 0)), 0.0)
+            fore[y, t, :k] = np.logaddexp(
+                fore[0, t - 1, :k] + move[0, y], fore[1, t - 1, :k] + move[1, y]
+            ) + (emit[t, :k] if y else 0.0)
+    for t in range(longest - 1, -1, -1):
+        k, upto = live[t + 1], live[t]
+        back[:, t, k:upto] = leave[:, k:upto]
+        if k:
+            for y in (0, 1):
+                back[y, t, :k] = np.logaddexp(
+                    move[y, 0] + back[0, t + 1, :k],
+                    move[y, 1] + emit[t + 1, :k] + back[1, t + 1, :k])
+    last, rows = sizes[order] - 1, np.arange(n)
+    total = np.logaddexp(fore[0, last, rows] + back[0, last, rows],
+                         fore[1, last, rows] + back[1, last, rows])
+    within = np.arange(longest)[:, None] <= last
+    toxic = np.where(within, np.exp(np.minimum(fore[1] + back[1] - total, 0)), 0.0)
     moves = np.zeros((n, 2, 2))
-    if longest > 1:
-        for a in (0, 1):
-            for b in (0, 1):
-                joint = fore[a, :, :-1] + move[a, b] + back[b, :, 1:] + (
-                    emit[:, 1:] if b else 0.0) - total[:, None]
-                moves[:, a, b] = np.where(within[:, 1:], np.exp(np.minimum(joint, 0)), 0.0).sum(1)
-    return total, toxic, moves
-
-
-def _padded(sentences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(s) for s in sentences])
-    x = np.zeros((len(sentences), sizes.max()), dtype=np.int64)
-    for i, s in enumerate(sentences):
-        x[i, :len(s)] = np.frombuffer(s, dtype=np.uint8)
-    return x, sizes
-
-
-def _fit_field(counts: dict[tuple[bytes, bytes], float], steps: int = 80) -> tuple:
-    """Gradient ascent (with moments) on the penalised likelihood of weighted sentences,
-    each given as its grades and its labels."""
+    for a in (0, 1):
+        for b in (0, 1):
+            joint = fore[a, :-1] + move[a, b] + back[b, 1:] + (
+                emit[1:] if b else 0.0) - total
+            moves[:, a, b] = np.where(within[1:], np.exp(np.minimum(joint, 0)), 0.0).sum(0)
+            joint = came[a] + move[a, b] + back[b, 0] + (emit[0] if b else 0.0) - total
+            moves[:, a, b] += np.where(joined, np.exp(np.minimum(joint, 0)), 0.0)
+    at = np.argsort(order, kind="stable")
+    return total[at], toxic[:, at].T, moves[at]
+
+
+def _handed(emit: np.ndarray, move: np.ndarray, start: float, sizes: np.ndarray,
+            first: np.ndarray, order: np.ndarray, live: list[int]):
+    """Of pieces: log sums per label of all ways to reach the first word (without its
+    emission), of all ways to go on after the last word, and of all ways to reach the last
+    word of the piece before."""
+    n = len(sizes)
+    through = np.zeros((2, 2, n))
+    whole = first[order]
+    for a in (0, 1):
+        f0 = np.where(whole, 0.0, move[a, 0])
+        f1 = np.where(whole, start, move[a, 1]) + emit[0]
+        for t in range(1, len(emit)):
+            k = live[t]
+            g0 = np.logaddexp(f0[:k] + move[0, 0], f1[:k] + move[1, 0])
+            f1[:k] = np.logaddexp(f0[:k] + move[0, 1], f1[:k] + move[1, 1]) + emit[t, :k]
+            f0[:k] = g0
+        through[a, 0, order], through[a, 1, order] = f0, f1
+    begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    rank = np.arange(n) - begin
+    by_rank = np.argsort(rank, kind="stable")
+    bounds = np.searchsorted(rank[by_rank], np.arange(rank.max() + 2))
+    rounds = [by_rank[bounds[r]:bounds[r + 1]] for r in range(1, rank.max() + 1)]
+    reach, leave = through[0].copy(), np.zeros((2, n))
+    for rows in rounds:
+        reach[:, rows] = np.logaddexp(reach[0, rows - 1] + through[0][:, rows],
+                                      reach[1, rows - 1] + through[1][:, rows])
+    for rows in reversed(rounds):
+        leave[:, rows - 1] = np.logaddexp(through[:, 0, rows] + leave[0, rows],
+                                          through[:, 1, rows] + leave[1, rows])
+    came = np.roll(reach, 1, axis=1)
+    entry = np.logaddexp(came[0] + move[0][:, None], came[1] + move[1][:, None])
+    entry[:, first] = np.array([[0.0], [start]])
+    return entry, leave, came
+
+
+@dataclass
+class Pieces:
+    """Sentences in pieces of at most ``PIECE`` words, padded: grades of every word and of the
+    words before and after it in its sentence."""
+
+    x: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    sizes: np.ndarray
+    first: np.ndarray
+
+
+def _padded(parts: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    x = np.zeros((len(parts), sizes.max()), dtype=np.int64)
+    x[np.arange(x.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    return x
+
+
+def _cut(sentences: list[bytes]) -> list[bytes]:
+    return [s[i:i + PIECE] for s in sentences for i in range(0, len(s), PIECE)]
+
+
+def _pieces(sentences: list[bytes]) -> Pieces:
+    parts = _cut(sentences)
+    sizes = np.array([len(p) for p in parts])
+    first = np.array([i == 0 for s in sentences for i in range(0, len(s), PIECE)])
+    return Pieces(
+        _padded(parts, sizes),
+        _padded(_cut([b"\x00" + s[:-1] for s in sentences]), sizes),
+        _padded(_cut([s[1:] + b"\x00" for s in sentences]), sizes), sizes, first)
+
+
+def _fit_field(counts: dict[tuple[bytes, bytes], float]) -> np.ndarray:
+    """Quasi-Newton ascent (BFGS) on the penalised likelihood of weighted sentences, each
+    given as its grades and its labels, until the gradient is below ``SETTLED`` or no step
+    raises the likelihood any more. It has one maximum."""
     keys = sorted(counts)
-    x, sizes = _padded([k[0] for k in keys])
-    y, _ = _padded([k[1] for k in keys])
+    own = _pieces([k[0] for k in keys])
+    y = _padded(_cut([k[1] for k in keys]), own.sizes)
+    y_before = _padded(_cut([b"\x00" + k[1][:-1] for k in keys]), own.sizes)
     weight = np.array([counts[k] for k in keys])
-    weight = weight / weight.sum()
-    within = (np.arange(x.shape[1]) < sizes[:, None]) * weight[:, None]
-    pair = within[:, 1:]
-    seen = np.array([[(pair * ((y[:, :-1] == a) & (y[:, 1:] == b))).sum() for b in (0, 1)]
-                     for a in (0, 1)])
-    before = np.pad(x, ((0, 0), (1, 0)))[:, :-1]
-    after = np.pad(x, ((0, 0), (0, 1)))[:, 1:]
-    state = np.zeros(3 * GRADES + 5)
-    mean, square = np.zeros_like(state), np.zeros_like(state)
-    for step in range(1, steps + 1):
-        emit, move = state[:3 * GRADES].reshape(3, GRADES), state[-5:-1].reshape(2, 2)
-        start = float(state[-1])
-        model = Field({}, emit, move, start, np.zeros(0))
-        _, toxic, moves = forward_backward(model.emissions(x), move, start, sizes)
-        gap = (y - toxic) * within
-        rise = np.concatenate([
-            np.concatenate([np.bincount(g.ravel(), gap.ravel(), GRADES)
-                            for g in (x, before, after)]),
-            (seen - np.einsum("n,nab->ab", weight, moves)).ravel(),
-            [gap[:, 0].sum()],
-        ]) - 1e-4 * state
-        mean = 0.9 * mean + 0.1 * rise
-        square = 0.99 * square + 0.01 * rise ** 2
-        state = state + 0.2 * (mean / (1 - 0.9 ** step)) / (
-            np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)
-    return state[:3 * GRADES].reshape(3, GRADES), state[-5:-1].reshape(2, 2), float(state[-1])
+    weight = np.repeat(weight / weight.sum(), [-(-len(k[0]) // PIECE) for k in keys])
+    within = (np.arange(y.shape[1]) < own.sizes[:, None]) * weight[:, None]
+    pair = within.copy()
+    pair[own.first, 0] = 0.0
+
+    def features(of: np.ndarray, moves: np.ndarray) -> np.ndarray:
+        return np.concatenate([
+            np.bincount(own.x.ravel(), of.ravel(), GRADES),
+            np.bincount(own.before.ravel(), of.ravel(), GRADES),
+            np.bincount(own.after.ravel(), of.ravel(), GRADES),
+            moves.ravel(), [of[own.first, 0].sum()]])
+
+    seen = features(y * within, np.array(
+        [[(pair * ((y_before == a) & (y == b))).sum() for b in (0, 1)] for a in (0, 1)]))
+
+    def likelihood(state: np.ndarray) -> tuple[float, np.ndarray]:
+        model = _unpacked(state)
+        total, toxic, moves = forward_backward(
+            model.emissions(own), model.move, model.start, own.sizes, own.first)
+        made = features(toxic * within, np.einsum("n,nab->ab", weight, moves))
+        value = state @ seen - (weight * total)[own.first].sum() - PENALTY / 2 * state @ state
+        return value, seen - made - PENALTY * state
+
+    state, bend = np.zeros(3 * GRADES + 5), np.eye(3 * GRADES + 5)
+    value, rise = likelihood(state)
+    while np.abs(rise).max() > SETTLED:
+        way, size = bend @ rise, 1.0
+        while True:
+            step = size * way
+            new_value, new_rise = likelihood(state + step)
+            if new_value >= value + 1e-4 * (rise @ step) and new_value > value:
+                break
+            size /= 2
+            if np.abs(size * way).max() < 1e-9:
+                return state
+        gap = rise - new_rise
+        curve = gap @ step
+        if curve > 1e-14:
+            part = np.eye(len(state)) - np.outer(step, gap) / curve
+            bend = part @ bend @ part.T + np.outer(step, step) / curve
+        state, value, rise = state + step, new_value, new_rise
+    return state
+
+
+def _unpacked(state: np.ndarray, grades: dict[bytes, int] | None = None) -> Field:
+    return Field(grades or {}, state[:3 * GRADES].reshape(3, GRADES),
+                 state[-5:-1].reshape(2, 2), float(state[-1]), np.zeros(4))
 
 
 def _sentences(body: bytes, grades: dict[bytes, int]) -> tuple[list[bytes], int]:
@@ -153,20 +259,24 @@ def _sentences(body: bytes, grades: dict[bytes, int]) -> tuple[list[bytes], int]
     get = grades.get
     marks = bytes([255 if t in _ENDS else get(t, 0) for t in _TOKEN.findall(body)])
     parts = [s for s in marks.split(b"\xff") if s]
-    cut = [s[i:i + LONGEST] for s in parts for i in range(0, len(s), LONGEST)]
-    return cut, sum(map(len, parts))
+    return parts, sum(map(len, parts))
 
 
 def _marginals(field_: Field, sentences: list[bytes]) -> list[np.ndarray]:
     """Marginals per sentence; equal sentences are worked out once."""
     distinct = sorted(set(sentences), key=len)
+    ends = np.cumsum([-(-len(s) // PIECE) for s in distinct])
     known: dict[bytes, np.ndarray] = {}
-    for at in range(0, len(distinct), 512):
-        block = distinct[at:at + 512]
-        x, sizes = _padded(block)
+    at = 0
+    while at < len(distinct):
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right"))
+        block = distinct[at:max(upto, at + 1)]
+        own = _pieces(block)
         _, toxic, _ = forward_backward(
-            field_.emissions(x), field_.move, field_.start, sizes)
-        known.update((s, toxic[i, :len(s)]) for i, s in enumerate(block))
+            field_.emissions(own), field_.move, field_.start, own.sizes, own.first)
+        flat = toxic[np.arange(toxic.shape[1]) < own.sizes[:, None]]
+        known.update(zip(block, np.split(flat, np.cumsum([len(s) for s in block])[:-1])))
+        at += len(block)
     return [known[s] for s in sentences]
 
 
@@ -245,8 +355,7 @@ def train(
             counts[grade, own] = counts.get((grade, own), 0.0) + 1.0
     if not counts:
         return n_toxic / (n_toxic + n_clean)
-    emit, move, start = _fit_field(counts)
-    made = Field(grades, emit, move, start, np.zeros(4))
+    made = _unpacked(_fit_field(counts), grades)
     inputs = np.zeros((len(drawn), 4))
     for i, row in enumerate(drawn):
         live = [s for s in map(bytes, row["sentences"]) if s.strip(b"\x00")]
