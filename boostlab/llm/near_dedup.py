@@ -1,8 +1,9 @@
 """Near duplicates: minima of universal hashes, bands, verification, star components.
 
 1. A document's set are its distinct shingles of five words as 64-bit hashes. Documents of
-   equal sets collapse into one class, represented by the smallest id. ``HASHES`` minima of
-   multiply-shift hashes make up the signature of a class.
+   equal sets collapse into one class, represented by the smallest id (by a written row
+   number if an id comes with several rows). ``HASHES`` minima of multiply-shift hashes make
+   up the signature of a class.
 2. Signatures are cut into ``BANDS`` bands. Classes that agree in a band share a bucket. A
    pair at the least similarity of 0.75 shares none with a probability of 5e-6.
 3. Every class is paired with the smallest class of each of its buckets, so a bucket of m
@@ -21,8 +22,9 @@ Links within a component that follow from others are not confirmed, as they chan
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked
 with nothing and stays; fewer than five words are one shingle; a null ``doc_id`` is linked
-with nothing, has a null component and stays; a repeated row repeats its result; an empty
-table gives no rows; other columns are not looked at.
+with nothing, has a null component and stays; a repeated row repeats its result; an id with
+different texts has one result per text, of the component of that text (which is named by its
+smallest id); an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -105,7 +107,8 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sizes.append(len(found))
             keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
             minima.append(signature(found) if len(found) else None)
-        yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n": sizes,
+        yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"),
+                            "row": frame["row"].astype("Int64"), "n": sizes,
                             "set_key": keys, "minima": minima})
 
 
@@ -342,19 +345,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """One row per document: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), empty_if_null(F.col(text)).alias("text"))
+    several = _repeats(rows)
+    rows = settled(rows.withColumn("row", F.monotonically_increasing_id())) if several else (
+        rows.withColumn("row", F.col("doc_id")))
     sets = settled(rows.mapInPandas(
-        _sets, "doc_id long, n long, set_key binary, minima binary"))
+        _sets, "doc_id long, row long, n long, set_key binary, minima binary"))
     classes = settled(
         sets.filter("set_key is not null and doc_id is not null")
-        .groupBy("set_key", "n", "minima").agg(F.min("doc_id").alias("rep")))
-    single = rows.dropDuplicates(["doc_id"]) if _repeats(sets) else rows
-    edges = _links(_plausible(_first_pairs(classes), classes), single)
+        .groupBy("set_key", "n", "minima").agg(
+            F.min("row").alias("rep"), F.min("doc_id").alias("least_id")))
+    texts = rows.select(F.col("row").alias("doc_id"), "text")
+    edges = _links(_plausible(_first_pairs(classes), classes), texts)
     found = components(edges)
-    more = _rest_links(classes, settled(found), single)
+    more = _rest_links(classes, settled(found), texts)
     if more is not None and not more.isEmpty():
         found = components(edges.union(more))
     placed = classes.join(found, "rep", "left").select(
-        "set_key", F.coalesce("component", "rep").alias("component_id"))
+        "set_key", "least_id", F.coalesce("component", "rep").alias("component_id"))
+    if several:  # row numbers are not in the order of ids
+        ids = placed.groupBy("component_id").agg(F.min("least_id").alias("id"))
+        placed = placed.join(ids, "component_id").select(
+            "set_key", F.col("id").alias("component_id"))
+    placed = placed.select("set_key", "component_id")
     return sets.join(placed, "set_key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), _component("component_id"),
         (_own("component_id") == F.col("doc_id")).alias("kept"),
@@ -369,7 +381,7 @@ def _component(component: str) -> Column:
     return _own(component).alias("component_id")
 
 
-def _repeats(sets: DataFrame) -> bool:
+def _repeats(rows: DataFrame) -> bool:
     """Whether some id comes with several rows."""
-    return not sets.groupBy("doc_id").count().filter(
+    return not rows.groupBy("doc_id").count().filter(
         "count > 1 and doc_id is not null").isEmpty()
