@@ -2,7 +2,7 @@
 
 1. Corpus statistics. Over all labelled training rows Spark counts, per word, the toxic and
    the clean documents that hold it. Words whose log-odds are clearly above zero form the
-   lexicon, each with a grade from 1 (weak) to ``GRADES - 1``; any other word has grade 0.
+   lexicon (at every size the same test; a large lexicon is joined instead of broadcast), each with a grade from 1 (weak) to ``GRADES - 1``; any other word has grade 0.
 2. Labelled tokens. A token of a toxic document is labelled toxic if its grade is strong,
    all other tokens are labelled clean. The field is fitted, until the likelihood settles, to the
    sentences of a bounded sample: at most ``sample`` toxic and twice as many clean rows,
@@ -27,22 +27,26 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boostlab.llm.common import empty_if_null, lowered, lowered_bytes, settled
+from boostlab.llm.common import empty_if_null, lowered, lowered_bytes, numbered, settled
 
 FOLDS = 5
 #: Most labels (an id and a class, some 16 bytes) that are broadcast.
 BROADCAST_LABELS = 500_000
 #: Most toxic training rows whose texts the field is fitted to; twice as many clean ones.
 SAMPLE = 1_000
-#: Most words of the model, and the least share of toxic rows that hold each.
-LEXICON_WORDS, LEAST_SHARE, LEAST_DOCS = 20_000, 0.005, 4
+#: Fewest toxic training rows that hold a word of the lexicon, whatever their number, and the
+#: log-odds it needs as a multiple of their standard error.
+LEAST_DOCS, LEAST_Z = 4, 3
+#: Largest lexicon (its words, and 100 bytes for each) that is broadcast; a larger one is
+#: joined with the words of the rows.
+LEXICON_BYTES = 16_000_000
 #: Log-odds at which the grades 1, 2, ... begin; a strong token labels a toxic span.
 GRADE_EDGES = (1.0, 2.0, 3.0, 4.0, 5.0)
 GRADES, STRONG = len(GRADE_EDGES) + 1, 4
@@ -64,7 +68,7 @@ class Field:
     """Weights: of the grades of a token and its neighbours (for the label toxic), of the
     four transitions, of a toxic start; and the document score's coefficients."""
 
-    grades: dict[bytes, int]
+    grades: dict[bytes, int] | DataFrame | None
     emit: np.ndarray
     move: np.ndarray
     start: float
@@ -249,8 +253,8 @@ def _fit_field(counts: dict[tuple[bytes, bytes], float]) -> np.ndarray:
     return state
 
 
-def _unpacked(state: np.ndarray, grades: dict[bytes, int] | None = None) -> Field:
-    return Field(grades or {}, state[:3 * GRADES].reshape(3, GRADES),
+def _unpacked(state: np.ndarray, grades: dict[bytes, int] | DataFrame | None = None) -> Field:
+    return Field(grades, state[:3 * GRADES].reshape(3, GRADES),
                  state[-5:-1].reshape(2, 2), float(state[-1]), np.zeros(4))
 
 
@@ -292,23 +296,51 @@ def _fit_score(inputs: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndar
     return w
 
 
-def lexicon(texts: DataFrame, n_toxic: int, n_clean: int,
-            least_share: float = LEAST_SHARE) -> dict[bytes, int]:
-    """Grades of the words that speak for toxic texts; rows are (text, toxic)."""
-    words = texts.select(
-        "toxic", F.explode(F.array_distinct(F.regexp_extract_all(
-            lowered(F.col("text")), F.lit(r"[^\x00-\x60\x7b-\x7f]+"), F.lit(0)))).alias("word"))
+def _words(text: str) -> Column:
+    """The distinct words of a text."""
+    return F.array_distinct(F.regexp_extract_all(
+        lowered(F.col(text)), F.lit(r"[^\x00-\x60\x7b-\x7f]+"), F.lit(0)))
+
+
+def lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> dict[bytes, int] | DataFrame:
+    """Grades of the words that speak for toxic texts; rows are (text, toxic). Beyond
+    ``LEXICON_BYTES`` they stay a table (word, grade)."""
+    words = texts.select("toxic", F.explode(_words("text")).alias("word"))
     held = words.groupBy("word").agg(
         F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    odds = held.filter(F.col("a") >= max(LEAST_DOCS, least_share * n_toxic)).withColumn(
+    odds = held.filter(F.col("a") >= LEAST_DOCS).withColumn(
         "lo",
         F.log((F.col("a") + 0.5) / (F.lit(n_toxic) - F.col("a") + 0.5))
         - F.log((F.col("b") + 0.5) / (F.lit(n_clean) - F.col("b") + 0.5)),
     ).withColumn("z", F.col("lo") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5)))
-    chosen = (odds.filter((F.col("lo") >= GRADE_EDGES[0]) & (F.col("z") >= 3))
-              .orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).select("word", "lo").collect())
-    return {r["word"].encode(): int(np.searchsorted(GRADE_EDGES, r["lo"], side="right"))
-            for r in chosen}
+    grade = sum((F.col("lo") >= edge).cast("int") for edge in GRADE_EDGES)
+    chosen = settled(odds.filter((F.col("lo") >= GRADE_EDGES[0]) & (F.col("z") >= LEAST_Z))
+                     .select("word", grade.alias("grade")))
+    size = chosen.agg(F.sum(F.octet_length("word") + 100)).first()[0] or 0
+    if size > LEXICON_BYTES:
+        return chosen
+    return {r["word"].encode(): r["grade"] for r in chosen.collect()}
+
+
+def _with_grades(rows: DataFrame, grades: dict[bytes, int] | DataFrame) -> DataFrame:
+    """The rows and, if the lexicon is a table, what each needs of it (``words``, ``grades``)."""
+    if isinstance(grades, dict):
+        return rows
+    rows = numbered(rows)
+    held = rows.select("row", F.explode(_words("text")).alias("word")).join(
+        grades, "word").groupBy("row").agg(
+        F.collect_list(F.struct("word", "grade")).alias("held")).select(
+        F.col("row").alias("__of"), F.col("held.word").alias("words"),
+        F.col("held.grade").alias("grades"))
+    return rows.join(held, rows["row"] == held["__of"], "left").drop("row", "__of")
+
+
+def _grades_of(frame: pd.DataFrame, shared: dict[bytes, int] | None) -> list[dict[bytes, int]]:
+    """The lexicon of every row: the shared one, or what was joined."""
+    if shared is not None:
+        return [shared] * len(frame)
+    return [{} if words is None else {w.encode(): int(g) for w, g in zip(words, grades)}
+            for words, grades in zip(frame["words"], frame["grades"])]
 
 
 def _labelled(rows: DataFrame, marked: DataFrame) -> DataFrame:
@@ -321,7 +353,7 @@ def _labelled(rows: DataFrame, marked: DataFrame) -> DataFrame:
 
 def train(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text",
-    doc_id: str = "doc_id", label: str = "toxic", least_share: float = LEAST_SHARE,
+    doc_id: str = "doc_id", label: str = "toxic",
 ) -> Field | float:
     """A field fitted to the training rows, or one score for all if a class is missing."""
     marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(
@@ -332,11 +364,13 @@ def train(
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return n_toxic / (n_toxic + n_clean) if n_toxic + n_clean else 0.0
-    grades = lexicon(training, n_toxic, n_clean, least_share)
+    grades = lexicon(training, n_toxic, n_clean)
+    shared = grades if isinstance(grades, dict) else None
 
     def shrink(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            made = [_sentences(lowered_bytes(t), grades) for t in frame["text"]]
+            made = [_sentences(lowered_bytes(t), own)
+                    for t, own in zip(frame["text"], _grades_of(frame, shared))]
             yield pd.DataFrame({
                 "toxic": frame["toxic"], "n_words": [n for _, n in made],
                 "sentences": [s for s, _ in made]})
@@ -346,7 +380,8 @@ def train(
         ids.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample * (2 - kind)) for kind in (0, 1)
     ]
-    drawn = rows.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").mapInPandas(
+    picked = rows.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    drawn = _with_grades(picked, grades).mapInPandas(
         shrink, "toxic int, n_words long, sentences array<binary>").collect()
     counts: dict[tuple[bytes, bytes], float] = {}
     for row in drawn:
@@ -378,6 +413,9 @@ def score(
 ) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, spans (of characters, with their
     largest marginal)."""
+    grades = {} if isinstance(model, float) else model.grades
+    if not isinstance(grades, dict):
+        model = replace(model, grades=None)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -388,7 +426,8 @@ def score(
                 if isinstance(own, float):
                     scores, spans = [own] * len(part), [[] for _ in range(len(part))]
                 else:
-                    scores, spans = _score_batch(own, list(part["text"]))
+                    scores, spans = _score_batch(
+                        own, list(part["text"]), _grades_of(part, own.grades))
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].astype("Int64").to_numpy(),
                     "held_out": part["held_out"].to_numpy(), "score": scores,
@@ -399,13 +438,13 @@ def score(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(fold(F.col(doc_id)) == 0, F.lit(False)).alias("held_out"),
         empty_if_null(F.col(text)).alias("text"))
-    return rows.mapInPandas(
+    return _with_grades(rows, grades).mapInPandas(
         run, "doc_id long, held_out boolean, score double, predicted int, "
         "spans array<struct<first: long, last: long, p: double>>")
 
 
-def _score_batch(model: Field, texts: list[str]):
-    split = [_sentences(lowered_bytes(t), model.grades) for t in texts]
+def _score_batch(model: Field, texts: list[str], grades: list[dict[bytes, int]]):
+    split = [_sentences(lowered_bytes(t), own) for t, own in zip(texts, grades)]
     live = [s for sentences, _ in split for s in sentences if s.strip(b"\x00")]
     found = iter(_marginals(model, live) if live else [])
     scores, spans = [], []

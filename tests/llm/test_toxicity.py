@@ -47,7 +47,7 @@ def test_a_long_toxic_run_is_one_span():
     model = field()
     model.emit[0, 5], model.move[:] = 9.0, 0.0
     text = "fine " * 50 + "bad " * 200 + "fine " * 50
-    (_,), (spans,) = toxicity._score_batch(model, [text])
+    (_,), (spans,) = toxicity._score_batch(model, [text], [model.grades])
     assert [(s["first"], s["last"]) for s in spans] == [(250, 1049)]
 
 
@@ -78,3 +78,28 @@ def test_the_fit_settles(size):
     slope = [(likelihood(state + 1e-4 * d) - likelihood(state - 1e-4 * d)) / 2e-4
              for d in np.eye(len(state))]
     assert np.abs(slope).max() < 1e-5
+
+
+def test_rare_words_of_many_toxic_rows_are_known(spark):
+    """A word of 10 toxic rows and no clean one counts, however many toxic rows there are."""
+    texts = spark.createDataFrame(
+        [("rareword", 1)] * 10 + [("common", 0)] * 10, "text string, toxic int")
+    assert toxicity.lexicon(texts, 40_000, 400_000) == {b"rareword": 5}
+
+
+def test_a_joined_lexicon_gives_the_same(spark, docs_of, monkeypatch):
+    rows = [(i, f"nice text {i}. " + ("you stupid fool! " if i % 2 else "")) for i in range(80)]
+    rows += [(100, None), (None, "stupid"), (None, "nice"), (1, "a nice stupid fool"), (1, "")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+
+    def scored():
+        model = toxicity.train(docs_of(rows), labels)
+        got = toxicity.score(docs_of(rows), model).collect()
+        return model, sorted(((r["doc_id"], round(r["score"], 6), r["predicted"], r["held_out"],
+                               [(s["first"], s["last"]) for s in r["spans"]]) for r in got), key=str)
+
+    model, want = scored()
+    assert isinstance(model.grades, dict) and any(spans for *_, spans in want)
+    monkeypatch.setattr(toxicity, "LEXICON_BYTES", 0)
+    model, got = scored()
+    assert not isinstance(model.grades, dict) and got == want
