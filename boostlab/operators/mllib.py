@@ -9,16 +9,17 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boostlab.functions.scalars import decide
 from boostlab.operators.ensemble import soft_vote
 from boostlab.operators.forest import side_by_side
 from boostlab.operators.shaping import lay_out
+from boostlab.session import drop_dir, run_dir
 
 VECTOR = "features"
-PARTITION_ROWS = 20_000
+PARTITION_BYTES = 128 << 20
 
 
 def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -27,12 +28,12 @@ def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit_ready(df: DataFrame, features: Sequence[str], row_id: str,
-              rows_per_partition: int = PARTITION_ROWS) -> DataFrame:
+              partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """Assembled rows in a fixed layout, cached: MLlib samples by partition and order.
 
-    The partitions follow the rows, so the layout is the same on any cluster.
+    The partitions follow the size of the vectors, so the layout is the same on any cluster.
     """
-    partitions = max(1, -(-df.count() // rows_per_partition))
+    partitions = max(1, -(-df.count() * 8 * (len(features) + 2) // partition_bytes))
     return assembled(lay_out(df, row_id, partitions), features).persist()
 
 
@@ -51,6 +52,17 @@ def forest(n_trees: int, max_depth: int, seed: int = 42, bootstrap: bool = True,
     )
 
 
+def detached(model):
+    """A fitted model as its saved copy. A forest's training summary holds the session and
+    all that hangs on it, which a task cannot take along; the copy has no summary."""
+    path = run_dir(SparkSession.active(), "model")
+    model.write().save(path)
+    try:
+        return type(model).load(path)
+    finally:
+        drop_dir(SparkSession.active(), path)
+
+
 def scored(df: DataFrame, model, proba: str = "proba") -> DataFrame:
     """Add the probability of class 1; the model's other columns are dropped."""
     out = model.transform(df).withColumn(proba, vector_to_array("probability")[1])
@@ -60,7 +72,8 @@ def scored(df: DataFrame, model, proba: str = "proba") -> DataFrame:
 def fit_members(ready: DataFrame, n_trees: int, members: int, max_depth: int, seed: int = 42):
     """Independent sub-forests of ``n_trees // members`` trees, fitted at the same time."""
     each = n_trees // members
-    jobs = [lambda i=i: forest(each, max_depth, seed + i).fit(ready) for i in range(members)]
+    jobs = [lambda i=i: detached(forest(each, max_depth, seed + i).fit(ready))
+            for i in range(members)]
     return side_by_side(ready.sparkSession, jobs)
 
 

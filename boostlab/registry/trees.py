@@ -291,7 +291,7 @@ def _mllib_forest(spark, sf_dir, **settings):
     train, test = _halves(spark, sf_dir)
     ready = mllib.fit_ready(train, FEATURES, "row_id")
     try:
-        fitted = mllib.forest(20, 5, **settings).fit(ready)
+        fitted = mllib.detached(mllib.forest(20, 5, **settings).fit(ready))
     finally:
         ready.unpersist()
     return metrics.evaluate(mllib.scored(mllib.assembled(test, FEATURES), fitted))

@@ -1,4 +1,6 @@
+import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,30 +83,73 @@ def test_nest_then_flatten_gives_the_rows_back(spark):
     assert sorted(map(str, flat.collect())) == sorted(map(str, runs.drop("pos").collect()))
 
 
-def test_hand_over_notices_lost_rows(spark, tmp_path):
-    df = spark.range(100).withColumnRenamed("id", "row_id")
-    assert handover.hand_over(df).count() == 100
-    spark.range(40).withColumnRenamed("id", "row_id").write.parquet(str(tmp_path / "part"))
+def _handed(spark, path):
+    df = spark.range(0, 4000, 1, 4).select(
+        F.col("id").alias("row_id"), (F.col("id") / 7).alias("f0"),
+        F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("f 1"), F.lit("x").alias("_seal"))
+    assert handover.hand_over(df, path).exceptAll(df).isEmpty()
+    return sorted(glob.glob(f"{path}/rows/*.parquet"))
 
-    class Lossy:
-        """A session whose reader finds another, shorter copy."""
 
-        def __getattr__(self, name):
-            return getattr(spark, name)
+def test_hand_over_of_no_rows(spark):
+    none = spark.range(0).withColumnRenamed("id", "row_id")
+    assert handover.hand_over(none).count() == 0
 
-        @property
-        def read(self):
-            return self
 
-        def schema(self, _):
-            return self
+def _faults(spark, path):
+    with pytest.raises(handover.BrokenHandOver):
+        handover.receive(spark, path)
+    return {(r["fault"], tuple(r["columns"] or ())) for r in handover.faults(spark, path).collect()}
 
-        def parquet(self, _):
-            return spark.read.parquet(str(tmp_path / "part"))
 
-    df._session = Lossy()
-    with pytest.raises(ValueError):
-        handover.hand_over(df, path=str(tmp_path / "all"))
+def test_a_changed_value_is_found(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    first, *_ = _handed(spark, str(tmp_path / "d"))
+    rows = pq.read_table(first)
+    values = rows["f0"].to_pylist()
+    values[7] += 1e-9
+    pq.write_table(rows.set_column(1, "f0", pa.array(values)), first)
+    os.remove(os.path.join(os.path.dirname(first), f".{os.path.basename(first)}.crc"))
+    assert _faults(spark, str(tmp_path / "d")) == {("content", ("f0",))}
+
+
+def test_exchanged_values_are_found(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    first, *_ = _handed(spark, str(tmp_path / "d"))
+    rows = pq.read_table(first)
+    values = rows["f0"].to_pylist()
+    values[7], values[8] = values[8], values[7]
+    pq.write_table(rows.set_column(1, "f0", pa.array(values)), first)
+    os.remove(os.path.join(os.path.dirname(first), f".{os.path.basename(first)}.crc"))
+    assert _faults(spark, str(tmp_path / "d")) == {("content", ())}
+
+
+def test_missing_and_added_files_are_found(spark, tmp_path):
+    import shutil
+
+    first, second, *_ = _handed(spark, str(tmp_path / "d"))
+    os.rename(first, str(tmp_path / "away"))
+    shutil.copy(second, second.replace("part-", "part-9"))
+    assert _faults(spark, str(tmp_path / "d")) == {("missing", ()), ("added", ())}
+
+
+def test_forests_score_whatever_hangs_on_the_session(spark, sf_dir):
+    """An observation stays with the session, and a forest's summary holds the session."""
+    from pyspark.sql import Observation
+
+    import __spark_entry__ as contract
+
+    queries = contract.queries()
+    queries["dataset_roundtrip"](spark, sf_dir).count()
+    seen = Observation()
+    spark.range(10).observe(seen, F.count("*").alias("n")).count()
+    assert seen.get == {"n": 10}
+    for name in ("rf_mllib", "forest_model_parallel"):
+        assert queries[name](spark, sf_dir).count() == 1
 
 
 class FakeSession:
