@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boostlab.llm import (
+    bpe,
     chat,
     decontamination,
     exact_dedup,
+    hard_negatives,
     licenses,
     near_dedup,
     packing,
     repeats,
     revisits,
+    runs,
     token_counts,
     toxicity,
 )
@@ -219,6 +222,96 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, where a tenth of the texts (by a hash of the id) repeats a stretch of
+    its own words from some word on."""
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    g, n = F.expr("hashed div 10"), F.size("words").cast("long")
+    a = g % n
+    period = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+
+    def word(i):
+        return F.get("words", F.when(i < F.col("a"), i).otherwise(
+            F.col("a") + (i - F.col("a")) % F.col("period")).cast("int"))
+
+    some = (F.col("hashed") % 10 == 0) & F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))
+    rows = docs.select("doc_id", "text").withColumn("hashed", hashed)
+    planted = (
+        rows.filter(some).withColumn("words", words)
+        .withColumns({"a": a, "period": period})
+        .select("doc_id", F.array_join(
+            F.transform(F.sequence(F.lit(0).cast("long"), n - 1), word), " ").alias("text"))
+    )
+    return rows.filter(~F.coalesce(some, F.lit(False))).select("doc_id", "text").unionByName(
+        planted)
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+
+    def later(x, y):  # the smaller exponent, or of equal ones the later start, longer period
+        one, other = x["length"] * y["period"], y["length"] * x["period"]
+        return (F.when(one > other, -1).when(one < other, 1)
+                .when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1)
+                .when(x["period"] < y["period"], -1).when(x["period"] > y["period"], 1)
+                .otherwise(0))
+
+    best = F.get(F.array_sort("runs", later), 0)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","),
+        r["period"].cast("string"), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_bpe")
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("byte_bpe_50k.json")
+    read = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return read.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+OP13_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other, a.label = r.label AS same,
+         CAST(list_sum([a.c[i] * r.c[i] FOR i IN range(1, len(a.c) + 1)]) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+ranked AS (
+  SELECT p.*, n.other AS negative_id, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id
+                            ORDER BY n.score DESC, n.other) AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score,
+       negative_score
+FROM ranked WHERE rank <= 3
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(rows)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
