@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from boostlab.llm import bpe
@@ -53,22 +54,33 @@ def test_whole_table_round_trip(spark, sf_dir, sample):
     assert sorted((str(r["doc_id"]), *r[1:]) for r in got) == want
 
 
-@pytest.mark.parametrize("short", [0, 3, 10_000])
-def test_scan_and_heap_agree(short, monkeypatch):
+@pytest.mark.parametrize("short,together", [(0, 48), (3, 48), (10_000, 1), (10_000, 10**9)])
+def test_scan_array_and_heap_agree(short, together, monkeypatch):
+    """All words by the heap, by both, in arrays, one by one."""
     monkeypatch.setattr(bpe, "SHORT", short)
-    own, t = bpe.Bpe(PATH), Tokenizer.from_file(PATH)
-    for text in filter(None, ODD):
-        got = own.encode(text)
-        ids = [int.from_bytes(got[i:i + 4], "little") for i in range(0, len(got), 4)]
-        assert ids == t.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "TOGETHER", together)
+    t, texts = Tokenizer.from_file(PATH), [text for text in ODD if text is not None]
+    got = [list(memoryview(ids).cast("i")) for ids in bpe.Bpe(PATH).encode(texts)]
+    assert got == [t.encode(text, add_special_tokens=False).ids for text in texts]
+
+
+def test_every_pair_has_its_rank():
+    own = bpe.Bpe(PATH)
+    keys = np.fromiter(own.ranks, dtype=np.int64)
+    assert own.pairs.get(keys).tolist() == list(own.ranks.values())
+    others = np.setdiff1d(np.random.default_rng(1).integers(0, own.width**2, 200_000), keys)
+    assert (own.pairs.get(others) == bpe._NONE).all()
 
 
 def test_memory_is_bounded(monkeypatch):
+    plain = bpe.Bpe(PATH)
     monkeypatch.setattr(bpe, "REMEMBERED", 10)
-    own, plain = bpe.Bpe(PATH), bpe.Bpe(PATH)
-    texts = [f"alpha beta{i} gamma{i % 3}, delta" for i in range(60)]
-    assert [own.encode(t) for t in texts] == [plain.encode(t) for t in texts]
-    assert len(own.new) + len(own.old) <= 10
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 1)
+    own = bpe.Bpe(PATH)
+    texts = [f"alpha beta{i} gamma{i % 3}, delta <|endoftext|>" + "z" * 60 for i in range(60)]
+    assert list(own.encode(texts)) == list(plain.encode(texts))
+    assert len(own.new) + len(own.old) < 30
+    assert max(map(len, own.new)) <= bpe.REMEMBERED_CHARS
 
 
 def test_batches_of_bounded_size(docs_of, monkeypatch):
