@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boostlab.operators.binning import Edges, exact_edges
-from boostlab.operators.grow import Growth, add_margin, cached, grow_trees, make_blocks
-from boostlab.operators.model import TreeModel
-from boostlab.session import drop_dir, run_dir
+from boostlab.operators.grow import (
+    BLOCK, Growth, add_margin, cached, grow_trees, make_blocks,
+)
+from boostlab.operators.model import Tree, TreeModel
+from boostlab.session import drop_dir, run_dir, steady_session
 
 # Rounds between two written copies of the margins: bounds the lineage a lost
 # executor costs, and the size of the query plan.
@@ -41,7 +43,7 @@ def stored_blocks(df: DataFrame, row_id: str, label: str, edges: Edges, path: st
     and never from the source.
     """
     make_blocks(df, row_id, label, edges).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return steady_session(df.sparkSession).read.schema(BLOCK).parquet(path)
 
 
 @dataclass
@@ -88,39 +90,117 @@ def boost(
         data.close()
 
 
-def boost_binned(data: Binned, params: BoostParams) -> TreeModel:
-    """Fit on rows binned before; their bins rule, not those of ``params``."""
-    spark = data.blocks.sparkSession
-    home = run_dir(spark, "boost")
-    growth = Growth(
+def _growth(data: Binned, params: BoostParams) -> Growth:
+    return Growth(
         policy=params.growth, max_depth=params.max_depth, num_leaves=params.num_leaves,
         l2=params.l2, min_child=params.min_child, min_rows=params.min_rows,
         shrink=params.learning_rate, base=data.logit() if params.from_share else 0.0,
     )
+
+
+class _Margins:
+    """Blocks whose margins follow the trees of a fit, one cached copy per round.
+
+    Every ``WRITE_EVERY`` rounds they are written to the shared folder, which bounds both
+    what a lost executor costs and the size of the query plan.
+    """
+
+    def __init__(self, blocks: DataFrame, edges: Edges, home: str) -> None:
+        self.blocks, self.edges, self.home = blocks, edges, home
+        self.rounds = 0
+        self.stale: list[DataFrame] = []
+
+    def advance(self, tree: Tree, base: float | None = None) -> None:
+        """Add a tree's values; the old copy is dropped by :meth:`settle`, when the new one
+        has been read. With a ``base``, blocks carry their summed log loss too."""
+        spark = self.blocks.sparkSession
+        if self.rounds:  # the first blocks belong to the caller
+            self.stale.append(self.blocks)
+        self.rounds += 1
+        blocks = add_margin(self.blocks, tree, self.edges, base)
+        if self.rounds % WRITE_EVERY == 0:
+            copy = f"{self.home}/{self.rounds}"
+            blocks.write.parquet(copy)
+            blocks = spark.read.parquet(copy)
+            drop_dir(spark, f"{self.home}/{self.rounds - WRITE_EVERY}")
+        self.blocks = cached(blocks)
+
+    def settle(self) -> None:
+        while self.stale:
+            self.stale.pop().unpersist()
+
+    def close(self) -> None:
+        self.settle()
+        if self.rounds:
+            self.blocks.unpersist()
+        drop_dir(self.blocks.sparkSession, self.home)
+
+
+def _grown(data: Binned, params: BoostParams) -> Iterator[Tree]:
+    """The trees of a fit, one after the other, for as long as they are asked for."""
+    growth = _growth(data, params)
     # Boosting uses every row every round, so row ids are not carried along.
-    blocks = data.blocks.drop("ids")
-    trees, stale = [], []
+    margins = _Margins(data.blocks.drop("ids"), data.edges,
+                       run_dir(data.blocks.sparkSession, "boost"))
     try:
         for round_ in range(params.rounds):
             tree = grow_trees(
-                blocks, data.edges, growth, {0: params.seed + round_}, data.n_rows)[0]
+                margins.blocks, data.edges, growth, {0: params.seed + round_}, data.n_rows)[0]
+            margins.settle()  # the first level of this round has filled the new cache
+            yield tree
+            if round_ + 1 < params.rounds:
+                margins.advance(tree)
+    finally:
+        margins.close()
+
+
+def boost_binned(data: Binned, params: BoostParams) -> TreeModel:
+    """Fit on rows binned before; their bins rule, not those of ``params``."""
+    trees = list(_grown(data, params))
+    return TreeModel(list(data.edges), data.edges, trees, base=_growth(data, params).base)
+
+
+@dataclass
+class Watched:
+    """A fit watched on evaluation rows: the model of its best round, the trees of all rounds
+    that were run, and the rows' mean log loss after each."""
+
+    model: TreeModel
+    trees: list[Tree]
+    losses: list[float]
+
+
+def boost_watched(
+    data: Binned, watch: Binned, params: BoostParams, patience: int | None = None
+) -> Watched:
+    """Fit while watching evaluation rows, and keep the earliest round of least loss.
+
+    The evaluation rows, binned with the edges of the training rows, keep margins of their
+    own, so a round's loss costs one tree. The fit ends after ``patience`` rounds without a
+    lower loss; without a patience, or without evaluation rows, all rounds are run.
+    """
+    if watch.edges != data.edges:
+        raise ValueError("evaluation rows binned with other edges than the training rows")
+    base = _growth(data, params).base
+    spark = data.blocks.sparkSession
+    margins = _Margins(watch.blocks.drop("ids"), watch.edges, run_dir(spark, "watched"))
+    trees: list[Tree] = []
+    losses: list[float] = []
+    best = 0
+    growing = _grown(data, params)
+    try:
+        for tree in growing:
             trees.append(tree)
-            # The first level of this round has filled the new cache.
-            while stale:
-                stale.pop().unpersist()
-            if round_ + 1 == params.rounds:
+            margins.advance(tree, base)
+            loss, rows = margins.blocks.agg(F.sum("loss"), F.sum("n")).first()
+            margins.settle()
+            losses.append(loss / rows if rows else math.nan)
+            if not rows or losses[-1] < losses[best]:
+                best = len(losses) - 1
+            if patience is not None and len(losses) - 1 - best >= patience:
                 break
-            if round_:  # the first blocks belong to the caller
-                stale.append(blocks)
-            blocks = add_margin(blocks, tree, data.edges)
-            if (round_ + 1) % WRITE_EVERY == 0:
-                copy = f"{home}/{round_ + 1}"
-                blocks.write.parquet(copy)
-                blocks = spark.read.parquet(copy)
-                drop_dir(spark, f"{home}/{round_ + 1 - WRITE_EVERY}")
-            blocks = cached(blocks)
     finally:
-        for old in [*stale, *([blocks] if len(trees) > 1 else [])]:
-            old.unpersist()
-        drop_dir(spark, home)
-    return TreeModel(list(data.edges), data.edges, trees, base=growth.base)
+        growing.close()
+        margins.close()
+    model = TreeModel(list(data.edges), data.edges, trees[:best + 1], base=base)
+    return Watched(model, trees, losses)

@@ -11,17 +11,20 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boostlab.functions.rand import literal_uniform
 from boostlab.operators.binning import Edges
+from boostlab.operators.metrics import CLIP
 from boostlab.operators.model import Tree, route, to_bins
 
 BLOCK = "n int, n_pos int, ids binary, label binary, bins binary, margin binary"
@@ -30,9 +33,12 @@ CUTS = (
     "tree int, node int, feature int, bin int, gain double, gl double, hl double, "
     "gt double, ht double"
 )
-# Histogram cells a task may hold at once; more open nodes, or for shared cuts more
-# features, take several jobs.
+# Histogram cells a task may hold at once; more open nodes, or more features, take several
+# tasks of the job.
 MAX_CELLS = 4_000_000
+# Cells of a level that come to the driver, 16 to 24 bytes each, and cells of all its map
+# tasks up to which they come as they are, without a shuffle that sums them first.
+POOL_CELLS, DIRECT_CELLS = 1_000_000, 4_000_000
 SUM_TASK_BYTES = 8 << 20
 # Row-feature pairs that a task adds up, about a second's work. The data set the number of
 # tasks beyond a few per core, so none grows with the table.
@@ -121,24 +127,36 @@ def _unpack(batch: pa.RecordBatch, n_features: int, wide: bool):
                block["margin"])
 
 
-def add_margin(blocks: DataFrame, tree: Tree, edges: Edges) -> DataFrame:
-    """Blocks with the values of a tree added to their margins."""
+def add_margin(blocks: DataFrame, tree: Tree, edges: Edges,
+               base: float | None = None) -> DataFrame:
+    """Blocks with the values of a tree added to their margins. With a ``base`` they carry
+    ``loss`` too, the log loss of their rows summed."""
     n_features, wide = len(edges), _is_wide(edges)
-    kept = [c for c in blocks.columns if c != "margin"]
+    kept = [c for c in blocks.columns if c not in ("margin", "loss")]
 
     def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = np.asarray(tree.value)
         for batch in batches:
-            margins = [
-                (margin + value[route(tree, bins)]).tobytes()
-                for _, _, bins, margin in _unpack(batch, n_features, wide)
-            ]
+            margins, losses = [], []
+            for _, label, bins, margin in _unpack(batch, n_features, wide):
+                margin = margin + value[route(tree, bins)]
+                margins.append(margin.tobytes())
+                if base is not None:
+                    losses.append(_log_loss(margin + base, label))
+            added = [] if base is None else [pa.array(losses, pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [*(batch[c] for c in kept), pa.array(margins, pa.binary())],
-                names=[*kept, "margin"],
+                [*(batch[c] for c in kept), pa.array(margins, pa.binary()), *added],
+                names=[*kept, "margin", *(["loss"] if added else [])],
             )
 
-    return blocks.select(*kept, "margin").mapInArrow(update, blocks.select(*kept, "margin").schema)
+    needed = blocks.select(*kept, "margin")
+    schema = T.StructType(list(needed.schema))
+    return needed.mapInArrow(update, schema if base is None else schema.add("loss", "double"))
+
+
+def _log_loss(margin: np.ndarray, label: np.ndarray) -> float:
+    p = np.clip(1.0 / (1.0 + np.exp(-margin)), CLIP, 1.0 - CLIP)
+    return float(-np.sum(np.log(np.where(label > 0, p, 1.0 - p))))
 
 
 def _is_wide(edges: Edges) -> bool:
@@ -193,17 +211,18 @@ def offered_features(growth: Growth, seed: int, node: int, n_features: int) -> n
 def level_sums(
     blocks: DataFrame, edges: Edges, growth: Growth, trees: dict[int, Tree],
     seeds: dict[int, int], open_nodes: dict[int, list[int]], features: range | None = None,
-    tasks: int = 0,
+    offered: dict[tuple[int, int], np.ndarray] | None = None,
 ) -> DataFrame:
     """Histograms of the open nodes, one set per task: sums per bin as arrays of doubles,
     with row counts where cuts need a least number of rows."""
     n_features, wide = len(edges), _is_wide(edges)
     n_bins = _n_bins(edges)
     features = features or range(n_features)
-    sides = ["g", "h", *(["n"] if growth.min_rows else [])]
+    sides = _sides(growth)
     masks = {
-        t: np.array([offered_features(growth, seeds[t], n, n_features) for n in nodes])[
-            :, features.start:features.stop]
+        t: np.array([
+            offered[t, n] if offered else offered_features(growth, seeds[t], n, n_features)
+            for n in nodes])[:, features.start:features.stop]
         for t, nodes in open_nodes.items()
     }
 
@@ -253,10 +272,18 @@ def level_sums(
                 names=["tree", "node", "feature", *sides],
             )
 
+    return blocks.mapInArrow(add_up, _sums_schema(growth))
+
+
+def needed_of(blocks: DataFrame, growth: Growth, tasks: int = 0) -> DataFrame:
+    """The columns that sums need, in few tasks."""
     drawn = growth.bootstrap or growth.row_share < 1.0
     needed = ["label", "bins", "margin", *(["ids"] if drawn else [])]
-    return blocks.select(*needed).coalesce(tasks or _map_tasks(blocks, 0, 0)).mapInArrow(
-        add_up, _sums_schema(growth))
+    return blocks.select(*needed).coalesce(tasks or _map_tasks(blocks, 0, 0))
+
+
+def _sides(growth: Growth) -> list[str]:
+    return ["g", "h", *(["n"] if growth.min_rows else [])]
 
 
 def _n_bins(edges: Edges) -> int:
@@ -302,17 +329,10 @@ def in_lanes(partial: DataFrame, growth: Growth, groups: int, n_bins: int,
     if map_tasks <= ONE_STEP:
         return partial
     lanes = math.isqrt(map_tasks)
-    sides = ["g", "h", *(["n"] if growth.min_rows else [])]
+    sides = _sides(growth)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _added(batches)
-        keys = list(zip(*sums)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(k, pa.int32()) for k in keys),
-             *(pa.array([cells[i].tobytes() for cells in sums.values()], pa.binary())
-               for i in range(len(sides)))],
-            names=["tree", "node", "feature", *sides],
-        )
+        yield _sum_rows(_added(batches), sides)
 
     tasks = max(lanes, _sum_tasks(groups * lanes, n_bins, -(-map_tasks // lanes)))
     return (
@@ -358,7 +378,7 @@ def best_cuts(partial: DataFrame, growth: Growth, tasks: int) -> DataFrame:
 
 def cell_rows(partial: DataFrame, growth: Growth) -> DataFrame:
     """Histograms as rows: sums per (tree, node, feature, bin) over all tasks."""
-    sides = ["g", "h", *(["n"] if growth.min_rows else [])]
+    sides = _sides(growth)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (tree, node, feature), cells in _added(batches).items():
@@ -375,10 +395,11 @@ def cell_rows(partial: DataFrame, growth: Growth) -> DataFrame:
         *[F.sum(s).alias(s) for s in sides])
 
 
-def _cut_rows(tree, feature, nodes, below, growth: Growth, shared: bool) -> list[tuple]:
-    """Best cut rows of nodes that are decided together; ``below[side, node, bin]`` runs on."""
+def _gains(below: np.ndarray, growth: Growth, shared: bool) -> np.ndarray:
+    """Gain of a cut after every bin, from running sums ``below[side, node, ..., bin]``.
+    Cuts shared by all nodes have their gains added up."""
     gl, hl = below[:2]
-    gt, ht = gl[:, -1:], hl[:, -1:]
+    gt, ht = gl[..., -1:], hl[..., -1:]
 
     def term(g, h):
         full = h + growth.l2
@@ -391,27 +412,82 @@ def _cut_rows(tree, feature, nodes, below, growth: Growth, shared: bool) -> list
         least = np.maximum(growth.min_child, ht * 1e-9)
         gain = np.where((hl >= least) & (ht - hl >= least), gain, -1.0)
         if growth.min_rows:
-            nl, nt = below[2], below[2][:, -1:]
+            nl, nt = below[2], below[2][..., -1:]
             gain = np.where(
                 (nl >= growth.min_rows) & (nt - nl >= growth.min_rows), gain, -1.0)
-    gain = np.rint(gain * 1e9) / 1e9
+    return np.rint(gain * 1e9) / 1e9
+
+
+def _cut_rows(tree, feature, nodes, below, growth: Growth, shared: bool) -> list[tuple]:
+    """Best cut rows of nodes that are decided together; ``below[side, node, bin]`` runs on."""
+    gain, (gl, hl) = _gains(below, growth, shared), below[:2]
     bins = gain.argmax(axis=1)
     return [
-        (tree, n, feature, int(b), gain[i, b], gl[i, b], hl[i, b], gt[i, 0], ht[i, 0])
+        (tree, n, feature, int(b), gain[i, b], gl[i, b], hl[i, b], gl[i, -1], hl[i, -1])
         for i, (n, b) in enumerate(zip(nodes, bins))
     ]
 
 
+def summed_up(partial: DataFrame, growth: Growth, tasks: int) -> DataFrame:
+    """Histograms of all tasks added: one row per (tree, node, feature)."""
+    sides = _sides(growth)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _sum_rows(_added(batches), sides)
+
+    return partial.repartition(tasks, "tree", "node", "feature").mapInArrow(
+        add, _sums_schema(growth))
+
+
+def _sum_rows(sums: dict[tuple[int, int, int], np.ndarray], sides: list[str]) -> pa.RecordBatch:
+    keys = list(zip(*sums)) or [[], [], []]
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(k, pa.int32()) for k in keys),
+         *(pa.array([cells[i].tobytes() for cells in sums.values()], pa.binary())
+           for i in range(len(sides)))],
+        names=["tree", "node", "feature", *sides],
+    )
+
+
+# Histograms [side, feature, bin] of nodes by (tree, node), and the features they have.
+Pool = dict[tuple[int, int], np.ndarray]
+
+
+def _best_of_pool(pool: Pool, offered: dict[tuple[int, int], np.ndarray], growth: Growth
+                  ) -> dict[tuple[int, int], Split]:
+    """The best splits of all nodes of a pool: :func:`best_cuts` where they are few."""
+    found = {}
+    shared = growth.policy == "symmetric"
+    trees: dict[int, list[int]] = {}
+    for t, node in sorted(pool):
+        trees.setdefault(t, []).append(node)
+    for t, nodes in trees.items():
+        below = np.cumsum(np.stack([pool[t, n] for n in nodes], axis=1), axis=-1)
+        gains = _gains(below, growth, shared)
+        for i, node in enumerate(nodes):
+            gain = np.where(offered[t, node][:, None], gains[i], -np.inf)
+            feature, b = divmod(int(gain.argmax()), gain.shape[1])
+            (gl, hl), (gt, ht) = below[:2, i, feature, b], below[:2, i, feature, -1]
+            found[t, node] = Split(float(gain[feature, b]), feature, b, float(gl), float(hl),
+                                   float(gt), float(ht))
+    return found
+
+
 Portion = tuple[dict[int, list[int]], range]
 
 
-def _in_jobs(open_nodes: dict[int, list[int]], n_features: int, n_bins: int) -> Iterator[Portion]:
-    """Open nodes in portions whose histograms of all features stay within ``MAX_CELLS``."""
-    room = max(1, MAX_CELLS // (n_features * n_bins))
+def _portions(open_nodes: dict[int, list[int]], n_features: int, n_bins: int) -> Iterator[Portion]:
+    """Open nodes in portions whose histograms stay within ``MAX_CELLS``: as many nodes as
+    fit with all features, or one node with some of them."""
+    room, wide = MAX_CELLS // (n_features * n_bins), max(1, MAX_CELLS // n_bins)
     portion: dict[int, list[int]] = {}
     used = 0
     for t, nodes in open_nodes.items():
         for n in nodes:
+            if not room:
+                for first in range(0, n_features, wide):
+                    yield {t: [n]}, range(first, min(first + wide, n_features))
+                continue
             if used == room:
                 yield portion, range(n_features)
                 portion, used = {}, 0
@@ -421,47 +497,97 @@ def _in_jobs(open_nodes: dict[int, list[int]], n_features: int, n_bins: int) ->
         yield portion, range(n_features)
 
 
-def _in_jobs_by_feature(
-    open_nodes: dict[int, list[int]], n_features: int, n_bins: int
-) -> Iterator[Portion]:
-    """Features in portions, for cuts shared by all open nodes of a tree."""
-    each = max(1, MAX_CELLS // (n_bins * max(1, sum(map(len, open_nodes.values())))))
-    for first in range(0, n_features, each):
-        yield open_nodes, range(first, min(first + each, n_features))
-
-
-Level = Callable[[dict[int, Tree], dict[int, list[int]]], dict[tuple[int, int], Split]]
-
+class Levels:
+    """The best splits of open nodes, level by level, one job each.
 
-def level_splits(
-    blocks: DataFrame, edges: Edges, growth: Growth, seeds: dict[int, int], n_rows: int = 0
-) -> Level:
-    """A function giving the best split of open nodes, one job per portion of them."""
-    shared = growth.policy == "symmetric"
-    n_features, n_bins = len(edges), _n_bins(edges)
-    map_tasks = _map_tasks(blocks, n_rows, n_features)
+    Up to ``POOL_CELLS`` cells, histograms come to the driver, where a pool keeps those
+    of the last level. Of two children only the one with less weight is then summed over the
+    rows; the other one's histogram is its parent's less that. (Nodes that draw features of
+    their own are all summed, over those features alone.) Larger levels are summed and cut
+    in tasks, and only the cuts come to the driver.
+    """
 
-    def find(trees, open_nodes):
+    def __init__(self, blocks: DataFrame, edges: Edges, growth: Growth, seeds: dict[int, int],
+                 n_rows: int = 0) -> None:
+        self.edges, self.growth, self.seeds = edges, growth, seeds
+        self.map_tasks = _map_tasks(blocks, n_rows, len(edges))
+        self.blocks = needed_of(blocks, growth, self.map_tasks)
+        self.cores = blocks.sparkSession.sparkContext.defaultParallelism
+        self.pool: Pool = {}
+        self.summed: list[tuple[int, int]] = []  # nodes summed over rows, and open ones, by level
+
+    def _shares(self, trees: dict[int, Tree], open_nodes: dict[int, list[int]],
+                weight: dict[tuple[int, int], tuple[float, float]]
+                ) -> tuple[dict[int, list[int]], dict[tuple[int, int], tuple[int, int]]]:
+        """Open nodes to sum over the rows, and those to derive: (tree, big child) with
+        (parent, small child)."""
+        summed, derived = {t: list(nodes) for t, nodes in open_nodes.items()}, {}
+        if self.growth.node_features < 1.0:
+            return summed, derived
+        for t, parent in self.pool:
+            left, right = trees[t].left[parent], trees[t].right[parent]
+            if {left, right} <= set(open_nodes.get(t, ())):
+                small = left if weight[t, left][1] <= weight[t, right][1] else right
+                big = left + right - small
+                summed[t].remove(big)
+                derived[t, big] = (parent, small)
+        return summed, derived
+
+    def find(self, trees: dict[int, Tree], open_nodes: dict[int, list[int]],
+             weight: dict[tuple[int, int], tuple[float, float]] | None = None
+             ) -> dict[tuple[int, int], Split]:
+        """Splits of the open nodes; ``weight`` has the gradient sums of those whose parents
+        are in the pool."""
+        n_features, n_bins = len(self.edges), _n_bins(self.edges)
+        summed, derived = self._shares(trees, open_nodes, weight or {})
+        n_open, n_summed = (sum(map(len, d.values())) for d in (open_nodes, summed))
+        self.summed.append((n_summed, n_open))
+        offered = {
+            (t, n): offered_features(self.growth, self.seeds[t], n, n_features)
+            for t, nodes in open_nodes.items() for n in nodes}
+        groups = n_features * n_summed
+        if groups * n_bins > POOL_CELLS or n_features * n_open * n_bins > MAX_CELLS:
+            self.pool = {}
+            return self._find_in_tasks(trees, open_nodes)
+        partial = level_sums(
+            self.blocks, self.edges, self.growth, trees, self.seeds, summed, offered=offered)
+        if self.map_tasks * groups * n_bins > DIRECT_CELLS:
+            lanes = in_lanes(partial, self.growth, groups, n_bins, self.map_tasks)
+            tasks = min(groups, max(self.cores, self._sum_tasks(groups)))
+            partial = summed_up(lanes, self.growth, tasks)
+        rows = partial.toArrow()
+        pool = {(t, n): np.zeros((len(_sides(self.growth)), n_features, n_bins))
+                for t, nodes in open_nodes.items() for n in nodes}
+        for (t, n, feature), cells in _added(rows.to_batches()).items():
+            pool[t, n][:, feature] = cells
+        for (t, big), (parent, small) in derived.items():
+            pool[t, big] = self.pool[t, parent] - pool[t, small]
+        self.pool = pool
+        return _best_of_pool(pool, offered, self.growth)
+
+    def _sum_tasks(self, groups: int) -> int:
+        each = math.isqrt(self.map_tasks) if self.map_tasks > ONE_STEP else self.map_tasks
+        return _sum_tasks(groups, _n_bins(self.edges), each)
+
+    def _find_in_tasks(self, trees, open_nodes) -> dict[tuple[int, int], Split]:
+        n_features, n_bins = len(self.edges), _n_bins(self.edges)
+        parts = [
+            level_sums(self.blocks, self.edges, self.growth, trees, self.seeds, nodes, features)
+            for nodes, features in _portions(open_nodes, n_features, n_bins)
+        ]
+        groups = n_features * sum(map(len, open_nodes.values()))
+        partial = in_lanes(reduce(DataFrame.unionByName, parts), self.growth, groups, n_bins,
+                           self.map_tasks)
+        # One row per open node and task.
         found: dict[tuple[int, int], Split] = {}
-        for portion, features in (_in_jobs_by_feature if shared else _in_jobs)(
-                open_nodes, n_features, n_bins):
-            partial = level_sums(
-                blocks, edges, growth, trees, seeds, portion, features, map_tasks)
-            groups = len(features) * sum(map(len, portion.values()))
-            partial = in_lanes(partial, growth, groups, n_bins, map_tasks)
-            each = math.isqrt(map_tasks) if map_tasks > ONE_STEP else map_tasks
-            tasks = _sum_tasks(groups, n_bins, each)
-            # One row per open node and task.
-            rows = best_cuts(partial, growth, tasks).collect()
-            for r in sorted(rows, key=lambda r: r["feature"]):
-                key = (r["tree"], r["node"])
-                if key not in found or r["gain"] > found[key].gain:
-                    found[key] = Split(r["gain"], r["feature"], r["bin"], r["gl"], r["hl"],
-                                       r["gt"], r["ht"])
+        rows = best_cuts(partial, self.growth, self._sum_tasks(groups)).collect()
+        for r in sorted(rows, key=lambda r: r["feature"]):
+            key = (r["tree"], r["node"])
+            if key not in found or r["gain"] > found[key].gain:
+                found[key] = Split(r["gain"], r["feature"], r["bin"], r["gl"], r["hl"],
+                                   r["gt"], r["ht"])
         return found
 
-    return find
-
 
 def _chosen(tree: Tree, splits: dict[int, Split], limit: int) -> list[int]:
     """Nodes to split, best gain first, until the tree has ``limit`` leaves."""
@@ -476,6 +602,33 @@ def _chosen(tree: Tree, splits: dict[int, Split], limit: int) -> list[int]:
     return order
 
 
+def _split_level(
+    trees: dict[int, Tree], splits: dict[tuple[int, int], Split], level: int, growth: Growth,
+    known: dict[int, dict[int, Split]], sums: dict[tuple[int, int], tuple[float, float]],
+    limit: int,
+) -> dict[int, list[int]]:
+    """Split the nodes of a level; the children that are open next."""
+    opened: dict[int, list[int]] = {}
+    for (t, node), split in sorted(splits.items()):
+        sums[t, node] = (split.gt, split.ht)
+        if split.gain <= 0:
+            continue
+        tree = trees[t]
+        left, right = tree.split(node, split.feature, split.bin)
+        tree.depth = level + 1
+        known[t][node] = split
+        sums[t, left] = (split.gl, split.hl)
+        sums[t, right] = (split.gt - split.gl, split.ht - split.hl)
+        opened.setdefault(t, []).extend([left, right])
+    if growth.policy == "leaf":
+        for t, nodes in list(opened.items()):
+            reached = set(_chosen(trees[t], known[t], limit))
+            tree = trees[t]
+            kids = {c for n in reached for c in (tree.left[n], tree.right[n])}
+            opened[t] = [n for n in nodes if n in kids]
+    return {t: nodes for t, nodes in opened.items() if nodes}
+
+
 def grow_trees(
     blocks: DataFrame, edges: Edges, growth: Growth, seeds: dict[int, int], n_rows: int = 0
 ) -> dict[int, Tree]:
@@ -485,33 +638,15 @@ def grow_trees(
     reach with the splits known so far cannot be reached later, so only children
     of reachable nodes stay open, and the final order is taken once all are known.
     """
-    find = level_splits(blocks, edges, growth, seeds, n_rows)
+    levels = Levels(blocks, edges, growth, seeds, n_rows)
     trees = {t: Tree() for t in seeds}
     sums: dict[tuple[int, int], tuple[float, float]] = {}
     known: dict[int, dict[int, Split]] = {t: {} for t in seeds}
     limit = growth.num_leaves or 2**growth.max_depth
     open_nodes = {t: [0] for t in seeds}
     for level in range(growth.max_depth):
-        splits = find(trees, open_nodes)
-        opened: dict[int, list[int]] = {}
-        for (t, node), split in sorted(splits.items()):
-            sums[t, node] = (split.gt, split.ht)
-            if split.gain <= 0:
-                continue
-            tree = trees[t]
-            left, right = tree.split(node, split.feature, split.bin)
-            tree.depth = level + 1
-            known[t][node] = split
-            sums[t, left] = (split.gl, split.hl)
-            sums[t, right] = (split.gt - split.gl, split.ht - split.hl)
-            opened.setdefault(t, []).extend([left, right])
-        if growth.policy == "leaf":
-            for t, nodes in list(opened.items()):
-                reached = set(_chosen(trees[t], known[t], limit))
-                tree = trees[t]
-                kids = {c for n in reached for c in (tree.left[n], tree.right[n])}
-                opened[t] = [n for n in nodes if n in kids]
-        open_nodes = {t: nodes for t, nodes in opened.items() if nodes}
+        splits = levels.find(trees, open_nodes, sums)
+        open_nodes = _split_level(trees, splits, level, growth, known, sums, limit)
         if not open_nodes:
             break
     if growth.policy == "leaf":

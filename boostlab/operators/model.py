@@ -45,14 +45,19 @@ class Tree:
 
 def route(tree: Tree, bins: np.ndarray) -> np.ndarray:
     """The leaf every row of ``bins[feature, row]`` ends in."""
-    feature, cut = np.asarray(tree.feature), np.asarray(tree.cut)
-    left, right = np.asarray(tree.left), np.asarray(tree.right)
-    node = np.zeros(bins.shape[1], dtype=np.int32)
-    rows = np.arange(bins.shape[1])
+    own = np.arange(len(tree.feature), dtype=np.int32)
+    feature = np.asarray(tree.feature, dtype=np.int64)
+    inner = feature >= 0
+    # A leaf leads to itself, whatever it is asked.
+    left, right = (np.where(inner, side, own).astype(np.int32) for side in (tree.left, tree.right))
+    cut = np.asarray(tree.cut, dtype=np.int32)
+    n = bins.shape[1]
+    first = np.maximum(feature, 0) * n
+    cells, rows = bins.ravel(), np.arange(n)
+    node = np.zeros(n, dtype=np.int32)
     for _ in range(tree.depth):
-        tested = feature[node]
-        above = bins[np.maximum(tested, 0), rows] > cut[node]
-        node = np.where(tested < 0, node, np.where(above, right[node], left[node]))
+        above = cells.take(first.take(node) + rows) > cut.take(node)
+        node = np.where(above, right.take(node), left.take(node))
     return node
 
 

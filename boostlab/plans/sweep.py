@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import platform
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import datetime
@@ -13,12 +16,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boostlab.functions.scalars import file_stamp
-from boostlab.operators.boosting import Binned, BoostParams, binned_rows, boost_binned
+from boostlab.operators.boosting import (
+    Binned, BoostParams, binned_rows, boost_binned, boost_watched,
+)
 from boostlab.operators.forest import fit_forest, fit_members, score_members
 from boostlab.operators.metrics import evaluate
-from boostlab.operators.model import TreeModel, best_round, eval_history, score
-from boostlab.session import scratch
-from boostlab.sources.results import nest_results, write_document
+from boostlab.operators.model import TreeModel, eval_history, score
+from boostlab.session import path_exists, scratch
+from boostlab.sources import hardware
+from boostlab.sources.results import nest_results, stats_map, write_document
+from boostlab.streaming.spans import run_stats
 
 
 @dataclass(frozen=True)
@@ -87,15 +94,16 @@ def _metadata(
     learning_rate: float,
 ) -> list[Column]:
     # The field names of a result document.
-    hardware = {
+    known = {
         "timestamp": datetime.now().isoformat(),
         "platform": platform.platform(),
         "python_version": platform.python_version(),
         "cpu_count": spark.sparkContext.defaultParallelism,
+        "spark_version": pyspark.__version__,
     }
-    known = [F.lit(v).alias(k) for k, v in hardware.items()]
+    described = {**{k: F.lit(v) for k, v in known.items()}, **hardware.columns(spark)}
     return [
-        F.struct(*known, F.lit(pyspark.__version__).alias("spark_version")).alias("hardware"),
+        F.struct(*[value.alias(name) for name, value in described.items()]).alias("hardware"),
         F.struct(
             F.lit(samples).cast("bigint").alias("samples"),
             F.lit(features).alias("features"),
@@ -130,11 +138,18 @@ class Trial:
     max_bins: int = 256
     seed: int = 42
     binned: Binned | None = None  # training rows binned before, for all configurations
+    watch: Binned | None = None  # test rows in the same bins
 
     def prepared(self) -> Trial:
-        """The trial with its training rows binned; who asks for it closes them."""
-        return replace(self, binned=binned_rows(
-            self.train, self.features, max_bins=self.max_bins))
+        """The trial with its rows binned; who asks for it closes them."""
+        binned = binned_rows(self.train, self.features, max_bins=self.max_bins)
+        watch = binned_rows(self.test, self.features, edges=binned.edges)
+        return replace(self, binned=binned, watch=watch)
+
+    def close(self) -> None:
+        for held in (self.binned, self.watch):
+            if held is not None:
+                held.close()
 
 
 def fit_config(
@@ -150,7 +165,7 @@ def fit_config(
         try:
             return fit_config(ready, config, iterations, best_only)
         finally:
-            ready.binned.close()
+            ready.close()
     if lib == "rf":
         kind, deeper = FORESTS[rest]
         return fit_forest(trial.binned, kind, iterations, trial.depth + deeper, trial.seed)
@@ -158,12 +173,10 @@ def fit_config(
         rounds=iterations, max_depth=trial.depth, learning_rate=trial.learning_rate,
         num_leaves=2**trial.depth, max_bins=trial.max_bins, seed=trial.seed, **BOOSTERS[lib],
     )
-    model = boost_binned(trial.binned, params)
     if lib == "catboost" and best_only:
         # This library keeps the model of its best round on the evaluation rows.
-        best = best_round(eval_history(trial.test, model)).first()["round"]
-        model = model.first(best)
-    return model
+        return boost_watched(trial.binned, trial.watch, params).model
+    return boost_binned(trial.binned, params)
 
 
 def round_history(trial: Trial, config: str, iterations: int) -> DataFrame:
@@ -183,7 +196,7 @@ def timed_run(trial: Trial, config: str, iterations: int) -> dict:
         try:
             return timed_run(ready, config, iterations) | {"prepare_seconds": round(prepared, 2)}
         finally:
-            ready.binned.close()
+            ready.close()
     start = time.perf_counter()
     model = fit_config(trial, config, iterations)
     elapsed = time.perf_counter() - start
@@ -207,60 +220,161 @@ def run_single(trial: Trial, name: str, iterations: list[int]) -> dict:
 
 SWEEP = (
     "iterations int, pos int, name string, time_seconds double, accuracy double, auc double, "
-    "trees int, status string"
+    "trees int, status string, start timestamp, stop timestamp"
 )
+MEASURED = ("time_seconds", "accuracy", "auc", "trees")
+TIMEOUT = "timeout"
+
+
+class RunLog:
+    """The finished runs of a sweep, each committed under its own name when it ends.
+
+    A run's row is one small file that appears whole or not at all, so a sweep that was
+    interrupted, wherever, goes on after its last finished run. The log names the trial it
+    belongs to; a sweep of another one is refused.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, about: dict) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+        about_file = f"{self.folder}/trial.json"
+        text = json.dumps(about, sort_keys=True)
+        if not path_exists(spark, about_file):
+            write_document(spark.createDataFrame([(text,)], "trial string"), about_file)
+        held = spark.read.schema("trial string").json(about_file).first()[0]
+        if held != text:
+            raise ValueError(f"the log of another sweep: {held}, not {text}")
+
+    def finished(self) -> dict[tuple[int, str], tuple]:
+        """Rows by round count and name. Failed runs are not finished: they are run again."""
+        if not path_exists(self.spark, f"{self.folder}/runs"):
+            return {}
+        rows = self.spark.read.schema(SWEEP).json(f"{self.folder}/runs")
+        return {(r["iterations"], r["name"]): tuple(r) for r in rows.collect()
+                if r["status"] in ("ok", TIMEOUT)}
+
+    def commit(self, row: tuple) -> None:
+        path = f"{self.folder}/runs/{row[0]}-{row[2]}.json"
+        write_document(self.spark.createDataFrame([row], SWEEP), path, replace=True)
+
+
+def within(spark: SparkSession, group: str, seconds: float | None, work: Callable) -> dict:
+    """What ``work`` gives. Its jobs are cancelled when its time is over."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group, interruptOnCancel=True)
+    over = threading.Event()
+
+    def cancel() -> None:
+        over.set()
+        while over.is_set():  # a fit starts job after job
+            context.cancelJobGroup(group)
+            time.sleep(0.2)
+
+    # A thread of the JVM's own: the cancelling calls must not inherit the group.
+    clock = threading.Timer(seconds, cancel) if seconds else None
+    if clock:
+        clock.daemon = True
+        clock.start()
+    try:
+        return work()
+    except Exception as error:
+        if over.is_set():
+            raise TimeoutError(f"over {seconds} seconds") from error
+        raise
+    finally:
+        if clock:
+            clock.cancel()
+        over.clear()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+        context.setLocalProperty("spark.job.interruptOnCancel", None)
 
 
 def run_sweep(
     trial: Trial, selection: Selection, iterations: list[int],
-    run: Callable[[Trial, str, int], dict] = timed_run,
+    run: Callable[[Trial, str, int], dict] = timed_run, log: str | None = None,
+    limit_seconds: float | None = None,
 ) -> DataFrame:
     """Every configuration for every round count; one row each.
 
     The rows to test on are cached and those to train on binned, once for all
     configurations, before the first clock starts.
-    A configuration that fails is a row with its error, and the sweep goes on.
+    A configuration that fails is a row with its error, one that takes longer than
+    ``limit_seconds`` a row with the status ``timeout``, and the sweep goes on. With a
+    ``log`` folder (shared, if the driver may come back elsewhere) every row is committed
+    when its run ends, and a sweep that is started again runs what is not there yet.
     """
-    context = trial.train.sparkSession.sparkContext
-    trial.test.persist().count()
-    ready = trial.prepared()
-    rows = []
-    try:
-        for rounds in iterations:
-            for pos, name in enumerate(selection.names()):
-                context.setJobGroup(f"{name}-{rounds}", f"{name}, {rounds} rounds")
+    spark = trial.train.sparkSession
+    held = RunLog(spark, log, _identity(trial)) if log else None
+    done = held.finished() if held else {}
+    wanted = [(rounds, pos, name) for rounds in iterations
+              for pos, name in enumerate(selection.names())]
+    rows = [(*key, *done[key[0], key[2]][3:]) for key in wanted if (key[0], key[2]) in done]
+    left = [key for key in wanted if (key[0], key[2]) not in done]
+    if left:
+        trial.test.persist().count()
+        ready = trial.prepared()
+        try:
+            for rounds, pos, name in left:
+                start, found = _now(), {}
                 try:
-                    found, status = run(ready, name, rounds), "ok"
+                    found = within(spark, f"{name}-{rounds}-{uuid.uuid4().hex}", limit_seconds,
+                                   lambda: run(ready, name, rounds))
+                    status = "ok"
+                except TimeoutError:
+                    status = TIMEOUT
                 except Exception as error:
-                    found, status = {}, f"{type(error).__name__}: {error}"
-                measured = [found.get(k) for k in ("time_seconds", "accuracy", "auc", "trees")]
-                rows.append((rounds, pos, name, *measured, status))
-    finally:
-        context.setLocalProperty("spark.jobGroup.id", None)
-        trial.test.unpersist()
-        ready.binned.close()
-    return trial.train.sparkSession.createDataFrame(rows, SWEEP)
+                    status = f"{type(error).__name__}: {error}"
+                rows.append(
+                    (rounds, pos, name, *map(found.get, MEASURED), status, start, _now()))
+                if held:
+                    held.commit(rows[-1])
+        finally:
+            trial.test.unpersist()
+            ready.close()
+    order = {(rounds, name): i for i, (rounds, _, name) in enumerate(wanted)}
+    rows.sort(key=lambda row: order[row[0], row[2]])
+    return spark.createDataFrame(rows, SWEEP)
+
+
+def _now() -> datetime:
+    """The time to the millisecond, as a log keeps it."""
+    now = datetime.now()
+    return now.replace(microsecond=now.microsecond // 1000 * 1000)
+
+
+def _identity(trial: Trial) -> dict:
+    """What rows of a log must have in common."""
+    return {"features": trial.features, "depth": trial.depth, "seed": trial.seed,
+            "learning_rate": trial.learning_rate, "max_bins": trial.max_bins}
 
 
 def sweep_document(
     trial: Trial, selection: Selection, iterations: list[int], folder: str,
-    run: Callable[[Trial, str, int], dict] = timed_run,
+    run: Callable[[Trial, str, int], dict] = timed_run, samples: DataFrame | None = None,
+    log: str | None = None, limit_seconds: float | None = None,
 ) -> str:
-    """Run a sweep and write its result document under a stamped name; the path of it.
+    """Run a sweep and write its result document, one file under a stamped name; its path.
 
-    Failed configurations have no result and are left out.
+    Failed configurations have no result and are left out. ``samples`` are device samples
+    (``ts, device_id, util``) that are read when the sweep is over: each result holds the
+    statistics of its own time span.
     """
     spark = trial.train.sparkSession
-    samples = trial.train.count() + trial.test.count()
+    n_rows = trial.train.count() + trial.test.count()
+    rows = run_sweep(trial, selection, iterations, run, log, limit_seconds).filter("status = 'ok'")
+    key = ["iterations", "name"]
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-    rows = run_sweep(trial, selection, iterations, run).filter("status = 'ok'")
-    benches = nest_results(rows.withColumn("gpu_stats", none))
+    if samples is None:
+        rows = rows.withColumn("gpu_stats", none)
+    else:
+        stats = stats_map(run_stats(samples, rows, key, seconds=1), key)
+        rows = rows.join(stats, key, "left").withColumn("gpu_stats", F.coalesce("gpu_stats", none))
     about = _metadata(
-        spark, samples, len(trial.features), iterations, trial.depth, trial.learning_rate)
+        spark, n_rows, len(trial.features), iterations, trial.depth, trial.learning_rate)
     stamp = spark.range(1).select(file_stamp(F.current_timestamp())).first()[0]
     # Fixed value: the name of a result document.
     path = f"{folder}/benchmark_results_{stamp}.json"
-    write_document(benches.select(*about, "benchmarks"), path)
+    write_document(nest_results(rows).select(*about, "benchmarks"), path)
     return path
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from boostlab.registry.base import query
 from boostlab.registry.sqlparts import ORDER_FEATURES, TELEMETRY
 from boostlab.sources import handover, relations, texts
-from boostlab.streaming import telemetry
+from boostlab.streaming import spans, telemetry
 
 
 def _polls(spark, sf_dir):
@@ -161,6 +161,32 @@ def q_telemetry_closed(spark, sf_dir):
     return _naive(telemetry.drain_closed(spark, relations.telemetry_columns(files)))
 
 
+_SPANS_SQL = f"""WITH {TELEMETRY}, spans AS (
+  SELECT event_id AS run, ts AS start, ts + to_minutes(floor(value)::BIGINT) AS stop
+  FROM events WHERE event_type = 'purchase' AND event_id % 5 = 0)
+SELECT run, device_id, round(avg(util), 1) AS avg_util, max(util) AS max_util
+FROM spans JOIN telemetry t ON t.ts BETWEEN start AND stop GROUP BY run, device_id"""
+
+
+@query("run_device_stats", _SPANS_SQL)
+def q_run_device_stats(spark, sf_dir):
+    """Device statistics of each run's own time span."""
+    events = relations.table(spark, sf_dir, "events")
+    return spans.run_stats(relations.telemetry_columns(events), relations.spans(events))
+
+
+@query("run_device_stream", _SPANS_SQL)
+def q_run_device_stream(spark, sf_dir):
+    """The same from a stream of samples and a stream of runs that have stopped."""
+    schema = relations.table(spark, sf_dir, "events").schema
+
+    def files():
+        return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+
+    return spans.drain_runs(
+        spark, relations.telemetry_columns(files()), relations.spans(files()))
+
+
 @query("host_rows", "SELECT count(*) AS n_rows FROM events")
 def q_host_rows(spark, sf_dir):
     """The rows that all hosts of the census saw together."""

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boostlab.operators import binning, forest, grow, metrics, mllib, model, shaping
-from boostlab.operators.boosting import BoostParams, binned_rows, boost, boost_binned
+from boostlab.operators.boosting import (
+    BoostParams, binned_rows, boost, boost_binned, boost_watched,
+)
 from boostlab.plans import reports, sweep
 from boostlab.registry.base import query, report
 from boostlab.registry.shape import BINNED_SQL, BINS, FEATURES
-from boostlab.registry.sqlparts import ORDER_FEATURES
-from boostlab.registry.treesql import NODES, boost_sql, forest_sql
+from boostlab.registry.sqlparts import ORDER_FEATURES, uniform
+from boostlab.registry.treesql import NODES, boost_sql, forest_sql, quality_sql
 from boostlab.session import run_dir, settled
 from boostlab.sources import relations, results
 
@@ -81,7 +83,8 @@ def q_grad_histogram(spark, sf_dir):
 
     def work(blocks, edges, trees, open_nodes):
         return grow.cell_rows(
-            grow.level_sums(blocks, edges, growth, trees, {0: 0}, open_nodes), growth)
+            grow.level_sums(grow.needed_of(blocks, growth), edges, growth, trees, {0: 0},
+                            open_nodes), growth)
 
     cells = _on_four_nodes(spark, sf_dir, work).filter("n > 0")
     return cells.select("node", "feature", "bin", F.round("g", 6).alias("g"),
@@ -102,7 +105,7 @@ QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, featu
 def q_best_split(spark, sf_dir):
     """The splits the trainer picks for a level."""
     def work(blocks, edges, trees, open_nodes):
-        found = grow.level_splits(blocks, edges, grow.Growth(), {0: 0})(trees, open_nodes)
+        found = grow.Levels(blocks, edges, grow.Growth(), {0: 0}).find(trees, open_nodes)
         rows = [(node, s.feature, s.bin, s.gain, s.gl, s.hl) for (_, node), s in found.items()]
         return spark.createDataFrame(
             rows, "node int, feature int, bin int, gain double, gl double, hl double")
@@ -231,6 +234,45 @@ def q_eval_history(spark, sf_dir):
     return model.eval_history(train, fitted).withColumn("logloss", F.round("logloss", 6))
 
 
+_FLIPPED = "CASE WHEN row_id % 6 = 0 THEN 1 - label ELSE label END"
+_ROUNDS, _PATIENCE = 9, 2
+
+
+@query("boost_early_stop", boost_sql(f"""SELECT round, logloss, round <= best AS kept, leaf_sum
+FROM (SELECT *, min(stop) OVER () AS last,
+             arg_min(round, CASE WHEN round <= stop THEN exact END) OVER () AS best
+      FROM (SELECT *, coalesce(min(CASE WHEN round - least_at >= {_PATIENCE} THEN round END) OVER (),
+                               {_ROUNDS}) AS stop
+            FROM (SELECT *, arg_min(round, exact) OVER (
+                    ORDER BY round ROWS UNBOUNDED PRECEDING) AS least_at
+                  FROM ({" UNION ALL ".join(
+    f"SELECT {r} AS round, avg(-(l * ln(p) + (1 - l) * ln(1 - p))) AS exact, "
+    f"round(avg(-(l * ln(p) + (1 - l) * ln(1 - p))), 6) AS logloss, "
+    f"(SELECT round(sum(leaf), 6) FROM nodes WHERE tree = {r - 1}) AS leaf_sum "
+    f"FROM (SELECT {_FLIPPED} AS l, 1 / (1 + exp(-margin)) AS p FROM m{r})"
+    for r in range(1, _ROUNDS + 1))}))))
+WHERE round <= last""", rounds=_ROUNDS, depth=2))
+@report
+def q_boost_early_stop(spark, sf_dir):
+    """A fit watched on rows a sixth of whose labels are wrong: it ends when their loss has
+    not gone down for some rounds, and keeps the trees of the best round."""
+    rows = _rows(spark, sf_dir)
+    data = binned_rows(rows, FEATURES, max_bins=BINS)
+    watch = binned_rows(rows.withColumn("label", F.expr(_FLIPPED)), FEATURES, edges=data.edges)
+    try:
+        fit = boost_watched(data, watch, _params(rounds=_ROUNDS, max_depth=2), _PATIENCE)
+    finally:
+        data.close()
+        watch.close()
+    sums = [sum(v for v, f in zip(t.value, t.feature) if f < 0) for t in fit.trees]
+    made = [(r, loss, r <= len(fit.model.trees), total)
+            for r, (loss, total) in enumerate(zip(fit.losses, sums), start=1)]
+    return spark.createDataFrame(
+        made, "round int, logloss double, kept boolean, leaf_sum double").select(
+        "round", F.round("logloss", 6).alias("logloss"), "kept",
+        F.round("leaf_sum", 6).alias("leaf_sum"))
+
+
 @query("best_round", """SELECT user_id, event_id AS round, value AS logloss FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) = 1""")
 def q_best_round(spark, sf_dir):
@@ -256,9 +298,18 @@ def held_out_quality(spark, sf_dir):
     return metrics.evaluate(model.score(test, fitted))
 
 
-@query("held_out_quality")
+# Rows of the fit; the others are those split off by hash.
+_TRAIN = f"{uniform(42, 'split', 'row_id')} >= 0.2::DOUBLE"
+
+
+def _rounded(quality):
+    return quality.select("n_rows", *[
+        F.round(c, 9).alias(c) for c in ("accuracy", "logloss", "auc")])
+
+
+@query("held_out_quality", boost_sql(quality_sql("m5", _TRAIN), rounds=5, depth=4, used=_TRAIN))
 def q_held_out_quality(spark, sf_dir):
-    return held_out_quality(spark, sf_dir)
+    return _rounded(held_out_quality(spark, sf_dir))
 
 
 @query("boost_wide")
@@ -393,9 +444,9 @@ def q_forest_model_parallel(spark, sf_dir):
     return quality.withColumn("total_trees", F.lit(total))
 
 
-def _trial(spark, sf_dir, depth):
+def _trial(spark, sf_dir, depth, **settings):
     train, test = _halves(spark, sf_dir)
-    return sweep.Trial(train, test, FEATURES, depth=depth, learning_rate=ETA)
+    return sweep.Trial(train, test, FEATURES, depth=depth, learning_rate=ETA, **settings)
 
 
 @query("forest_compare")
@@ -450,7 +501,7 @@ def q_sweep_history(spark, sf_dir):
         parts = [sweep.round_history(trial, name, 2)
                  for name in ("xgboost_cpu", "catboost_cpu", "lightgbm_cpu")]
     finally:
-        trial.binned.close()
+        trial.close()
     return reduce(DataFrame.unionByName, parts).withColumn("logloss", F.round("logloss", 6))
 
 
@@ -462,13 +513,63 @@ def q_sweep_small(spark, sf_dir):
     return sweep.run_sweep(_trial(spark, sf_dir, 3), chosen, [2])
 
 
-@query("single_run")
+_SHARE = f"(SELECT ln(avg(label) / (1 - avg(label))) FROM train WHERE {_TRAIN})"
+
+
+@query("single_run", boost_sql(
+    f"SELECT round(accuracy, 4) AS accuracy, round(auc, 4) AS auc, 2 AS trees "
+    f"FROM ({quality_sql('m2', _TRAIN)})",
+    rounds=2, depth=2, policy="leaf", num_leaves=4, l2=0.0, least="0.001", min_rows=20,
+    start=_SHARE, used=_TRAIN))
 @report
 def q_single_run(spark, sf_dir):
-    """One configuration by its short name."""
-    found = sweep.run_single(_trial(spark, sf_dir, 3), "lgb-cpu", [2, 3])
-    schema = "time_seconds double, accuracy double, auc double, trees int, prepare_seconds double"
-    return spark.createDataFrame([tuple(found.values())], schema)
+    """One configuration by its short name: its quality on rows it has not seen."""
+    found = sweep.run_single(_trial(spark, sf_dir, 2, max_bins=BINS), "lgb-cpu", [2, 3])
+    return spark.createDataFrame(
+        [(found["accuracy"], found["auc"], found["trees"])],
+        "accuracy double, auc double, trees int")
+
+
+_LIBRARIES = {
+    "xgboost": {"start": _SHARE},
+    "catboost": {"policy": "symmetric", "l2": 3.0},
+    "lightgbm": {"policy": "leaf", "num_leaves": 4, "l2": 0.0, "least": "0.001", "min_rows": 20,
+                 "start": _SHARE},
+}
+
+
+@query("sweep_resumed", " UNION ALL ".join(
+    "SELECT * FROM (" + boost_sql(
+        f"SELECT 2 AS iterations, {pos} AS pos, '{lib}_cpu' AS name, 'ok' AS status, "
+        f"round(accuracy, 4) AS accuracy, round(auc, 4) AS auc, 1::BIGINT AS times_run "
+        f"FROM ({quality_sql('m2', _TRAIN)})", rounds=2, depth=2, used=_TRAIN, **settings) + ")"
+    for pos, (lib, settings) in enumerate(_LIBRARIES.items())))
+@report
+def q_sweep_resumed(spark, sf_dir):
+    """A sweep that is killed after its second run, and its second start, which runs what is
+    left: the quality of every library, and how often it was fitted."""
+    trial = _trial(spark, sf_dir, 2, max_bins=BINS)
+    chosen = sweep.Selection(skip_1gpu=True, skip_multi_gpu=True, skip_rf=True)
+    log, begun = run_dir(spark, "runs"), []
+
+    def killed(trial, name, rounds):
+        if len(begun) == 2:
+            raise KeyboardInterrupt
+        return counted(trial, name, rounds)
+
+    def counted(trial, name, rounds):
+        begun.append(name)
+        return sweep.timed_run(trial, name, rounds)
+
+    try:
+        sweep.run_sweep(trial, chosen, [2], killed, log=log)
+    except KeyboardInterrupt:
+        pass
+    rows = sweep.run_sweep(trial, chosen, [2], counted, log=log)
+    times = spark.createDataFrame([(n,) for n in begun], "name string").groupBy("name").agg(
+        F.count(F.lit(1)).alias("times_run"))
+    return rows.join(times, "name").select(
+        "iterations", "pos", "name", "status", "accuracy", "auc", "times_run")
 
 
 @query("sweep_document", """SELECT iterations, name, (SELECT count(*) FROM orders) AS samples,

@@ -8,7 +8,7 @@ import numpy as np
 
 from boostlab.operators.grow import Growth, offered_features, poisson_ceilings
 from boostlab.registry.shape import BINNED_SQL, BINS, FEATURES
-from boostlab.registry.sqlparts import uniform
+from boostlab.registry.sqlparts import ordered_edges, uniform
 
 
 def _gain(l2: float) -> str:
@@ -27,7 +27,7 @@ def _level(state: str, out: str, policy: str, num_leaves: int, l2: float,
         f"(SELECT DISTINCT feature FROM binned) f, range(0, {BINS}) b(bin))"
     )
     sums = (
-        f"SELECT path, feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {state} JOIN binned "
+        f"SELECT path, feature, bin, sum(g) AS g, sum(h) AS h, sum(w) AS n FROM {state} JOIN binned "
         f"USING (row_id) WHERE len(path) = {out.count('x')} AND ({offered}) GROUP BY ALL"
     )
     if policy == "symmetric":
@@ -69,22 +69,29 @@ def _level(state: str, out: str, policy: str, num_leaves: int, l2: float,
 
 def boost_sql(final: str, rounds: int, depth: int, policy: str = "level", num_leaves: int = 0,
               eta: float = 0.3, l2: float = 1.0, min_rows: int = 0,
-              start: str = "0.0::DOUBLE", least: str = "1") -> str:
+              start: str = "0.0::DOUBLE", least: str = "1", used: str = "true") -> str:
     """A fit over the order features, then ``final`` over what it made.
 
+    ``used`` tells the rows to fit on; the others are only passed down the trees.
     ``final`` may read ``nodes`` (tree, path, feature, threshold, leaf), ``binned``
     and the margins ``m0`` .. ``m<rounds>`` (row_id, label, margin).
     """
+    binned = BINNED_SQL.replace("binned AS (", "binned AS MATERIALIZED (")
+    for feature in FEATURES:
+        binned = binned.replace(
+            ordered_edges(feature, "train", BINS),
+            ordered_edges(feature, f"(SELECT * FROM train WHERE {used})", BINS))
     parts = [
-        f"{BINNED_SQL.replace('binned AS (', 'binned AS MATERIALIZED (')}",
+        binned,
         f"m0 AS MATERIALIZED (SELECT row_id, label, {start} AS margin FROM train)",
     ]
     nodes = []
     for r in range(rounds):
         state = f"r{r}_"
         parts.append(
-            f"{state} AS MATERIALIZED (SELECT row_id, '' AS path, p - label AS g, p * (1 - p) AS h "
-            f"FROM (SELECT row_id, label, 1 / (1 + exp(-margin)) AS p FROM m{r}))"
+            f"{state} AS MATERIALIZED (SELECT row_id, '' AS path, w * (p - label) AS g, "
+            f"w * p * (1 - p) AS h, w FROM (SELECT row_id, label, 1 / (1 + exp(-margin)) AS p, "
+            f"({used})::INT AS w FROM m{r}))"
         )
         for level in range(depth):
             out = f"r{r}_" + "x" * level + "y"
@@ -139,7 +146,7 @@ def forest_sql(growth: Growth, seeds: dict[tuple[int, int], int], depth: int) ->
             drawn = f"({drawn} < {growth.row_share}::DOUBLE)::INT"
         parts.append(
             f"{name} AS MATERIALIZED (SELECT row_id, '' AS path, w * ({share} - label) AS g, "
-            f"w * {slope} AS h FROM (SELECT row_id, label, {drawn} AS w FROM train) WHERE w > 0)"
+            f"w * {slope} AS h, 1 AS w FROM (SELECT row_id, label, {drawn} AS w FROM train) WHERE w > 0)"
         )
         state = name
         for level in range(depth):
@@ -161,3 +168,18 @@ def forest_sql(growth: Growth, seeds: dict[tuple[int, int], int], depth: int) ->
 
 
 NODES = "SELECT tree, path, feature, threshold, round(leaf, 6) AS leaf FROM nodes"
+
+
+def quality_sql(margins: str, used: str, digits: int = 9) -> str:
+    """The metrics of the rows a fit did not use, over their margins."""
+    return f"""SELECT n_rows, round(accuracy, {digits}) AS accuracy,
+  round(logloss, {digits}) AS logloss, round(auc, {digits}) AS auc
+FROM (SELECT count(*) AS n_rows, avg(((p > 0.5)::INT = label)::INT) AS accuracy,
+             avg(-(label * ln(p) + (1 - label) * ln(1 - p))) AS logloss
+      FROM (SELECT label, 1 / (1 + exp(-margin)) AS p FROM {margins} WHERE NOT ({used}))),
+     (SELECT sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc
+      FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING
+                                                     AND 1 PRECEDING), 0) AS below
+            FROM (SELECT p, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg
+                  FROM (SELECT label, 1 / (1 + exp(-margin)) AS p FROM {margins}
+                        WHERE NOT ({used})) GROUP BY p)))"""

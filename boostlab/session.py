@@ -51,6 +51,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def steady_session(spark: SparkSession) -> SparkSession:
+    """Another session of the application with the same settings but for adaptive planning,
+    for loops of many short jobs whose plans need no second look."""
+    steady = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            steady.conf.set(key, value)
+    steady.conf.set("spark.sql.adaptive.enabled", "false")
+    return steady
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and kept as a table in the shared folder.
 
@@ -104,6 +115,12 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def drop_run_dirs(spark: SparkSession) -> None:
     """Delete every folder of this application; call it when its results are used up."""
     drop_dir(spark, _home(spark))

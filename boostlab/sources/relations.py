@@ -75,6 +75,14 @@ def telemetry_columns(events: DataFrame) -> DataFrame:
     )
 
 
+def spans(events: DataFrame) -> DataFrame:
+    """Every fifth purchase as a run of as many minutes as its value: ``run, start, stop``."""
+    ts = F.col("ts").cast("timestamp")
+    length = F.make_dt_interval(mins=F.floor("value").cast("int"))
+    return events.filter("event_type = 'purchase' AND event_id % 5 = 0").select(
+        F.col("event_id").alias("run"), ts.alias("start"), (ts + length).alias("stop"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat result rows: ``iterations, pos, name, time_seconds, accuracy, auc``.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,9 +58,25 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENT).json(path, multiLine=True)
 
 
-def write_document(document: DataFrame, path: str) -> None:
-    """One document as one JSON file. A document holds a sweep's few result rows."""
-    document.coalesce(1).write.mode("errorifexists").json(path)
+def write_document(document: DataFrame, path: str, replace: bool = False) -> None:
+    """One document as one JSON file, which appears whole or not at all. A document holds a
+    sweep's few result rows."""
+    spark = document.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path
+    target, beside = place(path), f"{path}.{uuid.uuid4().hex}"
+    files = target.getFileSystem(conf)
+    if files.exists(target) and not replace:
+        raise FileExistsError(path)
+    document.coalesce(1).write.json(beside)
+    try:
+        part, = [f.getPath() for f in files.globStatus(place(f"{beside}/part-*"))]
+        if replace:
+            files.delete(target, False)
+        if not files.rename(part, target):
+            raise OSError(f"{path} could not be written")
+    finally:
+        files.delete(place(beside), True)
 
 
 def stats_map(stats: DataFrame, key: list[str]) -> DataFrame:

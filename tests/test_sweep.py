@@ -1,4 +1,7 @@
+import os
 import re
+import time
+from datetime import datetime
 
 import pytest
 
@@ -62,8 +65,109 @@ def test_a_sweep_bins_once_and_its_document_agrees_with_itself(spark, sf_dir, tm
     monkeypatch.setattr(boosting, "make_blocks", lambda *a: made.append(1) or real(*a))
     chosen = sweep.Selection(skip_1gpu=True, skip_multi_gpu=True)
     path = sweep.sweep_document(_trial(spark, sf_dir, 2), chosen, [1], str(tmp_path))
-    assert len(made) == 1
+    assert len(made) == 2  # training rows and test rows, for all configurations
     assert re.fullmatch(r"benchmark_results_[0-9]{8}_[0-9]{6}[.]json", path.split("/")[-1])
     flat = results.flatten_results(results.read_documents(spark, path))
     compared = reports.compare_runs(flat, flat, 0.0).collect()
     assert len(compared) == 6 and {r["status"] for r in compared} == {"same"}
+
+
+CHOSEN = sweep.Selection(skip_1gpu=True, skip_multi_gpu=True, skip_rf=True)
+
+
+def _quick(trial, name, rounds):
+    return {"time_seconds": 1.0, "accuracy": 0.5, "auc": None, "trees": rounds}
+
+
+def test_a_killed_sweep_goes_on(spark, sf_dir, tmp_path):
+    """Killed midway, then with a failing run, then whole: finished runs are never repeated."""
+    trial, log, begun = _trial(spark, sf_dir, 2), str(tmp_path / "log"), []
+
+    def run(trial, name, rounds):
+        begun.append((rounds, name))
+        if len(begun) == 3:
+            raise KeyboardInterrupt
+        if len(begun) == 5:
+            raise RuntimeError("lost")
+        return _quick(trial, name, rounds)
+
+    with pytest.raises(KeyboardInterrupt):
+        sweep.run_sweep(trial, CHOSEN, [1, 2], run, log=log)
+    second = sweep.run_sweep(trial, CHOSEN, [1, 2], run, log=log).collect()
+    assert [r["status"] for r in second] == ["ok"] * 3 + ["RuntimeError: lost"] + ["ok"] * 2
+    third = sweep.run_sweep(trial, CHOSEN, [1, 2], run, log=log).collect()
+    names = ["xgboost_cpu", "catboost_cpu", "lightgbm_cpu"]
+    keys = [(n, name) for n in (1, 2) for name in names]
+    assert [(r["iterations"], r["name"]) for r in third] == keys
+    assert {r["status"] for r in third} == {"ok"} and all(r["start"] <= r["stop"] for r in third)
+    assert begun == [*keys[:3], *keys[2:], keys[3]]
+    assert sweep.run_sweep(trial, CHOSEN, [1, 2], run, log=log).collect() == third
+    assert len(begun) == 8
+
+
+def test_a_log_belongs_to_one_trial(spark, sf_dir, tmp_path):
+    log = str(tmp_path / "log")
+    sweep.run_sweep(_trial(spark, sf_dir, 2), CHOSEN, [1], _quick, log=log)
+    with pytest.raises(ValueError):
+        sweep.run_sweep(_trial(spark, sf_dir, 3), CHOSEN, [1], _quick, log=log)
+
+
+def test_a_run_over_its_time_is_cancelled(spark, sf_dir, tmp_path):
+    def run(trial, name, rounds):
+        if name.startswith("catboost"):
+            spark.range(8, numPartitions=8).mapInPandas(slow, "id long").count()
+        return _quick(trial, name, rounds)
+
+    def slow(batches):
+        import time
+
+        for batch in batches:
+            time.sleep(60)
+            yield batch
+
+    start = time.monotonic()
+    log = str(tmp_path / "log")
+    rows = sweep.run_sweep(
+        _trial(spark, sf_dir, 2), CHOSEN, [1], run, log=log, limit_seconds=4).collect()
+    assert [r["status"] for r in rows] == ["ok", "timeout", "ok"]
+    assert time.monotonic() - start < 45
+    again = sweep.run_sweep(_trial(spark, sf_dir, 2), CHOSEN, [1], run, log=log).collect()
+    assert again == rows  # a timeout is a result
+
+
+def test_a_document_holds_the_statistics_of_each_run(spark, sf_dir, tmp_path):
+    from pyspark.sql import functions as F
+
+    trial = _trial(spark, sf_dir, 2)
+    now = datetime.now()
+    samples = spark.range(0, 7200).select(
+        (F.lit(now) + F.make_dt_interval(secs=F.col("id") / 4)).alias("ts"),
+        (F.col("id") % 2).cast("int").alias("device_id"),
+        (F.col("id") % 2 * 50 + 7).cast("int").alias("util"))
+
+    def run(trial, name, rounds):
+        time.sleep(2)
+        return _quick(trial, name, rounds)
+
+    path = sweep.sweep_document(trial, CHOSEN, [1], str(tmp_path), run, samples)
+    assert os.path.isfile(path)
+    flat = results.flatten_results(results.read_documents(spark, path)).collect()
+    want = {"gpu0_avg_util": 7.0, "gpu0_max_util": 7.0, "gpu1_avg_util": 57.0,
+            "gpu1_max_util": 57.0}
+    assert len(flat) == 3 and all(r["gpu_stats"] == want for r in flat)
+
+
+def test_hardware_of_tool_output(spark):
+    from boostlab.sources import hardware
+
+    texts = {"processor": "Model name:  Chip 9000\nCPU(s):  8\nNUMA node0 CPU(s): 0-7\n",
+             "devices": "Card A, 24570 MiB, 550.1\nCard B, 81920 MiB, 550.1\n",
+             "toolkit": "compiler\nCuda compilation tools, release 12.4, V12\n"}
+    row = spark.range(1).select(*[c.alias(k) for k, c in hardware.columns(spark, texts).items()])
+    found = row.first().asDict(recursive=True)
+    assert found["cpu_model"] == "Chip 9000" and found["gpu_count"] == 2
+    assert found["gpus"][1] == {"name": "Card B", "memory_mb": 81920, "driver": "550.1"}
+    assert "release 12.4" in found["cuda_version"]
+    none = spark.range(1).select(*[
+        c.alias(k) for k, c in hardware.columns(spark, dict.fromkeys(texts, "")).items()]).first()
+    assert none["gpus"] == [] and none["cpu_model"] is None and none["cuda_version"] is None

@@ -1,10 +1,12 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from boostlab.operators import binning, boosting, forest, grow, metrics, model
+from boostlab.operators.boosting import BoostParams, binned_rows, boost_binned, boost_watched
 from boostlab.sources import generators
 
 N, WIDTH = 500, 4
@@ -244,3 +246,91 @@ def test_history_of_an_averaged_model(spark):
     fitted = model.TreeModel(["f0"], {"f0": []}, [leaf] * 3, mean=True, link="identity")
     losses = [r["logloss"] for r in model.eval_history(rows, fitted).collect()]
     assert np.allclose(losses, -np.log(0.75))
+
+
+@pytest.fixture(scope="module")
+def two_sets(spark):
+    rows = generators.gen_classification(generators.row_ids(spark, 3000), 8, mode="fast")
+    data = binned_rows(rows.filter("row_id % 3 > 0"), [f"f{i}" for i in range(8)], max_bins=32)
+    test = rows.filter("row_id % 3 = 0")
+    watch = binned_rows(test, list(data.edges), edges=data.edges)
+    yield data, watch, test
+    data.close()
+    watch.close()
+
+
+@pytest.mark.parametrize("growth", ["level", "symmetric", "leaf"])
+def test_big_children_are_derived(two_sets, growth, monkeypatch):
+    """Half the histograms are summed over the rows, and the trees are the same."""
+    data, _, _ = two_sets
+    params = BoostParams(rounds=2, growth=growth, max_depth=4, num_leaves=12, learning_rate=0.3)
+    made = []
+    real = grow.Levels.__init__
+    monkeypatch.setattr(
+        grow.Levels, "__init__", lambda self, *a, **k: made.append(self) or real(self, *a, **k))
+    derived = boost_binned(data, params)
+    counts = [c for levels in made for c in levels.summed[1:]]
+    assert counts and all(2 * summed == opened for summed, opened in counts)
+    monkeypatch.setattr(grow.Levels, "_shares", lambda self, trees, nodes, weight: (nodes, {}))
+    summed = boost_binned(data, params)
+    for a, b in zip(derived.trees, summed.trees):
+        assert (a.feature, a.cut, a.left, a.right) == (b.feature, b.cut, b.left, b.right)
+        assert a.value == pytest.approx(b.value, abs=1e-9)
+
+
+def test_derived_nodes_of_several_trees(two_sets):
+    """Bagged trees share their jobs; a pool holds the nodes of all of them."""
+    data, _, _ = two_sets
+    growth = forest.forest_growth("bagged", 8, 4, data.positive, min_child=5.0)
+    together = grow.grow_trees(data.blocks, data.edges, growth, {0: 5, 1: 6, 2: 7}, data.n_rows)
+    for t, seed in ((0, 5), (1, 6), (2, 7)):
+        alone = grow.grow_trees(data.blocks, data.edges, growth, {0: seed}, data.n_rows)[0]
+        assert (alone.feature, alone.cut) == (together[t].feature, together[t].cut)
+
+
+@pytest.mark.parametrize("growth", ["level", "symmetric", "leaf"])
+@pytest.mark.parametrize("bounds", [
+    {"DIRECT_CELLS": 0}, {"POOL_CELLS": 0}, {"POOL_CELLS": 0, "MAX_CELLS": 1},
+    {"POOL_CELLS": 0, "MAX_CELLS": 8 * 32 * 3}, {"POOL_CELLS": 8 * 32 * 2},
+    {"DIRECT_CELLS": 0, "ONE_STEP": 1}])
+def test_bounds_change_nothing(two_sets, growth, bounds, monkeypatch):
+    """Histograms that are summed first, levels cut in tasks, in portions, in lanes, and
+    levels beyond the pool after some within it."""
+    data, _, _ = two_sets
+    params = BoostParams(rounds=1, growth=growth, max_depth=3, num_leaves=6, learning_rate=0.3)
+    whole = boost_binned(data, params).trees[0]
+    for name, value in bounds.items():
+        monkeypatch.setattr(grow, name, value)
+    other = boost_binned(data, params).trees[0]
+    assert (other.feature, other.cut) == (whole.feature, whole.cut)
+    assert other.value == pytest.approx(whole.value, abs=1e-9)
+
+
+def test_watched_losses_are_those_of_the_history(two_sets):
+    data, watch, test = two_sets
+    params = BoostParams(rounds=12, max_depth=2, learning_rate=0.5, from_share=True)
+    fit = boost_watched(data, watch, params)
+    full = boost_binned(data, params)
+    assert len(fit.trees) == 12 and [t.cut for t in fit.trees] == [t.cut for t in full.trees]
+    history = {r["round"]: r["logloss"] for r in model.eval_history(test, full).collect()}
+    assert fit.losses == pytest.approx([history[r] for r in range(1, 13)], abs=1e-9)
+    assert len(fit.model.trees) == 1 + fit.losses.index(min(fit.losses))
+
+
+def test_patience_ends_a_fit(spark, two_sets):
+    data, _, test = two_sets
+    wrong = test.withColumn("label", 1 - test["label"])
+    watch = binned_rows(wrong, list(data.edges), edges=data.edges)
+    none = binned_rows(wrong.limit(0), list(data.edges), edges=data.edges)
+    try:
+        params = BoostParams(rounds=9, max_depth=2, learning_rate=0.5)
+        fit = boost_watched(data, watch, params, patience=2)
+        assert len(fit.losses) == 3 and len(fit.model.trees) == 1
+        unwatched = boost_watched(data, none, params, patience=2)
+        assert len(unwatched.model.trees) == len(unwatched.losses) == 9
+        other = {**data.edges, "f0": [0.0]}
+        with pytest.raises(ValueError):
+            boost_watched(data, replace(watch, edges=other), params)
+    finally:
+        watch.close()
+        none.close()
