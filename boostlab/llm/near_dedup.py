@@ -13,9 +13,10 @@
 4. Buckets that hold classes of several components are finished exactly. A link needs a
    common shingle among the first size - ceil(0.75 * size) + 1 of either set, in any fixed
    order; the rarest come first. Classes connected through such shingles are a family, dealt
-   in blocks of bounded size. A task compares the components of two blocks in memory and
-   hands over links alone, at most one per merged component. So no link between components
-   is lost, and no bucket or family emits its pairs.
+   in blocks of bounded size. A task compares pairs of two blocks that have such a shingle in
+   common, in memory and on their full sets (signatures have no say here), and hands over
+   links alone, at most one per merged component. So no link between components is lost, and
+   no bucket or family emits its pairs.
 5. Components: large-star and small-star alternate until the links no longer change.
 
 Links within a component that follow from others are not confirmed, as they change nothing.
@@ -45,6 +46,9 @@ ROWS = HASHES // BANDS
 LEAST_EQUAL = 64
 #: Members of one class compared in one task before the class is dealt to more tasks.
 STAR_ROWS = 256
+#: A shingle of more than one in so many, and of at least so many classes, is counted back
+#: in several tasks; at most ``HOT_SHINGLES`` shingles are, which bounds the table of them.
+HOT_SHINGLES, LEAST_HOT = 2000, 64
 #: Shingles of one family held in one block; a task compares two blocks at most.
 BLOCK_SHINGLES = 500_000
 #: Ids that may be broadcast to pick out the texts of a few documents.
@@ -266,21 +270,28 @@ def _block_links(rows: pd.DataFrame, key: tuple) -> pd.DataFrame:
     reps, sizes = rows["rep"].to_numpy(), rows["n"].to_numpy()
     label, block = rows["component"].to_numpy().copy(), rows["block"].to_numpy()
     sets = [np.asarray(s, dtype=np.int64) for s in rows["held"]]
-    minima = np.frombuffer(b"".join(rows["minima"]), dtype="<u4").reshape(-1, HASHES)
+    holders: dict[int, list[int]] = {}  # rare shingle to the rows met that have it
     a, b = [], []
-    for x in range(len(reps) - 1):
-        after = np.arange(x + 1, len(reps))
-        after = after[(label[after] != label[x])
-                      & (100 * np.minimum(sizes[after], sizes[x])
-                         >= PERCENT * np.maximum(sizes[after], sizes[x]))]
+    for x, rare in enumerate(rows["prefix"]):
+        rare = [] if rare is None else np.asarray(rare).tolist()
+        lists = [holders[s] for s in rare if s in holders]
+        for s in rare:
+            holders.setdefault(s, []).append(x)
+        met = np.unique(np.concatenate(lists)) if lists else np.empty(0, dtype=np.int64)
+        met = met[met != x].astype(np.int64)
+        met = met[(label[met] != label[x])
+                  & (100 * np.minimum(sizes[met], sizes[x])
+                     >= PERCENT * np.maximum(sizes[met], sizes[x]))]
         if across:
-            after = after[block[after] != block[x]]
-        if not len(after):
+            met = met[block[met] != block[x]]
+        if not len(met):
             continue
-        after = after[(minima[after] == minima[x]).sum(axis=1) >= LEAST_EQUAL]
         own = np.sort(sets[x])
-        for at in range(0, len(after), 256):
-            some = after[at:at + 256]
+        for at in range(0, len(met), 256):
+            some = met[at:at + 256]
+            some = some[label[some] != label[x]]
+            if not len(some):
+                continue
             joined = np.concatenate([sets[y] for y in some])
             place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
             bounds = np.concatenate(([0], np.cumsum([len(sets[y]) for y in some])[:-1]))
@@ -294,6 +305,23 @@ def _block_links(rows: pd.DataFrame, key: tuple) -> pd.DataFrame:
     return pd.DataFrame({"a": pd.array(a, "int64"), "b": pd.array(b, "int64")})
 
 
+def _counted_back(each: DataFrame) -> DataFrame:
+    """rep, shingle, times: how many classes have each shingle, of those with several. Rows
+    of frequent shingles are dealt to lots."""
+    often = settled(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter(
+        "times > 1"))
+    total = often.agg(F.sum("times")).first()[0] or 0
+    share = max(LEAST_HOT, total // HOT_SHINGLES)
+    sized = often.withColumn("lots", F.ceil(F.col("times") / share).cast("int"))
+    hot = F.broadcast(sized.filter("lots > 1").select("shingle", "lots"))
+    dealt = each.join(hot, "shingle", "left").select(
+        "rep", "shingle",
+        F.coalesce(F.pmod(F.xxhash64("rep"), F.col("lots")), F.lit(0)).cast("int").alias("lot"))
+    answers = sized.withColumn(
+        "lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+    return dealt.join(answers, ["shingle", "lot"]).drop("lot")
+
+
 def _rest_links(classes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Links between components that share a bucket, found through rare shingles."""
     placed = settled(classes.join(found, "rep", "left").select(
@@ -308,15 +336,14 @@ def _rest_links(classes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFr
     held = settled(_texts_of(open_ids, docs).mapInPandas(
         _set_rows, "rep long, held array<long>"))
     each = held.select("rep", F.explode("held").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     # The rarest shingles come first; those of one class alone join nothing and come before.
-    common = each.join(often, "shingle").groupBy("rep").agg(
+    common = _counted_back(each).groupBy("rep").agg(
         F.sort_array(F.collect_list(F.struct("times", "shingle")))["shingle"].alias("common"))
-    prefix = F.size("common") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    keys = settled(
-        common.join(placed.select("rep", "n", "component"), "rep").select(
-            "rep", "component", F.explode(F.slice(
-                "common", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("shingle")))
+    length = F.size("common") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    prefixes = settled(common.join(placed.select("rep", "n", "component"), "rep").select(
+        "rep", "component", F.slice(
+            "common", F.lit(1), F.greatest(length, F.lit(0)).cast("int")).alias("prefix")))
+    keys = prefixes.select("rep", "component", F.explode("prefix").alias("shingle"))
     stars = keys.groupBy("shingle").agg(
         F.min("rep").alias("a"), F.min("component").alias("low"),
         F.max("component").alias("high")).filter("low < high").select("shingle", "a")
@@ -325,7 +352,8 @@ def _rest_links(classes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFr
     if joint.isEmpty():
         return None
     families = components(joint).withColumnRenamed("component", "family")
-    members = placed.join(families, "rep").join(held, "rep")
+    members = placed.join(families, "rep").join(held, "rep").join(
+        prefixes.select("rep", "prefix"), "rep")
     blocks = members.groupBy("family").agg(
         F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     numbered = members.join(blocks, "family").withColumn(
@@ -334,7 +362,7 @@ def _rest_links(classes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFr
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ).select("family", F.least("block", "other").alias("i"),
              F.greatest("block", "other").alias("j"),
-             "block", "rep", "n", "component", "minima", "held")
+             "block", "rep", "n", "component", "prefix", "held")
     parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = met.repartition(4 * parallel, "family", "i", "j").sortWithinPartitions(
         "family", "i", "j")
