@@ -153,10 +153,9 @@ def _splice(encoded: DataFrame) -> DataFrame:
     """Per document: its tokens, or null if some pair of neighbours has no common boundary."""
     order = Window.partitionBy("key").orderBy("number")
     after = encoded.withColumn("next_edges", F.lead("left_edges").over(order))
-    common = F.filter(
-        "right_edges", lambda r: F.exists("next_edges", lambda n: n["place"] == r["place"])
-    )
-    met = after.withColumn("cut", F.try_element_at(common, F.lit(1)))
+    common = F.get(F.array_intersect(F.col("right_edges.place"), F.col("next_edges.place")), 0)
+    met = after.withColumn("place", common).withColumn(
+        "cut", F.get(F.filter("right_edges", lambda r: r["place"] == F.col("place")), 0))
     entered = F.lag("cut").over(order)["place"]
     own = F.coalesce(F.col("cut")["tokens"],
                      F.when(F.col("number") == F.col("last"), F.col("n_tokens")))
