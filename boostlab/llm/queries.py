@@ -176,7 +176,8 @@ FROM joined
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.sql(f"SELECT * FROM VALUES {OP8_EXTRA} AS t(conv_id, turn, role, text)")
-    return chat.read_back(chat.format_turns(rows.unionByName(planted)))
+    turns = chat.format_turns(rows.unionByName(planted))
+    return chat.read_back(turns, chat.examples(turns))
 
 
 @query("op9_packing")
