@@ -34,6 +34,8 @@ from boostlab.llm.common import (
 WINDOW = 10
 #: Largest benchmark that is broadcast; some hundred bytes of memory per word.
 BROADCAST_CHARS = 8_000_000
+#: Lots of a joined window.
+LOTS = 16
 _MIX = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 5) % 2**64 | 1 for i in range(64)],
                 dtype=np.uint64)
 
@@ -140,10 +142,7 @@ def find(
             rows = []
             for body in frame["text"]:
                 words = ALNUM_WORD.findall(lowered_bytes(body))
-                hits = shared.value.scan(words)
-                items = set().union(*(h[2] for h in hits)) if hits else ()
-                n_hit = int(_covered(hits, len(words)).sum()) if hits else 0
-                rows.append((len(words), n_hit, len(items), _digest(items), n_hit > 0))
+                rows.append(_judged(words, shared.value.scan(words)))
             made = pd.DataFrame(rows, columns=[c.split()[0] for c in _FOUND.split(", ")])
             made.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
             yield made.assign(doc_id=made["doc_id"].astype("Int64"))
@@ -152,7 +151,7 @@ def find(
 
 
 def _window_rows(n: int, sizes: list[int], item: bool):
-    """Windows as joined words with their hash, size and place."""
+    """Windows by their hash, size and place; those of items with their words."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -168,51 +167,69 @@ def _window_rows(n: int, sizes: list[int], item: bool):
                         for place in range(len(words) - size + 1):
                             gram = b" ".join(words[place:place + size])
                             rows.append((own, place, size, xxhash.xxh3_64_intdigest(gram) - 2**63,
-                                         gram.decode("utf-8", "replace")))
+                                         gram if item else None))
                 yield pd.DataFrame(rows, columns=["own", "place", "size", "hash", "words"])
 
     return cut
 
 
+_WINDOW = "own {}, place int, size int, hash long, words binary"
+_HIT = "array<struct<place: int, size: int, words: binary, items: array<string>>>"
+
+
+def _hits_joined(rows: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """``row`` and its ``hits``, for a benchmark too large to broadcast: rows (``row, text``)
+    whose windows, of the sizes the benchmark has, hash like some of its own.
+
+    A document's windows travel as hashes alone. Windows of the benchmark are copied to
+    ``LOTS`` lots and rows dealt to them, so a passage of very many documents is met by
+    several tasks. Hits are verified by the words, where the text is (:func:`_verified`).
+    """
+    wanted = settled(
+        _items(benchmark).mapInPandas(_window_rows(n, [], True), _WINDOW.format("string"))
+        .groupBy("size", "hash", "words").agg(F.collect_set("own").alias("items")))
+    sizes = [r["size"] for r in wanted.select("size").distinct().collect()]  # n at most
+    found = rows.select("row", "text").mapInPandas(
+        _window_rows(n, sizes, False), _WINDOW.format("long")).select(
+        "own", "place", "size", "hash", F.pmod(F.xxhash64("own"), F.lit(LOTS)).alias("lot"))
+    copied = wanted.withColumn(
+        "lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOTS - 1).cast("long"))))
+    hits = found.join(copied, ["size", "hash", "lot"])
+    return hits.groupBy(F.col("own").alias("row")).agg(
+        F.collect_list(F.struct("place", "size", "words", "items")).alias("hits"))
+
+
+def _verified(words: list[bytes], hits) -> list[tuple[int, int, set[str]]]:
+    """Hits whose words are the text's: place, number of words, items."""
+    return [
+        (h["place"], h["size"], set(h["items"])) for h in (() if hits is None else hits)
+        if b" ".join(words[h["place"]:h["place"] + h["size"]]) == h["words"]]
+
+
 def _find_joined(docs: DataFrame, benchmark: DataFrame, n: int, text: str,
                  doc_id: str) -> DataFrame:
-    """The same for a benchmark too large to broadcast: one row per window, of the sizes that
-    the benchmark has."""
+    """The same for a benchmark too large to broadcast."""
     rows = numbered(_rows(docs, text, doc_id))
-    wanted = _items(benchmark).mapInPandas(
-        _window_rows(n, [], True), "own string, place long, size int, hash long, words string"
-    ).groupBy("size", "hash", "words").agg(F.collect_set("own").alias("items"))
-    wanted = settled(wanted)
-    sizes = [r["size"] for r in wanted.select("size").distinct().collect()]  # n at most
-    found = rows.select("row", "text").mapInPandas(
-        _window_rows(n, sizes, False),
-        "own long, place long, size int, hash long, words string")
-    hits = found.join(wanted, ["size", "hash", "words"])
-    covered = hits.select(
-        "own", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("size") - 1))
-        .alias("word")).distinct().groupBy("own").agg(F.count(F.lit(1)).alias("n_hit"))
-    items = hits.select("own", F.explode("items").alias("item")).distinct().groupBy("own").agg(
-        F.sort_array(F.collect_list("item")).alias("items"))
-    counted = rows.mapInPandas(_count_words, "row long, doc_id long, n_words long")
-    none = F.array().cast("array<string>")
-    return (
-        counted.join(covered, counted["row"] == covered["own"], "left").drop("own")
-        .join(items, F.col("row") == items["own"], "left")
-        .select(
-            "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
-            F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
-            F.sha2(F.concat_ws(",", F.coalesce("items", none)), 256).alias("items_sha256"),
-            F.col("n_hit").isNotNull().alias("contaminated"),
-        )
-    )
-
-
-def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield pd.DataFrame({
-            "row": frame["row"], "doc_id": frame["doc_id"].astype("Int64"),
-            "n_words": [len(ALNUM_WORD.findall(lowered_bytes(t))) for t in frame["text"]],
-        })
+    hits = _hits_joined(rows, benchmark, n).withColumnRenamed("row", "own")
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for body, own in zip(frame["text"], frame["hits"]):
+                words = ALNUM_WORD.findall(lowered_bytes(body))
+                made.append(_judged(words, _verified(words, own)))
+            out = pd.DataFrame(made, columns=[c.split()[0] for c in _FOUND.split(", ")])
+            out.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
+            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+
+    return rows.join(hits, rows["row"] == hits["own"], "left").select(
+        "doc_id", "text", "hits").mapInPandas(judge, f"doc_id long, {_FOUND}")
+
+
+def _judged(words: list[bytes], hits: list[tuple[int, int, set[str]]]) -> tuple:
+    items = set().union(*(h[2] for h in hits)) if hits else ()
+    n_hit = int(_covered(hits, len(words)).sum()) if hits else 0
+    return len(words), n_hit, len(items), _digest(items), n_hit > 0
 
 
 def remove_spans(
@@ -222,30 +239,55 @@ def remove_spans(
     """The documents, all columns, with the hit words cut out of their texts.
 
     Everything between two neighbouring hit words goes with them; a text without hits is
-    left as it is. For benchmarks within the broadcast bound.
+    left as it is. Benchmarks of any size: beyond the broadcast bound hits are joined.
     """
     grams = _bounded_set(benchmark, n, broadcast_chars)
     if grams is None:
-        raise ValueError("spans are removed for benchmarks within the broadcast bound")
+        return _remove_joined(docs, benchmark, n, text)
     shared = docs.sparkSession.sparkContext.broadcast(grams)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
-        out = []
-        for body in texts:
-            raw = body.encode("utf-8", "surrogatepass") if body is not None else b""
-            places = [m.span() for m in ALNUM_WORD.finditer(raw.lower())]
-            hits = shared.value.scan([raw[a:b].lower() for a, b in places])
-            if not hits:
-                out.append(body)
-                continue
-            hit = np.flatnonzero(np.diff(np.concatenate(
-                ([0], _covered(hits, len(places)).astype(np.int8), [0]))))
-            kept, at = [], 0
-            for first, last in zip(hit[::2], hit[1::2]):
-                kept.append(raw[at:places[first][0]])
-                at = places[last - 1][1]
-            out.append((b"".join(kept) + raw[at:]).decode("utf-8", "surrogatepass"))
-        return pd.Series(out, dtype=object)
+        return pd.Series([_cut(body, shared.value.scan) for body in texts], dtype=object)
 
     return docs.withColumn(text, cut(F.col(text)))
+
+
+def _remove_joined(docs: DataFrame, benchmark: DataFrame, n: int, text: str) -> DataFrame:
+    row, own = (_free(name, docs.columns) for name in ("row", "hits"))
+    marked = settled(docs.withColumn(row, F.monotonically_increasing_id()))
+    hits = _hits_joined(
+        marked.select(F.col(row).alias("row"), empty_if_null(F.col(text)).alias("text")),
+        benchmark, n).select(F.col("row").alias(f"{row}_"), F.col("hits").alias(own))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series([
+            _cut(body, lambda words, found=found: _verified(words, found))
+            for body, found in zip(texts, hits)], dtype=object)
+
+    met = marked.join(hits, F.col(row) == F.col(f"{row}_"), "left")
+    return met.withColumn(text, F.when(F.col(own).isNull(), F.col(text)).otherwise(
+        cut(F.col(text), F.col(own)))).select(*docs.columns)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while any(c.startswith(name) for c in taken):
+        name = f"_{name}"
+    return name
+
+
+def _cut(body: str | None, scan) -> str | None:
+    """A text without the words of the hits that ``scan`` finds among its words."""
+    raw = body.encode("utf-8", "surrogatepass") if body is not None else b""
+    places = [m.span() for m in ALNUM_WORD.finditer(raw.lower())]
+    hits = scan([raw[a:b].lower() for a, b in places])
+    if not hits:
+        return body
+    hit = np.flatnonzero(np.diff(np.concatenate(
+        ([0], _covered(hits, len(places)).astype(np.int8), [0]))))
+    kept, at = [], 0
+    for first, last in zip(hit[::2], hit[1::2]):
+        kept.append(raw[at:places[first][0]])
+        at = places[last - 1][1]
+    return (b"".join(kept) + raw[at:]).decode("utf-8", "surrogatepass")
