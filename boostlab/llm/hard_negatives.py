@@ -46,16 +46,17 @@ EXACT_BITS, WIDE = 53, 64
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
-def scaled(vectors: list, scale: float) -> np.ndarray:
+def scaled(vectors: pa.ChunkedArray, scale: float) -> np.ndarray:
     """Integer components [row, component], as 64-bit ones where products surely fit and as
     Python integers else."""
-    size = max((len(v) for v in vectors), default=0)
-    out = np.zeros((len(vectors), size))
-    for own, vector in zip(out, vectors):
-        own[:len(vector)] = vector
+    held = vectors.combine_chunks()
+    values = held.flatten().to_numpy(zero_copy_only=False).astype(float)
+    sizes = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = values
     with np.errstate(over="ignore"):
         whole = np.floor(out * scale)
-    if not len(vectors) or np.abs(whole).max(initial=0) < 2.0 ** 24:
+    if not len(sizes) or np.abs(whole).max(initial=0) < 2.0 ** 24:
         return whole.astype(np.int64)
 
     def exact(x: float, y: float) -> int:
@@ -130,8 +131,7 @@ class _Block:
         labels, ids = (table[c].to_numpy().astype(np.int64) for c in ("label", "id"))
         order = np.lexsort((ids, labels)) if by_label else np.argsort(ids, kind="stable")
         self.labels, self.ids = labels[order], ids[order]
-        vectors = table["vector"].to_pylist()
-        self.comps = scaled([vectors[i] for i in order], scale)
+        self.comps = scaled(table["vector"], scale)[order]
         self.rows = table["row"].to_numpy()[order]
         self.order = order
 
