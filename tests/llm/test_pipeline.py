@@ -4,8 +4,12 @@ import os
 
 import corpus_pipeline
 import pytest
+from test_near_dedup import brute
+from test_packing import want
+from test_small_operators import brute_hits
 
 from boostlab import session
+from boostlab.llm import toxicity
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +64,66 @@ def test_empty_tables_give_no_sequences(spark, folder, tmp_path):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(
             f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def stages(spark, folder):
+    """What goes into every stage and comes out of it, as rows."""
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        after, _ = session.settled_alone(spark, lambda d=docs, s=stage: s(spark, d, folder))
+        seen[name] = (docs.collect(), after.collect())
+        docs = after
+    return seen
+
+
+def _ids(rows):
+    return sorted(r["doc_id"] for r in rows)
+
+
+def test_toxic_rows_go_by_their_decisions(spark, folder, stages):
+    before, after = stages["toxicity"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    marked = {r["doc_id"] for r in toxicity.score(docs, model).collect() if r["predicted"]}
+    assert _ids(after) == sorted(set(_ids(before)) - marked)
+    labels = {r["doc_id"]: r["toxic"] for r in
+              spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    assert not [i for i in marked if labels.get(i) == 0]  # no row known to be clean goes
+
+
+def test_exact_copies_by_force(stages):
+    before, after = stages["exact_dedup"]
+    last = {}
+    for r in before:
+        key = (r["text"] or "").encode().lower()
+        last[key] = max(r["doc_id"], last.get(key, r["doc_id"]))
+    assert _ids(after) == sorted(last.values())
+
+
+def test_near_copies_by_force(stages):
+    before, after = stages["near_dedup"]
+    wanted = brute([(r["doc_id"], r["text"]) for r in before])
+    assert _ids(after) == sorted(i for i, _, _, kept in wanted if kept)
+
+
+def test_benchmark_passages_by_force(spark, folder, stages):
+    before, after = stages["decontamination"]
+    items = [(r["item_id"], r["text"]) for r in
+             spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    judged = brute_hits([(r["doc_id"], r["text"]) for r in before], items, 10)
+    assert _ids(after) == sorted(i for i, *_, hit in judged if not hit)
+
+
+def test_rows_stay_as_they_are(stages):
+    """A stage drops rows; it changes none."""
+    for name, _ in corpus_pipeline.STAGES[:-1]:
+        before, after = stages[name]
+        assert set(after) <= set(before) and len(after) > 0, name
+
+
+def test_packed_pieces_by_the_library(stages):
+    before, after = stages["packing"]
+    got = sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"])
+                 for r in after)
+    assert got == want([(r["doc_id"], r["text"]) for r in before])

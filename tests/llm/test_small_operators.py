@@ -46,7 +46,8 @@ def test_exact_copies_with_a_hot_text(docs_of):
 
 
 def test_index_splits_overfull_buckets(docs_of):
-    index = exact_dedup.build_index(docs_of([(i, f"text {i}") for i in range(500)]), capacity=20)
+    index = exact_dedup.build_index(
+        docs_of([(i, f"text {i}") for i in range(500)]), capacity=20).links
     sizes = [r["count"] for r in index.groupBy("bucket").count().collect()]
     assert sum(sizes) == 500 and max(sizes) <= 20
     spread = index.select("depth").distinct().count()
@@ -56,6 +57,44 @@ def test_index_splits_overfull_buckets(docs_of):
     assert wrong.isEmpty()
 
 
+def test_chains_hold_texts_of_one_hash(docs_of, monkeypatch):
+    """With a hash that tells texts apart by their length alone, the chain decides."""
+    rows = [(i, "x" * (i % 3) + str(i % 40)) for i in range(400)] + [(400, None), (401, "")]
+    want = sorted(map(tuple, exact_dedup.dedupe(docs_of(rows)).collect()))
+    monkeypatch.setattr(exact_dedup, "hashed", lambda norm: F.length(norm).cast("long"))
+    index = exact_dedup.build_index(docs_of(rows))
+    assert index.links.agg(F.max("chain")).first()[0] > 10
+    assert sorted(map(tuple, exact_dedup.look_up(docs_of(rows), index).collect())) == want
+
+
+def test_lookups_go_through_the_index(docs_of):
+    """A spoiled slot, bucket or chain shows in the answers."""
+    from dataclasses import replace
+
+    docs = docs_of([(i, f"text {i % 250}") for i in range(500)])
+    index = exact_dedup.build_index(docs, capacity=20)
+    assert exact_dedup.look_up(docs, index).count() == 500
+    one = index.links.orderBy("bucket", "hash").first()
+    here = F.col("hash") == one["hash"]
+    for spoiled in (
+        replace(index, links=index.links.withColumn(
+            "bucket", F.when(here, F.col("bucket") + 1).otherwise(F.col("bucket")))),
+        replace(index, links=index.links.withColumn(
+            "text_sha256", F.when(here, F.lit("?")).otherwise(F.col("text_sha256")))),
+    ):
+        assert exact_dedup.look_up(docs, spoiled).count() == 498
+    none = replace(index, directory=index.directory.filter(F.col("bucket") != one["bucket"]))
+    lost = index.links.filter(F.col("bucket") == one["bucket"]).count()
+    assert exact_dedup.look_up(docs, none).count() == 500 - 2 * lost
+
+
+def test_a_large_directory_is_joined(docs_of, monkeypatch):
+    docs = docs_of([(i, f"text {i % 250}") for i in range(500)])
+    want = sorted(map(tuple, exact_dedup.dedupe(docs, capacity=20).collect()))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_SLOTS", 0)
+    assert sorted(map(tuple, exact_dedup.dedupe(docs, capacity=20).collect())) == want
+
+
 # chat -----------------------------------------------------------------------------------
 
 TURNS = [(1, 0, "system", "rules"), (1, 1, "user", None), (1, 2, "assistant", "a\\b <s> [INST]"),
@@ -72,7 +111,7 @@ def formatted(spark):
 
 
 def test_chat_round_trip(formatted):
-    got = {r["conv_id"]: r for r in chat.read_back(formatted).collect()}
+    got = {r["conv_id"]: r for r in chat.read_back(formatted, chat.examples(formatted)).collect()}
     convs = {}
     for conv, turn, role, text in TURNS:
         convs.setdefault(conv, []).append((-1 if turn is None else turn, role or "", text or ""))
@@ -87,6 +126,27 @@ def test_chat_round_trip(formatted):
         assert row["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("column", ["loss_start", "loss_chars", "context_chars", "context_turns"])
+def test_a_wrong_example_shows(formatted, column):
+    """The digests come from the examples: one whose mask or context is off changes them."""
+    made = chat.examples(formatted)
+    wrong = made.withColumn(column, F.when(
+        (F.col("conv_id") == 1) & (F.col("context_turns") == 2), F.col(column) + 1).otherwise(
+        F.col(column)))
+    if column == "context_turns":  # out of its place among the others
+        wrong = made.withColumn(column, F.when(F.col("conv_id") == 1, -F.col(column)).otherwise(
+            F.col(column)))
+    right, other = ({r["conv_id"]: r["loss_sha256"] for r in chat.read_back(formatted, m).collect()}
+                    for m in (made, wrong))
+    assert right.keys() == other.keys() and [c for c in right if right[c] != other[c]] == [1]
+
+
+def test_no_conversations(spark, formatted):
+    none = chat.format_turns(spark.createDataFrame(
+        [], "conv_id long, turn long, role string, text string"))
+    assert chat.read_back(none, chat.examples(none)).count() == chat.written_out(none).count() == 0
+
+
 def test_chat_examples_are_prefixes(formatted):
     whole = {(r["conv_id"], r["context_turns"]): r for r in chat.written_out(formatted).collect()}
     short = chat.examples(formatted).collect()
@@ -135,11 +195,33 @@ def test_decontamination(spark, docs_of, chars):
     assert decontamination.find(docs_of([]), benchmark, broadcast_chars=chars).count() == 0
 
 
-def test_spans_are_cut(spark, docs_of):
-    benchmark = spark.createDataFrame([(1, "secret passage")], "item_id long, text string")
-    docs = docs_of([(1, "Été, a Secret -- PASSAGE, end."), (2, None), (3, "clean text")])
-    got = {r["doc_id"]: r["text"] for r in decontamination.remove_spans(docs, benchmark).collect()}
-    assert got == {1: "Été, a , end.", 2: None, 3: "clean text"}
+@pytest.mark.parametrize("chars", [decontamination.BROADCAST_CHARS, 0])
+def test_spans_are_cut(spark, docs_of, chars):
+    benchmark = spark.createDataFrame(
+        [(1, "secret passage"), (2, "x"), (3, None)], "item_id long, text string")
+    rows = [(1, "Été, a Secret -- PASSAGE, end."), (2, None), (3, "clean text"), (1, "x y x"),
+            (None, "secret passage secret"), (4, ""), (5, "a X. " * 3000)]
+    docs = docs_of(rows)
+    got = decontamination.remove_spans(docs, benchmark, broadcast_chars=chars)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([
+        (1, "Été, a , end."), (2, None), (3, "clean text"), (1, " y "), (None, " secret"),
+        (4, ""), (5, "a . " * 3000)], key=str)
+    none = decontamination.remove_spans(docs, benchmark.limit(0), broadcast_chars=chars - 1)
+    assert sorted(none.collect(), key=str) == sorted(docs.collect(), key=str)
+    assert decontamination.remove_spans(docs_of([]), benchmark, broadcast_chars=chars).count() == 0
+
+
+def test_cut_spans_of_the_table(spark, sf_dir, sample):
+    """Both ways cut the same words, and what is left has no hit at a cut any more."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    one, other = ({r["doc_id"]: r["text"] for r in decontamination.remove_spans(
+        sample, benchmark, broadcast_chars=chars).collect()} for chars in (10**7, 0))
+    assert one == other
+    hit = {r["doc_id"] for r in decontamination.find(sample, benchmark).collect()
+           if r["contaminated"]}
+    before = {r["doc_id"]: r["text"] for r in sample.collect()}
+    assert {i for i in before if before[i] != one[i]} == hit and hit
 
 
 # licenses -------------------------------------------------------------------------------
