@@ -113,12 +113,23 @@ class TreeModel:
             rows, "tree int, path string, feature string, threshold double, leaf double"
         )
 
+    def edge_table(self, spark: SparkSession) -> DataFrame:
+        """One row per edge: ``feature, position, edge``."""
+        rows = [(f, i, float(e)) for f in self.features for i, e in enumerate(self.edges[f])]
+        return spark.createDataFrame(rows, "feature string, position int, edge double")
+
     @classmethod
-    def from_table(cls, table: DataFrame, features: list[str], **settings) -> TreeModel:
-        """The model of a node table; its thresholds become the edges."""
+    def from_table(cls, table: DataFrame, features: list[str], edges: DataFrame | None = None,
+                   **settings) -> TreeModel:
+        """The model of a node table, and of its edge table; without one, the thresholds
+        become the edges."""
         rows = table.orderBy("tree", "node").collect()
-        edges: Edges = {f: sorted({r["threshold"] for r in rows if r["feature"] == f})
-                        for f in features}
+        if edges is None:
+            edges: Edges = {f: sorted({r["threshold"] for r in rows if r["feature"] == f})
+                            for f in features}
+        else:
+            held = edges.orderBy("feature", "position").collect()
+            edges = {f: [r["edge"] for r in held if r["feature"] == f] for f in features}
         trees: dict[int, Tree] = {}
         for r in rows:
             tree = trees.setdefault(r["tree"], Tree([], [], [], [], []))
@@ -186,11 +197,12 @@ def margin_column(model: TreeModel) -> Column:
     return margins(F.struct(*[F.col(f).cast("double").alias(f) for f in model.features]))
 
 
-def score(df: DataFrame, model: TreeModel, proba: str = "proba") -> DataFrame:
+def score(df: DataFrame, model: TreeModel, proba: str = "proba",
+          prediction: str = "prediction") -> DataFrame:
     """Add the probability of class 1 and the decision; rows stay where they are."""
     margin = margin_column(model)
     value = logistic(margin) if model.link == "logistic" else margin
-    return df.withColumn(proba, value).withColumn("prediction", decide(F.col(proba)))
+    return df.withColumn(proba, value).withColumn(prediction, decide(F.col(proba)))
 
 
 def eval_history(df: DataFrame, model: TreeModel, label: str = "label") -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boostlab.operators import binning, forest, grow, metrics, mllib, model, shaping
+from boostlab.operators import (
+    binning, estimator, forest, grow, metrics, mllib, model, shaping,
+)
 from boostlab.operators.boosting import (
     BoostParams, binned_rows, boost, boost_binned, boost_watched,
 )
@@ -505,6 +508,38 @@ def q_sweep_history(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts).withColumn("logloss", F.round("logloss", 6))
 
 
+_GRID = [(depth, eta) for depth in (1, 2) for eta in (0.1, 0.3)]
+
+
+def _fold_sql(depth: int, eta: float, fold: int) -> str:
+    used = f"row_id % 2 <> {fold}"
+    return "(SELECT logloss FROM (" + boost_sql(
+        quality_sql("m2", used, 12), rounds=2, depth=depth, eta=eta, used=used) + "))"
+
+
+@query("boost_grid", f"""WITH losses AS (SELECT depth, eta, (one + other) / 2 AS loss FROM (
+  {" UNION ALL ".join(
+    f"SELECT {depth} AS depth, {eta}::DOUBLE AS eta, {_fold_sql(depth, eta, 0)} AS one, "
+    f"{_fold_sql(depth, eta, 1)} AS other" for depth, eta in _GRID)}))
+SELECT depth, eta, round(loss, 9) AS logloss, loss = (SELECT min(loss) FROM losses) AS best
+FROM losses""")
+@report
+def q_boost_grid(spark, sf_dir):
+    """A grid of settings over two folds, as Spark ML searches it, four fits at a time."""
+    rows = _rows(spark, sf_dir).withColumn("fold", (F.col("row_id") % 2).cast("int"))
+    boost_ = estimator.TreeBoost(inputCols=FEATURES, maxIter=2, maxBins=BINS)
+    grid = [{boost_.maxDepth: depth, boost_.stepSize: eta} for depth, eta in _GRID]
+    search = CrossValidator(
+        estimator=boost_, estimatorParamMaps=grid, evaluator=estimator.LogLossEvaluator(),
+        numFolds=2, foldCol="fold", parallelism=4)
+    found = search.fit(rows)
+    best = (found.bestModel.getOrDefault("maxDepth"), found.bestModel.getOrDefault("stepSize"))
+    made = [(*key, float(loss), key == best) for key, loss in zip(_GRID, found.avgMetrics)]
+    return spark.createDataFrame(
+        made, "depth int, eta double, logloss double, best boolean"
+    ).withColumn("logloss", F.round("logloss", 9))
+
+
 @query("sweep_small")
 @report
 def q_sweep_small(spark, sf_dir):
