@@ -13,10 +13,10 @@
 4. Buckets that hold classes of several components are finished exactly. A link needs a
    common shingle among the first size - ceil(0.75 * size) + 1 of either set, in any fixed
    order; the rarest come first. Classes connected through such shingles are a family, dealt
-   in blocks of bounded size. A task compares pairs of two blocks that have such a shingle in
-   common, in memory and on their full sets (signatures have no say here), and hands over
-   links alone, at most one per merged component. So no link between components is lost, and
-   no bucket or family emits its pairs.
+   in blocks of bounded size. A task counts the shingles that the members of two blocks have
+   in common, from lists of members by shingle over their full sets (signatures have no say
+   here), and hands over links alone, at most one per merged component. So no link between
+   components is lost, and no bucket or family emits its pairs.
 5. Components: large-star and small-star alternate until the links no longer change.
 
 Links within a component that follow from others are not confirmed, as they change nothing.
@@ -270,38 +270,36 @@ def _block_links(rows: pd.DataFrame, key: tuple) -> pd.DataFrame:
     reps, sizes = rows["rep"].to_numpy(), rows["n"].to_numpy()
     label, block = rows["component"].to_numpy().copy(), rows["block"].to_numpy()
     sets = [np.asarray(s, dtype=np.int64) for s in rows["held"]]
-    holders: dict[int, list[int]] = {}  # rare shingle to the rows met that have it
+    lengths = np.array([len(s) for s in sets])
+    # Rows by shingle: those of the k-th one are holders[starts[k]:starts[k] + times[k]].
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets)), lengths)[np.argsort(number, kind="stable")]
+    times = np.bincount(number)
+    starts = np.cumsum(times) - times
+    ends = np.cumsum(lengths)
     a, b = [], []
-    for x, rare in enumerate(rows["prefix"]):
-        rare = [] if rare is None else np.asarray(rare).tolist()
-        lists = [holders[s] for s in rare if s in holders]
-        for s in rare:
-            holders.setdefault(s, []).append(x)
-        met = np.unique(np.concatenate(lists)) if lists else np.empty(0, dtype=np.int64)
-        met = met[met != x].astype(np.int64)
-        met = met[(label[met] != label[x])
-                  & (100 * np.minimum(sizes[met], sizes[x])
-                     >= PERCENT * np.maximum(sizes[met], sizes[x]))]
+    for x in range(len(reps) - 1):
+        after = np.arange(x + 1, len(reps))
+        after = after[(label[after] != label[x])
+                      & (100 * np.minimum(sizes[after], sizes[x])
+                         >= PERCENT * np.maximum(sizes[after], sizes[x]))]
         if across:
-            met = met[block[met] != block[x]]
-        if not len(met):
+            after = after[block[after] != block[x]]
+        if not len(after):
             continue
-        own = np.sort(sets[x])
-        for at in range(0, len(met), 256):
-            some = met[at:at + 256]
-            some = some[label[some] != label[x]]
-            if not len(some):
-                continue
-            joined = np.concatenate([sets[y] for y in some])
-            place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
-            bounds = np.concatenate(([0], np.cumsum([len(sets[y]) for y in some])[:-1]))
-            common = np.add.reduceat((own[place] == joined).astype(np.int64), bounds)
-            linked = some[100 * common >= PERCENT * (len(own) + sizes[some] - common)]
-            for y in linked.tolist():
-                if label[y] != label[x]:
-                    a.append(reps[x])
-                    b.append(reps[y])
-                    label[label == label[y]] = label[x]
+        own = number[ends[x] - lengths[x]:ends[x]]
+        shared = np.zeros(len(reps), dtype=np.int64)
+        for at in range(0, len(own), 256):  # the rows of some shingles at a time
+            first, count = starts[own[at:at + 256]], times[own[at:at + 256]]
+            places = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            shared += np.bincount(holders[places], minlength=len(reps))
+        common = shared[after]
+        linked = after[100 * common >= PERCENT * (len(own) + sizes[after] - common)]
+        for y in linked.tolist():
+            if label[y] != label[x]:
+                a.append(reps[x])
+                b.append(reps[y])
+                label[label == label[y]] = label[x]
     return pd.DataFrame({"a": pd.array(a, "int64"), "b": pd.array(b, "int64")})
 
 
@@ -340,10 +338,10 @@ def _rest_links(classes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFr
     common = _counted_back(each).groupBy("rep").agg(
         F.sort_array(F.collect_list(F.struct("times", "shingle")))["shingle"].alias("common"))
     length = F.size("common") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    prefixes = settled(common.join(placed.select("rep", "n", "component"), "rep").select(
-        "rep", "component", F.slice(
-            "common", F.lit(1), F.greatest(length, F.lit(0)).cast("int")).alias("prefix")))
-    keys = prefixes.select("rep", "component", F.explode("prefix").alias("shingle"))
+    keys = settled(
+        common.join(placed.select("rep", "n", "component"), "rep").select(
+            "rep", "component", F.explode(F.slice(
+                "common", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("shingle")))
     stars = keys.groupBy("shingle").agg(
         F.min("rep").alias("a"), F.min("component").alias("low"),
         F.max("component").alias("high")).filter("low < high").select("shingle", "a")
@@ -352,8 +350,7 @@ def _rest_links(classes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFr
     if joint.isEmpty():
         return None
     families = components(joint).withColumnRenamed("component", "family")
-    members = placed.join(families, "rep").join(held, "rep").join(
-        prefixes.select("rep", "prefix"), "rep")
+    members = placed.join(families, "rep").join(held, "rep")
     blocks = members.groupBy("family").agg(
         F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     numbered = members.join(blocks, "family").withColumn(
@@ -362,7 +359,7 @@ def _rest_links(classes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFr
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ).select("family", F.least("block", "other").alias("i"),
              F.greatest("block", "other").alias("j"),
-             "block", "rep", "n", "component", "prefix", "held")
+             "block", "rep", "n", "component", "held")
     parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = met.repartition(4 * parallel, "family", "i", "j").sortWithinPartitions(
         "family", "i", "j")
