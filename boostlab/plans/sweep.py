@@ -378,18 +378,23 @@ def sweep_document(
     return path
 
 
+def compared_changes(lib: str, depth: int) -> dict:
+    """What the comparison changes of a kind of forest."""
+    # Settings the distributed comparison gives the third kind.
+    third = {"row_share": 0.8, "tree_features": 0.8, "num_leaves": 2**depth}
+    return third if lib == "lightgbm" else {}
+
+
 def compare_forests(
-    trial: Trial, n_trees: int, members: int, run_depth: int
+    trial: Trial, n_trees: int, members: int, run_depth: int, **settings
 ) -> tuple[DataFrame, DataFrame]:
     """Each kind of forest as one fit and as sub-forests side by side: two result tables."""
     spark = trial.train.sparkSession
     data = binned_rows(trial.train, trial.features, max_bins=trial.max_bins)
-    # Settings the distributed comparison gives the third kind.
-    changes = {"lightgbm": {"row_share": 0.8, "tree_features": 0.8, "num_leaves": 2**run_depth}}
     single, several = [], []
     try:
         for lib, (kind, _) in FORESTS.items():
-            more = changes.get(lib, {})
+            more = compared_changes(lib, run_depth) | settings
             start = time.perf_counter()
             one = fit_forest(data, kind, n_trees, run_depth, trial.seed, **more)
             middle = time.perf_counter()

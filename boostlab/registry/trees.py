@@ -18,11 +18,15 @@ from boostlab.plans import reports, sweep
 from boostlab.registry.base import query, report
 from boostlab.registry.shape import BINNED_SQL, BINS, FEATURES
 from boostlab.registry.sqlparts import ORDER_FEATURES, uniform
-from boostlab.registry.treesql import NODES, boost_sql, forest_sql, quality_sql
+from boostlab.registry.treesql import (
+    NODES, boost_sql, forest_sql, quality_sql, voted_quality_sql,
+)
 from boostlab.session import run_dir, settled
 from boostlab.sources import relations, results
 
 ETA = 0.3
+# Rows of a fit on part of them; the others are those split off by hash.
+_TRAIN = f"{uniform(42, 'split', 'row_id')} >= 0.2::DOUBLE"
 
 
 def _params(**settings) -> BoostParams:
@@ -301,10 +305,6 @@ def held_out_quality(spark, sf_dir):
     return metrics.evaluate(model.score(test, fitted))
 
 
-# Rows of the fit; the others are those split off by hash.
-_TRAIN = f"{uniform(42, 'split', 'row_id')} >= 0.2::DOUBLE"
-
-
 def _rounded(quality):
     return quality.select("n_rows", *[
         F.round(c, 9).alias(c) for c in ("accuracy", "logloss", "auc")])
@@ -432,9 +432,28 @@ def q_forest_members_nodes(spark, sf_dir):
     return _paths(spark, members)
 
 
-@query("forest_model_parallel")
+@query("forest_model_parallel", forest_sql(
+    _checked_growth("bootstrap"),
+    {(m, t): s for m in range(4) for t, s in forest.tree_seeds(2, 42 + m).items()}, 2, _TRAIN,
+    f"SELECT *, 8 AS total_trees FROM ({voted_quality_sql('voted', _TRAIN)})"))
 @report
 def q_forest_model_parallel(spark, sf_dir):
+    """Sub-forests on the same rows, fitted side by side and averaged: nine trees for four
+    members, one is dropped. Their quality on rows they have not seen."""
+    train, test = _halves(spark, sf_dir)
+    data = binned_rows(train, FEATURES, max_bins=BINS)
+    try:
+        members = forest.fit_members(data, "bootstrap", 9, 4, 2, draws="md5")
+    finally:
+        data.close()
+    quality = metrics.evaluate(forest.score_members(test, members))
+    total = sum(len(m.trees) for m in members)
+    return _rounded(quality).withColumn("total_trees", F.lit(total))
+
+
+@query("forest_members_mllib")
+@report
+def q_forest_members_mllib(spark, sf_dir):
     """MLlib sub-forests on the same rows, fitted side by side and averaged."""
     train, test = _halves(spark, sf_dir)
     ready = mllib.fit_ready(train, FEATURES, "row_id")
@@ -461,6 +480,31 @@ def q_forest_compare(spark, sf_dir):
     return reports.scaling_efficiency(compared, 2)
 
 
+def _compared_sql(lib: str, kind: str, fit: str, seeds: dict) -> str:
+    changes = sweep.compared_changes(lib, 2)
+    growth = forest.forest_growth(kind, len(FEATURES), 2, 0.5, draws="md5", **changes)
+    return "SELECT * FROM (" + forest_sql(growth, seeds, 2, _TRAIN, (
+        f"SELECT '{lib}' AS lib, '{fit}' AS fit, accuracy, auc, {len(seeds)} AS trees "
+        f"FROM ({voted_quality_sql('voted', _TRAIN)})")) + ")"
+
+
+@query("forest_compare_quality", " UNION ALL ".join(
+    _compared_sql(lib, kind, fit, seeds) for lib, (kind, _) in sweep.FORESTS.items()
+    for fit, seeds in (
+        ("single", {(0, t): s for t, s in forest.tree_seeds(4, 42).items()}),
+        ("members", {(m, t): s for m in range(2)
+                     for t, s in forest.tree_seeds(2, 42 + m).items()}))))
+@report
+def q_forest_compare_quality(spark, sf_dir):
+    """What the comparison of one fit and of sub-forests says of their quality."""
+    trial = _trial(spark, sf_dir, 2, max_bins=BINS)
+    single, several = sweep.compare_forests(trial, 4, 2, 2, draws="md5")
+    both = single.withColumn("fit", F.lit("single")).unionByName(
+        several.withColumn("fit", F.lit("members")))
+    return both.select("lib", "fit", F.round("accuracy", 9).alias("accuracy"),
+                       F.round("auc", 9).alias("auc"), "trees")
+
+
 @query("concurrent_fits", boost_sql(
     "SELECT fit::INT AS fit, 2 AS trees, round(sum(leaf), 6) AS leaf_sum "
     "FROM nodes, range(0, 4) t(fit) GROUP BY fit", rounds=2, depth=2))

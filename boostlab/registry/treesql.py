@@ -67,6 +67,16 @@ def _level(state: str, out: str, policy: str, num_leaves: int, l2: float,
     return [f"{out}_best AS MATERIALIZED ({best})", f"{out} AS MATERIALIZED ({moved})"]
 
 
+def _binned(used: str) -> str:
+    """Bins of all rows, with the edges of those used."""
+    binned = BINNED_SQL.replace("binned AS (", "binned AS MATERIALIZED (")
+    for feature in FEATURES:
+        binned = binned.replace(
+            ordered_edges(feature, "train", BINS),
+            ordered_edges(feature, f"(SELECT * FROM train WHERE {used})", BINS))
+    return binned
+
+
 def boost_sql(final: str, rounds: int, depth: int, policy: str = "level", num_leaves: int = 0,
               eta: float = 0.3, l2: float = 1.0, min_rows: int = 0,
               start: str = "0.0::DOUBLE", least: str = "1", used: str = "true") -> str:
@@ -76,13 +86,8 @@ def boost_sql(final: str, rounds: int, depth: int, policy: str = "level", num_le
     ``final`` may read ``nodes`` (tree, path, feature, threshold, leaf), ``binned``
     and the margins ``m0`` .. ``m<rounds>`` (row_id, label, margin).
     """
-    binned = BINNED_SQL.replace("binned AS (", "binned AS MATERIALIZED (")
-    for feature in FEATURES:
-        binned = binned.replace(
-            ordered_edges(feature, "train", BINS),
-            ordered_edges(feature, f"(SELECT * FROM train WHERE {used})", BINS))
     parts = [
-        binned,
+        _binned(used),
         f"m0 AS MATERIALIZED (SELECT row_id, label, {start} AS margin FROM train)",
     ]
     nodes = []
@@ -126,17 +131,21 @@ def _named(nodes: list[str], ids: str) -> list[str]:
     ]
 
 
-def forest_sql(growth: Growth, seeds: dict[tuple[int, int], int], depth: int) -> str:
+def forest_sql(growth: Growth, seeds: dict[tuple[int, int], int], depth: int,
+               used: str = "true", final: str = "") -> str:
     """Trees of (member, tree) over the order features, grown apart from each other.
 
-    ``depth`` is 2 at most, so nodes are numbered 0 (the root), 1 and 2.
+    ``depth`` is 2 at most, so nodes are numbered 0 (the root), 1 and 2. ``used`` tells the
+    rows to fit on; the others are only passed down the trees. ``final`` may read ``nodes``
+    and ``voted`` (row_id, label, p: the mean of the members' probabilities).
     """
-    share, numbers = "(SELECT avg(label) FROM train)", {"": 0, "L": 1, "R": 2}
+    share = f"(SELECT avg(label) FROM train WHERE {used})"
+    numbers = {"": 0, "L": 1, "R": 2}
     slope = "1.0::DOUBLE" if growth.objective == "mean" else f"({share} * (1 - {share}))"
     # The third kind asks for the weight of so many rows, at the share of class 1.
     least = str(growth.min_child) if growth.min_child == 1.0 else f"(20 * {share} * (1 - {share}))"
-    parts = [BINNED_SQL.replace("binned AS (", "binned AS MATERIALIZED (")]
-    nodes = []
+    parts = [_binned(used)]
+    nodes, leaves = [], []
     for (member, tree), seed in seeds.items():
         drawn, name = uniform(seed, "rows", "row_id"), f"f{member}_{tree}_"
         if growth.bootstrap:
@@ -146,7 +155,8 @@ def forest_sql(growth: Growth, seeds: dict[tuple[int, int], int], depth: int) ->
             drawn = f"({drawn} < {growth.row_share}::DOUBLE)::INT"
         parts.append(
             f"{name} AS MATERIALIZED (SELECT row_id, '' AS path, w * ({share} - label) AS g, "
-            f"w * {slope} AS h, 1 AS w FROM (SELECT row_id, label, {drawn} AS w FROM train) WHERE w > 0)"
+            f"w * {slope} AS h, w FROM "
+            f"(SELECT row_id, label, {drawn} * ({used})::INT AS w FROM train))"
         )
         state = name
         for level in range(depth):
@@ -160,11 +170,20 @@ def forest_sql(growth: Growth, seeds: dict[tuple[int, int], int], depth: int) ->
             nodes.append(f"SELECT {member} AS member, {tree} AS tree, path, feature AS f, bin, "
                          f"NULL AS leaf FROM {out}_best")
             state = out
-        nodes.append(
-            f"SELECT {member}, {tree}, path, NULL, NULL, -sum(g) / (sum(h) + {growth.l2}::DOUBLE) + 0 "
-            f"FROM {state} GROUP BY path")
-    final = ("SELECT member, tree, path, feature, threshold, round(leaf, 6) AS leaf FROM nodes")
-    return "WITH " + ",\n".join([*parts, *_named(nodes, "member, tree")]) + "\n" + final
+        value = f"-sum(g) / (sum(h) + {growth.l2}::DOUBLE) + 0"
+        nodes.append(f"SELECT {member}, {tree}, path, NULL, NULL, {value} FROM {state} GROUP BY path")
+        leaves.append(
+            f"SELECT {member} AS member, row_id, value FROM {state} JOIN "
+            f"(SELECT path, {value} AS value FROM {state} GROUP BY path) v USING (path)")
+    own = f"avg(value) + {share}" if growth.objective == "mean" else (
+        f"1 / (1 + exp(-(avg(value) + ln({share} / (1 - {share})))))")
+    voted = (
+        f"voted AS (SELECT row_id, label, avg(p) AS p FROM (SELECT member, row_id, {own} AS p "
+        f"FROM ({' UNION ALL '.join(leaves)}) GROUP BY member, row_id) JOIN train USING (row_id) "
+        f"GROUP BY row_id, label)")
+    final = final or (
+        "SELECT member, tree, path, feature, threshold, round(leaf, 6) AS leaf FROM nodes")
+    return "WITH " + ",\n".join([*parts, *_named(nodes, "member, tree"), voted]) + "\n" + final
 
 
 NODES = "SELECT tree, path, feature, threshold, round(leaf, 6) AS leaf FROM nodes"
@@ -172,14 +191,20 @@ NODES = "SELECT tree, path, feature, threshold, round(leaf, 6) AS leaf FROM node
 
 def quality_sql(margins: str, used: str, digits: int = 9) -> str:
     """The metrics of the rows a fit did not use, over their margins."""
+    return voted_quality_sql(
+        f"(SELECT row_id, label, 1 / (1 + exp(-margin)) AS p FROM {margins})", used, digits)
+
+
+def voted_quality_sql(rows: str, used: str, digits: int = 9) -> str:
+    """The metrics of the rows a fit did not use, over ``row_id, label, p``."""
     return f"""SELECT n_rows, round(accuracy, {digits}) AS accuracy,
   round(logloss, {digits}) AS logloss, round(auc, {digits}) AS auc
 FROM (SELECT count(*) AS n_rows, avg(((p > 0.5)::INT = label)::INT) AS accuracy,
              avg(-(label * ln(p) + (1 - label) * ln(1 - p))) AS logloss
-      FROM (SELECT label, 1 / (1 + exp(-margin)) AS p FROM {margins} WHERE NOT ({used}))),
+      FROM {rows} WHERE NOT ({used})),
      (SELECT sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc
       FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING
                                                      AND 1 PRECEDING), 0) AS below
             FROM (SELECT p, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg
-                  FROM (SELECT label, 1 / (1 + exp(-margin)) AS p FROM {margins}
-                        WHERE NOT ({used})) GROUP BY p)))"""
+                  FROM (SELECT label, round(p, 12) AS p FROM {rows} WHERE NOT ({used}))
+                  GROUP BY p)))"""
