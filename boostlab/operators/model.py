@@ -174,6 +174,8 @@ def _tree_expression(model: TreeModel, tree: Tree, node: int = 0) -> Column:
 # well, while larger ones outgrow its method size and go to vectorised batches. Both
 # add the trees in the same order and send missing values (NULL, NaN) to the right.
 EXPRESSION_NODES = 255
+# Rows of a task that are worth preparing a larger model's bit masks.
+BIT_ROWS = 16_384
 
 
 def margin_column(model: TreeModel) -> Column:
@@ -185,13 +187,24 @@ def margin_column(model: TreeModel) -> Column:
             total = total + _tree_expression(model, tree)
         return total * F.lit(weight) + F.lit(model.base)
 
+    after = BIT_ROWS
+
     @F.pandas_udf("double")
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        from boostlab.operators.bitscore import BitTrees
+
+        masks, seen = None, 0
         for batch in batches:
             bins = model._matrix([batch[f] for f in model.features])
-            total = np.zeros(bins.shape[1])
-            for tree in model.trees:
-                total += np.asarray(tree.value)[route(tree, bins)]
+            seen += bins.shape[1]
+            if masks is None and seen > after:
+                masks = BitTrees(model.trees, 1 + max(len(e) for e in model.edges.values()))
+            if masks:
+                total = masks.totals(bins)
+            else:
+                total = np.zeros(bins.shape[1])
+                for tree in model.trees:
+                    total += np.asarray(tree.value)[route(tree, bins)]
             yield pd.Series(total * weight + model.base)
 
     return margins(F.struct(*[F.col(f).cast("double").alias(f) for f in model.features]))

@@ -105,10 +105,13 @@ def q_data_size(spark, sf_dir):
 
 @query("partition_census")
 def q_partition_census(spark, sf_dir):
-    """Rows and id span of every partition of the laid-out table, 2,000 rows in each."""
+    """Rows and id span of every partition of the laid-out table: of 2,000 rows each where
+    that makes a few, of some 128 MB of ids each in a large table."""
     ids = relations.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"))
+    n_rows = ids.count()
+    partitions = max(1, min(64, -(-n_rows // 2000)), -(-n_rows * 8 // (128 << 20)))
     return (
-        shaping.lay_out(ids, "row_id", max(1, -(-ids.count() // 2000)))
+        shaping.lay_out(ids, "row_id", partitions)
         .groupBy(F.spark_partition_id().alias("partition"))
         .agg(
             F.count("*").alias("n_rows"),
