@@ -148,7 +148,7 @@ def test_forests_score_whatever_hangs_on_the_session(spark, sf_dir):
     seen = Observation()
     spark.range(10).observe(seen, F.count("*").alias("n")).count()
     assert seen.get == {"n": 10}
-    for name in ("rf_mllib", "forest_model_parallel"):
+    for name in ("rf_mllib", "forest_members_mllib"):
         assert queries[name](spark, sf_dir).count() == 1
 
 
