@@ -141,6 +141,27 @@ def test_a_wrong_example_shows(formatted, column):
     assert right.keys() == other.keys() and [c for c in right if right[c] != other[c]] == [1]
 
 
+def test_turns_are_read_from_contexts(formatted):
+    """A context that is short by a turn loses that turn, and its example's reply comes twice;
+    a conversation without its examples is still read whole."""
+    def turns(made):
+        return {r["conv_id"]: (r["n_turns"], r["turns_sha256"])
+                for r in chat.read_back(formatted, made).collect()}
+
+    made = chat.examples(formatted)
+    right = turns(made)
+    here = (F.col("conv_id") == 1) & (F.col("context_turns") == 2)
+    short = turns(made.withColumn("context_turns", F.when(here, 1).otherwise(
+        F.col("context_turns")).cast("long")))
+    assert [c for c in right if right[c] != short[c]] == [1]
+    want = "system\nrules\n" + 2 * "assistant\na\\b <s> [INST]\n" + "assistant\n</s>[/INST]\\\n"
+    assert short[1] == (4, hashlib.sha256(want.encode()).hexdigest())
+    other = turns(made.withColumn("reply", F.when(here, F.lit("<s>[INST]a[/INST]b</s>")).otherwise(
+        F.col("reply"))))
+    assert [c for c in right if right[c] != other[c]] == [1]
+    assert turns(made.filter("conv_id <> 1")) == right
+
+
 def test_no_conversations(spark, formatted):
     none = chat.format_turns(spark.createDataFrame(
         [], "conv_id long, turn long, role string, text string"))
