@@ -6,10 +6,17 @@ computed where its row lives, from (seed, column, id) alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from boostlab.functions.rand import literal_uniform, normal, uniform
+from boostlab.functions.rand import (
+    draws, drawn, literal_uniform, normal, normals, uniform, uniforms,
+)
 
 
 def row_ids(spark: SparkSession, n_rows: int, partitions: int | None = None) -> DataFrame:
@@ -47,21 +54,12 @@ def mixing(seed: int, tag: str, rows: int, columns: int) -> list[list[float]]:
     ]
 
 
-def _matrix(rows: list[list[float]]) -> str:
-    """A matrix as the SQL text of nested arrays."""
-    return "array(" + ", ".join(
-        "array(" + ", ".join(f"{float(v)!r}D" for v in row) + ")" for row in rows) + ")"
-
-
-def _products(vector: Column, rows: Column) -> Column:
-    """The products of a vector with every row of a matrix. The vector is bound to a
-    variable, so it is worked out once and not once per row."""
-    def dot(x: Column, row: Column) -> Column:
-        terms = F.zip_with(x, row, lambda a, b: a * b)
-        return F.aggregate(terms, F.lit(0.0), lambda total, term: total + term)
-
-    return F.transform(
-        F.array(vector), lambda x: F.transform(rows, lambda row: dot(x, row)))[0]
+def _products(vectors: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Products of vectors ``[row, i]`` with a matrix ``[i, j]``, terms added in order of i."""
+    total = np.zeros((len(vectors), rows.shape[1]))
+    for i in range(len(rows)):
+        total += vectors[:, i, None] * rows[i]
+    return total
 
 
 def gen_classification(
@@ -85,35 +83,44 @@ def gen_classification(
     clusters = 2 * clusters_per_class
     if informative + redundant > n_features or clusters > 2**informative:
         raise ValueError("more clusters or structured features than the table can hold")
-    row = F.col("row_id")
-    corners = cluster_signs(clusters, informative, seed)
-    mixes = [mixing(seed, f"mix{c}", informative, informative) for c in range(clusters)]
-    blend = mixing(seed, "blend", informative, redundant)
-
-    # Expressions stay the same size whatever the number of features: one vector of
-    # normals, a constant 1 for the corner, and the matrix of the row's cluster.
-    z = F.array(
-        *[normal(seed, f"z{i}", row, mode) for i in range(informative)], F.lit(1.0))
-    shapes = "array(" + ", ".join(
-        _matrix([
-            [*(mixes[c][i][j] for i in range(informative)), corners[c][j]]
-            for j in range(informative)
-        ]) for c in range(clusters)) + ")"
-    cluster = F.floor(uniform(seed, "cluster", row, mode) * clusters).cast("int")
-    shaped = ids.select(row, cluster.alias("cluster")).select(
-        "row_id", "cluster", _products(z, F.get(F.expr(shapes), F.col("cluster"))).alias("known"))
-    mixed_rows = _matrix([[blend[i][k] for i in range(informative)] for k in range(redundant)])
-    if redundant:
-        shaped = shaped.withColumn("mixed", _products(F.col("known"), F.expr(mixed_rows)))
-    known = [F.col("known")[j].alias(f"f{j}") for j in range(informative)]
-    mixed = [F.col("mixed")[k].alias(f"f{informative + k}") for k in range(redundant)]
-    noise = [
-        normal(seed, f"noise{j}", row, mode).alias(f"f{j}")
-        for j in range(informative + redundant, n_features)
+    corners = np.array(cluster_signs(clusters, informative, seed), dtype=float)
+    mixes = [np.array(mixing(seed, f"mix{c}", informative, informative)) for c in range(clusters)]
+    blend = np.array(mixing(seed, "blend", informative, redundant)).reshape(informative, redundant)
+    # Spark draws the words, and batches of rows are shaped as matrices.
+    tags = [
+        *(f"z{i}" for i in range(informative)),
+        *(f"noise{j}" for j in range(informative + redundant, n_features)),
+        "cluster", "flip", "coin",
     ]
-    coin = (uniform(seed, "coin", row, mode) < 0.5).cast("int")
-    label = F.when(uniform(seed, "flip", row, mode) < flip_y, coin).otherwise(F.col("cluster") % 2)
-    return shaped.select("row_id", *known, *mixed, *noise, label.cast("int").alias("label"))
+
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = drawn(batch["draws"], len(tags))
+            values = normals(words[:, :-3])
+            z, noise = values[:, :informative], values[:, informative:]
+            of_cluster, of_flip, of_coin = uniforms(words[:, -3:]).T
+            cluster = np.floor(of_cluster * clusters).astype(np.int32)
+            known = np.empty((len(z), informative))
+            for c in range(clusters):
+                own = cluster == c
+                known[own] = _products(z[own], mixes[c]) + corners[c]
+            label = np.where(of_flip < flip_y, of_coin < 0.5, cluster % 2)
+            missing = batch["draws"].is_null().to_numpy(zero_copy_only=False)
+            columns = [*known.T, *_products(known, blend).T, *noise.T]
+            yield pa.RecordBatch.from_arrays(
+                [batch["row_id"],
+                 *(pa.array(np.ascontiguousarray(c), pa.float64(), missing) for c in columns),
+                 pa.array(label.astype(np.int32), pa.int32(), missing)],
+                names=schema.names,
+            )
+
+    needed = ids.select("row_id", draws(seed, tags, F.col("row_id"), mode).alias("draws"))
+    schema = T.StructType([
+        needed.schema["row_id"],
+        *(T.StructField(f"f{j}", T.DoubleType()) for j in range(n_features)),
+        T.StructField("label", T.IntegerType()),
+    ])
+    return needed.mapInArrow(shape, schema)
 
 
 def gen_linear_threshold(

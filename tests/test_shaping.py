@@ -1,8 +1,10 @@
+import hashlib
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from boostlab.functions.rand import literal_uniform
 from boostlab.operators import shaping
 from boostlab.operators.quantiles import quantiles
 from boostlab.sources import generators
@@ -50,6 +52,37 @@ def test_generated_rows_do_not_depend_on_partitions(spark, mode):
     assert rows(1) == rows(5)
 
 
+def test_generated_rows_are_shaped_as_matrices(spark):
+    """Values follow the construction, a missing id has none, and no row is gone through by
+    SQL lambdas, which no code is generated for."""
+    ids = generators.row_ids(spark, 50, 3).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) row_id"))
+    made = generators.gen_classification(ids, 7, 4, 2, flip_y=0.0)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+    corners = generators.cluster_signs(4, 4, 42)
+    blend = generators.mixing(42, "blend", 4, 2)
+
+    def normal(tag, i):
+        digest = hashlib.md5(f"42:{tag}:{i}".encode()).hexdigest()
+        first, second = int(digest[:8], 16), int(digest[8:16], 16)
+        return math.sqrt(-2 * math.log((first + 1) / (2**32 + 1))) * math.cos(
+            2 * math.pi * second / 2**32)
+
+    for row in made.collect():
+        i = row["row_id"]
+        if i is None:
+            assert not any(v is not None for v in row)
+            continue
+        cluster = int(4 * literal_uniform(42, "cluster", i))
+        mix = generators.mixing(42, f"mix{cluster}", 4, 4)
+        known = [sum(normal(f"z{k}", i) * mix[k][j] for k in range(4)) + corners[cluster][j]
+                 for j in range(4)]
+        mixed = [sum(known[k] * blend[k][j] for k in range(4)) for j in range(2)]
+        want = [*known, *mixed, normal("noise6", i)]
+        assert list(row)[1:8] == pytest.approx(want, abs=1e-12)
+        assert row["label"] == cluster % 2
+
+
 def test_generated_classes_are_balanced_and_flipped(spark):
     ids = generators.row_ids(spark, 20000, 4)
     made = generators.gen_classification(ids, 8, mode="fast")
