@@ -19,7 +19,9 @@ from boostlab.operators.shaping import lay_out
 from boostlab.session import drop_dir, run_dir
 
 VECTOR = "features"
-PARTITION_BYTES = 128 << 20
+# Bytes of the numbers in a partition. Kept rows and MLlib's own copies of them take some
+# times that, and a task of a fit reads them all.
+PARTITION_BYTES = 32 << 20
 
 
 def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
