@@ -2,6 +2,8 @@
 
 import os
 
+import pyarrow as pa
+
 import __spark_entry__ as contract
 from boostlab import session
 
@@ -40,3 +42,17 @@ def test_reports_leave_no_folder(spark, sf_dir):
     for name in ("held_out_quality", "boost_stump", "forest_bootstrap_nodes"):
         assert contract.queries()[name](spark, sf_dir).count() > 0
     assert held(spark) == before
+
+
+def test_blocks_reach_python_in_small_batches(spark):
+    """A worker holds few blocks at once, however many its task has."""
+    from boostlab.session import BATCH_BYTES, steady_session
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": pa.array([batch.nbytes], pa.int64())})
+
+    steady = steady_session(spark)
+    blocks = steady.range(0, 40, 1, 1).selectExpr("CAST(repeat('x', 1000000) AS BINARY) AS bins")
+    got = [r["size"] for r in blocks.mapInArrow(sizes, "size long").collect()]
+    assert sum(got) >= 40_000_000 and max(got) <= BATCH_BYTES + 1_100_000
