@@ -2,10 +2,11 @@ import math
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from boostlab.operators import binning, boosting, forest, grow, metrics, model
+from boostlab.operators import binning, boosting, forest, grow, metrics, mllib, model
 from boostlab.operators.boosting import BoostParams, binned_rows, boost_binned, boost_watched
 from boostlab.sources import generators
 
@@ -334,3 +335,56 @@ def test_patience_ends_a_fit(spark, two_sets):
     finally:
         watch.close()
         none.close()
+
+
+def test_only_rows_of_open_nodes_are_drawn(monkeypatch):
+    """Rows outside the nodes to sum cost no draw, and the sums are those of the drawn rows."""
+    from boostlab.functions.rand import literal_uniform
+
+    class Blocks:
+        def mapInArrow(self, work, _):
+            return work
+
+    ids = np.arange(100, 300)
+    bins = np.stack([ids % 2, ids % 3 > 0]).astype(np.uint8)
+    batch = pa.RecordBatch.from_pydict({
+        "ids": [ids.tobytes()], "label": [np.zeros(200, np.int8).tobytes()],
+        "bins": [bins.tobytes()], "margin": [np.zeros(200).tobytes()]})
+    tree = model.Tree()
+    left, _ = tree.split(0, 0, 0)
+    tree.depth = 1
+    asked, weights = [], grow.row_weights
+
+    def watched(growth, seed, some):
+        asked.extend(some.tolist())
+        return weights(growth, seed, some)
+
+    monkeypatch.setattr(grow, "row_weights", watched)
+    work = grow.level_sums(
+        Blocks(), {"a": [0.5], "b": [0.5]}, grow.Growth(row_share=0.4, draws="md5"), {0: tree},
+        {0: 7}, {0: [left]})
+    (sums,) = work(iter([batch]))
+    assert asked == [i for i in ids.tolist() if i % 2 == 0]
+    used = [i for i in asked if literal_uniform(7, "rows", i) < 0.4]
+    got = np.frombuffer(sums["h"][1].as_py())
+    assert got.tolist() == [0.25 * sum(i % 3 == 0 for i in used), 0.25 * sum(i % 3 > 0 for i in used)]
+
+
+def test_kept_halves_are_split_once(spark, sf_dir):
+    from boostlab.registry import trees
+
+    for half in trees._halves(spark, sf_dir):
+        assert "md5" not in half._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_partitions_of_a_library_fit_are_small(spark):
+    """They follow the rows, far below what a task may read."""
+    rows = spark.range(0, 2_000_000, 1, 4).selectExpr("id AS row_id", "rand(1) AS f0",
+                                                    "0 AS label", "rand(2) AS f1")
+    ready = mllib.fit_ready(rows, ["f0", "f1"], "row_id")
+    try:
+        sizes = ready.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in sizes) == 2_000_000
+        assert max(r["count"] for r in sizes) * 32 < 48 << 20
+    finally:
+        ready.unpersist()
