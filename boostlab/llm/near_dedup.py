@@ -17,7 +17,9 @@
    in common, from lists of members by shingle over their full sets (signatures have no say
    here), and hands over links alone, at most one per merged component. So no link between
    components is lost, and no bucket or family emits its pairs.
-5. Components: large-star and small-star alternate until the links no longer change.
+5. Components: large-star and small-star alternate until every node has either one smaller
+   neighbour or only larger ones. Links of the fourth step name components, so they are
+   merged among themselves, without the links before.
 
 Links within a component that follow from others are not confirmed, as they change nothing.
 
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boostlab.llm.common import empty_if_null, lowered_bytes, settled
@@ -116,13 +118,13 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "set_key": keys, "minima": minima})
 
 
-def _banded(classes: DataFrame) -> DataFrame:
-    """One row per class and band: bucket, rep."""
+def _banded(classes: DataFrame, *names: str) -> DataFrame:
+    """One row per class and band: bucket, rep and the columns named."""
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring(
             F.col("minima"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    return classes.select("rep", F.explode(bands).alias("bucket"))
+    return classes.select("rep", *names, F.explode(bands).alias("bucket"))
 
 
 def _may_link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,40 +195,36 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     rows = members.unionByName(heads).join(texts, F.col("b") == texts["id"])
     parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("a", "share", "b", "text").repartition(
-        4 * parallel, "a", "share").sortWithinPartitions("a", "share", "b")
+        parallel, "a", "share").sortWithinPartitions("a", "share", "b")
     return settled(dealt.mapInPandas(_confirm, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """rep, component (the smallest id reached) of all ends of ``edges`` (a, b).
+    """rep, component (the smallest id reached) of all ends of ``edges`` (a, b), which are read
+    several times.
 
     Large-star links every larger neighbour of a node with the node's smallest, small-star
-    its smaller ones and itself. When neither changes a link, every link names the smallest
-    node. The table of links is written after every round.
+    its smaller ones and itself. Once all that have a smaller neighbour have no other, every
+    component is a star around its smallest node. The nodes, and the links if another round
+    is needed, are written; links never become more.
     """
-    now = settled(edges.select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .filter("u <> v").distinct())
-    state = None
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(
+        "u <> v")
     while True:
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            "u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = settled(large.filter("u <> v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(
-            low.select("u", F.col("m").alias("v"))).distinct()
-        now = settled(small)
-        seen = now.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state:
-            break
-        state = tuple(seen)
-    return now.select(F.col("u").alias("rep"), F.col("v").alias("component")).union(
-        now.select("v", "v")).distinct()
+        nodes = settled(now.union(now.select("v", "u")).groupBy("u").agg(
+            F.min("v").alias("least"), F.max("v").alias("most"),
+            F.max(F.expr("if(v < u, v, null)")).alias("below")))
+        if nodes.filter("least < u and (below > least or most > u)").isEmpty():
+            return nodes.select(
+                F.col("u").alias("rep"), F.least("u", "least").alias("component"))
+        low = nodes.select(F.col("u").alias("v"), F.least("u", "least").alias("m"))
+        large = now.join(low, "v").select("u", F.col("m").alias("v"))
+        order = Window.partitionBy("u").orderBy("v")
+        small = large.select(
+            "u", "v", F.min("v").over(order).alias("m"), F.lag("v").over(order).alias("before")
+        ).filter("before is null or before < v")
+        now = settled(small.select(
+            F.expr("if(v = m, u, v)").alias("u"), F.col("m").alias("v")))
 
 
 def _first_pairs(classes: DataFrame) -> DataFrame:
@@ -248,7 +246,7 @@ def _set_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _compare_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links between components within a family; rows come sorted by (family, i, j).
+    """Components that a link joins within a family; rows come sorted by (family, i, j).
 
     Found links merge their components at once, so pairs they connect are skipped.
     """
@@ -268,7 +266,8 @@ def _compare_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _block_links(rows: pd.DataFrame, key: tuple) -> pd.DataFrame:
     across = key[1] != key[2]
     reps, sizes = rows["rep"].to_numpy(), rows["n"].to_numpy()
-    label, block = rows["component"].to_numpy().copy(), rows["block"].to_numpy()
+    component, block = rows["component"].to_numpy(), rows["block"].to_numpy()
+    label = component.copy()
     sets = [np.asarray(s, dtype=np.int64) for s in rows["held"]]
     lengths = np.array([len(s) for s in sets])
     # Rows by shingle: those of the k-th one are holders[starts[k]:starts[k] + times[k]].
@@ -297,8 +296,8 @@ def _block_links(rows: pd.DataFrame, key: tuple) -> pd.DataFrame:
         linked = after[100 * common >= PERCENT * (len(own) + sizes[after] - common)]
         for y in linked.tolist():
             if label[y] != label[x]:
-                a.append(reps[x])
-                b.append(reps[y])
+                a.append(component[x])
+                b.append(component[y])
                 label[label == label[y]] = label[x]
     return pd.DataFrame({"a": pd.array(a, "int64"), "b": pd.array(b, "int64")})
 
@@ -320,11 +319,10 @@ def _counted_back(each: DataFrame) -> DataFrame:
     return dealt.join(answers, ["shingle", "lot"]).drop("lot")
 
 
-def _rest_links(classes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Links between components that share a bucket, found through rare shingles."""
-    placed = settled(classes.join(found, "rep", "left").select(
-        "rep", "n", "minima", F.coalesce("component", "rep").alias("component")))
-    rows = _banded(placed).join(placed.select("rep", "component"), "rep")
+def _rest_links(placed: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Pairs of components that a link joins, of those that share a bucket, found through rare
+    shingles."""
+    rows = _banded(placed, "component")
     mixed = rows.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     open_ids = settled(
@@ -361,7 +359,7 @@ def _rest_links(classes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFr
              F.greatest("block", "other").alias("j"),
              "block", "rep", "n", "component", "held")
     parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = met.repartition(4 * parallel, "family", "i", "j").sortWithinPartitions(
+    dealt = met.repartition(parallel, "family", "i", "j").sortWithinPartitions(
         "family", "i", "j")
     return settled(dealt.mapInPandas(_compare_blocks, "a long, b long"))
 
@@ -381,12 +379,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             F.min("row").alias("rep"), F.min("doc_id").alias("least_id")))
     texts = rows.select(F.col("row").alias("doc_id"), "text")
     edges = _links(_plausible(_first_pairs(classes), classes), texts)
-    found = components(edges)
-    more = _rest_links(classes, settled(found), texts)
+    placed = settled(classes.join(components(edges), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")))
+    more = _rest_links(placed, texts)
+    placed = placed.select("set_key", "least_id", F.col("component").alias("component_id"))
     if more is not None and not more.isEmpty():
-        found = components(edges.union(more))
-    placed = classes.join(found, "rep", "left").select(
-        "set_key", "least_id", F.coalesce("component", "rep").alias("component_id"))
+        top = components(more)
+        placed = placed.join(top, placed["component_id"] == top["rep"], "left").select(
+            "set_key", "least_id", F.coalesce("component", "component_id").alias("component_id"))
     if several:  # row numbers are not in the order of ids
         ids = placed.groupBy("component_id").agg(F.min("least_id").alias("id"))
         placed = placed.join(ids, "component_id").select(

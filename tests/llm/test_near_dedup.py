@@ -92,3 +92,44 @@ def test_rest_of_mixed_buckets_is_found(docs_of, monkeypatch):
     first = near_dedup._first_pairs
     monkeypatch.setattr(near_dedup, "_first_pairs", lambda c: first(c).filter("false"))
     assert found(near_dedup.near_duplicates(docs_of(rows))) == brute(rows)
+
+
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    """op3_near_duplicates: a table is written for the nodes alone, none for links."""
+    edges = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(50, 51)] * 2, "a long, b long")
+    written = []
+    monkeypatch.setattr(near_dedup, "settled", lambda df, f=near_dedup.settled: (
+        written.append(df.columns), f(df))[1])
+    got = sorted(map(tuple, near_dedup.components(edges).collect()))
+    assert got == [(i, 0) for i in range(40)] + [(50, 50), (51, 50)]
+    assert len(written) == 1
+
+
+def test_components_of_random_links(spark):
+    rng = random.Random(7)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    top = list(range(300))
+    for a, b in links:
+        low, high = sorted((top[a], top[b]))
+        top = [low if t == high else t for t in top]
+    edges = spark.createDataFrame(links, "a long, b long")
+    got = sorted(map(tuple, near_dedup.components(edges).collect()))
+    assert got == [(i, top[i]) for i in sorted({i for a, b in links if a != b for i in (a, b)})]
+
+
+def test_later_links_join_components_alone(docs_of, monkeypatch):
+    """op3_near_duplicates: links found last are merged without those found first."""
+    rows = near_copies(3, 120)
+    first, merged = near_dedup._first_pairs, near_dedup.components
+    calls = []
+
+    def seen(edges):
+        calls.append((edges.collect(), out := merged(edges)))
+        return out
+
+    monkeypatch.setattr(near_dedup, "_first_pairs", lambda c: first(c).filter("(a + b) % 3 = 0"))
+    monkeypatch.setattr(near_dedup, "components", seen)
+    assert found(near_dedup.near_duplicates(docs_of(rows))) == brute(rows)
+    own = {r["rep"]: r["component"] for r in calls[0][1].collect()}
+    assert own and calls[-1][0] and len(calls) == 3
+    assert all(own.get(i, i) == i for e in calls[-1][0] for i in e)
